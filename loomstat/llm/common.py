@@ -69,7 +69,7 @@ def running_total(df: DataFrame, key: list[str], bucket: str, order: list[Column
     )
 
 
-def buckets_for(rows: int, per: int = 20_000) -> int:
+def buckets_for(rows: int, per: int = 2_000) -> int:
     """How many hash buckets hold about per rows each."""
     return max(1, -(-rows // per))
 

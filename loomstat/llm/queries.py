@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import mixing, sharding, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op5_url_filters": url_filter.op5_url_filters,
     "op10_sharding": sharding.op10_sharding,
 }
