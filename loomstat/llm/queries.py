@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_filter
+from . import ann, mixing, near_dup, sharding, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_near_dup": near_dup.op3_near_dup,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
+    "op3_near_dup": near_dup.op3_near_dup,
     "op5_url_filters": url_filter.OP5_SQL,
 }
