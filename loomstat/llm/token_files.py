@@ -31,7 +31,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length
 SHARD_BYTES = 24 << 20
 LEVEL = 3
 #: The dictionary is trained on so many documents at most, of so many characters at most; all documents are written.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 1 << 16, 1 << 16
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 1 << 14, 1 << 16
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -79,7 +79,9 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     tokenizer = tokenizer or tokenizer_path()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).select("text").toPandas()["text"]
+    ids = rows.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    chosen = rows.join(F.broadcast(ids.distinct()), "doc_id").where(F.length("text").between(1, SAMPLE_CHARS))  # SAMPLE_DOCS ids at most
+    sample = chosen.orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).select("text").toPandas()["text"]
     dictionary = train_dictionary([x for x in encoder(tokenizer).encode(list(sample)) if x])
     shards = max(1, -(-size // SHARD_BYTES))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]

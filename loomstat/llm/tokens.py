@@ -8,15 +8,22 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 END_ID = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 800_000
 LONG = 1 << 22
 #: How the word tokenizer's file splits and normalises. It drops white space, so words are independent.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 #: Full stops and commas between a letter and white space are a token run of their own.
 TAIL = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,]+(?=[\s]|$)")
+#: Words of Latin letters only: one token run each.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: a for ASCII letters, digits, white space and the bytes of Latin letters, . for other ASCII, X for what starts other characters.
+KIND = bytes(ord("a") if chr(i).isalnum() and i < 128 or i in b" \t\n\r\x0b\x0c" or 0x80 <= i < 0xC0 or i == 0xC3 else ord(".") if i < 128 else ord("X") for i in range(256))
+JOINED = 512
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,6 +52,9 @@ class Encoder:
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         self.by_word = norm == NORMALIZERS and pre.get("pattern") == {"Regex": SPLIT} and pre.get("invert") and not spec.get("post_processor")
         self.words: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -53,10 +63,16 @@ class Encoder:
         return out.tobytes()
 
     def _split(self, text: str) -> list[bytes]:
+        """A text in words whose ids, strung together, are the text's."""
         data = text.encode()
-        if b"<|" not in data:  # else special tokens may be spelled out, and their case counts
-            data = TAIL.sub(rb" \g<0>", data.lower())
-        return data.split()
+        if b"<|" in data:  # special tokens may be spelled out, and their case counts
+            return data.split()
+        data = data.lower()
+        kinds = data.translate(KIND)
+        if b"X" in kinds or b".." in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data:
+            return TAIL.sub(rb" \g<0>", data).split()
+        # no two characters in a row are neither letter, digit nor space: every full stop and comma is a run of its own
+        return data.replace(b".", b" .").replace(b",", b" ,").split()
 
     def _parts(self, text: str) -> list[str]:
         """A long text in parts cut before white space."""
@@ -87,8 +103,16 @@ class Encoder:
             self.words.clear()
         words = self.words
         new = [w for w in set().union(*split) if w not in words]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+        plain = [w for w in new if LETTERS.fullmatch(w)]
+        rest = set(new).difference(plain)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             words[w] = self._pack(e.ids)
+        # many words of one run each in one call: the ids of a word end at the first id that ends a run
+        joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, e in zip(joined, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in joined], add_special_tokens=False), strict=True):
+            data, at = self._pack(e.ids), 0
+            for w, end in zip(part, ((np.flatnonzero(self.ends[e.ids]) + 1) * self.width).tolist(), strict=True):
+                words[w], at = data[at:end], end
         get = words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
