@@ -9,9 +9,12 @@ with probability (1 - 0.75^R)^B = 9e-8.
 
 Buckets are not turned into pairs. First every class is compared with the smallest class of its buckets
 (one pair a class), on full sets, and the links give components. Only buckets that still hold several
-components are looked at again: there, tiles of bounded size compare registers across components, the
-maximum-likelihood estimate of J from the two set sizes and the register order keeps pairs that can reach
-the threshold (six standard deviations of slack), and those are confirmed on full sets, too.
+components are looked at again: there, tiles of bounded size compare registers across components, and the
+maximum-likelihood estimate of J from the two set sizes and the register order tells which pairs can reach
+the threshold (six standard deviations of slack). A tile hands on a spanning forest of these open pairs, a
+row a class at most; connected open pairs make families, and tiles of a family compare full sets across
+components and hand on a spanning forest of the links found. So the rows between steps grow with the
+classes of a group, not with their pairs.
 """
 
 from __future__ import annotations
@@ -141,29 +144,96 @@ def estimate(n_a: np.ndarray, n_b: np.ndarray, larger: np.ndarray, smaller: np.n
     return (low + high) / 2
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, cell): pairs of one cell, across labels, that the registers leave open. A cell has two tiles at most."""
-    from itertools import groupby
+def _forest(edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges that join two trees when they come."""
+    root: dict[int, int] = {}
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(n).to_pylist() for n in ("band", "cell", "fp", "label", "n", "sketch", "outer")), strict=True)
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    for _, group in groupby(rows(), key=lambda r: r[:2]):
-        group = list(group)
-        fp, label, n = (np.array([r[i] for r in group], np.int64) for i in (2, 3, 4))
-        outer = np.array([r[6] for r in group], bool)
-        registers = np.frombuffer(b"".join(r[5] for r in group), np.uint16).reshape(len(group), M)
-        found: list[tuple[int, int]] = []
+    out = []
+    for x, y in edges:
+        a, b = find(x), find(y)
+        if a != b:
+            root[a] = b
+            out.append((x, y))
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Runs of rows alike in the first two columns, as rows of the others."""
+    run, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(n).to_pylist() for n in columns), strict=True):
+            if run != row[:2] and held:
+                yield held
+                held = []
+            run = row[:2]
+            held.append(row[2:])
+    if held:
+        yield held
+
+
+def _across(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """fp, label, n and outer of a cell's rows (fp, label, n, outer, ...)."""
+    return *(np.array([r[i] for r in rows], np.int64) for i in range(3)), np.array([r[3] for r in rows], bool)
+
+
+def _partners(i: int, label: np.ndarray, n: np.ndarray, outer: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that outer row i is compared with: of another label, of a size that allows it, outer ones after i only."""
+    return np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ~(outer & (np.arange(len(n)) <= i)))
+
+
+def _edges(found: list[tuple[int, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+
+
+def _open_forest(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, cell): a spanning forest of the cell's pairs across labels that the registers leave open."""
+    bar = percent / 100 - SLACK
+    for rows in _groups(batches, ["band", "cell", "fp", "label", "n", "outer", "sketch"]):
+        fp, label, n, outer = _across(rows)
+        registers = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), M)
+        pairs = []
+        for i in np.flatnonzero(outer):
+            js = _partners(i, label, n, outer, percent)
+            if len(js):
+                # equal registers are J and a little more; the estimate is only worked out where they come near the bar
+                js = js[(registers[js] == registers[i]).sum(1) >= (bar - 0.05) * M]
+                pairs += [(i, j) for j in js]
+        if pairs:
+            x, y = np.array(pairs).T
+            larger, smaller = (np.concatenate([op(registers[x[k : k + 4096]], registers[y[k : k + 4096]]).sum(1) for k in range(0, len(x), 4096)]) for op in (np.greater, np.less))
+            near = estimate(n[x], n[y], larger, smaller) >= bar
+            yield from _edges(_forest(zip(fp[x[near]].tolist(), fp[y[near]].tolist(), strict=True)), schema)
+
+
+def _link_forest(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (family, cell): a spanning forest of the links across labels, on full sets."""
+    for rows in _groups(batches, ["family", "cell", "fp", "label", "n", "outer", "shingles"]):
+        fp, label, n, outer = _across(rows)
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
+        values, element = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        has = np.zeros(len(values), bool)
+        links = []
         for i in np.flatnonzero(outer):
-            open_ = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ~(outer & (np.arange(len(group)) <= i))
-            js = np.flatnonzero(open_)
+            js = _partners(i, label, n, outer, percent)
             if len(js):
-                larger, smaller = (registers[i] > registers[js]).sum(1), (registers[i] < registers[js]).sum(1)
-                js = js[estimate(np.full(len(js), n[i]), n[js], larger, smaller) >= percent / 100 - SLACK]
-                found += [tuple(sorted((int(fp[i]), int(fp[j])))) for j in js]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+                own = element[first[i] : first[i + 1]]
+                has[own] = True
+                same = np.bincount(row[has[element]], minlength=len(rows))[js]
+                has[own] = False
+                links += [(int(i), int(j)) for j in js[100 * same >= percent * (n[i] + n[js] - same)]]
+        names = {}  # of two labels one link will do
+        for i, j in links:
+            names.setdefault((int(label[i]), int(label[j])), (int(fp[i]), int(fp[j])))
+        yield from _edges([names[e] for e in _forest(names)], schema)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,27 +243,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _confirmed(it, schema, percent), "a long, b long"), "near-links")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a bucket, have different labels so far and may be similar."""
-    labelled = members.join(labels, members["fp"] == labels["node"], "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rows = materialize(labelled.join(mixed, "band"), "near-open")
-    by_label = rows.groupBy("band", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c"))
+def _cells(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (by, fp, label) with outer and cell: every pair across labels of one value of by is in a cell of two tiles.
+
+    The most frequent label's rows need no comparison with each other: a cell holds two tiles of the outer rows, or
+    one of these and one of that label's.
+    """
+    main = rows.groupBy(by, "label").agg(F.count("*").alias("c")).groupBy(by).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c"))
     tiles = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
-    main = main.select("band", "main", tiles(F.col("in_main")).alias("inner_tiles"), tiles(F.col("c") - F.col("in_main")).alias("outer_tiles"))
-    rows = rows.join(main, "band").withColumn("outer", F.col("label") != F.col("main"))
-    own = F.pmod(F.xxhash64("fp"), F.when(F.col("outer"), F.col("outer_tiles")).otherwise(F.col("inner_tiles"))).cast("int")
-    rows = rows.withColumn("own", own)
-    # cells: two tiles of outer rows (i <= j), or one of outer rows and one of the main component
+    main = main.select(by, "main", tiles(F.col("in_main")).alias("inner_tiles"), tiles(F.col("c") - F.col("in_main")).alias("outer_tiles"))
+    rows = rows.join(main, by).withColumn("outer", F.col("label") != F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(F.col("outer"), F.col("outer_tiles")).otherwise(F.col("inner_tiles"))).cast("int"))
     with_outer = F.transform(F.sequence(F.lit(0), F.col("outer_tiles") - 1), lambda i: F.concat_ws("o", F.least(i, F.col("own")), F.greatest(i, F.col("own"))))
     with_inner = F.transform(F.sequence(F.lit(0), F.col("inner_tiles") - 1), lambda i: F.concat_ws("m", F.col("own"), i))
     inner = F.transform(F.sequence(F.lit(0), F.col("outer_tiles") - 1), lambda i: F.concat_ws("m", i, F.col("own")))
-    rows = rows.select("band", "fp", "label", "outer", F.explode(F.when(F.col("outer"), F.concat(with_outer, with_inner)).otherwise(inner)).alias("cell"))
-    rows = rows.join(classes.select("fp", "n", "sketch"), "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    found = rows.select("band", "cell", "fp", "label", "n", "sketch", "outer").mapInArrow(lambda it: _tile_pairs(it, schema, percent), "a long, b long")
-    return materialize(found.distinct(), "near-open-pairs")
+    return rows.select(by, "fp", "label", "outer", F.explode(F.when(F.col("outer"), F.concat(with_outer, with_inner)).otherwise(inner)).alias("cell"))
+
+
+def _more_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components so far, of classes that share a bucket: enough of them to connect what is connected."""
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    labelled = members.join(labels, members["fp"] == labels["node"], "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    rows = materialize(labelled.join(mixed, "band"), "near-open")
+    cells = _cells(rows, "band").join(classes.select("fp", "n", "sketch"), "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
+    loose = materialize(cells.select("band", "cell", "fp", "label", "n", "outer", "sketch").mapInArrow(lambda it: _open_forest(it, edge, percent), "a long, b long").distinct(), "near-open-pairs")
+
+    family = components(loose).select(F.col("node").alias("fp"), F.col("label").alias("family"))
+    rows = family.join(labels, F.col("fp") == F.col("node"), "left").select("family", "fp", F.coalesce("label", "fp").alias("label"))
+    cells = _cells(materialize(rows, "near-families"), "family").join(sets, "fp").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    cells = cells.repartition("family", "cell").sortWithinPartitions("family", "cell", "fp")
+    return materialize(cells.select("family", "cell", "fp", "label", "n", "outer", "shingles").mapInArrow(lambda it: _link_forest(it, edge, percent), "a long, b long"), "near-more-links")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -227,7 +307,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sets = materialize(texts.mapInArrow(lambda it: _set_rows(it, set_schema, k), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
 
     links = _verify(pairs, sets, percent)
-    more = _verify(_open_pairs(members.drop("center"), components(links), classes, percent), sets, percent)
+    more = _more_links(members.drop("center"), components(links), classes, sets, percent)
     labels = components(links.unionByName(more))
 
     named = classes.select("fp", "doc_id").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))

@@ -95,7 +95,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return words
     if n < k:
-        return mix64(np.array([(words * ODD[:n]).sum(dtype=np.uint64) + ODD[32 + n]], np.uint64))
+        return mix64((words * ODD[:n]).sum(keepdims=True, dtype=np.uint64) + ODD[32 + n : 33 + n])
     total = words[: n - k + 1] * ODD[0]
     for j in range(1, k):
         total += words[j : n - k + 1 + j] * ODD[j]
