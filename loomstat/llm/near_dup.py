@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import WORD, materialize, read
 from .graph import components
 from .shingles import mix64, shingle_set, word_hashes
 
@@ -276,23 +276,14 @@ def _more_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     return materialize(cells.select("family", "cell", "fp", "label", "n", "outer", "shingles").mapInArrow(lambda it: _link_forest(it, edge, percent), "a long, b long"), "near-more-links")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
-
-    A-Z count as a-z; words are runs without white space; a document's set holds its distinct k-word shingles, or its whole
-    word sequence where there are fewer words. Documents are linked where 100 * intersection >= percent * union, links are
-    confirmed on full sets (of 64-bit shingle hashes), and component_id is the smallest doc_id of a connected component.
-    kept marks doc_id = component_id. Texts that are null or without words have no shingles and no links: they are their own
-    component. Rows that repeat are linked like equal texts and are all kept where theirs is the smallest doc_id. A null
-    doc_id never is a component_id unless its component has no other (then null, kept false; null and kept for texts
-    without words). Any percent of 60 and more can be asked for; the bands are laid out for 75. Other columns are not read.
-    """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n, fp) of docs, and (fp, least, label): the class's least (no id, doc_id, key) and its component."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     wide = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
     rows = materialize(source.mapInArrow(lambda it: _sketch_rows(it, wide, k), "doc_id long, key long, n long, fp long, sketch binary"), "near-sketches")
     some = rows.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    classes = materialize(some.groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least.doc_id", "least.key", "n", "sketch"), "near-classes")
+    classes = materialize(some.groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least", "n", "sketch"), "near-classes")
 
     narrow = pa.schema([("band", pa.int64()), ("fp", pa.int64())])
     n_classes = classes.count()
@@ -301,8 +292,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = materialize(bands.join(buckets, "band"), "near-members")
 
     pairs = members.where("fp <> center").groupBy(F.col("fp").alias("a")).agg(F.min("center").alias("b"))
-    wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("doc_id").alias("d"), F.col("key").alias("w"))
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("w"))).select("fp", "text")
+    wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("least.key").alias("key"))
+    texts = source.join(wanted, "key").select("fp", "text")
     set_schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
     sets = materialize(texts.mapInArrow(lambda it: _set_rows(it, set_schema, k), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
 
@@ -310,8 +301,27 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     more = _more_links(members.drop("center"), components(links), classes, sets, percent)
     labels = components(links.unionByName(more))
 
-    named = classes.select("fp", "doc_id").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = classes.select("fp", "least").join(labels, F.col("fp") == F.col("node"), "left")
+    return rows, named.select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    A-Z count as a-z; words are runs without white space; a document's set holds its distinct k-word shingles, or its whole
+    word sequence where there are fewer words. Documents are linked where 100 * intersection >= percent * union, links are
+    confirmed on full sets (of 64-bit shingle hashes), and component_id is the smallest doc_id of a connected component.
+    kept marks doc_id = component_id. Texts that are null or without words have no shingles and no links: they are their own
+    component. Rows that repeat are linked like equal texts and are all kept where theirs is the smallest doc_id. A null
+    doc_id never is a component_id unless its component has no other (then null, kept false; null and kept for texts
+    without words). Any percent of 60 and more can be asked for; the bands are laid out for 75. Other columns are not read.
+    """
+    rows, named = _connected(docs, doc_id, text, k, percent)
+    smallest = named.groupBy("label").agg(F.min("least.doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("fp", "component_id")
     out = rows.select("doc_id", "n", "fp").join(named, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -320,5 +330,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the smallest doc_id, null ids last.
+
+    Texts without words are in no component and all stay. Of rows alike in doc_id and text one stays.
+    """
+    _, named = _connected(docs, doc_id, text, k, percent)
+    chosen = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
+    words = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    keyed = docs.where(words).withColumn("__key", row_key(F.col(doc_id), F.col(text)))
+    one = keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return one.unionByName(docs.where(~words))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, media, mixing, near_dup, packing, sharding, token_files, toxicity, url_filter
+from . import ann, chat, media, mixing, near_dup, packing, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dup": near_dup.op3_near_dup,
     "op4_token_output": token_files.op4_token_output,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_media": media.op8_media,
     "op9_best_fit": packing.op9_best_fit,
