@@ -4,7 +4,661 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomstat.functions import scalar
+from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, series, topics, trees
+from loomstat.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL for the same rows."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r(column, digits: int = 6):
+    return F.round(column, digits)
+
+
+# --- metrics and dictionary ------------------------------------------------------------------------------------------
+
+
+def _quality(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", "n_chars").join(fx.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("""WITH j AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)),
+  n AS (SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality <> 1) AS negatives FROM j)
+  SELECT round((SELECT avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0::DOUBLE WHEN a.n_chars = b.n_chars THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) FROM j a, j b WHERE a.quality = 1 AND b.quality <> 1), 9) AS auc,
+  positives, negatives FROM n""")
+def auc_ties(spark, sf):
+    return metrics.auc(_quality(spark, sf), "n_chars", "quality").select(r("auc", 9).alias("auc"), "positives", "negatives")
+
+
+@query("SELECT doc_id, avg(rn) OVER (PARTITION BY n_chars) AS rank FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars) AS rn FROM documents)")
+def tied_ranks(spark, sf):
+    return metrics.tied_ranks(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "rank")
+
+
+def _placed(spark, sf):
+    return fx.tokens(spark, sf).select("token", (F.col("doc_id") * (1 << 24) + F.col("pos")).alias("at"))
+
+
+@query(f"WITH {fx.TOKENS_SQL}, f AS (SELECT token, min(doc_id * 16777216 + pos) AS a, count(*) AS n FROM tok GROUP BY 1) SELECT token, row_number() OVER (ORDER BY a) - 1 AS id, n FROM f")
+def dict_encode(spark, sf):
+    return encode.first_appearance(_placed(spark, sf), "token", "at")
+
+
+@query(f"WITH {fx.TOKENS_SQL} SELECT token, count(*) AS cnt FROM tok GROUP BY 1")
+def vocab_counts(spark, sf):
+    return fx.tokens(spark, sf).groupBy("token").agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {fx.TOKENS_SQL} SELECT doc_id, count(*) AS length, count(DISTINCT token) AS words FROM tok GROUP BY 1")
+def doc_lengths(spark, sf):
+    return fx.tokens(spark, sf).groupBy("doc_id").agg(F.count("*").alias("length"), F.countDistinct("token").alias("words"))
+
+
+@query(f"WITH {fx.TOKENS_SQL} SELECT token, count(DISTINCT doc_id) AS docs, count(*) AS cnt FROM tok GROUP BY 1")
+def df_counts(spark, sf):
+    return fx.tokens(spark, sf).groupBy("token", "doc_id").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("docs"), F.sum("c").alias("cnt"))
+
+
+def _train_test(spark, sf):
+    """Labelled documents train the dictionary, all others are tested."""
+    t, marks = fx.tokens(spark, sf), fx.table(spark, sf, "labels").select("doc_id")
+    return t.join(marks, "doc_id", "left_semi"), t.join(marks, "doc_id", "left_anti")
+
+
+@query(f"WITH {fx.TOKENS_SQL}, d AS (SELECT DISTINCT token FROM tok WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, count(*) AS known FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND token IN (SELECT token FROM d) GROUP BY 1")
+def known_feature_filter(spark, sf):
+    train, test = _train_test(spark, sf)
+    return test.join(train.select("token").distinct(), "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"))
+
+
+@query(f"WITH {fx.TOKENS_SQL}, d AS (SELECT DISTINCT token FROM tok WHERE doc_id IN (SELECT doc_id FROM labels)), k AS (SELECT DISTINCT doc_id FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND token IN (SELECT token FROM d)) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense_id FROM k")
+def drop_empty_docs(spark, sf):
+    train, test = _train_test(spark, sf)
+    known = test.join(train.select("token").distinct(), "token", "left_semi").select("doc_id")
+    rows = fx.table(spark, sf, "documents").select("doc_id")
+    return encode.renumber(encode.known_rows(rows, known, "doc_id"), "doc_id").select("doc_id", "dense_id")
+
+
+@query("WITH n AS (SELECT l_orderkey, count(*) AS length FROM lineitem GROUP BY 1) SELECT l_orderkey, length, CAST(sum(length) OVER (ORDER BY l_orderkey) - length AS BIGINT) AS offset_ FROM n")
+def csr_offsets(spark, sf):
+    n = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("length"))
+    return encode.offsets(n, "l_orderkey", "length").withColumnRenamed("offset", "offset_")
+
+
+@query(f"WITH {fx.ROWS_SQL}, {fx.FEATURES_SQL} SELECT name, row_id, row_number() OVER (PARTITION BY name ORDER BY value DESC, row_id) AS place FROM fea")
+def desc_presort(spark, sf):
+    f = fx.features(spark, sf)
+    return f.select("name", "row_id", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("value"), "row_id")).alias("place"))
+
+
+# --- linear models -----------------------------------------------------------------------------------------------------
+
+WEIGHTS = {"qty": 0.01, "disc": -2.0, "tax": 0.0, "price": -0.004}
+W_SQL = "wei(name, w) AS (VALUES ('qty', 0.01::DOUBLE), ('disc', -2.0::DOUBLE), ('tax', 0.0::DOUBLE), ('price', -0.004::DOUBLE))"
+Z_SQL = f"{fx.ROWS_SQL}, {W_SQL}, zs AS (SELECT *, 0.01::DOUBLE * qty - 2.0::DOUBLE * disc - 0.004::DOUBLE * price AS z FROM rws)"
+SOFT = "CASE WHEN z > 30 THEN z WHEN z < -30 THEN 0 ELSE ln(1 + exp(z)) END"
+
+
+def _weights(spark):
+    return spark.createDataFrame(list(WEIGHTS.items()), "name string, w double")
+
+
+@query(f"WITH {Z_SQL} SELECT round(sum({SOFT} - CASE WHEN label > 0 THEN z ELSE 0 END), 4) AS loss, count(*) AS n FROM zs")
+def logloss(spark, sf):
+    z = linear.linear_scores(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark))
+    return z.agg(r(metrics.logistic_loss(F.col("z"), F.col("label")), 4).alias("loss"), F.count("*").alias("n"))
+
+
+G_SQL = f"{Z_SQL}, g AS (SELECT name, sum((1 / (1 + exp(-z)) - label) * CASE name WHEN 'qty' THEN qty WHEN 'disc' THEN disc WHEN 'tax' THEN tax ELSE price END) AS g FROM zs, wei GROUP BY 1)"
+
+
+@query(f"WITH {G_SQL} SELECT name, round(g + 2 * 0.5::DOUBLE * w, 4) AS g FROM g JOIN wei USING (name)")
+def lr_gradient(spark, sf):
+    return linear.gradient(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark), 0.5, 2).select("name", r("g", 4).alias("g"))
+
+
+@query(f"WITH {G_SQL} SELECT name, round(CASE WHEN w > 0 THEN g + 100 WHEN w < 0 THEN g - 100 WHEN g > 100 THEN g - 100 WHEN g < -100 THEN g + 100 ELSE 0 END, 4) AS sub FROM g JOIN wei USING (name)")
+def subgradient(spark, sf):
+    return linear.gradient(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark), 100.0, 1).select("name", r("sub", 4).alias("sub"))
+
+
+@query(f"WITH {Z_SQL} SELECT round(1 + sum({SOFT} - CASE WHEN label > 0 THEN z ELSE 0 END) + 3 * (SELECT sum(abs(w)) FROM wei), 4) AS objective FROM zs")
+def lr_objective_l1(spark, sf):
+    return linear.objective(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark), 3.0, 1).select(r("objective", 4).alias("objective"))
+
+
+@query(f"WITH {Z_SQL} SELECT round(1 + sum({SOFT} - CASE WHEN label > 0 THEN z ELSE 0 END) + 3 * (SELECT sum(w * w) FROM wei), 4) AS objective FROM zs")
+def lr_objective_l2(spark, sf):
+    return linear.objective(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark), 3.0, 2).select(r("objective", 4).alias("objective"))
+
+
+@query(f"WITH {fx.ROWS_SQL} SELECT row_id, round(1.5::DOUBLE / (1 + exp(-(0.02::DOUBLE * qty - disc))) - 0.5::DOUBLE / (1 + exp(-(0.01::DOUBLE * price - 0.03::DOUBLE * qty + 4 * tax))), 8) AS z FROM rws")
+def latent_forward(spark, sf):
+    inner = spark.createDataFrame([("qty", [0.02, -0.03]), ("disc", [-1.0, 0.0]), ("tax", [0.0, 4.0]), ("price", [0.0, 0.01])], "name string, v array<double>")
+    return linear.latent_forward(fx.rows(spark, sf), fx.features(spark, sf), inner, [1.5, -0.5]).select("row_id", r("z", 8).alias("z"))
+
+
+# --- boosting ----------------------------------------------------------------------------------------------------------
+
+M_SQL = f"{Z_SQL}, cls AS (SELECT row_id, label3, k AS cls, z * k AS f FROM zs, (VALUES (0), (1), (2)) t(k)), p AS (SELECT *, exp(f) / sum(exp(f)) OVER (PARTITION BY row_id) AS p FROM cls)"
+
+
+def _class_scores(spark, sf):
+    z = linear.linear_scores(fx.rows(spark, sf, 3), fx.features(spark, sf), _weights(spark))
+    return z.select("row_id", F.col("label").cast("int").alias("label"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("cls"), "z").withColumn("f", F.col("z") * F.col("cls"))
+
+
+@query(f"WITH {M_SQL} SELECT row_id, cls, round(p - CASE WHEN cls = label3 THEN 1 ELSE 0 END, 8) AS g, round(p * (1 - p), 8) AS h FROM p")
+def softmax_gh(spark, sf):
+    return trees.softmax_gradients(_class_scores(spark, sf)).select("row_id", "cls", r("g", 8).alias("g"), r("h", 8).alias("h"))
+
+
+@query(f"WITH {M_SQL} SELECT round(-sum(ln(p)), 4) AS loss, count(*) AS n FROM p WHERE cls = label3")
+def multiclass_logloss(spark, sf):
+    return metrics.multiclass_loss(metrics.softmax(_class_scores(spark, sf), "row_id", "f"), "p", "cls", "label").select(r("loss", 4).alias("loss"), "n")
+
+
+@query(f"WITH {Z_SQL}, s AS (SELECT row_id, label, CASE WHEN z > 12 THEN 0.99999::DOUBLE WHEN z < -12 THEN 1e-5::DOUBLE ELSE 1 / (1 + exp(-z)) END AS s FROM zs) SELECT row_id, round(s - label, 8) AS g, round(s * (1 - s), 8) AS h FROM s")
+def binary_gh(spark, sf):
+    z = linear.linear_scores(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark))
+    g, h = trees.binary_gradients(F.col("z"), F.col("label"))
+    return z.select("row_id", r(g, 8).alias("g"), r(h, 8).alias("h"))
+
+
+def _next_pairs(spark, sf):
+    """Each row with the row of the next order line by id."""
+    rows = fx.rows(spark, sf)
+    nxt = rows.select(F.col("row_id").alias("a"), (F.col("row_id") + 1).alias("b"))
+    return nxt.join(rows.select(F.col("row_id").alias("b")), "b", "left_semi").select("a", "b")
+
+
+@query(f"""WITH {Z_SQL}, pr AS (SELECT x.row_id AS a, y.row_id AS b, x.z - y.z AS d, x.label AS ya, y.label AS yb FROM zs x JOIN zs y ON y.row_id = x.row_id + 1),
+  u AS (SELECT a, b, CASE WHEN ya > yb AND d < 1 THEN d - 1 WHEN ya < yb AND -d < 1 THEN d + 1 WHEN ya = yb THEN d ELSE 0 END AS u FROM pr),
+  e AS (SELECT a AS row_id, u AS g FROM u UNION ALL SELECT b, -u FROM u) SELECT zs.row_id, round(coalesce(sum(g), 0), 8) AS g, 1.0::DOUBLE AS h FROM zs LEFT JOIN e USING (row_id) GROUP BY 1""")
+def rank_gradients(spark, sf):
+    z = linear.linear_scores(fx.rows(spark, sf), fx.features(spark, sf), _weights(spark)).select("row_id", "label", F.col("z").alias("f"))
+    return trees.rank_gradients(z, _next_pairs(spark, sf), 1.0).select("row_id", r("g", 8).alias("g"), "h")
+
+
+def _gh(spark, sf):
+    """First-round binary gradients in two nodes, by label 3's class A or not."""
+    return fx.rows(spark, sf).select("row_id", F.pmod("row_id", F.lit(2)).cast("int").alias("node"), (0.5 - F.col("label")).alias("g"), F.lit(0.25).alias("h"))
+
+
+GH_SQL = "gh AS (SELECT row_id, CAST(row_id % 2 AS INTEGER) AS node, 0.5::DOUBLE - label AS g, 0.25::DOUBLE AS h FROM rws), st AS (SELECT node, count(*) AS n, sum(g) AS sg, sum(h) AS sh, -sum(g) / (sum(h) + 1) AS wei, -sum(g) * sum(g) / (2 * (sum(h) + 1)) + 0.1::DOUBLE AS loss FROM gh GROUP BY 1)"
+
+
+@query(f"WITH {fx.ROWS_SQL}, {GH_SQL} SELECT node, n, round(sg, 6) AS sum_g, round(sh, 6) AS sum_h, round(wei, 8) AS wei, round(loss, 6) AS loss FROM st")
+def root_stats(spark, sf):
+    return trees.node_stats(_gh(spark, sf), 1.0, 0.1).select("node", "n", r("sum_g").alias("sum_g"), r("sum_h").alias("sum_h"), r("wei", 8).alias("wei"), r("loss").alias("loss"))
+
+
+def _split_sql(features: str, value: str, last: str) -> str:
+    return f"""{GH_SQL}, bv AS (SELECT node, name, {value} AS value, sum(g) AS g, sum(h) AS h, count(*) AS c FROM {features} JOIN gh USING (row_id) GROUP BY 1, 2, 3),
+  run AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, CAST(sum(c) OVER w AS BIGINT) AS n_left, lead(value) OVER (PARTITION BY node, name ORDER BY value DESC) AS below FROM bv WINDOW w AS (PARTITION BY node, name ORDER BY value DESC)),
+  cand AS (SELECT node, name, coalesce((value + below) / 2, {last}) AS aval, n_left, loss + gl * gl / (2 * (hl + 1)) - 0.1::DOUBLE + (sg - gl) * (sg - gl) / (2 * (sh - hl + 1)) - 0.1::DOUBLE AS gain FROM run JOIN st USING (node) WHERE n_left >= 50 AND n - n_left >= 50)"""
+
+
+OPTIONS = {"wr": 1.0, "nr": 0.1, "min_rows": 50}
+
+
+@query(f"WITH {fx.ROWS_SQL}, {fx.FEATURES_SQL}, {_split_sql('fea', 'value', 'value')} SELECT node, name, round(aval, 9) AS aval, n_left, round(gain, 5) AS gain FROM cand")
+def split_gain_valued(spark, sf):
+    c = trees.split_candidates(_gh(spark, sf), fx.features(spark, sf), **OPTIONS)
+    return c.select("node", "name", r("aval", 9).alias("aval"), "n_left", r("gain", 5).alias("gain"))
+
+
+@query(f"WITH {fx.ROWS_SQL}, {fx.BINARY_SQL}, {_split_sql('bin', '1.0::DOUBLE', '0.5::DOUBLE')} SELECT node, name, round(aval, 9) AS aval, n_left, round(gain, 5) AS gain FROM cand")
+def split_gain_binary(spark, sf):
+    c = trees.split_candidates(_gh(spark, sf), fx.binary_features(spark, sf), binary=True, **OPTIONS)
+    return c.select("node", "name", r("aval", 9).alias("aval"), "n_left", r("gain", 5).alias("gain"))
+
+
+@query(f"WITH {fx.ROWS_SQL}, {fx.BINARY_SQL}, {_split_sql('bin', '1.0::DOUBLE', '0.5::DOUBLE')} SELECT node, name, round(aval, 9) AS aval, n_left, round(gain, 5) AS gain FROM cand WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, name, aval DESC) = 1")
+def best_split(spark, sf):
+    c = trees.best_splits(trees.split_candidates(_gh(spark, sf), fx.binary_features(spark, sf), binary=True, **OPTIONS))
+    return c.select("node", "name", r("aval", 9).alias("aval"), "n_left", r("gain", 5).alias("gain"))
+
+
+@query(f"WITH {fx.ROWS_SQL} SELECT CASE WHEN row_id % 2 = 1 THEN 1 WHEN qty >= 24.5 THEN 2 ELSE 3 END AS node, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM rws GROUP BY 1")
+def route_rows(spark, sf):
+    moved = trees.route(_gh(spark, sf), fx.features(spark, sf), [(0, "qty", 24.5, 2, 3)])
+    return moved.groupBy("node").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+
+
+TREES = [
+    [(0, 9, 0, "qty", 24.5, 0.0, 0.0, 1, 2), (1, 5, 1, None, None, 0.5, 0.0, -1, -1), (2, 4, 0, "gift", 1.0, 0.0, 0.0, 3, 4), (3, 2, 1, None, None, 2.0, 0.0, -1, -1), (4, 2, 1, None, None, -0.25, 0.0, -1, -1)],
+    [(0, 9, 0, "disc", 0.05, 0.0, 0.0, 1, 2), (1, 5, 1, None, None, 0.125, 0.0, -1, -1), (2, 4, 1, None, None, -1.0, 0.0, -1, -1)],
+]
+
+
+@query(f"WITH {fx.ROWS_SQL} SELECT row_id, round(0.1::DOUBLE * (CASE WHEN qty >= 24.5 THEN 0.5 ELSE -0.25 END + CASE WHEN disc >= 0.05 THEN 0.125 ELSE -1 END), 9) AS score FROM rws")
+def tree_eval(spark, sf):
+    return trees.score_trees(fx.rows(spark, sf), fx.features(spark, sf), TREES, 0.1).select("row_id", r("score", 9).alias("score"))
+
+
+@query(f"WITH {fx.ROWS_SQL} SELECT row_id, 0 AS tree, CASE WHEN qty >= 24.5 THEN 1 ELSE 4 END AS leaf FROM rws UNION ALL SELECT row_id, 1, CASE WHEN disc >= 0.05 THEN 1 ELSE 2 END FROM rws")
+def tree_score_path(spark, sf):
+    s = trees.score_trees(fx.rows(spark, sf), fx.features(spark, sf), TREES, 0.1)
+    return s.select("row_id", F.explode("path").alias("p")).select("row_id", "p.tree", "p.leaf")
+
+
+# --- clusters and graphs -----------------------------------------------------------------------------------------------
+
+CENTERS_SQL = """e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), cen AS (SELECT label AS k, i, avg(x) AS c FROM e GROUP BY 1, 2)"""
+
+
+def _label_centers(spark, sf):
+    e = fx.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
+    rows = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c")).orderBy("label").collect()  # a row a label
+    return e, [r_["c"] for r_ in rows], [r_["label"] for r_ in rows]
+
+
+D_SQL = f"{CENTERS_SQL}, d AS (SELECT vec_id, k, sum((x - c) * (x - c)) AS d FROM e JOIN cen USING (i) GROUP BY 1, 2), b AS (SELECT vec_id, k, d FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"
+
+
+@query(f"WITH {D_SQL} SELECT vec_id, CAST(CASE WHEN d > 0.8 THEN -1 ELSE k END AS INTEGER) AS cls, round(d, 6) AS dist FROM b")
+def kmeans_assign(spark, sf):
+    e, centers, labels = _label_centers(spark, sf)
+    a = cluster.assign(e, "v", centers)
+    name = F.when(F.col("cls") < 0, -1).otherwise(F.element_at(F.array(*[F.lit(x) for x in labels]), F.greatest(F.col("cls"), F.lit(0)) + 1))
+    return a.select("vec_id", name.cast("int").alias("cls"), r("dist").alias("dist"))
+
+
+@query(f"WITH {CENTERS_SQL}, n AS (SELECT k, sqrt(sum(c * c)) AS norm FROM cen GROUP BY 1) SELECT k AS label, CAST(i - 1 AS INTEGER) AS at, round(c / norm, 6) AS x FROM cen JOIN n USING (k)")
+def kmeans_mstep(spark, sf):
+    e = fx.table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return cluster.unit_means(e, "v", "label").select("label", F.posexplode("center").alias("at", "x")).select("label", "at", r("x").alias("x"))
+
+
+def _points(spark, sf):
+    return fx.lines(spark, sf).select("row_id", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("cls"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+GAUSS_SQL = f"{fx.ROWS_SQL}, gs AS (SELECT label3 AS cls, count(*) AS n, avg(qty) AS mx, avg(price) AS my, var_pop(qty) AS vx, var_pop(price) AS vy, covar_pop(qty, price) AS cov FROM rws GROUP BY 1)"
+
+
+@query(f"WITH {GAUSS_SQL} SELECT cls, n, round(mx, 5) AS mx, round(my, 5) AS my, round(vx, 4) AS vx, round(vy, 4) AS vy, round(cov, 4) AS cov, round(vx * vy - cov * cov, 1) AS det FROM gs")
+def gauss2d_stats(spark, sf):
+    s = cluster.gaussian_stats(_points(spark, sf), "cls", "x", "y")
+    return s.select("cls", "n", r("mx", 5).alias("mx"), r("my", 5).alias("my"), r("vx", 4).alias("vx"), r("vy", 4).alias("vy"), r("cov", 4).alias("cov"), r("det", 1).alias("det"))
+
+
+@query(f"""WITH {GAUSS_SQL}, dn AS (SELECT row_id, cls, exp(-(vy * (qty - mx) * (qty - mx) - 2 * cov * (qty - mx) * (price - my) + vx * (price - my) * (price - my)) / (vx * vy - cov * cov) / 2) / sqrt(vx * vy - cov * cov) AS dens FROM rws, gs)
+  SELECT row_id, round(max(dens), 9) AS dens FROM dn GROUP BY 1""")
+def gauss2d_assign(spark, sf):
+    p = _points(spark, sf)
+    stats = sorted(cluster.gaussian_stats(p, "cls", "x", "y").collect(), key=lambda s: s["cls"])
+    a = cluster.gaussian_assign(p.drop("cls"), "x", "y", stats)
+    dens = [scalar.gaussian_2d(F.col("x"), F.col("y"), *[F.lit(float(s[n])) for n in ("mx", "my", "vx", "vy", "cov")]) for s in stats]
+    own = F.element_at(F.array(*dens), F.col("cls") + 1)
+    return a.select("row_id", r(own, 9).alias("dens"))
+
+
+def _graph(spark, sf):
+    return graph.symmetric(fx.nation_graph(spark, sf)), fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("comm"))
+
+
+@query(f"WITH {fx.GRAPH_SQL} SELECT node, k FROM deg")
+def graph_degrees(spark, sf):
+    return graph.degrees(_graph(spark, sf)[0])
+
+
+CW_SQL = "cw AS (SELECT src AS node, comm, sum(w) AS w FROM edg JOIN com ON dst = node WHERE src <> dst GROUP BY 1, 2), tot AS (SELECT comm, sum(k) AS total FROM deg JOIN com USING (node) GROUP BY 1)"
+
+
+@query(f"WITH {fx.GRAPH_SQL}, {CW_SQL} SELECT cw.node, o.comm AS own, cw.comm, round(cw.w - k * (total - CASE WHEN cw.comm = o.comm THEN k ELSE 0 END) / (SELECT sum(w) / 2 FROM edg), 6) AS dq FROM cw JOIN com o ON o.node = cw.node JOIN deg ON deg.node = cw.node JOIN tot ON tot.comm = cw.comm")
+def louvain_delta_q(spark, sf):
+    return graph.delta_q(*_graph(spark, sf)).select("node", "own", "comm", r("dq").alias("dq"))
+
+
+@query(f"WITH {fx.GRAPH_SQL} SELECT a.comm AS src, b.comm AS dst, sum(w) AS w FROM edg JOIN com a ON a.node = src JOIN com b ON b.node = dst WHERE a.comm <> b.comm GROUP BY 1, 2")
+def louvain_contract(spark, sf):
+    return graph.contract(*_graph(spark, sf))
+
+
+@query(f"WITH {fx.GRAPH_SQL}, inn AS (SELECT a.comm, sum(w) AS i FROM edg JOIN com a ON a.node = src JOIN com b ON b.node = dst WHERE a.comm = b.comm GROUP BY 1) SELECT comm, count(*) AS nodes, sum(k) AS total, max(i) AS inner_w FROM com JOIN deg USING (node) JOIN inn USING (comm) GROUP BY 1")
+def community_stats(spark, sf):
+    return graph.community_stats(*_graph(spark, sf)).withColumnRenamed("inner", "inner_w")
+
+
+@query(f"WITH {fx.GRAPH_SQL}, inn AS (SELECT sum(w) AS i FROM edg JOIN com a ON a.node = src JOIN com b ON b.node = dst WHERE a.comm = b.comm), t AS (SELECT comm, sum(k) AS total FROM com JOIN deg USING (node) GROUP BY 1) SELECT round((SELECT i FROM inn) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 9) AS modularity FROM t")
+def modularity(spark, sf):
+    return graph.modularity(*_graph(spark, sf)).select(r("modularity", 9).alias("modularity"))
+
+
+# --- topics and vectors ------------------------------------------------------------------------------------------------
+
+
+def _topic_tokens(spark, sf):
+    return fx.tokens(spark, sf).select(F.col("doc_id").alias("doc"), "pos", F.col("token").alias("word"), ((F.length("token") + F.col("pos")) % 5 + 1).cast("int").alias("topic"))
+
+
+T_SQL = f"{fx.TOKENS_SQL}, tp AS (SELECT doc_id AS doc, pos, token AS word, CAST((length(token) + pos) % 5 + 1 AS INTEGER) AS topic FROM tok)"
+
+
+@query(f"WITH {T_SQL} SELECT doc, topic, count(*) AS n FROM tp GROUP BY 1, 2")
+def lda_doc_topic(spark, sf):
+    return topics.counts(_topic_tokens(spark, sf), "doc", "topic")
+
+
+@query(f"WITH {T_SQL} SELECT word, topic, count(*) AS n FROM tp GROUP BY 1, 2")
+def lda_word_topic(spark, sf):
+    return topics.counts(_topic_tokens(spark, sf), "word", "topic")
+
+
+@query(f"""WITH {T_SQL}, v AS (SELECT count(DISTINCT word) AS v FROM tp), k AS (SELECT unnest([1, 2, 3, 4, 5]) AS topic),
+  c AS (SELECT k.topic, (SELECT count(*) FROM tp WHERE tp.topic = k.topic) AS nt, (SELECT count(*) FROM tp WHERE tp.topic = k.topic AND doc = 0) AS nd, (SELECT count(*) FROM tp WHERE tp.topic = k.topic AND word = 'the') AS nw FROM k)
+  SELECT round(sum(0.05::DOUBLE * 0.01::DOUBLE / (v * 0.01::DOUBLE + nt)), 12) AS e, round(sum(0.01::DOUBLE * nd / (v * 0.01::DOUBLE + nt)), 10) AS f, round(sum((0.05::DOUBLE + nd) * nw / (v * 0.01::DOUBLE + nt)), 8) AS g FROM c, v""")
+def lda_buckets(spark, sf):
+    b = topics.bucket_sums(_topic_tokens(spark, sf), 0, "the", 0.05, 0.01, 5)
+    return b.select(r("e", 12).alias("e"), r("f", 10).alias("f"), r("g", 8).alias("g"))
+
+
+def _event_tokens(spark, sf):
+    h = F.hour("ts").cast("double")
+    e = fx.table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), F.col("event_type").alias("word"), F.concat(F.lit("h"), (F.hour("ts") / 6).cast("int").cast("string")).alias("local"), h.alias("px"), F.col("value").alias("py"))
+    return e.where("py IS NOT NULL")
+
+
+@query("SELECT 'h' || CAST(CAST(floor(hour(ts) / 6) AS INTEGER) AS VARCHAR) AS local, event_type AS word, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def local_counts(spark, sf):
+    return topics.counts(_event_tokens(spark, sf), "local", "word")
+
+
+@query("WITH t AS (SELECT CAST(floor(hour(ts) / 6) AS INTEGER) AS q, hour(ts)::DOUBLE AS px, value AS py FROM events WHERE value IS NOT NULL) SELECT 'h' || CAST(q AS VARCHAR) AS local, count(*) AS n, round(avg(px), 6) AS mx, round(avg(py), 6) AS my, round(var_pop(px), 6) AS vx, round(var_pop(py), 4) AS vy, round(covar_pop(px, py), 5) AS cov FROM t GROUP BY 1")
+def region_gauss(spark, sf):
+    s = topics.region_stats(_event_tokens(spark, sf), "local")
+    return s.select("local", "n", r("mx").alias("mx"), r("my").alias("my"), r("vx").alias("vx"), r("vy", 4).alias("vy"), r("cov", 5).alias("cov"))
+
+
+PAIRS_SQL = f"{fx.SEQUENCES_SQL}, n AS (SELECT doc_id, pos, greatest(0, least(pos - 2, count(*) OVER (PARTITION BY doc_id) - 5)) AS st FROM seq), prs AS (SELECT a.doc_id, a.pos, b.pos AS other, b.token FROM n a JOIN seq b ON a.doc_id = b.doc_id AND b.pos >= a.st AND b.pos < a.st + 5 AND a.pos <> b.pos)"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc_id, pos, other FROM prs")
+def context_pairs(spark, sf):
+    return embed.context_pairs(fx.sequences(spark, sf), 5)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc_id, pos, round(avg(length(token)::DOUBLE), 9) AS m0, round(avg(1.0::DOUBLE / length(token)), 9) AS m1 FROM prs GROUP BY 1, 2")
+def context_mean(spark, sf):
+    s = fx.sequences(spark, sf)
+    vec = s.select("token").distinct().withColumn("vec", F.array(F.length("token").cast("double"), 1.0 / F.length("token")))
+    m = embed.context_means(s, vec, 5)
+    return m.select("doc_id", "pos", r(F.col("mean")[0], 9).alias("m0"), r(F.col("mean")[1], 9).alias("m1"))
+
+
+# --- series ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {fx.SERIES_SQL}, s AS (SELECT *, avg(y) OVER (PARTITION BY user_id) AS m, stddev_samp(y) OVER (PARTITION BY user_id) AS sd FROM ser) SELECT user_id, idx, CASE WHEN sd > 0 THEN round((y - m) / sd, 6) END AS z FROM s")
+def zscore(spark, sf):
+    return series.z_scores(fx.user_series(spark, sf), "user_id").select("user_id", "idx", r("z").alias("z"))
+
+
+@query(f"WITH {fx.SERIES_SQL} SELECT user_id, quantile_disc(y, 0.5) AS median FROM ser GROUP BY 1")
+def median_low(spark, sf):
+    return series.low_medians(fx.user_series(spark, sf), "user_id")
+
+
+@query("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM n QUALIFY rank() OVER (PARTITION BY user_id ORDER BY n DESC) = 1")
+def mode_ties(spark, sf):
+    return series.modes(fx.table(spark, sf, "events"), "user_id", "event_type")
+
+
+LINE = "count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x), 4) AS sse"
+
+
+@query(f"WITH {fx.SERIES_SQL} SELECT user_id, {LINE} FROM (SELECT user_id, y, (idx + 1)::DOUBLE AS x FROM ser) GROUP BY 1 HAVING count(*) > 2")
+def linfit(spark, sf):
+    f = series.linear_fits(fx.user_series(spark, sf), ["user_id"]).where("n > 2")
+    return f.select("user_id", "n", r("slope").alias("slope"), r("intercept", 5).alias("intercept"), r("sse", 4).alias("sse"))
+
+
+@query(f"WITH {fx.SERIES_SQL} SELECT user_id, segment, {LINE} FROM (SELECT user_id, y, CASE WHEN idx >= 20 THEN 1 ELSE 0 END AS segment, row_number() OVER (PARTITION BY user_id, idx >= 20 ORDER BY idx)::DOUBLE AS x FROM ser) GROUP BY 1, 2 HAVING count(*) > 2")
+def segment_refit(spark, sf):
+    s = fx.user_series(spark, sf)
+    cut = series.segments(s, s.select("user_id").distinct().withColumn("at", F.lit(20)), "user_id")
+    f = series.linear_fits(cut, ["user_id", "segment"]).where("n > 2")
+    return f.select("user_id", F.col("segment").cast("int").alias("segment"), "n", r("slope").alias("slope"), r("intercept", 5).alias("intercept"), r("sse", 4).alias("sse"))
+
+
+@query(f"""WITH {fx.DAILY_SQL}, n AS (SELECT count(*) AS n FROM day), st AS (SELECT idx AS i, greatest(0, least(idx - 15, n - 31)) AS st FROM day, n),
+  p AS (SELECT i, (d.idx - i)::DOUBLE AS d, d.y, power(1 - power(abs(d.idx - i)::DOUBLE / greatest(i - st, st + 30 - i), 3), 3) AS w FROM st JOIN day d ON d.idx BETWEEN st AND st + 30),
+  s AS (SELECT i, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * d * d * d) AS s3, sum(w * d * d * d * d) AS s4, sum(w * y) AS t0, sum(w * y * d) AS t1, sum(w * y * d * d) AS t2 FROM p GROUP BY 1)
+  SELECT i AS idx, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)), 6) AS fit FROM s""")
+def loess_plain(spark, sf):
+    return series.loess(fx.daily_orders(spark, sf), "series_id", 31).select("idx", r("fit").alias("fit"))
+
+
+@query("SELECT i, round(lgamma(i + 1.0::DOUBLE), 6) AS v FROM (SELECT unnest(range(0, 2001)) AS i)")
+def log_factorial(spark, sf):
+    return series.log_factorials(spark, 2000).select("i", r("v").alias("v"))
+
+
+def _graded(spark, sf):
+    return fx.table(spark, sf, "part").join(fx.table(spark, sf, "lineitem"), F.col("p_partkey") == F.col("l_partkey")).select(F.lit(0).alias("g"), F.col("p_retailprice").alias("v"), (F.col("l_returnflag") == "R").cast("int").alias("a"))
+
+
+MODL_SQL = """va AS (SELECT p_retailprice AS v, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS a FROM part JOIN lineitem ON p_partkey = l_partkey),
+  g AS (SELECT v, count(*) AS n, count(*) FILTER (a = 0) AS c0, count(*) FILTER (a = 1) AS c1 FROM va GROUP BY 1), f AS (SELECT *, CASE WHEN c1 = 0 THEN 0 WHEN c0 = 0 THEN 1 END AS p FROM g),
+  m AS (SELECT *, CASE WHEN p = lag(p) OVER (ORDER BY v) THEN 0 ELSE 1 END AS new FROM f), iv AS (SELECT *, sum(new) OVER (ORDER BY v) - 1 AS interval_ FROM m),
+  ints AS (SELECT CAST(interval_ AS BIGINT) AS interval_, min(v) AS lo, max(v) AS hi, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c0) AS BIGINT) AS c0, CAST(sum(c1) AS BIGINT) AS c1 FROM iv GROUP BY 1)"""
+
+
+@query(f"WITH {MODL_SQL} SELECT * FROM ints")
+def modl_initial_intervals(spark, sf):
+    return series.modl_intervals(_graded(spark, sf), "g").drop("g").withColumnRenamed("interval", "interval_")
+
+
+@query(f"WITH {MODL_SQL} SELECT round(lgamma(sum(n) + count(*)) - lgamma(count(*)) - lgamma(sum(n) + 1) + sum(lgamma(n + 2) - lgamma(c0 + 1) - lgamma(c1 + 1)), 4) AS cost FROM ints")
+def modl_cost(spark, sf):
+    return series.modl_cost(series.modl_intervals(_graded(spark, sf), "g"), "g").select(r("cost", 4).alias("cost"))
+
+
+def _user_arrays(spark, sf):
+    s = fx.user_series(spark, sf)
+    return s.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "y"))), lambda x: x["y"]).alias("y"))
+
+
+WIN_SQL = f"{fx.SERIES_SQL}, w AS (SELECT a.user_id, a.idx AS start_at, b.idx - a.idx AS i, b.y, count(*) OVER v AS c, avg(b.y) OVER v AS m, stddev_samp(b.y) OVER v AS sd FROM ser a JOIN ser b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx AND a.idx + 7 WINDOW v AS (PARTITION BY a.user_id, a.idx)), z AS (SELECT user_id, start_at, i, (y - m) / sd AS z FROM w WHERE c = 8 AND sd > 0)"
+
+
+@query(f"WITH {WIN_SQL} SELECT user_id, start_at, max(round(z, 6)) FILTER (i = 0) AS first_z, max(round(z, 6)) FILTER (i = 7) AS last_z FROM z GROUP BY 1, 2")
+def subseries_windows(spark, sf):
+    return series.windows(_user_arrays(spark, sf), "user_id", 8).select("user_id", F.col("at").alias("start_at"), r(F.col("z")[0]).alias("first_z"), r(F.col("z")[7]).alias("last_z"))
+
+
+BASE = [[1, 1, 1, 1, -1, -1, -1, -1], [1, -1, 1, -1, 1, -1, 1, -1], [1, 1, -1, -1, -1, -1, 1, 1]]
+
+
+@query(f"WITH {WIN_SQL}, s AS (SELECT user_id, start_at, sum(CASE WHEN i < 4 THEN z ELSE -z END) AS a, sum(CASE WHEN i % 2 = 0 THEN z ELSE -z END) AS b, sum(CASE WHEN i IN (0, 1, 6, 7) THEN z ELSE -z END) AS c FROM z GROUP BY 1, 2) SELECT user_id, start_at, CAST(4 * (a > 0)::INT + 2 * (b > 0)::INT + (c > 0)::INT AS BIGINT) AS h FROM s")
+def sign_hash(spark, sf):
+    base = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in BASE])
+    return series.windows(_user_arrays(spark, sf), "user_id", 8).select("user_id", F.col("at").alias("start_at"), scalar.sign_hash(F.col("z"), base).alias("h"))
+
+
+@query("WITH o AS (SELECT p_partkey, p_brand, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS other FROM part) SELECT p_partkey, CAST(levenshtein(p_name, other) AS INTEGER) AS d FROM o WHERE other IS NOT NULL AND p_name <> '' AND other <> ''")
+def edit_distance(spark, sf):
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    t = fx.table(spark, sf, "part").select("p_partkey", "p_name", F.lead("p_name").over(w).alias("other")).where("other IS NOT NULL AND p_name <> '' AND other <> ''")
+    return t.select("p_partkey", distance.edit_distance(F.col("p_name"), F.col("other")).alias("d"))
+
+
+def _neighbours(spark, sf):
+    """Each user's series with the next user's."""
+    w = Window.orderBy("user_id")  # a row a user
+    return _user_arrays(spark, sf).withColumn("next", F.lead("y").over(w)).where("next IS NOT NULL")
+
+
+@query()
+def dtw_users(spark, sf):
+    return _neighbours(spark, sf).select("user_id", r(distance.dtw(F.col("y"), F.col("next"))).alias("d"))
+
+
+@query()
+def lcss_users(spark, sf):
+    ints = lambda c: F.transform(c, lambda x: F.floor(x / 10).cast("long"))
+    return _neighbours(spark, sf).select("user_id", distance.lcss(ints(F.col("y")), ints(F.col("next"))).alias("n"))
+
+
+@query()
+def viterbi_users(spark, sf):
+    return series.viterbi(fx.user_series(spark, sf).drop("y").withColumnRenamed("err", "y"), "user_id", 10, 5)
+
+
+@query()
+def loess_robust(spark, sf):
+    return series.loess(fx.daily_orders(spark, sf), "series_id", 31, robust=2)
+
+
+@query()
+def edm_breaks(spark, sf):
+    return series.breaks(fx.user_series(spark, sf), "user_id", "edm", min_size=10, beta=1.0)
+
+
+@query()
+def lsp_breaks(spark, sf):
+    return series.breaks(fx.daily_orders(spark, sf), "series_id", "lsp", min_size=30, beta=1.0)
+
+
+@query()
+def lsp_fit(spark, sf):
+    s = fx.user_series(spark, sf)
+    return series.line_fits(s, series.breaks(s, "user_id", "lsp", min_size=10, beta=1.0), "user_id")
+
+
+@query()
+def bcp_votes(spark, sf):
+    return series.change_votes(fx.user_series(spark, sf), "user_id", window=20)
+
+
+@query()
+def modl_splits(spark, sf):
+    return series.modl(_graded(spark, sf), "g")
+
+
+@query()
+def patterns(spark, sf):
+    return series.patterns(_user_arrays(spark, sf), "user_id", 8, 12)
+
+
+# --- fits --------------------------------------------------------------------------------------------------------------
+
+
+def _scaled(spark, sf):
+    f = fx.features(spark, sf)
+    scale = F.when(F.col("name") == "qty", 50.0).when(F.col("name") == "price", 100.0).otherwise(0.1)
+    names = spark.createDataFrame([("qty", 0), ("disc", 1), ("tax", 2), ("price", 3)], "name string, id long")
+    return fx.rows(spark, sf), f.withColumn("value", F.col("value") / scale), names
+
+
+@query()
+def lr_sgd(spark, sf):
+    return linear.fit_sgd(*_scaled(spark, sf), linear.LogisticConfig(rate=0.05, epochs=3, norm=2, lam=1e-4))
+
+
+@query()
+def lr_lbfgs(spark, sf):
+    return linear.fit_batch(*_scaled(spark, sf), lam=1.0, norm=2)
+
+
+@query()
+def lr_owlqn(spark, sf):
+    return linear.fit_batch(*_scaled(spark, sf), lam=10.0, norm=1)
+
+
+@query()
+def latent_lr(spark, sf):
+    return linear.fit_latent(*_scaled(spark, sf), linear.LogisticConfig(rate=0.05, epochs=2, hidden=3, norm=2))
+
+
+def _tree_table(spark, found):
+    return spark.createDataFrame([(i, *row) for i, t in enumerate(found) for row in t], "tree int, " + trees.TREE_SCHEMA)
+
+
+@query()
+def gb_binary(spark, sf):
+    found, _ = trees.boost_binary(fx.rows(spark, sf), fx.features(spark, sf), trees.BoostConfig(rate=0.3, trees=2, leaves=3, depth=2, weight_cost=1.0))
+    return _tree_table(spark, found)
+
+
+@query()
+def gb_rank(spark, sf):
+    found, _ = trees.boost_rank(fx.rows(spark, sf), fx.features(spark, sf), trees.BoostConfig(rate=0.3, trees=1, leaves=2, depth=1, weight_cost=1.0))
+    return _tree_table(spark, found)
+
+
+@query()
+def gbm_multiclass(spark, sf):
+    found, _ = trees.boost_multiclass(fx.rows(spark, sf, 3), fx.features(spark, sf), trees.BoostConfig(rate=0.3, trees=1, leaves=3, depth=2, weight_cost=1.0))
+    return _tree_table(spark, [t for _, t in found])
+
+
+@query()
+def kmeans_fit(spark, sf):
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    return cluster.kmeans(e, "embedding", 8, min_potential=1.0, max_iterations=6)[0]
+
+
+@query()
+def gauss2d_fit(spark, sf):
+    return cluster.gaussian_clusters(_points(spark, sf).drop("cls"), 3, max_iterations=5)[0].select("row_id", "cls")
+
+
+@query()
+def louvain_fit(spark, sf):
+    return graph.louvain(_graph(spark, sf)[0], mode="exact")
+
+
+@query()
+def lda_fit(spark, sf):
+    t = fx.tokens(spark, sf).select(F.col("doc_id").alias("doc"), "pos", F.col("token").alias("word"))
+    return topics.counts(topics.lda(t, topics.TopicConfig(topics=6, sweeps=2)), "doc", "topic")
+
+
+@query()
+def global_local_lda_fit(spark, sf):
+    return topics.counts(topics.local_lda(_event_tokens(spark, sf), topics.LocalConfig(topics=4, sweeps=2)), "doc", "x", "topic")
+
+
+@query()
+def region_lda_fit(spark, sf):
+    return topics.counts(topics.region_lda(_event_tokens(spark, sf), topics.RegionConfig(topics=3, regions=4, sweeps=2, least=20)), "x", "t")
+
+
+@query()
+def huffman_codes(spark, sf):
+    return embed.huffman_codes(embed.vocabulary(fx.tokens(spark, sf)))
+
+
+@query()
+def w2v_fit(spark, sf):
+    return embed.word_vectors(fx.sequences(spark, sf), embed.VectorConfig(epochs=2, size=8))[0]
+
+
+@query()
+def d2v_fit(spark, sf):
+    return embed.train_documents(fx.sequences(spark, sf), embed.VectorConfig(epochs=2, size=8))[0]
+
+
+@query()
+def rnn_fit(spark, sf):
+    return embed.rnn(fx.sequences(spark, sf), embed.VectorConfig(epochs=1, size=8, rate=0.05))
