@@ -40,7 +40,7 @@ BASE = 1.001
 SHIFT = 1 << 15
 TILE = 256
 SLACK = 6 * (0.75 * 0.25 / M) ** 0.5
-SKETCH_DOCS, SKETCH_SHINGLES = 4096, 1 << 20
+SKETCH_DOCS, SKETCH_SHINGLES = 2048, 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -31,7 +31,7 @@ MOST_LABELLED = 20_000
 STEMS = (4, 5, 6, 7)
 #: Entries need this share of the toxic sample, this many documents, and this share of toxic ones among those with them.
 SUPPORT, LEAST, PURITY = 0.01, 4, 0.9
-MOST_ENTRIES, MOST_CANDIDATES, MOST_SEEN = 20_000, 200_000, 1_000_000
+MOST_ENTRIES, MOST_CANDIDATES, MOST_SEEN = 20_000, 200_000, 200_000
 SEED_WEIGHT, TOP_WEIGHT = 2.5, 6.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
