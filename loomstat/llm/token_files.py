@@ -78,14 +78,15 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     """
     tokenizer = tokenizer or tokenizer_path()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ids = rows.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    chosen = rows.join(F.broadcast(ids.distinct()), "doc_id").where(F.length("text").between(1, SAMPLE_CHARS))  # SAMPLE_DOCS ids at most
-    sample = chosen.orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).select("text").toPandas()["text"]
-    dictionary = train_dictionary([x for x in encoder(tokenizer).encode(list(sample)) if x])
-    shards = max(1, -(-size // SHARD_BYTES))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    text_if_short = F.when(F.length("text").between(1, SAMPLE_CHARS), F.col("text"))
+    chosen = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), text_if_short.alias("text"))  # SAMPLE_DOCS ids at most
+    sample = chosen.orderBy("doc_id", "n", F.xxhash64("text")).limit(SAMPLE_DOCS).toPandas()
+    dictionary = train_dictionary([x for x in encoder(tokenizer).encode(sample["text"].dropna().tolist()) if x])
+    size = rows.count() * float(sample["n"].mean() if len(sample) else 0)  # about the bytes of all texts, for the number of shards alone
+    shards = max(1, int(-(-size // SHARD_BYTES)))
+    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_last())
+    ranged = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     write_records(ranged.mapInArrow(lambda it: _records(it, tokenizer, end_id, dictionary), "record binary"), path, "\n")
 
 
