@@ -91,7 +91,16 @@ def growth_penalty(x: Column, degree: int) -> Column:
     return {0: F.lit(0.0), 1: F.lit(1.0)}.get(degree, 2 * x + 1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sign_hash(window: Column, base: Column) -> Column:
     """A bit for each row of base, the first row's highest: set where window's product with it is positive."""
-    bit = lambda acc, row: F.shiftleft(acc, 1).bitwiseOR(F.when(dot(window, row) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return F.aggregate(base, F.lit(0).cast("long"), bit)
+
+    def bits(w: Column) -> Column:
+        bit = lambda acc, row: F.shiftleft(acc, 1).bitwiseOR(F.when(dot(w, row) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        return F.aggregate(base, F.lit(0).cast("long"), bit)
+
+    return let(window, bits)

@@ -208,9 +208,11 @@ def rank_pairs(rows: DataFrame, sample: int, seed: int) -> DataFrame:
 def boost(rows: DataFrame, features: DataFrame, config: BoostConfig, gradients: Callable[[DataFrame], DataFrame], init: DataFrame | None = None) -> tuple[list[list[tuple]], DataFrame]:
     """Trees and final scores (row_id, label, f) for gradients((row_id, label, f)) -> (row_id, g, h). init (row_id, score) warm-starts."""
     c = config
+    features, maps = _resident(rows, features)
     scores = rows.select("row_id", "label", F.lit(0.0).alias("f"))
     if init is not None:
         scores = rows.join(init, "row_id", "left").select("row_id", "label", F.coalesce("score", F.lit(0.0)).alias("f"))
+    scores = cut(scores)
     least, trees = c.least(rows.count()), []
     for _ in range(c.trees):
         gh = cut(gradients(scores))
@@ -218,11 +220,18 @@ def boost(rows: DataFrame, features: DataFrame, config: BoostConfig, gradients:
         if tree is None:
             break
         trees.append(tree.rows())
-        scored = wide(scores, features).select("row_id", "label", (F.col("f") + c.rate * tree_column(trees[-1])).alias("f"))
-        scores = cut(scored)
+        scores = cut(scores.join(maps, "row_id").select("row_id", "label", (F.col("f") + c.rate * tree_column(trees[-1])).alias("f")))
+    maps.unpersist()
+    features.unpersist()
     return trees, scores
 
 
+def _resident(rows: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features, and each row's feature map, kept by row_id: no later join moves them again."""
+    features = features.repartition("row_id").persist()
+    return features, wide(rows.select("row_id"), features).persist()
+
+
 def boost_binary(rows, features, config, init=None):
     """Binary boosting on labels 0 and 1."""
 
@@ -243,6 +252,7 @@ def boost_multiclass(rows: DataFrame, features: DataFrame, config: BoostConfig)
     """(class, tree) pairs and scores (row_id, cls, label, f) for labels 0 .. k-1; ends when no class splits."""
     c = config
     k = int(rows.agg(F.max("label")).first()[0]) + 1
+    features, maps = _resident(rows, features)
     least, trees = c.least(rows.count()), []
     scores = rows.select("row_id", F.col("label").cast("int").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cls")).withColumn("f", F.lit(0.0))
     for _ in range(c.trees):
@@ -257,5 +267,7 @@ def boost_multiclass(rows: DataFrame, features: DataFrame, config: BoostConfig)
         add = F.lit(0.0)
         for cls, t in grown.items():
             add = F.when(F.col("cls") == cls, tree_column(t)).otherwise(add)
-        scores = cut(wide(scores, features).select("row_id", "label", "cls", (F.col("f") + c.rate * add).alias("f")))
+        scores = cut(scores.join(maps, "row_id").select("row_id", "label", "cls", (F.col("f") + c.rate * add).alias("f")))
+    maps.unpersist()
+    features.unpersist()
     return trees, scores

@@ -505,7 +505,7 @@ def edit_distance(spark, sf):
 def _neighbours(spark, sf):
     """Each user's series with the next user's."""
     w = Window.orderBy("user_id")  # a row a user
-    return _user_arrays(spark, sf).withColumn("next", F.lead("y").over(w)).where("next IS NOT NULL")
+    return _user_arrays(spark, sf).withColumn("next", F.lead("y").over(w)).where("next IS NOT NULL").repartition(32, "user_id")
 
 
 @query()
