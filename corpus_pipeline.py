@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, mixing, packing, each over all its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. Nulls, empty and very long texts, repeated rows and empty
+tables are treated as the operators' docstrings say.
 """
 
 from __future__ import annotations

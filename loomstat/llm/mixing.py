@@ -186,7 +186,7 @@ def row_key(doc_id, text, source):
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as mix() says, with the columns of docs."""
+    """The mix itself: every row of docs as often as mix() says, with the columns of docs; mix() tells about nulls and repeats."""
     doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
     counts = mix(docs, **options).select(F.col("own").alias("__own"), F.col("copies").alias("__copies")).dropDuplicates(["__own"])
     keyed = docs.withColumn("__own", row_key(F.col(doc_id), F.col(text), F.col(source)))

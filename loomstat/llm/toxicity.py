@@ -33,6 +33,8 @@ STEMS = (4, 5, 6, 7)
 SUPPORT, LEAST, PURITY = 0.01, 4, 0.9
 MOST_ENTRIES, MOST_CANDIDATES, MOST_SEEN = 20_000, 200_000, 200_000
 SEED_WEIGHT, TOP_WEIGHT = 2.5, 6.0
+#: Characters of a text that are in hand at a time.
+PART = 1 << 20
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 LEXICON = {
@@ -111,9 +113,17 @@ class Scorer:
         self.model, self.seen = model, set()
 
     def total(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        text = text.lower()
+        """The sum over all clauses; a very long text is gone through part by part, each cut at a clause's end."""
+        total, at = 0.0, 0
+        text = (text or "").lower()
+        while at < len(text):
+            end = CLAUSE.search(text, at + PART) if len(text) - at > PART else None
+            stop = end.end() if end else len(text)
+            total += self._part(text[at:stop])
+            at = stop
+        return total
+
+    def _part(self, text: str) -> float:
         if len(self.seen) > MOST_SEEN:
             self.seen.clear()
         hit = False
@@ -248,7 +258,10 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", bar: float = 0.5) -> DataFrame:
-    """The rows of docs that score below bar, with all their columns."""
+    """The rows of docs that score below bar, with all their columns.
+
+    Null and empty texts match nothing and stay, rows that repeat are judged alike, an empty table stays empty.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

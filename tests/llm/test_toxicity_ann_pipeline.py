@@ -52,6 +52,14 @@ def test_clauses_not_words():
     assert s.total("not. idiot") == s.total("idiot")  # negation ends with its clause
 
 
+def test_long_texts_are_scored_whole(monkeypatch):
+    s = toxicity.Scorer(toxicity.Model())
+    text = "all is well here, you know. " * 50 + "You idiot! " + "more words, and more. " * 50 + "they will hurt you"
+    whole = s.total(text)
+    monkeypatch.setattr(toxicity, "PART", 40)
+    assert whole == pytest.approx(s.total(text)) and whole > 0
+
+
 def test_composition_multiplies():
     assert len(toxicity.GRAMMAR.step) == 1 * 2 * 2 * 4 * 2
     _, factor = toxicity.GRAMMAR.step[0][toxicity.INSULT]
@@ -102,6 +110,13 @@ def test_anisotropic_codes_keep_scores():
     assert along(4.0) < along(1.0)
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, marks = labelled(300)
     rows += [(10_000 + i, rows[1][1], "s") for i in range(5)] + [(20_000, rows[2][1] + " more", "t")]
