@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.scratch import cut
+
 
 @dataclass
 class VectorConfig:
@@ -183,9 +185,46 @@ def document_vectors(tokens: DataFrame, vocab: DataFrame, inner: np.ndarray, con
 
 
 def train_documents(tokens: DataFrame, config: VectorConfig) -> tuple[DataFrame, np.ndarray]:
-    """Document vectors and inner vectors learned together, documents in order in one task per epoch of a partition."""
-    words, inner = word_vectors(tokens, config)
-    return document_vectors(tokens, words, inner, config), inner
+    """(doc_id, vec) and the inner vectors, learned together.
+
+    Each epoch a partition moves its documents' vectors and its own copy of the inner vectors, which are then averaged by tokens; the
+    documents' vectors stay with their rows.
+    """
+    c, vocab = config, vocabulary(tokens)
+    cnt = [r["cnt"] for r in vocab.orderBy("id").collect()]
+    inner = np.zeros((max(1, len(cnt) - 1), c.size))
+    kind = dict(tokens.dtypes)["doc_id"]
+    docs = documents(tokens, vocab).withColumn("vec", F.array().cast("array<double>"))
+    docs = cut(docs.repartition(c.partitions, "doc_id").sortWithinPartitions("doc_id"))
+    for _ in range(c.epochs):
+        out = cut(docs.mapInPandas(_document_epoch(c, cnt, inner), f"doc_id {kind}, ids array<int>, vec array<double>, inner int, n long"))
+        parts = out.where("inner IS NOT NULL AND n > 0").select("inner", "vec", "n").toPandas()
+        for i, g in parts.groupby("inner"):
+            inner[int(i)] = np.sum(g.vec.tolist(), axis=0) / g.n.sum()
+        docs = out.where("inner IS NULL").select("doc_id", "ids", "vec")
+    return docs.select("doc_id", "vec"), inner
+
+
+def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray):
+    """One epoch over a partition: its documents with their new vectors, then its inner vectors times its tokens."""
+    inner = inner.copy()
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        soft, n = Softmax(cnt, c.size), 0
+        soft.inner[:] = inner
+        for pdf in batches:
+            out = []
+            for ids, vec in zip(pdf.ids, pdf.vec, strict=True):
+                vec = np.array(vec) if len(vec) else (np.random.default_rng([c.seed, len(ids)]).random(c.size) - 0.5) / c.size
+                for t in ids:
+                    _, g = soft.step(vec, int(t), c.rate)
+                    vec = vec + c.rate * g
+                n += len(ids)
+                out.append(vec.tolist())
+            yield pdf.assign(vec=out, inner=None, n=0)
+        yield pd.DataFrame({"doc_id": None, "ids": None, "vec": (soft.inner * n).tolist(), "inner": range(len(soft.inner)), "n": n})
+
+    return learn
 
 
 def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: int = 3) -> tuple[list[float], dict[str, np.ndarray]]:

@@ -320,6 +320,9 @@ def test_vectors_and_network_learn(spark):
     cross = np.mean([cos(v[f"a{i}"], v[f"b{j}"]) for i in range(6) for j in range(6)])
     assert same > cross + 0.3
     assert embed.document_vectors(t, words, inner, c).count() == 30
+    together, inner = embed.train_documents(t, embed.VectorConfig(size=6, epochs=20, rate=0.1, partitions=2))
+    d = {r["doc_id"]: np.array(r["vec"]) for r in together.collect()}
+    assert len(d) == 30 and cos(d["d0"], d["d2"]) > cos(d["d0"], d["d1"]) + 0.3
     net = embed.rnn(t, embed.VectorConfig(size=6, epochs=6, rate=0.1)).where("part = 'loss'").orderBy("id").collect()
     assert net[-1]["vec"][0] < net[0]["vec"][0]
     with pytest.raises(ValueError):
