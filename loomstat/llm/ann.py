@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, partitions_for, read
 
 NEAREST = 20
 QUERY_EVERY = 20
@@ -162,7 +162,7 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
     everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = asked.dropDuplicates(["vec_id"]).withColumn("c", everywhere(c_blocks)).select((F.col("c") * q_blocks + q_block).alias("cell"), F.lit(0).alias("kind"), "vec_id", "code", "vector")
     right = codes.withColumn("q", everywhere(q_blocks)).select((c_block * q_blocks + F.col("q")).alias("cell"), F.lit(1).alias("kind"), "vec_id", "code", "vector")
-    cells = left.unionByName(right).repartition(c_blocks * q_blocks, "cell").sortWithinPartitions("cell", "kind", "vec_id")
+    cells = left.unionByName(right).repartition(partitions_for(c_blocks * q_blocks, 1), "cell").sortWithinPartitions("cell", "kind", "vec_id")
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     near = cells.mapInArrow(lambda it: _scan(it, found, words, dims, k, depth), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

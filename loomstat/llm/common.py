@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a small table is broadcast; callers count the rows (or know them by construction) first.
 BROADCAST_ROWS = 100_000
 
+#: Partitions that are asked for by number, at most: more rows then make them larger, and all code streams through them.
+MOST_PARTITIONS = 20_000
+
 #: White space is byte 0x20 and bytes 0x09 to 0x0D; every other run of characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,9 +72,14 @@ def running_total(df: DataFrame, key: list[str], bucket: str, order: list[Column
     )
 
 
-def buckets_for(rows: int, per: int = 2_000) -> int:
-    """How many hash buckets hold about per rows each."""
-    return max(1, -(-rows // per))
+def buckets_for(rows: int, per: int = 2_000, most: int = 1 << 16) -> int:
+    """How many hash buckets hold about per rows each, or more if that would take more than most."""
+    return min(most, max(1, -(-rows // per)))
+
+
+def partitions_for(size: float, per: float) -> int:
+    """How many partitions of about per each make up size."""
+    return int(min(MOST_PARTITIONS, max(1, -(-size // per))))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read
+from .common import WORD, materialize, partitions_for, read
 from .graph import components
 from .shingles import mix64, shingle_set, word_hashes
 
@@ -287,7 +287,7 @@ def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
 
     narrow = pa.schema([("band", pa.int64()), ("fp", pa.int64())])
     n_classes = classes.count()
-    bands = classes.select("fp", "sketch").mapInArrow(lambda it: _band_rows(it, narrow), "band long, fp long").repartition(max(1, -(-n_classes * B // 300_000)), "band")
+    bands = classes.select("fp", "sketch").mapInArrow(lambda it: _band_rows(it, narrow), "band long, fp long").repartition(partitions_for(n_classes * B, 300_000), "band")
     buckets = bands.groupBy("band").agg(F.min("fp").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = materialize(bands.join(buckets, "band"), "near-members")
 
