@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.functions import order
 from loomstat.scratch import cut
 
 
@@ -28,8 +29,9 @@ class VectorConfig:
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, cnt, id by falling count, ties by token. A vocabulary is one row a distinct token and is read by the driver."""
-    return tokens.groupBy("token").agg(F.count("*").alias("cnt")).withColumn("id", F.row_number().over(Window.orderBy(F.desc("cnt"), "token")) - 1)
+    """token, cnt, id by falling count, ties by token."""
+    counted = tokens.groupBy("token").agg(F.count("*").alias("cnt")).withColumn("__less", -F.col("cnt"))
+    return order.numbered(counted, "__less", [F.col("token")], "id").drop("__less")
 
 
 def huffman(counts: list[int]) -> tuple[list[list[int]], list[list[int]]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstat.functions import scalar
+from loomstat.functions import order, scalar
 from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, series, topics, trees
 from loomstat.plans import fixtures as fx
 
@@ -504,8 +504,9 @@ def edit_distance(spark, sf):
 
 def _neighbours(spark, sf):
     """Each user's series with the next user's."""
-    w = Window.orderBy("user_id")  # a row a user
-    return _user_arrays(spark, sf).withColumn("next", F.lead("y").over(w)).where("next IS NOT NULL").repartition(32, "user_id")
+    u = order.numbered(_user_arrays(spark, sf), "user_id", [], "n")
+    nxt = u.select((F.col("n") - 1).alias("n"), F.col("y").alias("next"))
+    return u.join(nxt, "n").select("user_id", "y", "next").repartition(32, "user_id")
 
 
 @query()
