@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which Spark keeps for other tasks, gives free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if its known or counted number of rows is within BROADCAST_ROWS, else leave the join to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

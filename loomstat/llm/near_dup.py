@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, partitions_for, read
+from .common import WORD, materialize, partitions_for, read, tidy
 from .graph import components
 from .shingles import mix64, shingle_set, word_hashes
 
@@ -240,7 +240,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar on full sets."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _confirmed(it, schema, percent), "a long, b long"), "near-links")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: tidy(_confirmed(it, schema, percent)), "a long, b long"), "near-links")
 
 
 def _cells(rows: DataFrame, by: str) -> DataFrame:
@@ -267,27 +267,27 @@ def _more_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     rows = materialize(labelled.join(mixed, "band"), "near-open")
     cells = _cells(rows, "band").join(classes.select("fp", "n", "sketch"), "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
-    loose = materialize(cells.select("band", "cell", "fp", "label", "n", "outer", "sketch").mapInArrow(lambda it: _open_forest(it, edge, percent), "a long, b long").distinct(), "near-open-pairs")
+    loose = materialize(cells.select("band", "cell", "fp", "label", "n", "outer", "sketch").mapInArrow(lambda it: tidy(_open_forest(it, edge, percent)), "a long, b long").distinct(), "near-open-pairs")
 
     family = components(loose).select(F.col("node").alias("fp"), F.col("label").alias("family"))
     rows = family.join(labels, F.col("fp") == F.col("node"), "left").select("family", "fp", F.coalesce("label", "fp").alias("label"))
     cells = _cells(materialize(rows, "near-families"), "family").join(sets, "fp").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
     cells = cells.repartition("family", "cell").sortWithinPartitions("family", "cell", "fp")
-    return materialize(cells.select("family", "cell", "fp", "label", "n", "outer", "shingles").mapInArrow(lambda it: _link_forest(it, edge, percent), "a long, b long"), "near-more-links")
+    return materialize(cells.select("family", "cell", "fp", "label", "n", "outer", "shingles").mapInArrow(lambda it: tidy(_link_forest(it, edge, percent)), "a long, b long"), "near-more-links")
 
 
 def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, n, fp) of docs, and (fp, least, label): the class's least (no id, doc_id, key) and its component."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     wide = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
-    rows = materialize(source.mapInArrow(lambda it: _sketch_rows(it, wide, k), "doc_id long, key long, n long, fp long, sketch binary"), "near-sketches")
+    rows = materialize(source.mapInArrow(lambda it: tidy(_sketch_rows(it, wide, k)), "doc_id long, key long, n long, fp long, sketch binary"), "near-sketches")
     some = rows.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     classes = materialize(some.groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least", "n", "sketch"), "near-classes")
 
     narrow = pa.schema([("band", pa.int64()), ("fp", pa.int64())])
     n_classes = classes.count()
-    bands = classes.select("fp", "sketch").mapInArrow(lambda it: _band_rows(it, narrow), "band long, fp long").repartition(partitions_for(n_classes * B, 300_000), "band")
+    bands = classes.select("fp", "sketch").mapInArrow(lambda it: tidy(_band_rows(it, narrow)), "band long, fp long").repartition(partitions_for(n_classes * B, 300_000), "band")
     buckets = bands.groupBy("band").agg(F.min("fp").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = materialize(bands.join(buckets, "band"), "near-members")
 
@@ -295,7 +295,7 @@ def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
     wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("least.key").alias("key"))
     texts = source.join(wanted, "key").select("fp", "text")
     set_schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
-    sets = materialize(texts.mapInArrow(lambda it: _set_rows(it, set_schema, k), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
+    sets = materialize(texts.mapInArrow(lambda it: tidy(_set_rows(it, set_schema, k)), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
 
     links = _verify(pairs, sets, percent)
     more = _more_links(members.drop("center"), components(links), classes, sets, percent)

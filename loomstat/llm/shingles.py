@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+#: Bytes whose hashes are worked out at a time; temporaries are about fifty times that.
+PIECE = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _rng = np.random.Generator(np.random.PCG64(7))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .binfiles import open_ranges, read_at, shard_files, write_records
-from .common import partitions_for, read, scratch_path, small
+from .common import partitions_for, read, scratch_path, small, tidy
 from .tokens import END_ID, encoder, tokenizer_path
 
 MAGIC = b"LTIDS\x01"
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     shards = partitions_for(size, SHARD_BYTES)
     ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_last())
     ranged = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    write_records(ranged.mapInArrow(lambda it: _records(it, tokenizer, end_id, dictionary), "record binary"), path, "\n")
+    write_records(ranged.mapInArrow(lambda it: tidy(_records(it, tokenizer, end_id, dictionary)), "record binary"), path, "\n")
 
 
 class TokenFile:

@@ -12,7 +12,7 @@ import numpy as np
 
 END_ID = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 LONG = 1 << 22
 #: How the word tokenizer's file splits and normalises. It drops white space, so words are independent.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

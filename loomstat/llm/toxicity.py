@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, tidy
 
 #: Labelled rows that the lexicon and the scale are learned from, at most, by hash of doc_id.
 MOST_LABELLED = 20_000
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda it: _score_rows(it, model, schema), "doc_id long, score double")
+    return rows.mapInArrow(lambda it: tidy(_score_rows(it, model, schema)), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", bar: float = 0.5) -> DataFrame:
@@ -269,7 +269,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", bar: float
             at = batch.schema.get_field_index(text)
             yield batch.filter(pa.array([scorer.score(scorer.total(t.as_py())) < bar for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lambda it: tidy(rows(it)), docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
