@@ -57,8 +57,8 @@ def _records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dictiona
     squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
     at, start, index = len(head) + 1, 0, []
     for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
+        for lo in range(0, len(batch), 512):
+            part = batch.slice(lo, 512)
             frames = []
             for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                 ids += end

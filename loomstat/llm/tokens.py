@@ -7,12 +7,14 @@ import os
 import re
 import sys
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
 END_ID = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
 MOST_WORDS = 300_000
+SHORT = 7
 LONG = 1 << 22
 #: How the word tokenizer's file splits and normalises. It drops white space, so words are independent.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -24,6 +26,8 @@ LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: a for ASCII letters, digits, white space and the bytes of Latin letters, . for other ASCII, X for what starts other characters.
 KIND = bytes(ord("a") if chr(i).isalnum() and i < 128 or i in b" \t\n\r\x0b\x0c" or 0x80 <= i < 0xC0 or i == 0xC3 else ord(".") if i < 128 else ord("X") for i in range(256))
 JOINED = 512
+#: Texts that are split at a time.
+BATCH = 512
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -89,8 +93,8 @@ class Encoder:
         if not self.by_word:
             return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         out = []
-        for at in range(0, len(texts), 256):
-            batch = [t or "" for t in texts[at : at + 256]]
+        for at in range(0, len(texts), BATCH):
+            batch = [t or "" for t in texts[at : at + BATCH]]
             if max(map(len, batch)) > LONG:
                 out += [b"".join(self._encode([p])[0] for p in self._parts(t)) for t in batch]
             else:
@@ -99,12 +103,13 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
         words = self.words
-        new = [w for w in set().union(*split) if w not in words]
+        if len(words) > MOST_WORDS:  # short words are the frequent ones
+            short = {w: ids for w, ids in words.items() if len(w) <= SHORT}
+            words = self.words = short if len(short) < MOST_WORDS // 2 else {}
+        new = set().union(*split).difference(words)
         plain = [w for w in new if LETTERS.fullmatch(w)]
-        rest = set(new).difference(plain)
+        rest = new.difference(plain)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             words[w] = self._pack(e.ids)
         # many words of one run each in one call: the ids of a word end at the first id that ends a run
@@ -113,8 +118,7 @@ class Encoder:
             data, at = self._pack(e.ids), 0
             for w, end in zip(part, ((np.flatnonzero(self.ends[e.ids]) + 1) * self.width).tolist(), strict=True):
                 words[w], at = data[at:end], end
-        get = words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [b"".join(itemgetter(*s)(words)) if len(s) > 1 else words[s[0]] if s else b"" for s in split]
 
 
 _encoders: dict[str, Encoder] = {}
