@@ -29,7 +29,7 @@ MAGIC = b"LTIDS\x01"
 HEAD, TAIL = struct.Struct("<6sBQI"), struct.Struct("<QQQQ6s")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("start", "<u8"), ("ids", "<u8")])
 SHARD_BYTES = 24 << 20
-LEVEL = 3
+LEVEL = 2
 #: The dictionary is trained on so many documents at most, of so many characters at most; all documents are written.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 1 << 14, 1 << 16
 
