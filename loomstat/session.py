@@ -28,7 +28,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once a context, so that they import it wherever they run."""
+    """Send this package's modules to the Python workers, once a context, so that they import it wherever they run.
+
+    The archive lies in a folder of the driver's own, from where Spark itself hands it to the executors.
+    """
     context = spark.sparkContext
     if getattr(context, "_loomstat_shipped", False):
         return
