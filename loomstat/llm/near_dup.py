@@ -7,14 +7,17 @@ registers are about as frequent as the Jaccard similarity J. Texts with equal se
 the start. Bands of R registers put classes into buckets; a pair of classes with J = 0.75 misses all B bands
 with probability (1 - 0.75^R)^B = 9e-8.
 
-Buckets are not turned into pairs. First every class is compared with the smallest class of its buckets
-(one pair a class), on full sets, and the links give components. Only buckets that still hold several
-components are looked at again: there, tiles of bounded size compare registers across components, and the
-maximum-likelihood estimate of J from the two set sizes and the register order tells which pairs can reach
-the threshold (six standard deviations of slack). A tile hands on a spanning forest of these open pairs, a
-row a class at most; connected open pairs make families, and tiles of a family compare full sets across
-components and hand on a spanning forest of the links found. So the rows between steps grow with the
-classes of a group, not with their pairs.
+Buckets are not turned into pairs.
+1. Every class is paired with the center that it shares most buckets with (one pair a class). The maximum-likelihood
+   estimate of J, from the two set sizes and the order of the registers, tells which of these pairs can reach the
+   threshold (six standard deviations of slack): they are open and make families.
+2. Only buckets with several families are looked at again: those of the first EARLY bands, and, under the families
+   that these leave, those of all others, so a hot group is one family before most of its buckets come up. Tiles
+   of a bucket compare registers across families, stop where all are connected, and hand on a tree of families.
+3. Full sets are worked out for the members of families alone. The pairs of step 1 are verified on them, which gives
+   components; tiles of a family then compare full sets across components and hand on a tree of components.
+Every step hands on fewer rows than classes times bands; within a tile two classes that are already connected are not
+compared. A group of c classes has c / OPEN_TILE or c / SET_TILE tiles, each of which meets the others.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, partitions_for, read, tidy
+from .common import WORD, discard, fresh, materialize, partitions_for, read, tidy
 from .graph import components
 from .shingles import mix64, shingle_set, word_hashes
 
@@ -38,9 +41,14 @@ R, B = 5, 60
 M = R * B
 BASE = 1.001
 SHIFT = 1 << 15
-TILE = 256
+#: Bands whose buckets are compared first. A band's value holds its number in its low BAND_BITS bits.
+EARLY, BAND_BITS = 8, 6
+#: Classes of a tile, when registers are compared and when sets are; a tile of sets holds so many shingles, too, or one set.
+OPEN_TILE, SET_TILE, SET_SHINGLES = 4096, 1024, 1 << 20
+#: A bucket with this share of about HOT_SAMPLE classes is dealt out over SALTS tasks: HOT_SAMPLE * B / HOT_LEAST buckets at most.
+HOT_SAMPLE, HOT_LEAST, SALTS = 8192, 128, 24
 SLACK = 6 * (0.75 * 0.25 / M) ** 0.5
-SKETCH_DOCS, SKETCH_SHINGLES = 2048, 1 << 18
+SKETCH_DOCS, SKETCH_SHINGLES, DRAWS = 2048, 1 << 18, 1 << 15
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,13 +60,15 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     doc = np.repeat(np.arange(n), [len(s) for s in sets])
     time = np.zeros(len(seed))
     while len(seed):
-        seed = seed + GOLDEN
-        draw = mix64(seed)
-        time = time - np.log(((draw >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+        points = min(64, max(1, DRAWS // len(seed)))  # of each process at a time; what comes too late changes nothing
+        at = seed[:, None] + GOLDEN * np.arange(1, points + 1, dtype=np.uint64)
+        draw = mix64(at)
+        gaps = -np.log(((draw >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+        times = np.cumsum(np.concatenate([time[:, None], gaps], 1), 1)[:, 1:]
         register = ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(M)) >> np.uint64(32)
-        np.minimum.at(earliest, doc * M + register.astype(np.int64), time)
-        live = time < earliest.reshape(n, M).max(1)[doc]  # later points of the others can't be the earliest anywhere
-        seed, doc, time = seed[live], doc[live], time[live]
+        np.minimum.at(earliest, ((doc * M)[:, None] + register.astype(np.int64)).ravel(), times.ravel())
+        live = times[:, -1] < earliest.reshape(n, M).max(1)[doc]  # later points of the others can't be the earliest anywhere
+        seed, doc, time = at[live, -1], doc[live], times[live, -1]
     level = np.floor(1 - np.log(earliest / M) / np.log(BASE)) + SHIFT
     return np.clip(level, 0, 65535).astype(np.uint16).reshape(n, M)
 
@@ -95,11 +105,12 @@ def _band_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator
     """(fp, sketch) to (band, fp), B rows each."""
     weight = mix64(np.arange(1, R + 1, dtype=np.uint64)) | np.uint64(1)
     salt = mix64(np.arange(101, B + 101, dtype=np.uint64))
+    low, number = np.uint64(BAND_BITS), np.arange(B, dtype=np.uint64)
     for batch in batches:
         for at in range(0, len(batch), 2048):
             part = batch.slice(at, 2048)
             registers = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(len(part), B, R).astype(np.uint64)
-            bands = mix64(mix64((registers * weight).sum(2, dtype=np.uint64)) + salt)
+            bands = mix64(mix64((registers * weight).sum(2, dtype=np.uint64)) + salt) >> low << low | number
             yield pa.RecordBatch.from_arrays([pa.array(bands.view(np.int64).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), B))], schema=schema)
 
 
@@ -144,23 +155,28 @@ def estimate(n_a: np.ndarray, n_b: np.ndarray, larger: np.ndarray, smaller: np.n
     return (low + high) / 2
 
 
-def _forest(edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges that join two trees when they come."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in edges:
-        a, b = find(x), find(y)
-        if a != b:
-            root[a] = b
-            out.append((x, y))
-    return out
+def _open(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of register rows x and y (y may be one row for all) can be as similar as percent by the estimate."""
+    bar = percent / 100 - SLACK
+    open_ = 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
+    # equal registers are J and a little more; the estimate is only worked out where they come near the bar
+    open_ &= (x == y).sum(1) >= (bar - 0.05) * M
+    at = np.flatnonzero(open_)
+    if len(at):
+        y = y[at] if y.ndim == 2 else y
+        open_[at] = estimate(n_x[at], np.broadcast_to(n_y, n_x.shape)[at], (x[at] > y).sum(1), (x[at] < y).sum(1)) >= bar
+    return open_
+
+
+def _likely(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, registers of a, registers of b) to the open pairs (a, b)."""
+    for batch in batches:
+        for at in range(0, len(batch), 4096):
+            part = batch.slice(at, 4096)
+            n_a, n_b = (part.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(len(part), M) for i in (4, 5))
+            keep = pa.array(_open(x, y, n_a, n_b, percent))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in part.columns[:2]], schema=schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
@@ -177,63 +193,66 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
         yield held
 
 
-def _across(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    """fp, label, n and outer of a cell's rows (fp, label, n, outer, ...)."""
-    return *(np.array([r[i] for r in rows], np.int64) for i in range(3)), np.array([r[3] for r in rows], bool)
+class _Trees:
+    """Labels of a cell's rows, and the edges between labels that were joined."""
 
+    def __init__(self, labels: list[int]):
+        self.names, self.of = np.unique(np.array(labels, np.int64), return_inverse=True)
+        self.left = len(self.names)
+        self.edges: list[tuple[int, int]] = []
 
-def _partners(i: int, label: np.ndarray, n: np.ndarray, outer: np.ndarray, percent: int) -> np.ndarray:
-    """Rows that outer row i is compared with: of another label, of a size that allows it, outer ones after i only."""
-    return np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ~(outer & (np.arange(len(n)) <= i)))
+    def others(self, i: int, outer: np.ndarray) -> np.ndarray:
+        """Rows that outer row i is still to be compared with: of another tree, outer ones after i only."""
+        todo = self.of != self.of[i]
+        todo[: i + 1] &= ~outer[: i + 1]
+        return np.flatnonzero(todo)
 
+    def join(self, i: int, js: np.ndarray) -> None:
+        own = self.of[i]
+        for other in np.unique(self.of[js]):
+            self.edges.append((int(self.names[own]), int(self.names[other])))
+            self.of[self.of == other] = own
+            self.left -= 1
 
-def _edges(found: list[tuple[int, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*self.edges, strict=True)], schema=schema)
 
 
-def _open_forest(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, cell): a spanning forest of the cell's pairs across labels that the registers leave open."""
-    bar = percent / 100 - SLACK
-    for rows in _groups(batches, ["band", "cell", "fp", "label", "n", "outer", "sketch"]):
-        fp, label, n, outer = _across(rows)
-        registers = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), M)
-        pairs = []
+def _open_trees(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, cell): a spanning forest of the cell's families by the pairs that the registers leave open."""
+    for rows in _groups(batches, ["band", "cell", "label", "n", "outer", "sketch"]):
+        trees, n, outer = _Trees([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
+        registers = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), M)
         for i in np.flatnonzero(outer):
-            js = _partners(i, label, n, outer, percent)
+            if trees.left == 1:
+                break
+            js = trees.others(i, outer)
             if len(js):
-                # equal registers are J and a little more; the estimate is only worked out where they come near the bar
-                js = js[(registers[js] == registers[i]).sum(1) >= (bar - 0.05) * M]
-                pairs += [(i, j) for j in js]
-        if pairs:
-            x, y = np.array(pairs).T
-            larger, smaller = (np.concatenate([op(registers[x[k : k + 4096]], registers[y[k : k + 4096]]).sum(1) for k in range(0, len(x), 4096)]) for op in (np.greater, np.less))
-            near = estimate(n[x], n[y], larger, smaller) >= bar
-            yield from _edges(_forest(zip(fp[x[near]].tolist(), fp[y[near]].tolist(), strict=True)), schema)
-
-
-def _link_forest(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (family, cell): a spanning forest of the links across labels, on full sets."""
-    for rows in _groups(batches, ["family", "cell", "fp", "label", "n", "outer", "shingles"]):
-        fp, label, n, outer = _across(rows)
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-        values, element = np.unique(np.concatenate(sets), return_inverse=True)
-        first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                trees.join(i, js[_open(registers[js], registers[i], n[js], n[i], percent)])
+        yield from trees.batches(schema)
+
+
+def _link_trees(batches: Iterator[pa.RecordBatch], schema: pa.Schema, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (family, cell): a spanning forest of the cell's components by links on full sets."""
+    for rows in _groups(batches, ["family", "cell", "label", "n", "outer", "shingles"]):
+        trees, n, outer = _Trees([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
+        first = np.concatenate([[0], np.cumsum(n)])
+        row = np.repeat(np.arange(len(rows)), n)
+        values, element = np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.uint64), return_inverse=True)
         has = np.zeros(len(values), bool)
-        links = []
         for i in np.flatnonzero(outer):
-            js = _partners(i, label, n, outer, percent)
+            if trees.left == 1:
+                break
+            js = trees.others(i, outer)
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             if len(js):
                 own = element[first[i] : first[i + 1]]
                 has[own] = True
                 same = np.bincount(row[has[element]], minlength=len(rows))[js]
                 has[own] = False
-                links += [(int(i), int(j)) for j in js[100 * same >= percent * (n[i] + n[js] - same)]]
-        names = {}  # of two labels one link will do
-        for i, j in links:
-            names.setdefault((int(label[i]), int(label[j])), (int(fp[i]), int(fp[j])))
-        yield from _edges([names[e] for e in _forest(names)], schema)
+                trees.join(i, js[100 * same >= percent * (n[i] + n[js] - same)])
+        yield from trees.batches(schema)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,37 +262,83 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: tidy(_confirmed(it, schema, percent)), "a long, b long"), "near-links")
 
 
-def _cells(rows: DataFrame, by: str) -> DataFrame:
-    """Rows (by, fp, label) with outer and cell: every pair across labels of one value of by is in a cell of two tiles.
+def _cells(rows: DataFrame, by: str, tile_rows: int, tile_weight: int | None = None) -> DataFrame:
+    """Rows (by, fp, label, n) with outer and cell: every pair across labels of one value of by is in a cell of two tiles.
 
     The most frequent label's rows need no comparison with each other: a cell holds two tiles of the outer rows, or
-    one of these and one of that label's.
+    one of these and one of that label's. A tile has about tile_rows rows and, if given, tile_weight of n.
     """
-    main = rows.groupBy(by, "label").agg(F.count("*").alias("c")).groupBy(by).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c"))
-    tiles = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
-    main = main.select(by, "main", tiles(F.col("in_main")).alias("inner_tiles"), tiles(F.col("c") - F.col("in_main")).alias("outer_tiles"))
+    main = rows.groupBy(by, "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    main = main.groupBy(by).agg(F.max_by(F.struct("label", "c", "w"), F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    weight = lambda w: w / tile_weight if tile_weight else F.lit(1.0)
+    tiles = lambda c, w: F.greatest(F.lit(1), F.least(c, F.greatest(F.ceil(c / tile_rows), F.ceil(weight(w))))).cast("int")
+    inner_tiles, outer_tiles = tiles(F.col("main.c"), F.col("main.w")), tiles(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w"))
+    main = main.select(by, F.col("main.label").alias("main"), inner_tiles.alias("inner_tiles"), outer_tiles.alias("outer_tiles"))
     rows = rows.join(main, by).withColumn("outer", F.col("label") != F.col("main"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(F.col("outer"), F.col("outer_tiles")).otherwise(F.col("inner_tiles"))).cast("int"))
     with_outer = F.transform(F.sequence(F.lit(0), F.col("outer_tiles") - 1), lambda i: F.concat_ws("o", F.least(i, F.col("own")), F.greatest(i, F.col("own"))))
     with_inner = F.transform(F.sequence(F.lit(0), F.col("inner_tiles") - 1), lambda i: F.concat_ws("m", F.col("own"), i))
     inner = F.transform(F.sequence(F.lit(0), F.col("outer_tiles") - 1), lambda i: F.concat_ws("m", i, F.col("own")))
-    return rows.select(by, "fp", "label", "outer", F.explode(F.when(F.col("outer"), F.concat(with_outer, with_inner)).otherwise(inner)).alias("cell"))
+    return rows.select(by, "fp", "label", "n", "outer", F.explode(F.when(F.col("outer"), F.concat(with_outer, with_inner)).otherwise(inner)).alias("cell"))
+
+
+def _across(rows: DataFrame, by: str) -> DataFrame:
+    """The rows (by, fp, label, n) of those values of by that have several labels."""
+    mixed = rows.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(by)
+    return rows.join(mixed, by)
 
 
-def _more_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across the components so far, of classes that share a bucket: enough of them to connect what is connected."""
+def _bands(classes: DataFrame) -> DataFrame:
+    narrow = pa.schema([("band", pa.int64()), ("fp", pa.int64())])
+    return classes.select("fp", "sketch").mapInArrow(lambda it: tidy(_band_rows(it, narrow)), "band long, fp long")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(band, fp, center) of the classes in buckets of two and more; the center is the bucket's smallest.
+
+    A bucket that a sample of the classes shows to be hot is dealt out over SALTS tasks; the sample decides nothing else.
+    """
+    n = classes.count()
+    some = classes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
+    hot = materialize(_bands(some).groupBy("band").count().where(F.col("count") >= HOT_LEAST).select("band", F.lit(True).alias("hot")), "near-hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
+    bands = _bands(classes).join(F.broadcast(hot), "band", "left").select("band", salt.alias("salt"), "fp")  # hot: bounded, see HOT_SAMPLE
+    bands = bands.repartition(partitions_for(n * B, 300_000), "band", "salt")
+    cells = bands.groupBy("band", "salt").agg(F.min("fp").alias("center"), F.count("*").alias("c"))
+    warm = cells.where("salt >= 0").groupBy("band").agg(F.min("center").alias("center"), F.sum("c").alias("c"))
+    warm = warm.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "center", "c")
+    buckets = cells.where("salt < 0").unionByName(warm).where("c > 1").select("band", "salt", "center")
+    return materialize(bands.join(buckets, ["band", "salt"]).select("band", "fp", "center"), "near-members")
+
+
+def _families(members: DataFrame, stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, label): the family of every class that has an open pair."""
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    labelled = members.join(labels, members["fp"] == labels["node"], "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rows = materialize(labelled.join(mixed, "band"), "near-open")
-    cells = _cells(rows, "band").join(classes.select("fp", "n", "sketch"), "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
-    loose = materialize(cells.select("band", "cell", "fp", "label", "n", "outer", "sketch").mapInArrow(lambda it: tidy(_open_forest(it, edge, percent)), "a long, b long").distinct(), "near-open-pairs")
-
-    family = components(loose).select(F.col("node").alias("fp"), F.col("label").alias("family"))
-    rows = family.join(labels, F.col("fp") == F.col("node"), "left").select("family", "fp", F.coalesce("label", "fp").alias("label"))
-    cells = _cells(materialize(rows, "near-families"), "family").join(sets, "fp").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    found = components(stars)
+    number = F.col("band").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+    sizes = classes.select("fp", "n")
+    for bands in (number < EARLY, number >= EARLY):
+        rows = members.where(bands).join(found, members["fp"] == found["node"], "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+        rows = materialize(_across(rows, "band").join(sizes, "fp").select("band", "fp", "label", "n"), "near-open")
+        cells = _cells(rows, "band", OPEN_TILE).join(classes.select("fp", "sketch"), "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
+        more = cells.select("band", "cell", "label", "n", "outer", "sketch").mapInArrow(lambda it: tidy(_open_trees(it, edge, percent)), "a long, b long")
+        more = materialize(more.distinct(), "near-open-pairs")
+        discard(rows)
+        if not more.isEmpty():
+            known = found
+            found = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+            discard(known, more)
+    return found
+
+
+def _more_links(family: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one family: enough of them to connect what is connected."""
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    rows = family.select(F.col("node").alias("fp"), F.col("label").alias("family")).join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+    rows = rows.join(classes.select("fp", "n"), "fp").select("family", "fp", F.coalesce("label", "fp").alias("label"), "n")
+    cells = _cells(materialize(_across(rows, "family"), "near-families"), "family", SET_TILE, SET_SHINGLES).join(sets, "fp")
     cells = cells.repartition("family", "cell").sortWithinPartitions("family", "cell", "fp")
-    return materialize(cells.select("family", "cell", "fp", "label", "n", "outer", "shingles").mapInArrow(lambda it: tidy(_link_forest(it, edge, percent)), "a long, b long"), "near-more-links")
+    return materialize(cells.select("family", "cell", "label", "n", "outer", "shingles").mapInArrow(lambda it: tidy(_link_trees(it, edge, percent)), "a long, b long"), "near-more-links")
 
 
 def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -281,25 +346,27 @@ def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     wide = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
     rows = materialize(source.mapInArrow(lambda it: tidy(_sketch_rows(it, wide, k)), "doc_id long, key long, n long, fp long, sketch binary"), "near-sketches")
-    some = rows.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    classes = materialize(some.groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least", "n", "sketch"), "near-classes")
-
-    narrow = pa.schema([("band", pa.int64()), ("fp", pa.int64())])
-    n_classes = classes.count()
-    bands = classes.select("fp", "sketch").mapInArrow(lambda it: tidy(_band_rows(it, narrow)), "band long, fp long").repartition(partitions_for(n_classes * B, 300_000), "band")
-    buckets = bands.groupBy("band").agg(F.min("fp").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = materialize(bands.join(buckets, "band"), "near-members")
+    classes = materialize(rows.where("n > 0").groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least", "n", "sketch"), "near-classes")
 
-    pairs = members.where("fp <> center").groupBy(F.col("fp").alias("a")).agg(F.min("center").alias("b"))
-    wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("least.key").alias("key"))
+    members = _members(classes)
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    stars = members.where("fp <> center").groupBy(F.col("fp").alias("a")).agg(F.mode("center", True).alias("b"))
+    side = lambda x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    stars = materialize(stars.mapInArrow(lambda it: tidy(_likely(it, edge, percent)), "a long, b long"), "near-stars")
+    family = _families(members, stars, classes, percent)
+    discard(members)
+
+    wanted = family.select(F.col("node").alias("fp")).join(classes, "fp").select("fp", F.col("least.key").alias("key"))
     texts = source.join(wanted, "key").select("fp", "text")
     set_schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
     sets = materialize(texts.mapInArrow(lambda it: tidy(_set_rows(it, set_schema, k)), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
 
-    links = _verify(pairs, sets, percent)
-    more = _more_links(members.drop("center"), components(links), classes, sets, percent)
-    labels = components(links.unionByName(more))
+    labels = components(_verify(stars, sets, percent))
+    more = _more_links(family, labels, classes, sets, percent)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    discard(stars, family, sets, more)
 
     named = classes.select("fp", "least").join(labels, F.col("fp") == F.col("node"), "left")
     return rows, named.select("fp", "least", F.coalesce("label", "fp").alias("label"))
@@ -336,12 +403,32 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     Texts without words are in no component and all stay. Of rows alike in doc_id and text one stays.
     """
     _, named = _connected(docs, doc_id, text, k, percent)
-    chosen = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
+    mark = fresh(docs, "key")
+    chosen = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias(mark))
     words = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    keyed = docs.where(words).withColumn("__key", row_key(F.col(doc_id), F.col(text)))
-    one = keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    keyed = docs.where(words).withColumn(mark, row_key(F.col(doc_id), F.col(text)))
+    one = keyed.join(chosen, mark, "left_semi").dropDuplicates([mark]).drop(mark)
     return one.unionByName(docs.where(~words))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, compared in full; the closure follows links to and fro.
+OP3_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM cut),
+sizes AS MATERIALIZED (SELECT doc_id, len(shingles) AS n FROM sets),
+shingles AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS s FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * m >= 75 * (p.n + q.n - m)),
+reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least USING (doc_id)
+"""

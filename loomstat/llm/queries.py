@@ -18,6 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_near_dup": near_dup.op3_near_dup,
+    "op3_near_dup": near_dup.OP3_SQL,
     "op5_url_filters": url_filter.OP5_SQL,
 }

@@ -100,4 +100,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     total = words[: n - k + 1] * ODD[0]
     for j in range(1, k):
         total += words[j : n - k + 1 + j] * ODD[j]
-    return np.unique(mix64(total))
+    found = np.sort(mix64(total))
+    first = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=first[1:])
+    return found[first]

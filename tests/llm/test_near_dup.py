@@ -1,7 +1,9 @@
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from loomstat.llm import near_dup, shingles
 
@@ -56,14 +58,25 @@ def test_matches_brute_force(spark):
 def test_small_tiles_give_the_same(spark, monkeypatch):
     rows = family(8, 120, 90, 14, 0)
     whole = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
-    monkeypatch.setattr(near_dup, "TILE", 4)
+    for name, rows_ in (("OPEN_TILE", 4), ("SET_TILE", 3), ("SET_SHINGLES", 500), ("EARLY", 1), ("HOT_LEAST", 2), ("SALTS", 3)):
+        monkeypatch.setattr(near_dup, name, rows_)
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == whole
     assert sorted((str(d), str(c)) for d, c in whole.items()) == [(d, c) for d, _, c in brute(rows)]
 
 
+def test_sql_gives_the_same(spark, tmp_path):
+    rows = [r for r in edge_rows() if r[0] not in (None, 105)] + family(5, 60, 20, 6, 1000)
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.execute(near_dup.OP3_SQL).fetchall()
+    got = near_dup.op3_near_dup(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(tuple(r) for r in got) == sorted(theirs)
+
+
 def test_keep_one(spark):
     rows = edge_rows() + family(9, 100, 20, 3, 5000)
-    table = docs(spark, rows)
+    table = docs(spark, rows).withColumn("__key", F.lit(1))
     kept = near_dup.keep_one(table)
     assert kept.columns == table.columns
     groups = {c for d, n, c in brute(rows) if n}
