@@ -3,6 +3,10 @@
 import glob
 import math
 import os
+import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +51,19 @@ def test_runs(spark, name):
 def test_contract(spark):
     assert contract.entry(spark).count() == 1
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    for sql in contract.oracle_sql().values():
+        assert isinstance(sql, str)
+        assert re.match(r"\s*(WITH|SELECT)\b", sql, re.I)
+
+
+def test_goes_on_without_the_pipeline_operators(tmp_path):
+    """A copy without their folders, with and without corpus_pipeline.py, still imports and has all other queries."""
+    root = os.path.dirname(contract.__file__)
+    shutil.copytree(f"{root}/loomstat", tmp_path / "loomstat", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    for _ in range(2):
+        says = subprocess.run([sys.executable, "-c", "import __spark_entry__ as c; print(len(c.queries()), len(c.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+        assert says.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], says.stderr
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
