@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomstat.llm import common, media, packing, token_files, tokens
@@ -128,20 +130,41 @@ def test_packing_is_exact_and_tight(spark, tokenizer, monkeypatch):
     rows = edge_rows() + [(5000 + i, prose(i, 20 + i * 37 % 900), "s") for i in range(400)]
     used, fewest = check_packing(rows, packing.pack(docs(spark, rows)).collect(), tokenizer)
     assert used <= fewest + 1
-    monkeypatch.setattr(packing, "TASK_PIECES", 60)
-    monkeypatch.setattr(packing, "FAN_IN", 3)
+    monkeypatch.setattr(packing, "BLOCK", 60)
     used, fewest = check_packing(rows, packing.pack(docs(spark, rows), with_ids=True).collect(), tokenizer)
     assert used <= fewest + 2
     assert packing.pack(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_genetic_search_beats_or_meets_best_fit():
+def plain_best_fit(sizes):
+    plain = packing.Bins(sizes, 4096)
+    plain.best_fit(sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True))
+    return len(plain.items)
+
+
+def test_islands_cross_migrate_and_beat_best_fit(spark):
     rng = np.random.default_rng(3)
-    for seed in range(5):
-        sizes = rng.integers(300, 2200, 200).tolist()
-        plain = packing.Bins(sizes, 4096)
-        plain.best_fit(sorted(range(200), key=sizes.__getitem__, reverse=True))
-        best = packing.evolve(sizes, 4096, seed)
-        assert len(best.items) <= len(plain.items)
-        assert sorted(i for b in best.items for i in b) == list(range(200))
-        assert all(sum(sizes[i] for i in b) + f == 4096 for b, f in zip(best.items, best.free))
+    blocks = [rng.integers(700, 1700, 200).tolist() for _ in range(6)]
+    order = spark.createDataFrame([(b, i, x) for b, sizes in enumerate(blocks) for i, x in enumerate(sorted(sizes, reverse=True))], "block long, index int, length long")
+    found = {r.block: r for r in packing.search(order, len(blocks), 4096).collect()}
+    for b, sizes in enumerate(blocks):
+        r = found[b]
+        best = packing.Bins.of(sorted(sizes, reverse=True), 4096, np.frombuffer(r.elite, np.uint32))
+        assert len(best.items) == r.bins <= plain_best_fit(sizes) and min(best.free) >= 0
+        assert sorted(i for own in best.items for i in own) == list(range(200))
+        assert r.crossed == packing.ISLANDS * packing.EPOCHS * packing.GENERATIONS and r.moved == packing.ISLANDS * (packing.EPOCHS - 1)
+    assert sum(r.bins for r in found.values()) < sum(map(plain_best_fit, blocks))
+
+
+def test_islands_work_on_the_registered_table(spark):
+    """Blocks of real lengths are not perfect after best fit: children are born and elites move."""
+    lengths = common.read(spark, "/root/testdata/sf0.001", "documents").selectExpr("0L AS block", "CAST(least(4096, 1 + length(text) div 5) AS BIGINT) AS length")
+    order = lengths.withColumn("index", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("length"))) - 1)
+    r = packing.search(order, 1, 4096).first()
+    assert r.crossed > 0 and r.moved > 0
+
+
+def test_pieces_that_do_not_fit_together_come_to_an_end(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    placed = packing.place(spark.range(100).selectExpr("id AS at", "2100L AS length"), 4096).collect()
+    assert len({r.sequence_id for r in placed}) == 100 and all(r.offset == 0 for r in placed)
