@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, report, other), and five small transducers read the
-symbols of a clause side by side: insults and threats emit their weight, an address before or a target
-after strengthens them, negation within three words and reported speech weaken them. Their composition is
-one table. A document's score is a logistic function of its clauses' sum.
+Words and two-word phrases become symbols (insult, threat, target, negation, report, other), and five small transducers
+read the symbols of a clause side by side: insults and threats emit their weight, an address before or a target before
+or after strengthens them, negation within three words and reported speech weaken them. A machine may guess what is
+still to come (a threat that will find its target) in a state that no clause may end in. Their composition is one table;
+a clause is worth its best accepted path, a document's score is a logistic function of its clauses' sum.
 
-The lexicon starts from written-down words; labelled documents add words and stems that are found nearly only
+The lexicon starts from written-down words; labelled documents add words, stems and phrases that are found nearly only
 in toxic ones, and set the weights and the logistic function. They are a bounded sample (MOST_LABELLED) of
 labelled rows; every document is scored whole.
 """
@@ -23,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, tidy
+from .common import materialize, read, tidy
 
 #: Labelled rows that the lexicon and the scale are learned from, at most, by hash of doc_id.
 MOST_LABELLED = 20_000
 #: A stem is a word's first letters, of these lengths.
 STEMS = (4, 5, 6, 7)
-#: Entries need this share of the toxic sample, this many documents, and this share of toxic ones among those with them.
+#: Entries need this share of the toxic sample, this many documents, and this share of toxic ones among those with them. So
+#: their number is at most the features of one document over SUPPORT, whatever the sample.
 SUPPORT, LEAST, PURITY = 0.01, 4, 0.9
-MOST_ENTRIES, MOST_CANDIDATES, MOST_SEEN = 20_000, 200_000, 200_000
+#: Harmless words that a scorer remembers; beyond that it starts anew.
+MOST_SEEN = 200_000
 SEED_WEIGHT, TOP_WEIGHT = 2.5, 6.0
 #: Characters of a text that are in hand at a time.
 PART = 1 << 20
@@ -52,39 +55,54 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 
 @dataclass(frozen=True)
 class Transducer:
-    """states, step[state][symbol] = (next state, factor on the symbol's weight)."""
+    """step[state][symbol] holds the arcs (next state, factor on the symbol's weight); final[state]: a clause may end here."""
 
-    step: tuple[tuple[tuple[int, float], ...], ...]
+    step: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
+    final: tuple[bool, ...]
 
+    def best(self, symbols: list[tuple[int, float]]) -> float:
+        """The largest sum of weights times factors over the paths from state 0 that end in a final state."""
+        paths = {0: 0.0}
+        for symbol, weight in symbols:
+            ahead: dict[int, float] = {}
+            for state, total in paths.items():
+                for to, factor in self.step[state][symbol]:
+                    value = total + weight * factor
+                    if value > ahead.get(to, -1.0):
+                        ahead[to] = value
+            paths = ahead
+        return max(total for state, total in paths.items() if self.final[state])
 
-def _machine(states: int, arcs: dict[tuple[int, int], tuple[int, float]], stay=lambda s: s) -> Transducer:
-    return Transducer(tuple(tuple(arcs.get((s, x), (stay(s), 1.0)) for x in range(6)) for s in range(states)))
+
+def _machine(states: int, arcs: dict[tuple[int, int], tuple[tuple[int, float], ...]], stay=lambda s: s, owing: tuple[int, ...] = ()) -> Transducer:
+    return Transducer(tuple(tuple(arcs.get((s, x), ((stay(s), 1.0),)) for x in range(6)) for s in range(states)), tuple(s not in owing for s in range(states)))
 
 
 #: An address earlier in the clause strengthens an insult.
-ADDRESS = _machine(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5)})
-#: A threat counts in full with someone it is aimed at, named before it; alone a verb is weak.
-AIM = _machine(2, {(0, THREAT): (0, 0.1), (0, TARGET): (1, 1.0), (1, THREAT): (1, 1.0)})
+ADDRESS = _machine(2, {(0, TARGET): ((1, 1.0),), (1, INSULT): ((1, 1.5),)})
+#: A threat counts in full with someone it is aimed at; alone a verb is weak. State 1: someone was named. State 2: a threat
+#: was taken as aimed, and someone is still to be named; no clause ends here.
+AIM = _machine(3, {(0, THREAT): ((0, 0.1), (2, 1.0)), (0, TARGET): ((1, 1.0),), (2, TARGET): ((1, 1.0),)}, owing=(2,))
 #: Insults count as they are.
 PLAIN = _machine(1, {})
 #: Negation holds for the three words after it.
-DENIAL = _machine(4, {(s, NEGATION): (3, 1.0) for s in range(4)} | {(s, x): (s - 1, 0.25) for s in (1, 2, 3) for x in (INSULT, THREAT)}, lambda s: max(0, s - 1))
+DENIAL = _machine(4, {(s, NEGATION): ((3, 1.0),) for s in range(4)} | {(s, x): ((s - 1, 0.25),) for s in (1, 2, 3) for x in (INSULT, THREAT)}, lambda s: max(0, s - 1))
 #: What follows a verb of saying in its clause is somebody else's.
-SPEECH = _machine(2, {(0, REPORT): (1, 1.0)} | {(1, x): (1, 0.4) for x in (INSULT, THREAT)})
+SPEECH = _machine(2, {(0, REPORT): ((1, 1.0),)} | {(1, x): ((1, 0.4),) for x in (INSULT, THREAT)})
 
 
 def compose(*machines: Transducer) -> Transducer:
-    """Machines side by side: product states, factors multiplied."""
+    """Machines side by side: product states, every choice of arcs, factors multiplied; final where all are."""
     states = list(product(*[range(len(m.step)) for m in machines]))
     number = {s: i for i, s in enumerate(states)}
     table = []
     for state in states:
         row = []
         for x in range(6):
-            arcs = [m.step[s][x] for m, s in zip(machines, state, strict=True)]
-            row.append((number[tuple(a[0] for a in arcs)], float(np.prod([a[1] for a in arcs]))))
+            choices = product(*[m.step[s][x] for m, s in zip(machines, state, strict=True)])
+            row.append(tuple((number[tuple(a[0] for a in arcs)], float(np.prod([a[1] for a in arcs]))) for arcs in choices))
         table.append(tuple(row))
-    return Transducer(tuple(table))
+    return Transducer(tuple(table), tuple(all(m.final[s] for m, s in zip(machines, state, strict=True)) for state in states))
 
 
 GRAMMAR = compose(PLAIN, ADDRESS, AIM, DENIAL, SPEECH)
@@ -92,10 +110,11 @@ GRAMMAR = compose(PLAIN, ADDRESS, AIM, DENIAL, SPEECH)
 
 @dataclass
 class Model:
-    """words and stems give (symbol, weight); score = 1 / (1 + exp(-(slope * log(1 + sum) + intercept)))."""
+    """words and stems give (symbol, weight), phrases of two words the weight of an insult; score = 1 / (1 + exp(-(slope * log(1 + sum) + intercept)))."""
 
     words: dict[str, tuple[int, float]] = field(default_factory=lambda: {w: (x, SEED_WEIGHT if x in (INSULT, THREAT) else 0.0) for x, ws in LEXICON.items() for w in ws})
     stems: dict[str, float] = field(default_factory=dict)
+    phrases: dict[tuple[str, str], float] = field(default_factory=dict)
     slope: float = 4.0
     intercept: float = -3.0
 
@@ -126,8 +145,9 @@ class Scorer:
     def _part(self, text: str) -> float:
         if len(self.seen) > MOST_SEEN:
             self.seen.clear()
-        hit = False
-        for w in set(WORD.findall(text)).difference(self.seen):
+        words = WORD.findall(text)
+        hit = bool(self.model.phrases) and not self.model.phrases.keys().isdisjoint(zip(words, words[1:]))
+        for w in set(words).difference(self.seen):
             if self.model.symbol(w)[0] in (INSULT, THREAT):
                 hit = True
             else:
@@ -135,26 +155,29 @@ class Scorer:
         return sum(self.clause(c) for c in CLAUSE.split(text)) if hit else 0.0
 
     def clause(self, clause: str) -> float:
-        """The emitted weights of one clause; an aim after the threat's verb counts like one before it."""
-        state, total, weak = 0, 0.0, 0.0
+        """The best path's weights of one clause. A phrase stands before its second word, or in its place if that is nothing else."""
+        symbols, before = [], ""
         for w in WORD.findall(clause):
-            symbol, weight = self.model.symbol(w)
-            state, factor = GRAMMAR.step[state][symbol]
-            total += weight * factor
-            if symbol == THREAT:
-                weak = weight * factor if factor <= 0.1 else 0.0
-            elif symbol == TARGET and weak:
-                total, weak = total + 9 * weak, 0.0
-        return total
+            own = self.model.symbol(w)
+            phrase = self.model.phrases.get((before, w))
+            if phrase:
+                symbols.append((INSULT, phrase))
+            if not phrase or own[0] != OTHER:
+                symbols.append(own)
+            before = w
+        return GRAMMAR.best(symbols) if any(x in (INSULT, THREAT) for x, _ in symbols) else 0.0
 
     def score(self, total: float) -> float:
         return float(1 / (1 + np.exp(-(self.model.slope * np.log1p(total) + self.model.intercept))))
 
 
 def _features(text: str | None) -> set[str]:
-    """Distinct words, as they are, and their stems, with an asterisk."""
-    words = set(WORD.findall((text or "").lower()))
-    return words | {w[:n] + "*" for n in STEMS for w in words if len(w) >= n}
+    """Distinct words, as they are, their stems, with an asterisk, and the phrases of two words of a clause, with a blank."""
+    text = (text or "").lower()
+    words = set(WORD.findall(text))
+    stems = {w[:n] + "*" for n in STEMS for w in words if len(w) >= n}
+    clauses = (WORD.findall(c) for c in CLAUSE.split(text))
+    return words | stems | {f"{a} {b}" for c in clauses for a, b in zip(c, c[1:])}
 
 
 def _counts(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
@@ -181,34 +204,38 @@ def _count_features(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most_labelled: int = MOST_LABELLED) -> Model:
-    """The model from labels (doc_id, toxic 0/1; other values are left out, of several for one id the largest counts).
+    """The model from labels (doc_id, toxic 0/1; other values are left out, of several for one id, or
+    for equal texts, the largest counts).
 
     Without any toxic, or any other, labelled document the written-down lexicon stands as it is.
     """
     marks = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(toxic).cast("int").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
     chosen = docs.sparkSession.createDataFrame(marks.collect(), "__id long, toxic int")  # most_labelled rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("toxic", "text").dropDuplicates(["text"])
-    rows = rows.persist()
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    rows = materialize(rows, "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     model = Model()
     if not bad or not good:
-        rows.unpersist()
         return model
     least = max(LEAST, SUPPORT * bad)
-    in_bad = _count_features(rows.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES).collect()
+    in_bad = _count_features(rows.where("toxic = 1"), None).where(F.col("n") >= least).collect()  # bounded, see SUPPORT
     names = frozenset(r["feature"] for r in in_bad) | {w for x in (INSULT, THREAT) for w in LEXICON[x]}
     in_good = {r["feature"]: r["n"] for r in _count_features(rows.where("toxic = 0"), names).collect()}
     entries = []
     for r in in_bad:
         a, b = r["n"], in_good.get(r["feature"], 0)
         if a >= PURITY * (a + b):
-            entries.append((r["feature"], min(TOP_WEIGHT, float(np.log((a + 0.5) / (b + 0.5) * (good + 1) / (bad + 1)))), a))
-    for name, weight, _ in sorted(entries, key=lambda e: (-e[2], e[0]))[:MOST_ENTRIES]:
+            entries.append((r["feature"], min(TOP_WEIGHT, float(np.log((a + 0.5) / (b + 0.5) * (good + 1) / (bad + 1))))))
+    for name, weight in sorted(entries, key=lambda e: (" " in e[0], e[0])):  # phrases last
         if weight <= 0:
             continue
-        if name.endswith("*"):
+        if " " in name:
+            first, second = name.split(" ")
+            if model.symbol(first)[0] not in (INSULT, THREAT) and model.symbol(second)[0] not in (INSULT, THREAT):
+                model.phrases[first, second] = weight
+        elif name.endswith("*"):
             model.stems[name[:-1]] = weight
         elif name not in model.words or model.words[name][0] in (INSULT, THREAT):
             model.words[name] = (model.words.get(name, (INSULT, 0.0))[0], weight)
@@ -218,7 +245,6 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             if in_good.get(w, 0) > toxic_names.get(w, 0):  # a word that clean documents use more often says nothing
                 model.words[w] = (x, 0.0)
     found = rows.mapInArrow(lambda it: _totals(it, model), "toxic int, total double").groupBy("toxic", F.round(F.log1p("total"), 1).alias("x")).agg(F.count("*").alias("n")).collect()
-    rows.unpersist()
     y, x, n = (np.array([r[c] for r in found], float) for c in ("toxic", "x", "n"))
     model.slope, model.intercept = _logistic(x, y, n)
     return model

@@ -61,11 +61,46 @@ def test_long_texts_are_scored_whole(monkeypatch):
 
 
 def test_composition_multiplies():
-    assert len(toxicity.GRAMMAR.step) == 1 * 2 * 2 * 4 * 2
-    _, factor = toxicity.GRAMMAR.step[0][toxicity.INSULT]
+    assert len(toxicity.GRAMMAR.step) == 1 * 2 * 3 * 4 * 2
+    ((_, factor),) = toxicity.GRAMMAR.step[0][toxicity.INSULT]
     assert factor == 1.0
 
 
+def plain_clause(symbols):
+    """The grammar in plain words: what each insult and threat of a clause is worth."""
+    total = 0.0
+    for i, (x, weight) in enumerate(symbols):
+        before, after = [y for y, _ in symbols[:i]], [y for y, _ in symbols[i + 1 :]]
+        denied, run = 0, 0  # what negation is left: three words from the last one on
+        for y in before:
+            run = 3 if y == toxicity.NEGATION else max(0, run - 1)
+        denied = run > 0
+        worth = weight * (0.25 if denied else 1.0) * (0.4 if toxicity.REPORT in before else 1.0)
+        if x == toxicity.INSULT:
+            total += worth * (1.5 if toxicity.TARGET in before else 1.0)
+        elif x == toxicity.THREAT:
+            total += worth * (1.0 if toxicity.TARGET in before + after else 0.1)
+    return total
+
+
+def test_grammar_is_what_its_plain_words_say():
+    rng = random.Random(2)
+    for _ in range(3000):
+        symbols = [(x, rng.choice([1.0, 2.5, 4.0]) if x in (toxicity.INSULT, toxicity.THREAT) else 0.0) for x in rng.choices(range(6), [4, 2, 2, 1, 1, 1], k=rng.randrange(9))]
+        assert toxicity.GRAMMAR.best(symbols) == pytest.approx(plain_clause(symbols))
+
+
+def test_learns_phrases_and_takes_the_larger_of_two_labels(spark):
+    rows = [(i, prose(i, 40) + (" go lost then. " if i % 4 == 0 else " then go. lost ") + prose(i + 9999, 20), "s") for i in range(400)]
+    rows += [(1000 + i, rows[i][1], "s") for i in range(0, 400, 4)]  # toxic texts once more, marked clean
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(400)] + [(1000 + i, 1, 0) for i in range(0, 400, 4)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs(spark, rows), labels)
+    assert ("go", "lost") in model.phrases and model == toxicity.learn(docs(spark, rows[::-1]), labels)
+    s = toxicity.Scorer(model)
+    assert s.score(s.total("well go lost now")) >= 0.5 > s.score(s.total("well go. lost now"))
+
+
 def nearest(ids, x, every=5, k=20):
     out = {}
     for i in np.flatnonzero(ids % every == 0):
