@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a small table is broadcast; callers count the rows (or know them by construction) first.
 BROADCAST_ROWS = 100_000
 
-#: Partitions that are asked for by number, at most: more rows then make them larger, and all code streams through them.
-MOST_PARTITIONS = 20_000
+#: Tasks of a stage that a driver can look after. Partitions asked for by size are larger beyond that (0.5 GB of 100 TB), and
+#: all code streams through them.
+MOST_PARTITIONS = 200_000
 
 #: White space is byte 0x20 and bytes 0x09 to 0x0D; every other run of characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,7 +98,7 @@ def running_total(df: DataFrame, key: list[str], bucket: str, order: list[Column
     )
 
 
-def buckets_for(rows: int, per: int = 2_000, most: int = 1 << 16) -> int:
+def buckets_for(rows: int, per: int = 2_000, most: int = 1 << 20) -> int:
     """How many hash buckets hold about per rows each, or more if that would take more than most."""
     return min(most, max(1, -(-rows // per)))
 

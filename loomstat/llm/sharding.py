@@ -2,9 +2,10 @@
 
 Documents with equal link keys are linked through a hub for their key, so a group of n documents has n
 links and no pairs. Each round joins the groups' mass by shard to their members, lets every unit (a
-group, or a piece of a group too large for one shard) ask for the shard where most of its group is,
-and admits the requests in order of gain while the shard has capacity left. Documents without links then
-fill the shards up to equal sizes by running totals.
+group, or a piece of a group too large for one shard or one task) ask for the shard where most of its group is,
+and admits the requests in order of gain while the shard has capacity left. Rounds go on until no unit
+moves. Documents without links, and units that no shard has room for, then fill the shards up to equal sizes by
+running totals.
 """
 
 from __future__ import annotations
@@ -12,17 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, read, running_total, small
+from .common import buckets_for, materialize, read, running_total
 
 N_SHARDS = 16
-ROUNDS = 4
-#: A linked group above this share of a shard's capacity is split into units of about this size.
+#: A linked group above this share of a shard's capacity, or of a shard's rows, is split into units of about this size.
 UNIT_SHARE = 1 / 64
 #: Buckets of one running total, so that its cells number shards * ORDER_CELLS at most.
 ORDER_CELLS = 256
 
 
-def shard_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", link: str | None = None, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", link: str | None = None, n_shards: int = N_SHARDS) -> DataFrame:
     """Deal docs out over n_shards: doc_id, size, text_crc32, shard int, slot long (gapless from 0 in each shard).
 
     size is the text's UTF-8 bytes plus 1; null texts count as empty. Documents with equal texts, or equal values of the
@@ -33,16 +33,22 @@ def shard_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(body) if link is None else F.when(F.col(link).isNotNull(), F.xxhash64(link))
-    base = materialize(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), key.alias("link"), F.xxhash64(F.col(doc_id), body).alias("own")), "shard-base")
+    base = materialize(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), key.alias("link"), F.xxhash64(F.col(doc_id), body).alias("own"), F.monotonically_increasing_id().alias("nth")), "shard-base")
     rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     capacity = max(1.0, total / n_shards)
-    unit_size = max(1.0, capacity * UNIT_SHARE)
+    unit_size, unit_rows = max(1.0, capacity * UNIT_SHARE), max(1.0, rows / n_shards * UNIT_SHARE)
 
     groups = base.where("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("members"), F.sum("size").alias("bytes")).where("members > 1")
-    parts = groups.select("link", F.greatest(F.lit(1), F.ceil(F.col("bytes") / unit_size)).alias("parts"))
-    base = materialize(base.join(parts, "link", "left").withColumn("unit", F.when(F.col("parts").isNotNull(), F.xxhash64("link", F.pmod("own", "parts")))).drop("parts"), "shard-units")
+    groups = groups.select("link", F.ceil(F.greatest(F.col("bytes") / unit_size, F.col("members") / unit_rows)).alias("parts"))
+    # a large group has a unit's bytes or rows: there are 2 * n_shards / UNIT_SHARE of them at most, and their copies stay where they are
+    large = F.broadcast(groups.where("parts > 1"))
+    spread = base.join(large, "link", "left")
+    split = spread.where("parts IS NOT NULL").withColumn("unit", F.xxhash64("link", F.pmod(F.xxhash64("own", "nth"), "parts"))).drop("parts")
+    rest = spread.where("parts IS NULL AND link IS NOT NULL").drop("parts").join(groups.where("parts <= 1").select("link", F.xxhash64("link", F.lit(0)).alias("unit")), "link", "left")
+    alone = base.where("link IS NULL").withColumn("unit", F.lit(None).cast("long"))
+    base = materialize(split.unionByName(rest).unionByName(alone), "shard-units")
     mass = base.where("unit IS NOT NULL").groupBy("link", "unit", F.pmod("own", F.lit(n_shards)).cast("int").alias("shard")).agg(F.sum("size").alias("bytes"))
-    mass = _propagate(materialize(mass, "shard-mass"), n_shards, capacity, rounds)
+    mass = _propagate(materialize(mass, "shard-mass"), n_shards, capacity)
 
     units = mass.groupBy("unit").agg(F.count("*").alias("spread"), F.max("shard").alias("shard"), F.sum("bytes").alias("bytes"))
     whole = units.where("spread = 1").select("unit", "shard", "bytes")
@@ -51,33 +57,32 @@ def shard_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     by_unit = base.where("unit IS NOT NULL").join(labels.where("is_unit").select(F.col("item").alias("unit"), "shard"), "unit")
     singles = base.where("unit IS NULL").join(labels.where("NOT is_unit").select(F.col("item").alias("own"), "shard").dropDuplicates(["own"]), "own")
-    placed = by_unit.unionByName(singles).withColumn("bucket", F.pmod("own", F.lit(buckets_for(rows))))
-    placed = running_total(placed, ["shard"], "bucket", [F.col("doc_id"), F.col("own")], F.lit(1), "slot", n_shards * buckets_for(rows))
+    placed = by_unit.unionByName(singles).withColumn("bucket", F.pmod(F.xxhash64("own", "nth"), F.lit(buckets_for(rows))))
+    placed = running_total(placed, ["shard"], "bucket", [F.col("doc_id"), F.col("own"), F.col("nth")], F.lit(1), "slot", n_shards * buckets_for(rows))
     return placed.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
-def _propagate(mass: DataFrame, n_shards: int, capacity: float, rounds: int) -> DataFrame:
-    """Rounds of moves over (link, unit, shard, bytes): a unit that is admitted is in one shard afterwards."""
-    spark = mass.sparkSession
-    for _ in range(rounds):
+def _propagate(mass: DataFrame, n_shards: int, capacity: float) -> DataFrame:
+    """Rounds of moves over (link, unit, shard, bytes): a unit that is admitted is in one shard afterwards. Every round but
+    the last makes some unit whole, so they come to an end."""
+    while True:
         loads = dict(mass.groupBy("shard").agg(F.sum("bytes")).collect())  # a row for each shard
-        rooms = spark.createDataFrame([(s, float(capacity - (loads.get(s) or 0))) for s in range(n_shards)], "shard int, room double")
+        rooms = F.array(*[F.lit(float(capacity - (loads.get(s) or 0))) for s in range(n_shards)])
         spread = mass.groupBy("link", "unit").agg(F.sum("bytes").alias("total"), F.count("*").alias("spread")).where("spread > 1").drop("spread")
-        if spread.isEmpty():
-            break
         hub = mass.groupBy("link", "shard").agg(F.sum("bytes").alias("near"))
         own = mass.select("unit", "shard", F.col("bytes").alias("here"))
-        asks = spread.join(hub, "link").join(own, ["unit", "shard"], "left").join(small(rooms, n_shards), "shard")
+        asks = spread.join(hub, "link").join(own, ["unit", "shard"], "left").withColumn("room", F.element_at(rooms, F.col("shard") + 1))
         # a shard asks for what the unit doesn't hold there yet; all that leaves other shards is found free in the next round
         asks = asks.withColumn("more", F.col("total") - F.coalesce("here", F.lit(0))).where("more <= room")
         best = F.max_by(F.struct("shard", "room", "more", "near"), F.struct("near", "room", F.xxhash64("unit", "shard")))
         asks = asks.groupBy("unit", "total").agg(best.alias("b")).select("unit", "total", F.col("b.shard").alias("shard"), "b.room", "b.more", "b.near")
         asks = asks.withColumn("rank", F.lit(ORDER_CELLS - 1) - F.least(F.lit(ORDER_CELLS // 4 - 1), F.floor(F.log2(F.col("near")))) * 4 - F.pmod(F.xxhash64("unit"), F.lit(4)))
         asks = running_total(asks, ["shard"], "rank", [F.col("near").desc(), F.col("unit")], F.col("more"), "before", n_shards * ORDER_CELLS)
-        moves = asks.where("before + more <= room").select("unit", F.col("shard").alias("to"))
+        moves = materialize(asks.where("before + more <= room").select("unit", F.col("shard").alias("to")), "shard-moves")
+        if moves.isEmpty():
+            return mass
         moved = mass.join(moves, "unit", "left").withColumn("shard", F.coalesce("to", "shard"))
         mass = materialize(moved.groupBy("link", "unit", "shard").agg(F.sum("bytes").alias("bytes")), "shard-mass")
-    return mass
 
 
 def _fill(singles: DataFrame, units: DataFrame, loads: dict, n_shards: int, capacity: float, rows: int) -> DataFrame:
