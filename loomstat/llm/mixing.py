@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read, small
+from .common import WORD, fresh, materialize, read, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -188,10 +188,11 @@ def row_key(doc_id, text, source):
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as mix() says, with the columns of docs; mix() tells about nulls and repeats."""
     doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
-    counts = mix(docs, **options).select(F.col("own").alias("__own"), F.col("copies").alias("__copies")).dropDuplicates(["__own"])
-    keyed = docs.withColumn("__own", row_key(F.col(doc_id), F.col(text), F.col(source)))
-    taken = keyed.join(counts, "__own").where("__copies > 0").withColumn("__k", F.explode(F.expr("sequence(1L, __copies)")))
-    return taken.select(*[docs[c] for c in docs.columns])
+    own, copies, k = (fresh(docs, name) for name in ("own", "copies", "k"))
+    counts = mix(docs, **options).select(F.col("own").alias(own), F.col("copies").alias(copies)).dropDuplicates([own])
+    keyed = docs.withColumn(own, row_key(F.col(doc_id), F.col(text), F.col(source)))
+    taken = keyed.join(counts, own).where(F.col(copies) > 0).withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return taken.drop(own, copies, k)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

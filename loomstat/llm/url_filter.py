@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id",
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return filter_urls(read(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)"))
 
 
 OP5_SQL = f"""

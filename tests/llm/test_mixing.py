@@ -71,6 +71,7 @@ def test_expectation_of_copies():
 def test_take_repeats_rows_with_all_columns(spark):
     rows = edge_rows()
     table = docs(spark, rows)
+    table = table.selectExpr("*", "1 AS own", "2 AS copies", "3 AS k_")
     taken = mixing.take(table)
     assert taken.columns == table.columns
     assert taken.count() == sum(r.copies for r in mixing.mix(table).collect())
