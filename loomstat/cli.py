@@ -24,7 +24,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--mode", choices=["exact", "distributed"], default="distributed")
     for name, kind, value in (("rate", float, None), ("lam", float, 0.0), ("norm", int, 1), ("iterations", int, 10), ("k", int, 2), ("leaves", int, 2), ("depth", int, 1), ("width", int, 0), ("window", int, 5), ("margin", float, 1.0), ("seed", int, 0), ("alpha", float, 0.05), ("beta", float, 0.01), ("regions", int, 30), ("min-potential", float, 1000.0), ("leaf-cost", float, 0.0), ("weight-cost", float, 0.0), ("min-rows", int, 0)):
         p.add_argument(f"--{name}", type=kind, default=value)
-    p.add_argument("--init", help="start scores (boosting), or trees (score)")
+    p.add_argument("--init", help="start scores (boosting; one a class in each line for gbm), or trees (score)")
+    p.add_argument("--test-init", help="start scores of the test file (boosting)")
+    p.add_argument("--save-every", type=int, default=0, help="save the coefficients after each so many epochs or steps, too")
+    p.add_argument("--decay", type=float, default=0.0, help="lr: the rate falls by 1 / (1 + decay * epoch)")
     a = p.parse_args(argv)
     if a.rate is None and a.program in ("lr", "latent", "gbm", "gblr", "gbrank", "score"):
         p.error("--rate is needed: nothing is learned at rate 0")
@@ -40,43 +43,62 @@ def report(name: str, scored: DataFrame) -> None:
     print(f"{name}: loss {r['loss']:.6f}, auc {r['auc']}")
 
 
+def report_classes(name: str, scores: DataFrame) -> None:
+    p = trees.softmax_gradients(scores).select("row_id", "cls", "label", "p")
+    r = metrics.multiclass_loss(p, "p", "cls", "label").first()
+    print(f"{name}: loss {r['loss'] / max(1, r['n']):.6f}, auc {metrics.multiclass_auc(p, 'p', 'cls', 'label').first()['auc']}")
+
+
 def regression(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, feats = text.read_sparse(spark, a.train, binary=a.binary)
     names = dictionary(feats)
-    config = linear.LogisticConfig(rate=a.rate or 0.0, lam=a.lam, norm=a.norm, epochs=a.iterations, hidden=a.k, seed=a.seed)
+    config = linear.LogisticConfig(rate=a.rate or 0.0, decay=a.decay, lam=a.lam, norm=a.norm, epochs=a.iterations, hidden=a.k, seed=a.seed)
     if a.program == "latent":
         model = linear.fit_latent(rows, feats, names, config)
         models.save_vectors(model.withColumn("name", F.coalesce("name", F.lit("output weights"))), f"{a.out}/coe", "name", "v", 10)
         return
+    sets = {name: text.read_sparse(spark, path, binary=a.binary) for name, path in (("train", a.train), ("test", a.test)) if path}
+
+    def step(number: int, weights: DataFrame) -> None:
+        for name, data in sets.items():
+            report(f"{number} {name}", linear.linear_scores(*data, weights))
+        if a.save_every and number % a.save_every == 0:
+            models.save_coefficients(weights, f"{a.out}/coe_{number}")
+
     if a.program == "batch":
-        weights = linear.fit_batch(rows, feats, names, lam=a.lam, norm=a.norm, iterations=a.iterations)
+        weights = linear.fit_batch(rows, feats, names, lam=a.lam, norm=a.norm, iterations=a.iterations, report=step)
     else:
-        weights = linear.fit_sgd(rows, feats, names, config, mode=a.mode)
+        weights = linear.fit_sgd(rows, feats, names, config, mode=a.mode, report=step)
     weights = weights.persist()
     models.save_coefficients(weights, f"{a.out}/coe")
-    for name, path in (("train", a.train), ("test", a.test)):
-        if path:
-            report(name, linear.linear_scores(*text.read_sparse(spark, path, binary=a.binary), weights))
+    for name, data in sets.items():
+        report(name, linear.linear_scores(*data, weights))
 
 
 def boosting(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, feats = text.read_sparse(spark, a.train, binary=a.binary)
     config = trees.BoostConfig(rate=a.rate, trees=a.iterations, leaves=a.leaves, depth=a.depth, leaf_cost=a.leaf_cost, weight_cost=a.weight_cost, min_rows=a.min_rows, binary=a.binary, margin=a.margin, seed=a.seed)
-    if a.program == "gbm":
-        found, scores = trees.boost_multiclass(rows, feats, config)
+    many = a.program == "gbm"
+    starts = {name: (text.read_class_scores if many else text.read_scores)(spark, path) if path else None for name, path in (("train", a.init), ("test", a.test_init))}
+    test = text.read_sparse(spark, a.test, binary=a.binary) if a.test else None
+    last: dict[str, DataFrame] = {}
+
+    def step(number: int, name: str, scores: DataFrame) -> None:
+        last[name] = scores
+        if many:
+            report_classes(f"{number} {name}", scores)
+        else:
+            report(f"{number} {name}", scores.withColumnRenamed("f", "z"))
+
+    run = {"gbm": trees.boost_multiclass, "gblr": trees.boost_binary, "gbrank": trees.boost_rank}[a.program]
+    found, scores = run(rows, feats, config, init=starts["train"], test=test, test_init=starts["test"], report=step)
+    if many:
         for cls in sorted({c for c, _ in found}):
             models.save_trees([t for c, t in found if c == cls], spark, f"{a.out}/class_{cls}")
-        scores.write.parquet(f"{a.out}/train_scores")
-        return
-    init = text.read_scores(spark, a.init) if a.init else None
-    found, scores = (trees.boost_rank if a.program == "gbrank" else trees.boost_binary)(rows, feats, config, init)
-    models.save_trees(found, spark, f"{a.out}/trees")
-    models.save_scores(scores, f"{a.out}/train_scores")
-    report("train", scores.withColumnRenamed("f", "z"))
-    if a.test:
-        scored = trees.score_trees(*text.read_sparse(spark, a.test, binary=a.binary), found, a.rate)
-        models.save_scores(scored.withColumnRenamed("score", "f"), f"{a.out}/test_scores")
-        report("test", scored.withColumnRenamed("score", "z"))
+    else:
+        models.save_trees(found, spark, f"{a.out}/trees")
+    for name, final in (last or {"train": scores}).items():
+        models.save_scores(final, f"{a.out}/{name}_scores") if not many else final.write.parquet(f"{a.out}/{name}_scores")
 
 
 def clusters(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from loomstat.scratch import cut
 
+#: Rows of a range bucket: there are as many buckets as that takes.
+BUCKET_ROWS = 100_000
 
-def with_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add the range bucket of a numeric column by its approximate quantiles; equal values share a bucket, nulls come first."""
-    bounds = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 1 / (2 * buckets)))) if buckets > 1 else []
-    at = F.lit(0)
-    if bounds:
-        at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col(value).cast("double")))
-    return df.withColumn(out, F.coalesce(at, F.lit(-1)).cast("int"))
+
+def with_bucket(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Add the range bucket of a numeric column; equal values share a bucket, nulls come first.
+
+    df is worked out once and checkpointed, and so is the result, since Spark draws the bounds anew in each run.
+    """
+    df = cut(df)
+    buckets = buckets or -(-df.count() // BUCKET_ROWS)
+    if buckets <= 1:
+        return df.withColumn(out, F.lit(0))
+    return cut(df.repartitionByRange(buckets, F.col(value)).withColumn(out, F.spark_partition_id()))
 
 
 def running(df: DataFrame, bucket: str, order: list[Column], values: dict[str, Column], by: list[str] | None = None, after: bool = False) -> DataFrame:
@@ -34,7 +40,7 @@ def running(df: DataFrame, bucket: str, order: list[Column], values: dict[str, C
     return df.select("*", *[c.alias(n) for n, c in sums.items()]).drop(*[f"__{k}_{n}" for n in values for k in "vts"])
 
 
-def numbered(df: DataFrame, value: str, order: list[Column], out: str, buckets: int = BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, value: str, order: list[Column], out: str, buckets: int | None = None) -> DataFrame:
     """Add a dense number from 0 in ascending order of the numeric column value, then of order."""
     marked = with_bucket(df, value, "__bucket", buckets)
     return running(marked, "__bucket", [F.col(value), *order], {out: F.lit(1)}).drop("__bucket")

@@ -101,12 +101,17 @@ def _loss(w: np.ndarray, labels, ids, vals) -> float:
     return total
 
 
-def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig, mode: str = "distributed", partitions: int = 8) -> DataFrame:
+#: Rows of a partition of distributed descent.
+PASS_ROWS = 250_000
+
+
+def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig, mode: str = "distributed", partitions: int | None = None, report: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """name, w after stochastic gradient descent.
 
     exact: one task takes the rows in order of row_id, an epoch after the other, and stops when the loss falls by no more than
     the tolerance. distributed: each partition runs an epoch on its share from common weights, which are then averaged by the
-    partitions' rows; the weights (one number a feature) pass through the driver.
+    partitions' rows; the weights (one number a feature) pass through the driver, and report(epoch from 1, weights) is called
+    after each epoch. Without partitions there is one for each PASS_ROWS rows.
     """
     data, d = packed(rows, features, names), names.count()
     c = config
@@ -124,7 +129,8 @@ def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: Logi
 
     if mode == "exact":
         return data.groupBy(F.lit("all")).applyInPandas(exact, "id long, w double").join(names, "id").select("name", "w")
-    data = data.repartition(partitions, "row_id").sortWithinPartitions("row_id").persist()
+    named = lambda w: rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double").join(names, "id").select("name", "w")
+    data = data.repartition(partitions or max(8, -(-rows.count() // PASS_ROWS)), "row_id").sortWithinPartitions("row_id").persist()
     w = np.zeros(d)
     for e in range(c.epochs):
 
@@ -137,8 +143,10 @@ def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: Logi
         got = data.mapInPandas(epoch, "id long, s double, n long").groupBy("id").agg((F.sum("s") / F.sum("n")).alias("w")).collect()
         for r in got:
             w[r["id"]] = r["w"]
+        if report:
+            report(e + 1, named(w))
     data.unpersist()
-    return rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double").join(names, "id").select("name", "w")
+    return named(w)
 
 
 def fit_latent(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig) -> DataFrame:
@@ -188,8 +196,8 @@ def _batch(data: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
     return out[0], out[1:]
 
 
-def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, *, l1: float = 0.0, iterations: int = 50, memory: int = 5, tolerance: float = 1e-5) -> np.ndarray:
-    """L-BFGS for a function with gradient; with l1 > 0 OWL-QN for f + l1 * |w|_1. Backtracking (Armijo 1e-4), 30 halvings at most."""
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, *, l1: float = 0.0, iterations: int = 50, memory: int = 5, tolerance: float = 1e-5, each: Callable[[int, np.ndarray], None] | None = None) -> np.ndarray:
+    """L-BFGS for a function with gradient, each(step from 1, w) after each step; with l1 > 0 OWL-QN for f + l1 * |w|_1. Backtracking (Armijo 1e-4), 30 halvings at most."""
 
     def whole(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         value, g = f(x)
@@ -200,7 +208,7 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray,
 
     value, g, sub = whole(w)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(iterations):
+    for number in range(1, iterations + 1):
         d, alphas = -sub, []
         for s, y in reversed(pairs):
             alphas.append((s @ d) / (y @ s))
@@ -233,19 +241,23 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray,
         if s @ y > 1e-30:
             pairs = [*pairs[1 - memory :], (s, y)] if len(pairs) >= memory else [*pairs, (s, y)]
         w, value, g, sub = new, new_value, new_g, new_sub
+        if each:
+            each(number, w)
         if done:
             break
     return w
 
 
-def fit_batch(rows: DataFrame, features: DataFrame, names: DataFrame, *, lam: float, norm: int, iterations: int = 50, tolerance: float = 1e-5) -> DataFrame:
-    """name, w at the minimum of the objective: L-BFGS (norm 2) or OWL-QN (norm 1), one Spark job for each evaluation."""
+def fit_batch(rows: DataFrame, features: DataFrame, names: DataFrame, *, lam: float, norm: int, iterations: int = 50, tolerance: float = 1e-5, report: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """name, w at the minimum of the objective: L-BFGS (norm 2) or OWL-QN (norm 1), one Spark job for each evaluation;
+    report(step from 1, weights) after each step."""
+    named = lambda w: rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double").join(names, "id").select("name", "w")
     data, d = packed(rows, features, names).persist(), names.count()
 
     def f(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, g = _batch(data, w)
         return (1 + loss + lam * float(w @ w), g + 2 * lam * w) if norm == 2 else (1 + loss, g)
 
-    w = minimise(f, np.zeros(d), l1=lam if norm == 1 else 0.0, iterations=iterations, tolerance=tolerance)
+    w = minimise(f, np.zeros(d), l1=lam if norm == 1 else 0.0, iterations=iterations, tolerance=tolerance, each=(lambda n, w: report(n, named(w))) if report else None)
     data.unpersist()
-    return rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double").join(names, "id").select("name", "w")
+    return named(w)

@@ -10,7 +10,7 @@ from loomstat.functions import order, scalar
 POSITIVE = 1 - 1e-10
 
 
-def tied_ranks(df: DataFrame, score: str, out: str = "rank", buckets: int = order.BUCKETS) -> DataFrame:
+def tied_ranks(df: DataFrame, score: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """Add 1-based ranks by score; tied scores share the mean of their places."""
     marked = order.with_bucket(df, score, "__bucket", buckets)
     ties = marked.groupBy("__bucket", score).agg(F.count("*").alias("__n"))
@@ -19,7 +19,7 @@ def tied_ranks(df: DataFrame, score: str, out: str = "rank", buckets: int = orde
     return df.join(ranks, score)
 
 
-def auc(df: DataFrame, score: str, label: str, buckets: int = order.BUCKETS) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row (auc, positives, negatives): the rank-sum area with tied ranks averaged; null without both classes.
 
     Rows are first summed up by distinct score, so ties and repeated scores cost one row.

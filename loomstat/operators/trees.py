@@ -205,25 +205,45 @@ def rank_pairs(rows: DataFrame, sample: int, seed: int) -> DataFrame:
     return wanted.join(numbered.select(F.col("label").alias("of"), "k", F.col("row_id").alias("b")), ["of", "k"]).where("a <> b").select("a", "b")
 
 
-def boost(rows: DataFrame, features: DataFrame, config: BoostConfig, gradients: Callable[[DataFrame], DataFrame], init: DataFrame | None = None) -> tuple[list[list[tuple]], DataFrame]:
-    """Trees and final scores (row_id, label, f) for gradients((row_id, label, f)) -> (row_id, g, h). init (row_id, score) warm-starts."""
+Report = Callable[[int, str, DataFrame], None]
+
+
+def _start(rows: DataFrame, init: DataFrame | None, keys: list[str]) -> DataFrame:
+    """rows with f: 0, or the score of init, which has to have one for each row."""
+    if init is None:
+        return cut(rows.withColumn("f", F.lit(0.0)))
+    scores = cut(rows.join(init.withColumnRenamed("score", "f"), keys, "left"))
+    n, missing = scores.agg(F.count("*"), F.count_if(F.col("f").isNull())).first()
+    if missing or n != init.count():
+        raise ValueError(f"start scores do not fit the rows: {missing} of {n} rows have none")
+    return scores
+
+
+def boost(rows: DataFrame, features: DataFrame, config: BoostConfig, gradients: Callable[[DataFrame], DataFrame], init: DataFrame | None = None, test: tuple[DataFrame, DataFrame] | None = None, test_init: DataFrame | None = None, report: Report | None = None) -> tuple[list[list[tuple]], DataFrame]:
+    """Trees and final scores (row_id, label, f) for gradients((row_id, label, f)) -> (row_id, g, h).
+
+    init and test_init (row_id, score) warm-start the training and the test rows; a row without a score is an error. After
+    each tree report(tree number from 1, "train" or "test", scores (row_id, label, f)) is called.
+    """
     c = config
     features, maps = _resident(rows, features)
-    scores = rows.select("row_id", "label", F.lit(0.0).alias("f"))
-    if init is not None:
-        scores = rows.join(init, "row_id", "left").select("row_id", "label", F.coalesce("score", F.lit(0.0)).alias("f"))
-    scores = cut(scores)
+    sets = {"train": (_start(rows.select("row_id", "label"), init, ["row_id"]), maps)}
+    if test:
+        sets["test"] = (_start(test[0].select("row_id", "label"), test_init, ["row_id"]), cut(wide(test[0].select("row_id"), test[1])))
     least, trees = c.least(rows.count()), []
-    for _ in range(c.trees):
-        gh = cut(gradients(scores))
+    for number in range(1, c.trees + 1):
+        gh = cut(gradients(sets["train"][0]))
         tree = grow(gh, features, leaves=c.leaves, depth=c.depth, wr=c.weight_cost, nr=c.leaf_cost, min_rows=least, binary=c.binary)
         if tree is None:
             break
         trees.append(tree.rows())
-        scores = cut(scores.join(maps, "row_id").select("row_id", "label", (F.col("f") + c.rate * tree_column(trees[-1])).alias("f")))
+        for name, (scores, own) in sets.items():
+            sets[name] = cut(scores.join(own, "row_id").select("row_id", "label", (F.col("f") + c.rate * tree_column(trees[-1])).alias("f"))), own
+            if report:
+                report(number, name, sets[name][0])
     maps.unpersist()
     features.unpersist()
-    return trees, scores
+    return trees, sets["train"][0]
 
 
 def _resident(rows: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,31 +252,37 @@ def _resident(rows: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFram
     return features, wide(rows.select("row_id"), features).persist()
 
 
-def boost_binary(rows, features, config, init=None):
-    """Binary boosting on labels 0 and 1."""
+def boost_binary(rows, features, config, init=None, **more):
+    """Binary boosting on labels 0 and 1; more goes to boost()."""
 
     def gradients(scores: DataFrame) -> DataFrame:
         g, h = binary_gradients(F.col("f"), F.col("label"))
         return scores.select("row_id", g.alias("g"), h.alias("h"))
 
-    return boost(rows, features, config, gradients, init)
+    return boost(rows, features, config, gradients, init, **more)
 
 
-def boost_rank(rows, features, config, init=None):
-    """Pairwise ranking on ordered labels, with a new sample of pairs each round."""
+def boost_rank(rows, features, config, init=None, **more):
+    """Pairwise ranking on ordered labels, with a new sample of pairs each round; more goes to boost()."""
     round_ = iter(range(10**9))
-    return boost(rows, features, config, lambda s: rank_gradients(s, rank_pairs(rows, config.sample, config.seed + next(round_)), config.margin), init)
+    return boost(rows, features, config, lambda s: rank_gradients(s, rank_pairs(rows, config.sample, config.seed + next(round_)), config.margin), init, **more)
 
 
-def boost_multiclass(rows: DataFrame, features: DataFrame, config: BoostConfig) -> tuple[list[tuple[int, list[tuple]]], DataFrame]:
-    """(class, tree) pairs and scores (row_id, cls, label, f) for labels 0 .. k-1; ends when no class splits."""
+def boost_multiclass(rows: DataFrame, features: DataFrame, config: BoostConfig, init: DataFrame | None = None, test: tuple[DataFrame, DataFrame] | None = None, test_init: DataFrame | None = None, report: Report | None = None) -> tuple[list[tuple[int, list[tuple]]], DataFrame]:
+    """(class, tree) pairs and scores (row_id, cls, label, f) for labels 0 .. k-1; ends when no class splits.
+
+    init, test_init (row_id, cls, score) and report as in boost(); the scores it gets have a row for each row and class.
+    """
     c = config
     k = int(rows.agg(F.max("label")).first()[0]) + 1
     features, maps = _resident(rows, features)
+    each = lambda r: r.select("row_id", F.col("label").cast("int").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cls"))
+    sets = {"train": (_start(each(rows), init, ["row_id", "cls"]), maps)}
+    if test:
+        sets["test"] = (_start(each(test[0]), test_init, ["row_id", "cls"]), cut(wide(test[0].select("row_id"), test[1])))
     least, trees = c.least(rows.count()), []
-    scores = rows.select("row_id", F.col("label").cast("int").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cls")).withColumn("f", F.lit(0.0))
-    for _ in range(c.trees):
-        gh, grown = cut(softmax_gradients(scores)), {}
+    for number in range(1, c.trees + 1):
+        gh, grown = cut(softmax_gradients(sets["train"][0])), {}
         for cls in range(k):
             tree = grow(gh.where(F.col("cls") == cls).select("row_id", "g", "h"), features, leaves=c.leaves, depth=c.depth, wr=c.weight_cost, nr=c.leaf_cost, min_rows=least, binary=c.binary)
             if tree is not None:
@@ -267,7 +293,10 @@ def boost_multiclass(rows: DataFrame, features: DataFrame, config: BoostConfig)
         add = F.lit(0.0)
         for cls, t in grown.items():
             add = F.when(F.col("cls") == cls, tree_column(t)).otherwise(add)
-        scores = cut(scores.join(maps, "row_id").select("row_id", "label", "cls", (F.col("f") + c.rate * add).alias("f")))
+        for name, (scores, own) in sets.items():
+            sets[name] = cut(scores.join(own, "row_id").select("row_id", "label", "cls", (F.col("f") + c.rate * add).alias("f"))), own
+            if report:
+                report(number, name, sets[name][0])
     maps.unpersist()
     features.unpersist()
-    return trees, scores
+    return trees, sets["train"][0]

@@ -553,7 +553,8 @@ def bcp_votes(spark, sf):
 
 @query()
 def modl_splits(spark, sf):
-    return series.modl(_graded(spark, sf), "g")
+    t = fx.table(spark, sf, "lineitem").select(F.lit(0).alias("g"), F.col("l_quantity").alias("v"), F.col("l_extendedprice").between(20000, 50000).cast("int").alias("a"))
+    return series.modl(t, "g")
 
 
 @query()

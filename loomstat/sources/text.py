@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import scalar
+from loomstat.scratch import cut
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, fields of every line that isn't empty after trimming.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """row_id, value: the trimmed lines that aren't empty, numbered from 0 without gaps.
 
-    row_id rises in file order (it isn't dense): the file's path, the split and the line in it decide.
+    Files count in order of their paths and lines in order of their place, however Spark splits and deals them: each split's
+    lines are counted first, a row a split, and the splits before a line are added to its place in its own.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), scalar.trim(F.col("value")).alias("value"))
-    return lines.where("value <> ''").select("row_id", scalar.split_keep_empty(F.col("value"), "\t").alias("fields"))
+    lines = spark.read.text(path).select(scalar.trim(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.where("value <> ''").withColumn("at", F.monotonically_increasing_id())
+    splits = cut(lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "first", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.col("at") - F.col("first")
+    changed = F.raise_error(F.lit("a file or the size of splits has changed since the lines were counted")).cast("long")
+    return lines.join(splits, ["file", "start"], "left").select(F.when((place >= 0) & (place < F.col("n")), F.col("before") + place).otherwise(changed).alias("row_id"), "value")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """row_id, fields of every line that isn't empty after trimming; row_id as in numbered_lines."""
+    return numbered_lines(spark, path).select("row_id", scalar.split_keep_empty(F.col("value"), "\t").alias("fields"))
 
 
 def read_sparse(spark: SparkSession, path: str, *, binary: bool, counted: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +56,7 @@ def read_columns(spark: SparkSession, path: str, schema: str, delimiter: str = "
     """Positional columns of fixed types, with row_id; missing trailing ones are null, numbers parse like those of read_sparse."""
     wanted = [c.split() for c in schema.split(",")]
     parts = F.split(scalar.trim(F.col("value")), delimiter, -1)
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), parts.alias("f"))
+    lines = numbered_lines(spark, path).select("row_id", parts.alias("f"))
     cast = {"double": scalar.to_double, "int": lambda c: scalar.to_long(c).cast("int"), "long": scalar.to_long, "string": lambda c: c}
     return lines.select("row_id", *[F.when(F.size("f") > i, cast[t](F.get("f", F.lit(i)))).alias(n) for i, (n, t) in enumerate(wanted)])
 
@@ -86,6 +99,11 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return read_columns(spark, path, "score double")
 
 
+def read_class_scores(spark: SparkSession, path: str) -> DataFrame:
+    """row_id, cls, score of one number a class in each line."""
+    return read_lines(spark, path).select("row_id", F.posexplode("fields").alias("cls", "score")).withColumn("score", scalar.to_double(F.col("score")))
+
+
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """idx, n, leaf, attr, aval, wei, loss, left, right of a text tree; idx is the line's place."""
     raw = spark.read.option("sep", "\t").option("header", True).csv(path)

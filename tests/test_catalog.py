@@ -45,7 +45,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_contract(spark):

@@ -32,3 +32,19 @@ def test_score_uses_saved_trees(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 20 and len(models.load_trees(spark, str(tmp_path / "m/trees"))) == 2
     with pytest.raises(SystemExit):
         cli.arguments(["lr", "--train", "x", "--out", "y"])
+
+
+def test_gbm_scores_a_test_file_and_starts_from_scores(spark, tmp_path, capsys):
+    (tmp_path / "in").write_text(THREE)
+    (tmp_path / "start").write_text("0\t0.5\t1\n" * 20)
+    files = ["--train", str(tmp_path / "in"), "--test", str(tmp_path / "in"), "--init", str(tmp_path / "start"), "--test-init", str(tmp_path / "start")]
+    cli.main(["gbm", *files, "--out", str(tmp_path / "m"), *"--rate 0.5 --iterations 2 --leaves 3 --depth 2 --binary".split()], spark)
+    assert spark.read.parquet(str(tmp_path / "m/test_scores")).count() == 60
+    said = capsys.readouterr().out
+    assert all(f"{n} {name}: loss" in said for n in (1, 2) for name in ("train", "test"))
+
+
+def test_lr_reports_and_saves_each_epoch(spark, tmp_path, capsys):
+    (tmp_path / "in").write_text(TWO)
+    cli.main(["batch", "--train", str(tmp_path / "in"), "--test", str(tmp_path / "in"), "--out", str(tmp_path / "m"), *"--lam 0.5 --norm 2 --iterations 2 --save-every 1".split()], spark)
+    assert list((tmp_path / "m/coe_1").glob("part-*")) and "1 test: loss" in capsys.readouterr().out

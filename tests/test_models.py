@@ -397,3 +397,46 @@ def test_order_over_buckets(spark):
 def test_auc_without_both_classes(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "s double, y int")
     assert metrics.auc(df, "s", "y").first()["auc"] is None
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    """Dense numbers in file order, whatever the splits: start scores meet their rows, and a missing one is an error."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for f in range(3):
+        (folder / f"part-{f}").write_text("".join(f"{i % 2}\tf{f}_{i}\n" + "\n" * (i % 7 == 0) for i in range(2000 * (3 - f))))
+    scores = write(tmp_path, "scores", *[str(i) for i in range(12000)])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        rows, feats = text.read_sparse(spark, str(folder), binary=True)
+        assert rows.rdd.getNumPartitions() > 3
+        got = [r["name"] for r in feats.orderBy("row_id").collect()]
+        assert got == [f"f{f}_{i}" for f in range(3) for i in range(2000 * (3 - f))]
+        assert [r["row_id"] for r in rows.orderBy("row_id").collect()] == list(range(12000))
+        init = text.read_scores(spark, scores)
+        start = trees._start(rows, init, ["row_id"])
+        assert start.where("f <> row_id").count() == 0 and start.count() == 12000
+        with pytest.raises(ValueError, match="1 of 12000"):
+            trees._start(rows, init.where("row_id <> 7"), ["row_id"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    with pytest.raises(Exception, match="has changed since"):
+        rows.where("row_id >= 0").collect()
+
+
+def test_reports_after_each_tree_and_start_scores(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(60)], "row_id long, label double")
+    feats = spark.createDataFrame([(i, 0, f"c{i % 3}", 1.0) for i in range(60)], "row_id long, pos int, name string, value double")
+    seen = []
+    config = trees.BoostConfig(rate=0.5, trees=2, leaves=3, depth=2, binary=True)
+    _, scores = trees.boost_multiclass(rows, feats, config, test=(rows, feats), report=lambda n, name, s: seen.append((n, name, s.count())))
+    assert seen == [(n, name, 180) for n in (1, 2) for name in ("train", "test")]
+    init = scores.select("row_id", "cls", F.col("f").alias("score"))
+    _, more = trees.boost_multiclass(rows, feats, trees.BoostConfig(rate=0.5, trees=1, leaves=3, depth=2, binary=True), init=init)
+    hit = lambda s: s.where("cls = label").agg(F.avg("f")).first()[0]
+    assert hit(more) > hit(scores)
+    two = rows.withColumn("label", (F.col("label") > 0).cast("double"))
+    seen.clear()
+    trees.boost_binary(two, feats, config, test=(two, feats), report=lambda n, name, s: seen.append((n, name, s.columns)))
+    assert seen[0] == (1, "train", ["row_id", "label", "f"]) and seen[1][1] == "test"
