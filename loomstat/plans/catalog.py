@@ -551,9 +551,12 @@ def bcp_votes(spark, sf):
     return series.change_votes(fx.user_series(spark, sf), "user_id", window=20)
 
 
-@query()
+@query("""WITH v AS (SELECT CAST(floor(l_extendedprice / 1000) AS DOUBLE) AS v FROM lineitem), c AS (SELECT DISTINCT v, v >= 20 AND v < 50 AS a FROM v),
+  n AS (SELECT v, a, lead(a) OVER (ORDER BY v) AS next FROM c) SELECT 0 AS g, v AS cut FROM n WHERE a <> next""")
 def modl_splits(spark, sf):
-    t = fx.table(spark, sf, "lineitem").select(F.lit(0).alias("g"), F.col("l_quantity").alias("v"), F.col("l_extendedprice").between(20000, 50000).cast("int").alias("a"))
+    """Classes that a range of prices separates: the cuts are where they change."""
+    v = F.floor(F.col("l_extendedprice") / 1000).cast("double")
+    t = fx.table(spark, sf, "lineitem").select(F.lit(0).alias("g"), v.alias("v"), ((v >= 20) & (v < 50)).cast("int").alias("a"))
     return series.modl(t, "g")
 
 
