@@ -46,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result kept in the shared folder until the next has read it."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages over documents, each one's result kept in the shared folder until the next has read it; the last one's
+    input stays until the driver ends."""
+    docs, written = common.read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
