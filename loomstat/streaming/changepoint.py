@@ -19,8 +19,8 @@ def start() -> dict:
     return {"n": 0, "r": [1.0], "mu": [0.0], "kappa": [1.0], "alpha": [1.0], "beta": [4.0]}
 
 
-def step(s: dict, x: float, hazard: float, keep: int) -> tuple[int, float]:
-    """Take one value in; the likeliest run length and the probability of a change just now. At most keep run lengths stay in the state."""
+def step(s: dict, x: float, hazard: float, keep: int | None) -> tuple[int, float]:
+    """Take one value in; the likeliest run length and the probability of a change just now. At most keep run lengths stay in the state, if given."""
     r, mu, kappa, alpha, beta = (np.array(s[k]) for k in ("r", "mu", "kappa", "alpha", "beta"))
     nu, var = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
     const = np.exp([lgamma(v / 2 + 0.5) - lgamma(v / 2) for v in nu])
@@ -37,11 +37,11 @@ def step(s: dict, x: float, hazard: float, keep: int) -> tuple[int, float]:
     return int(np.argmax(s["r"])), float(s["r"][0])
 
 
-def detect(stream: DataFrame, *, hazard: float = 500.0, keep: int = 1000) -> DataFrame:
+def detect(stream: DataFrame, *, hazard: float = 500.0, keep: int | None = None) -> DataFrame:
     """(series_id, idx, y) as a stream of standardised values, to each value's likeliest run length.
 
-    Values of a series are taken in order of idx within a micro-batch. The state of a series is bounded by keep run lengths; longer
-    runs are cut off there, unlike in the batch operator.
+    Values of a series are taken in order of idx within a micro-batch. The state of a series holds a number for each run
+    length so far, as in the batch operator. Endless series can bound it by keep, which cuts longer runs off there.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
