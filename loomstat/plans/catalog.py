@@ -520,7 +520,14 @@ def lcss_users(spark, sf):
     return _neighbours(spark, sf).select("user_id", distance.lcss(ints(F.col("y")), ints(F.col("next"))).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE ser AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, (event_type = 'error')::INT AS y FROM events),
+  fwd AS (SELECT user_id, idx, ln(5.0::DOUBLE) * (y = 0)::INT AS s0, ln(5.0::DOUBLE) * (y = 1)::INT AS s1, 0 AS b0, 0 AS b1 FROM ser WHERE idx = 0
+    UNION ALL SELECT s.user_id, s.idx, greatest(f.s0 + ln(10.0::DOUBLE), f.s1) + ln(5.0::DOUBLE) * (s.y = 0)::INT, greatest(f.s0, f.s1 + ln(10.0::DOUBLE)) + ln(5.0::DOUBLE) * (s.y = 1)::INT,
+      CASE WHEN f.s0 + ln(10.0::DOUBLE) >= f.s1 THEN 0 ELSE 1 END, CASE WHEN f.s0 >= f.s1 + ln(10.0::DOUBLE) THEN 0 ELSE 1 END FROM fwd f JOIN ser s ON s.user_id = f.user_id AND s.idx = f.idx + 1),
+  tab AS MATERIALIZED (SELECT *, max(idx) OVER (PARTITION BY user_id) AS last FROM fwd),
+  bwd AS (SELECT user_id, idx, CASE WHEN s0 >= s1 OR last = 0 THEN 0 ELSE 1 END AS state FROM tab WHERE idx = last
+    UNION ALL SELECT t.user_id, t.idx - 1, CASE WHEN b.state = 0 THEN t.b0 ELSE t.b1 END FROM bwd b JOIN tab t ON t.user_id = b.user_id AND t.idx = b.idx WHERE t.idx > 0)
+  SELECT user_id, CAST(idx AS INTEGER) AS idx, CAST(y AS INTEGER) AS label, CAST(state AS INTEGER) AS state FROM bwd JOIN ser USING (user_id, idx)""")
 def viterbi_users(spark, sf):
     return series.viterbi(fx.user_series(spark, sf).drop("y").withColumnRenamed("err", "y"), "user_id", 10, 5)
 
