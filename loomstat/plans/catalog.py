@@ -514,7 +514,14 @@ def dtw_users(spark, sf):
     return _neighbours(spark, sf).select("user_id", r(distance.dtw(F.col("y"), F.col("next"))).alias("d"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SERIES_SQL}, own AS MATERIALIZED (SELECT user_id, idx, CAST(floor(y / 10) AS BIGINT) AS v, count(*) OVER (PARTITION BY user_id) AS n FROM ser),
+  u AS (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS next FROM (SELECT DISTINCT user_id FROM events)),
+  other AS MATERIALIZED (SELECT u.user_id, o.idx AS j, o.v, o.n AS m FROM u JOIN own o ON o.user_id = u.next),
+  tab AS (SELECT user_id, CAST(-1 AS BIGINT) AS i, j, v, m, CAST(0 AS BIGINT) AS l FROM other
+    UNION ALL SELECT user_id, i, j, v, m, max(greatest(l, CASE WHEN hit THEN before + 1 ELSE 0 END)) OVER (PARTITION BY user_id ORDER BY j) FROM (
+      SELECT t.user_id, t.i + 1 AS i, t.j, t.v, t.m, t.l, a.v = t.v AS hit, coalesce(lag(t.l) OVER (PARTITION BY t.user_id ORDER BY t.j), 0) AS before
+      FROM tab t JOIN own a ON a.user_id = t.user_id AND a.idx = t.i + 1))
+  SELECT t.user_id, CASE WHEN a.n < 2 OR t.m < 2 THEN 0 ELSE t.l END AS n FROM tab t JOIN own a ON a.user_id = t.user_id AND a.idx = t.i WHERE t.i = a.n - 1 AND t.j = t.m - 1""")
 def lcss_users(spark, sf):
     ints = lambda c: F.transform(c, lambda x: F.floor(x / 10).cast("long"))
     return _neighbours(spark, sf).select("user_id", distance.lcss(ints(F.col("y")), ints(F.col("next"))).alias("n"))
