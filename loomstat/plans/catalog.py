@@ -509,7 +509,15 @@ def _neighbours(spark, sf):
     return u.join(nxt, "n").select("user_id", "y", "next").repartition(32, "user_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SERIES_SQL}, own AS MATERIALIZED (SELECT user_id, idx, y, count(*) OVER (PARTITION BY user_id) AS n FROM ser),
+  u AS (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS next FROM (SELECT DISTINCT user_id FROM events)),
+  other AS MATERIALIZED (SELECT u.user_id, o.idx AS j, o.y, o.n AS m FROM u JOIN own o ON o.user_id = u.next),
+  tab AS (SELECT o.user_id, CAST(0 AS BIGINT) AS i, o.j, o.y, o.m, sum((a.y - o.y) * (a.y - o.y)) OVER (PARTITION BY o.user_id ORDER BY o.j) AS d FROM other o JOIN own a ON a.user_id = o.user_id AND a.idx = 0
+    UNION ALL SELECT user_id, i, j, y, m, so_far + min(best - so_far + c) OVER (PARTITION BY user_id ORDER BY j) FROM (
+      SELECT t.user_id, t.i + 1 AS i, t.j, t.y, t.m, (a.y - t.y) * (a.y - t.y) AS c, sum((a.y - t.y) * (a.y - t.y)) OVER w AS so_far,
+        least(coalesce(lag(t.d) OVER w + (a.y - t.y) * (a.y - t.y), t.d), t.d) AS best
+      FROM tab t JOIN own a ON a.user_id = t.user_id AND a.idx = t.i + 1 WINDOW w AS (PARTITION BY t.user_id ORDER BY t.j)))
+  SELECT t.user_id, round(sqrt(t.d), 6) AS d FROM tab t JOIN own a ON a.user_id = t.user_id AND a.idx = t.i WHERE t.i = a.n - 1 AND t.j = t.m - 1""")
 def dtw_users(spark, sf):
     return _neighbours(spark, sf).select("user_id", r(distance.dtw(F.col("y"), F.col("next"))).alias("d"))
 
