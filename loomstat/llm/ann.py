@@ -9,8 +9,8 @@ block with all ties, and reranks them exactly on the original vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterator, Sequence
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ DEPTH = 128
 TRAIN_ROWS = 4096
 THRESHOLD = 0.2
 WORDS, PIECE = 16, 2
-CANDIDATE_BLOCK, QUERY_BLOCK, SCAN_QUERIES = 8192, 4096, 128
+#: A task holds one block of candidates; the queries of a block stream past it, so their number costs no memory.
+CANDIDATE_BLOCK, QUERY_BLOCK, SCAN_QUERIES = 8192, 65536, 128
 
 
 def _pieces(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,36 +94,44 @@ def _encoded(batches: Iterator[pa.RecordBatch], schema: pa.Schema, words: np.nda
 
 
 def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema, words: np.ndarray, dims: int, k: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """Cells of queries (kind 0) and candidates (kind 1), sorted by cell and kind, to the k nearest of the cell for each query."""
+    """Cells of candidates (kind 0) and queries (kind 1), sorted by cell and kind, to the k nearest of the cell for each query."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(batch.column(n).to_pylist() for n in ("cell", "kind", "vec_id", "code", "vector")), strict=True)
 
+    def matrix(part: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r[2] for r in part], np.int64), np.frombuffer(b"".join(r[4] for r in part), np.float64).reshape(-1, dims)
+
     for _, cell in groupby(rows(), key=lambda r: r[0]):
-        parts = {kind: list(g) for kind, g in groupby(cell, key=lambda r: r[1])}
-        if len(parts) < 2:
-            continue
-        q_ids, c_ids = (np.array([r[2] for r in parts[i]], np.int64) for i in (0, 1))
-        queries, vectors = (np.frombuffer(b"".join(r[4] for r in parts[i]), np.float64).reshape(-1, dims) for i in (0, 1))
-        codes = np.frombuffer(b"".join(r[3] for r in parts[1]), np.uint8).reshape(len(c_ids), -1)
-        for at in range(0, len(q_ids), SCAN_QUERIES):
-            ids, xs = q_ids[at : at + SCAN_QUERIES], queries[at : at + SCAN_QUERIES]
-            padded = np.pad(xs, ((0, 0), (0, -dims % (2 * PIECE)))).reshape(len(xs), -1, PIECE)
-            table = np.einsum("qmd,mwd->qmw", padded, words).astype(np.float32)
-            table = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(xs), -1, 256)
-            score = np.zeros((len(xs), len(c_ids)), np.float32)
-            for b in range(codes.shape[1]):
-                score += np.take(table[:, b], codes[:, b], axis=1)
-            score[ids[:, None] == c_ids[None]] = -np.inf
-            bar = np.partition(score, -depth, axis=1)[:, -depth] if len(c_ids) > depth else np.full(len(xs), -np.finfo(np.float32).max)
-            out = []
-            for i in range(len(ids)):
-                best = np.flatnonzero((score[i] >= bar[i]) & (c_ids != ids[i]))
-                exact = (vectors[best] * xs[i]).sum(1)
-                order = np.lexsort((c_ids[best], -exact))[:k]
-                out.append((np.full(len(order), ids[i]), c_ids[best][order], exact[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+        held = None
+        for kind, part in groupby(cell, key=lambda r: r[1]):
+            if kind == 0:
+                block = list(part)
+                held = *matrix(block), np.frombuffer(b"".join(r[3] for r in block), np.uint8).reshape(len(block), -1)
+                del block
+            elif held is not None:
+                while asked := list(islice(part, SCAN_QUERIES)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _nearest(*matrix(asked), *held, words, k, depth)], schema=schema)
+
+
+def _nearest(ids: np.ndarray, xs: np.ndarray, c_ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, words: np.ndarray, k: int, depth: int) -> list[np.ndarray]:
+    """query_id, vec_id, score of each query's k nearest candidates: table sums over the codes, then exact scores of the best depth."""
+    padded = np.pad(xs, ((0, 0), (0, -xs.shape[1] % (2 * PIECE)))).reshape(len(xs), -1, PIECE)
+    table = np.einsum("qmd,mwd->qmw", padded, words).astype(np.float32)
+    table = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(xs), -1, 256)
+    score = np.zeros((len(xs), len(c_ids)), np.float32)
+    for b in range(codes.shape[1]):
+        score += np.take(table[:, b], codes[:, b], axis=1)
+    score[ids[:, None] == c_ids[None]] = -np.inf
+    bar = np.partition(score, -depth, axis=1)[:, -depth] if len(c_ids) > depth else np.full(len(xs), -np.finfo(np.float32).max)
+    out = []
+    for i in range(len(ids)):
+        best = np.flatnonzero((score[i] >= bar[i]) & (c_ids != ids[i]))
+        exact = (vectors[best] * xs[i]).sum(1)
+        order = np.lexsort((c_ids[best], -exact))[:k]
+        out.append((np.full(len(order), ids[i]), c_ids[best][order], exact[order]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, depth: int = DEPTH, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -136,7 +145,9 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
     not read.
 
     Candidates lie in blocks of about CANDIDATE_BLOCK rows and queries in blocks of about QUERY_BLOCK; each pair of blocks is
-    one cell of work with bounded memory, and hands on k rows a query.
+    one cell of work, which holds the candidates, lets the queries stream past and hands on k rows a query. Vectors travel with
+    the codes: for each pair of a query and a candidate that is a 65,536th of a candidate and an 8,192nd of a query, where
+    codes alone and a later join of vectors would send DEPTH pairs a cell and query on, a 64th of all pairs.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
@@ -160,8 +171,8 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
     c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     c_block, q_block = F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks))
     everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = asked.dropDuplicates(["vec_id"]).withColumn("c", everywhere(c_blocks)).select((F.col("c") * q_blocks + q_block).alias("cell"), F.lit(0).alias("kind"), "vec_id", "code", "vector")
-    right = codes.withColumn("q", everywhere(q_blocks)).select((c_block * q_blocks + F.col("q")).alias("cell"), F.lit(1).alias("kind"), "vec_id", "code", "vector")
+    left = asked.dropDuplicates(["vec_id"]).withColumn("c", everywhere(c_blocks)).select((F.col("c") * q_blocks + q_block).alias("cell"), F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("binary").alias("code"), "vector")
+    right = codes.withColumn("q", everywhere(q_blocks)).select((c_block * q_blocks + F.col("q")).alias("cell"), F.lit(0).alias("kind"), "vec_id", "code", "vector")
     cells = left.unionByName(right).repartition(partitions_for(c_blocks * q_blocks, 1), "cell").sortWithinPartitions("cell", "kind", "vec_id")
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     near = cells.mapInArrow(lambda it: _scan(it, found, words, dims, k, depth), "query_id long, vec_id long, score double")
