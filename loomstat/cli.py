@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--mode", choices=["exact", "distributed"], default="distributed")
     for name, kind, value in (("rate", float, None), ("lam", float, 0.0), ("norm", int, 1), ("iterations", int, 10), ("k", int, 2), ("leaves", int, 2), ("depth", int, 1), ("width", int, 0), ("window", int, 5), ("margin", float, 1.0), ("seed", int, 0), ("alpha", float, 0.05), ("beta", float, 0.01), ("regions", int, 30), ("min-potential", float, 1000.0), ("leaf-cost", float, 0.0), ("weight-cost", float, 0.0), ("min-rows", int, 0)):
         p.add_argument(f"--{name}", type=kind, default=value)
-    p.add_argument("--init", help="start scores (boosting; one a class in each line for gbm), or trees (score)")
+    p.add_argument("--init", help="start scores (boosting; one a class in each line for gbm), trees (score), or the folder of a model to continue (w2v, d2v, rnn)")
+    p.add_argument("--fixed", choices=["inner", "documents"], help="vectors that keep their values (d2v; w2v: inner)")
     p.add_argument("--test-init", help="start scores of the test file (boosting)")
     p.add_argument("--save-every", type=int, default=0, help="save the coefficients after each so many epochs or steps, too")
     p.add_argument("--decay", type=float, default=0.0, help="lr: the rate falls by 1 / (1 + decay * epoch)")
@@ -121,22 +123,32 @@ def sampled(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.program == "lda":
         models.save_topics(topics.lda(tokens, topics.TopicConfig(**common), a.mode).persist(), a.k, a.out)
     elif a.program == "local-lda":
-        topics.local_lda(tokens, topics.LocalConfig(**common)).write.parquet(f"{a.out}/token_topic")
+        models.save_local_topics(topics.local_lda(tokens, topics.LocalConfig(**common)).persist(), a.k, a.out)
     else:
-        topics.region_lda(tokens, topics.RegionConfig(**common, regions=a.regions)).write.parquet(f"{a.out}/token_topic")
+        models.save_region_topics(topics.region_lda(tokens, topics.RegionConfig(**common, regions=a.regions)).persist(), a.k, a.regions, a.out)
 
 
 def vectors(spark: SparkSession, a: argparse.Namespace) -> None:
     tokens = text.read_tokens(spark, a.train)
     config = embed.VectorConfig(rate=a.rate or 0.025, size=a.k, window=a.window, epochs=a.iterations, seed=a.seed)
+    codes = models.load_huffman(spark, f"{a.init}/huffman") if a.init else embed.huffman_codes(embed.vocabulary(tokens))
+    models.save_huffman(codes, f"{a.out}/huffman")
+    vocab = codes.select("token", "cnt", "id")
     if a.program == "rnn":
-        embed.rnn(tokens, config).write.parquet(f"{a.out}/network")
+        start = models.load_network(spark, f"{a.init}/network") if a.init else None
+        embed.rnn(tokens, config, vocab=vocab, start=start).write.parquet(f"{a.out}/network")
         return
-    embed.huffman_codes(embed.vocabulary(tokens)).write.parquet(f"{a.out}/huffman")
+    inner = models.load_matrix(spark, f"{a.init}/inner") if a.init else None
     if a.program == "w2v":
-        models.save_vectors(embed.word_vectors(tokens, config)[0], f"{a.out}/vector")
+        start = vocab.join(models.load_vectors(spark, f"{a.init}/vector"), "token").orderBy("id") if a.init else None
+        start = np.array([r["vec"] for r in start.collect()]) if a.init else None  # a model, not data
+        found, inner = embed.word_vectors(tokens, config, vocab=vocab, start=start, inner=inner, fixed=a.fixed == "inner")
+        models.save_vectors(found, f"{a.out}/vector", digits=10)
     else:
-        models.save_vectors(embed.train_documents(tokens, config)[0], f"{a.out}/dvector", "doc_id")
+        start = models.load_vectors(spark, f"{a.init}/dvector", "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")) if a.init else None
+        found, inner = embed.train_documents(tokens, config, vocab=vocab, start=start, inner=inner, fixed=a.fixed)
+        models.save_vectors(found, f"{a.out}/dvector", "doc_id", digits=10)
+    models.save_matrix(inner, spark, f"{a.out}/inner")
 
 
 def score(spark: SparkSession, a: argparse.Namespace) -> None:

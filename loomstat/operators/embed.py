@@ -28,6 +28,16 @@ class VectorConfig:
             raise ValueError("window is 2 at least")
 
 
+@dataclass
+class NetworkConfig(VectorConfig):
+    """The recurrent network's own defaults."""
+
+    rate: float = 0.001
+    size: int = 50
+    window: int = 3
+    epochs: int = 1
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """token, cnt, id by falling count, ties by token."""
     counted = tokens.groupBy("token").agg(F.count("*").alias("cnt")).withColumn("__less", -F.col("cnt"))
@@ -119,20 +129,20 @@ def documents(tokens: DataFrame, vocab: DataFrame, least: int = 1) -> DataFrame:
     return d.where(F.size("ids") >= least)
 
 
-def word_vectors(tokens: DataFrame, config: VectorConfig, start: np.ndarray | None = None, fixed: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+def word_vectors(tokens: DataFrame, config: VectorConfig, *, vocab: DataFrame | None = None, start: np.ndarray | None = None, inner: np.ndarray | None = None, fixed: bool = False) -> tuple[DataFrame, np.ndarray]:
     """(token, cnt, id, vec) and the inner vectors: context means predict each token.
 
-    Documents are dealt over config.partitions; each epoch the partitions learn from common vectors, which are then averaged. start continues
-    from vectors in id order, fixed keeps these inner vectors as they are.
+    Documents are dealt over config.partitions; each epoch the partitions learn from common vectors, which are then averaged. vocab,
+    start (vectors in id order) and inner continue from a model; fixed keeps the inner vectors as they are.
     """
     c = config
-    vocab = vocabulary(tokens)
+    vocab = vocabulary(tokens) if vocab is None else vocab
     words = vocab.orderBy("id").collect()
     cnt = [r["cnt"] for r in words]
     v = len(words)
     rng = np.random.default_rng(c.seed)
     vec = start if start is not None else (rng.random((v, c.size)) - 0.5) / max(1, v)
-    inner = fixed if fixed is not None else np.zeros((max(1, v - 1), c.size))
+    inner = inner if inner is not None else np.zeros((max(1, v - 1), c.size))
     docs = documents(tokens, vocab, 2).repartition(c.partitions, "doc_id").sortWithinPartitions("doc_id").persist()
     total = sum(cnt) * c.epochs
     for epoch in range(c.epochs):
@@ -147,7 +157,7 @@ def word_vectors(tokens: DataFrame, config: VectorConfig, start: np.ndarray | No
                     for i in range(len(ids)):
                         lo = max(0, min(i - c.window // 2, len(ids) - c.window))
                         near = np.delete(ids[lo : lo + c.window], i - lo)
-                        _, g = soft.step(own[near].mean(0), int(ids[i]), rate, fixed is None)
+                        _, g = soft.step(own[near].mean(0), int(ids[i]), rate, not fixed)
                         np.add.at(own, near, rate * g)
                     seen, n = seen + len(ids) * c.partitions, n + len(ids)
             yield pd.DataFrame({"kind": [0] * v + [1] * len(soft.inner), "id": [*range(v), *range(len(soft.inner))], "vec": [*(own * n).tolist(), *(soft.inner * n).tolist()], "n": n})
@@ -186,20 +196,26 @@ def document_vectors(tokens: DataFrame, vocab: DataFrame, inner: np.ndarray, con
     return documents(tokens, vocab).mapInPandas(learn, f"doc_id {dict(tokens.dtypes)['doc_id']}, vec array<double>")
 
 
-def train_documents(tokens: DataFrame, config: VectorConfig) -> tuple[DataFrame, np.ndarray]:
+def train_documents(tokens: DataFrame, config: VectorConfig, *, vocab: DataFrame | None = None, start: DataFrame | None = None, inner: np.ndarray | None = None, fixed: str | None = None) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, vec) and the inner vectors, learned together.
 
+    vocab, start (doc_id, vec) and inner continue from a model; documents that start doesn't have begin at random, tokens that vocab
+    doesn't have are left out. fixed keeps the "inner" vectors or those of "documents" as they are.
+
     Each epoch a partition moves its documents' vectors and its own copy of the inner vectors, which are then averaged by tokens; the
     documents' vectors stay with their rows.
     """
-    c, vocab = config, vocabulary(tokens)
+    if fixed not in (None, "inner", "documents"):
+        raise ValueError('fixed is None, "inner" or "documents"')
+    c, vocab = config, vocabulary(tokens) if vocab is None else vocab
     cnt = [r["cnt"] for r in vocab.orderBy("id").collect()]
-    inner = np.zeros((max(1, len(cnt) - 1), c.size))
+    inner = np.zeros((max(1, len(cnt) - 1), c.size)) if inner is None else np.array(inner, float)
     kind = dict(tokens.dtypes)["doc_id"]
-    docs = documents(tokens, vocab).withColumn("vec", F.array().cast("array<double>"))
+    docs, fresh = documents(tokens, vocab), F.array().cast("array<double>")
+    docs = docs.withColumn("vec", fresh) if start is None else docs.join(start.select("doc_id", "vec"), "doc_id", "left").withColumn("vec", F.coalesce("vec", fresh))
     docs = cut(docs.repartition(c.partitions, "doc_id").sortWithinPartitions("doc_id"))
     for _ in range(c.epochs):
-        out = cut(docs.mapInPandas(_document_epoch(c, cnt, inner), f"doc_id {kind}, ids array<int>, vec array<double>, inner int, n long"))
+        out = cut(docs.mapInPandas(_document_epoch(c, cnt, inner, fixed), f"doc_id {kind}, ids array<int>, vec array<double>, inner int, n long"))
         parts = out.where("inner IS NOT NULL AND n > 0").select("inner", "vec", "n").toPandas()
         for i, g in parts.groupby("inner"):
             inner[int(i)] = np.sum(g.vec.tolist(), axis=0) / g.n.sum()
@@ -207,8 +223,8 @@ def train_documents(tokens: DataFrame, config: VectorConfig) -> tuple[DataFrame,
     return docs.select("doc_id", "vec"), inner
 
 
-def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray):
-    """One epoch over a partition: its documents with their new vectors, then its inner vectors times its tokens."""
+def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray, fixed: str | None = None):
+    """One epoch over a partition: its documents with their new vectors, then its inner vectors times its tokens, if they move."""
     inner = inner.copy()
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,21 +235,25 @@ def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray):
             for ids, vec in zip(pdf.ids, pdf.vec, strict=True):
                 vec = np.array(vec) if len(vec) else (np.random.default_rng([c.seed, len(ids)]).random(c.size) - 0.5) / c.size
                 for t in ids:
-                    _, g = soft.step(vec, int(t), c.rate)
-                    vec = vec + c.rate * g
+                    _, g = soft.step(vec, int(t), c.rate, fixed != "inner")
+                    if fixed != "documents":
+                        vec = vec + c.rate * g
                 n += len(ids)
                 out.append(vec.tolist())
             yield pdf.assign(vec=out, inner=None, n=0)
-        yield pd.DataFrame({"doc_id": None, "ids": None, "vec": (soft.inner * n).tolist(), "inner": range(len(soft.inner)), "n": n})
+        if fixed != "inner":
+            yield pd.DataFrame({"doc_id": None, "ids": None, "vec": (soft.inner * n).tolist(), "inner": range(len(soft.inner)), "n": n})
 
     return learn
 
 
-def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: int = 3) -> tuple[list[float], dict[str, np.ndarray]]:
-    """Mean next-token loss of each epoch of an Elman network with truncated back-propagation, and its matrices."""
+def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: int = 3, start: dict[str, np.ndarray] | None = None) -> tuple[list[float], dict[str, np.ndarray]]:
+    """Mean next-token loss of each epoch of an Elman network with truncated back-propagation, and its matrices; start continues from such."""
     rng = np.random.default_rng(c.seed)
     k, v = c.size, len(cnt)
     u, w, soft = (rng.random((v, k)) - 0.5) / np.sqrt(k), (rng.random((k, k)) - 0.5) / np.sqrt(k), Softmax(cnt, k)
+    if start is not None:
+        u, w, soft.inner = (np.array(start[name], float) for name in ("u", "w", "inner"))
     losses = []
     for _ in range(c.epochs):
         total, n = 0.0, 0
@@ -256,14 +276,17 @@ def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: in
     return losses, {"u": u, "w": w, "inner": soft.inner}
 
 
-def rnn(tokens: DataFrame, config: VectorConfig, steps: int = 3) -> DataFrame:
-    """part (u, w, inner), id, vec, and the loss of each epoch (part loss): one task takes the documents in order."""
-    vocab = vocabulary(tokens)
+def rnn(tokens: DataFrame, config: VectorConfig, steps: int = 3, *, vocab: DataFrame | None = None, start: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """part (u, w, inner), id, vec, and the loss of each epoch (part loss): one task takes the documents in order.
+
+    vocab and start continue from a model.
+    """
+    vocab = vocabulary(tokens) if vocab is None else vocab
     cnt = [r["cnt"] for r in vocab.orderBy("id").collect()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
-        losses, parts = rnn_losses([np.asarray(x) for x in pdf.ids], cnt, config, steps)
+        losses, parts = rnn_losses([np.asarray(x) for x in pdf.ids], cnt, config, steps, start)
         rows = [(name, i, x.tolist()) for name, m in parts.items() for i, x in enumerate(m)]
         return pd.DataFrame(rows + [("loss", i, [x]) for i, x in enumerate(losses)], columns=["part", "id", "vec"])
 

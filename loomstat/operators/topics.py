@@ -49,9 +49,25 @@ def counts(tokens: DataFrame, *by: str) -> DataFrame:
     return tokens.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def pivoted(tokens: DataFrame, row: str, k: int) -> DataFrame:
-    """row and a column for each topic 1 .. k."""
-    return tokens.groupBy(row).pivot("topic", list(range(1, k + 1))).count().na.fill(0)
+def pivoted(tokens: DataFrame, row: str, k: int, topic: str = "topic", first: int = 1) -> DataFrame:
+    """row and a column for each topic first .. first + k - 1; tokens of other topics count nowhere, but keep their row."""
+    return tokens.groupBy(row).pivot(topic, list(range(first, first + k))).count().na.fill(0)
+
+
+def local_words(tokens: DataFrame) -> DataFrame:
+    """word and a column for each local: how many tokens (word, local, x) of the word are the local's own (x = 1)."""
+    own = F.count(F.when(F.col("x") == 1, 1))
+    return tokens.groupBy("word").pivot("local").agg(own).na.fill(0)
+
+
+def region_words(tokens: DataFrame, regions: int) -> DataFrame:
+    """word and a column for each region 0 .. regions - 1: how many tokens (word, x, t) of the word are the region's (x = 1)."""
+    return pivoted(tokens.withColumn("t", F.when(F.col("x") == 1, F.col("t"))), "word", regions, "t", 0)
+
+
+def region_dispersion(tokens: DataFrame) -> DataFrame:
+    """region, n, mx, my, vx, vy, cov, det of the places of the tokens that are a region's own."""
+    return region_stats(tokens.where("x = 1").withColumnRenamed("t", "region"), "region")
 
 
 def bucket_sums(tokens: DataFrame, doc: str, word: str, alpha: float, beta: float, k: int) -> DataFrame:

@@ -180,8 +180,8 @@ def softmax_gradients(scores: DataFrame) -> DataFrame:
     return p.withColumn("g", F.col("p") - hit).withColumn("h", F.col("p") * (1 - F.col("p")))
 
 
-def rank_gradients(scores: DataFrame, pairs: DataFrame, margin: float) -> DataFrame:
-    """row_id, g, h = 1 from sampled pairs (a, b) of row ids.
+def rank_gradients(scores: DataFrame, pairs: DataFrame, margin: float, both_ends: bool = True) -> DataFrame:
+    """row_id, g, h = 1 from sampled pairs (a, b) of row ids; with both_ends off only a's row gets its part.
 
     Of different labels, the pair counts while the higher label's score leads by less than margin: its row gets f_hi - f_lo -
     margin, the other the negative. Of one label, both are drawn together by their difference.
@@ -191,11 +191,21 @@ def rank_gradients(scores: DataFrame, pairs: DataFrame, margin: float) -> DataFr
     d = F.col("fa") - F.col("fb")
     up = F.when((F.col("ya") > F.col("yb")) & (d < margin), d - margin).when((F.col("ya") < F.col("yb")) & (-d < margin), d + margin).when(F.col("ya") == F.col("yb"), d).otherwise(0.0)
     both = pairs.join(a, "a").join(b, "b").select("a", "b", up.alias("u"))
-    ends = both.select(F.col("a").alias("row_id"), F.col("u").alias("g")).unionByName(both.select(F.col("b").alias("row_id"), (-F.col("u")).alias("g")))
+    ends = both.select(F.col("a").alias("row_id"), F.col("u").alias("g"))
+    if both_ends:
+        ends = ends.unionByName(both.select(F.col("b").alias("row_id"), (-F.col("u")).alias("g")))
     g = ends.groupBy("row_id").agg(F.sum("g").alias("g"))
     return scores.join(g, "row_id", "left").select("row_id", F.coalesce("g", F.lit(0.0)).alias("g"), F.lit(1.0).alias("h"))
 
 
+def two_class_gradients(scores: DataFrame, pairs: DataFrame, margin: float, both_ends: bool = False) -> DataFrame:
+    """rank_gradients of label 1 against all other labels; pairs within one of the two count nothing."""
+    one = scores.withColumn("label", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+    side = lambda end: one.select(F.col("row_id").alias(end), F.col("label").alias(f"y{end}"))
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").where("ya <> yb").select("a", "b")
+    return rank_gradients(one, apart, margin, both_ends)
+
+
 def rank_pairs(rows: DataFrame, sample: int, seed: int) -> DataFrame:
     """For every row and class, sample consecutive rows of that class from a random start: (a, b)."""
     numbered = rows.select("row_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("row_id")) - 1).alias("k"))

@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import order, scalar
 from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, series, topics, trees
 from loomstat.plans import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL for the same rows."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
+from loomstat.plans import text_queries  # noqa: F401  (registers its queries)
+from loomstat.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 def r(column, digits: int = 6):
     return F.round(column, digits)

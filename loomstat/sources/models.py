@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +69,48 @@ def save_topics(tokens: DataFrame, k: int, path: str) -> None:
     tokens.write.parquet(f"{path}/token_topic")
 
 
+def save_local_topics(tokens: DataFrame, k: int, path: str) -> None:
+    """save_topics of the global tokens, and word_local with a column a local, as Parquet below path."""
+    save_topics(tokens, k, path)
+    topics.local_words(tokens).write.parquet(f"{path}/word_local")
+
+
+def save_region_topics(tokens: DataFrame, k: int, regions: int, path: str) -> None:
+    """doc_topic and word_topic with a column a topic 0 .. k - 1, word_local with one a region, local_disp and token_topic, as Parquet below path."""
+    shared = tokens.withColumn("t", F.when(F.col("x") == 0, F.col("t")))
+    for row in ("doc", "word"):
+        topics.pivoted(shared, row, k, "t", 0).write.parquet(f"{path}/{row}_topic")
+    topics.region_words(tokens, regions).write.parquet(f"{path}/word_local")
+    topics.region_dispersion(tokens).write.parquet(f"{path}/local_disp")
+    tokens.write.parquet(f"{path}/token_topic")
+
+
 def save_huffman(codes: DataFrame, path: str) -> None:
     codes.write.parquet(path)
 
 
+def load_huffman(spark: SparkSession, path: str) -> DataFrame:
+    """token, cnt, id, path, code: the vocabulary and its tree."""
+    return spark.read.parquet(path)
+
+
+def save_matrix(matrix: np.ndarray, spark: SparkSession, path: str) -> None:
+    """id and its vector, a row of the matrix each."""
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(matrix)], "id int, vec array<double>").write.parquet(path)
+
+
+def load_matrix(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array([r["vec"] for r in spark.read.parquet(path).orderBy("id").collect()])  # a model, not data
+
+
+def load_network(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """The matrices u, w and inner that embed.rnn gave out, by name."""
+    parts: dict[str, list] = {}
+    for r in spark.read.parquet(path).where("part <> 'loss'").orderBy("part", "id").collect():  # a model, not data
+        parts.setdefault(r["part"], []).append(r["vec"])
+    return {name: np.array(rows) for name, rows in parts.items()}
+
+
 def save_scores(scores: DataFrame, path: str, digits: int = 10) -> None:
     """row_id, f in order of rows within partitions."""
     write_tsv(scores, path, {"row_id": "%d", "f": f"%.{digits}f"})

@@ -89,7 +89,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
     """row_id, v of width numbers a line, split at white space; a line of another width is an error."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), r"\s+").alias("f"))
+    lines = numbered_lines(spark, path).select("row_id", F.split(F.trim("value"), r"\s+").alias("f"))
     v = F.transform("f", scalar.to_double)
     return lines.select("row_id", F.when(F.size("f") == width, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {width} numbers, found "), F.size("f").cast("string")))).alias("v"))
 

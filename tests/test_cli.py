@@ -48,3 +48,15 @@ def test_lr_reports_and_saves_each_epoch(spark, tmp_path, capsys):
     (tmp_path / "in").write_text(TWO)
     cli.main(["batch", "--train", str(tmp_path / "in"), "--test", str(tmp_path / "in"), "--out", str(tmp_path / "m"), *"--lam 0.5 --norm 2 --iterations 2 --save-every 1".split()], spark)
     assert list((tmp_path / "m/coe_1").glob("part-*")) and "1 test: loss" in capsys.readouterr().out
+
+
+def test_vectors_continue_from_a_saved_model(spark, tmp_path):
+    (tmp_path / "in").write_text(WORDS)
+    for program, made in (("w2v", "vector"), ("d2v", "dvector"), ("rnn", "network")):
+        one, two = str(tmp_path / program / "1"), str(tmp_path / program / "2")
+        common = [program, "--train", str(tmp_path / "in"), "--k", "3", "--iterations", "1", "--rate", "0.5"]
+        cli.main([*common, "--out", one], spark)
+        cli.main([*common, "--out", two, "--init", one], spark)
+        assert list((tmp_path / program / "2" / made).glob("part-*"))
+        if program != "rnn":
+            assert (models.load_matrix(spark, f"{one}/inner") != models.load_matrix(spark, f"{two}/inner")).any()

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from loomstat.operators import series
+from loomstat.operators import embed, series
 from loomstat.sources import models
 from loomstat.streaming import changepoint
 
@@ -54,3 +55,35 @@ def test_models_round_trip(spark, tmp_path):
     t = spark.createDataFrame([("d", "w", 1), ("d", "v", 2)], "doc string, word string, topic int")
     models.save_topics(t, 2, str(tmp_path / "tp"))
     assert spark.read.parquet(str(tmp_path / "tp/doc_topic")).first()["2"] == 1
+
+def test_document_vectors_continue_with_one_side_fixed(spark):
+    rows = [(d, p, t) for d in range(12) for p, t in enumerate(("a", "b", "c", "a") if d % 2 else ("x", "y", "z", "x"))]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, token string")
+    c = embed.VectorConfig(epochs=3, size=6, rate=0.2)
+    vocab = embed.vocabulary(tokens)
+    vecs, inner = embed.train_documents(tokens, c)
+    before = {r.doc_id: r.vec for r in vecs.collect()}
+    moved, same = embed.train_documents(tokens, c, vocab=vocab, start=vecs, inner=inner, fixed="inner")
+    assert (same == inner).all() and {r.doc_id: r.vec for r in moved.collect()} != before
+    still, other = embed.train_documents(tokens, c, vocab=vocab, start=vecs, inner=inner, fixed="documents")
+    assert {r.doc_id: r.vec for r in still.collect()} == before and (other != inner).any()
+    on, further = embed.train_documents(tokens, c, vocab=vocab, start=vecs, inner=inner)
+    assert (further != inner).any() and {r.doc_id: r.vec for r in on.collect()} != before
+    with pytest.raises(ValueError, match="fixed"):
+        embed.train_documents(tokens, c, fixed="vocabulary")
+    _, kept = embed.word_vectors(tokens, c, vocab=vocab, inner=inner, fixed=True)
+    assert (kept == inner).all()
+
+
+def test_network_continues_from_a_saved_one(spark, tmp_path):
+    rows = [(d, p, t) for d in range(10) for p, t in enumerate("abcabcab")]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, token string")
+    c, path = embed.NetworkConfig(rate=0.1, size=6, epochs=2), str(tmp_path / "network")
+    embed.rnn(tokens, c).write.parquet(path)
+    start = models.load_network(spark, path)
+    assert {n: m.shape for n, m in start.items()} == {"u": (3, 6), "w": (6, 6), "inner": (2, 6)}
+    loss = lambda df: [r.vec[0] for r in df.where("part = 'loss'").orderBy("id").collect()]
+    twice = loss(embed.rnn(tokens, c, start=start))
+    whole = loss(embed.rnn(tokens, embed.NetworkConfig(rate=0.1, size=6, epochs=4)))
+    assert twice == pytest.approx(whole[2:])
+    assert (embed.NetworkConfig().rate, embed.NetworkConfig().size, embed.NetworkConfig().window, embed.NetworkConfig().epochs) == (0.001, 50, 3, 1)
