@@ -144,11 +144,11 @@ def saved_coefficients(spark, sf):
     return models.load_coefficients(spark, path)
 
 
-@query("SELECT CAST(e.vec_id AS VARCHAR) AS token, CAST(g.i - 1 AS INTEGER) AS i, round(e.embedding[g.i]::DOUBLE, 5) AS x FROM embeddings e, (SELECT unnest(range(1, 65)) AS i) g")
+@query("SELECT CAST(e.vec_id AS VARCHAR) AS token, CAST(g.i - 1 AS INTEGER) AS i, round(e.embedding[g.i]::DOUBLE, 9) AS x FROM embeddings e, (SELECT unnest(range(1, 65)) AS i) g")
 def saved_vectors(spark, sf):
     path = folder(spark, "vectors")
     models.save_vectors(fx.table(spark, sf, "embeddings"), path, "vec_id", "embedding", digits=9)
-    return models.load_vectors(spark, path).select("token", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 5))
+    return models.load_vectors(spark, path).select("token", F.posexplode("vec").alias("i", "x"))
 
 
 SMALL_TREE = [(0, 9, 0, "qty", 24.5, 0.0, 0.5, 1, 2), (1, 5, 1, None, None, 0.5, 0.0, -1, -1), (2, 4, 0, "disc", 0.05, 0.0, 0.25, 3, 4), (3, 2, 1, None, None, 2.0, 0.0, -1, -1), (4, 2, 1, None, None, -0.25, 0.0, -1, -1)]
