@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -175,3 +176,30 @@ def test_pipeline_stages(spark, tmp_path):
     run = corpus_pipeline.run(spark, sf)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run.select(*key).collect())) == sorted(map(tuple, now.select(*key).collect()))
+
+
+def test_pipeline_of_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Every kept document's taken copies lie whole in the sequences; copies and repeated rows are taken for one."""
+    rows, sf = edge_rows(), str(tmp_path)
+    spark.createDataFrame([(i, t, None if i == 3 else "en", s, len(t) if t else None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    now = common.read(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.materialize(stage(spark, now, sf), name)
+        if name == "toxicity":
+            assert now.count() == len(rows)
+        if name == "near_dup":
+            kept = [r.doc_id for r in now.collect()]
+            assert 103 in kept and 104 not in kept and kept.count(105) == 1
+    taken = Counter(r.doc_id for r in now.collect())
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+        places[r.sequence_id].append((r.offset, r.length))
+    assert {i: sum(p == 0 for p, *_ in got) for i, got in pieces.items()} == taken
+    for got in pieces.values():
+        copies = sum(p == 0 for p, *_ in got)
+        assert all(start == 4096 * p and 0 < n <= 4096 for p, start, n in got) and len(got) % copies == 0
+    for got in places.values():
+        got.sort()
+        assert [o for o, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))] and sum(n for _, n in got) <= 4096

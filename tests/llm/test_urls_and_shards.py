@@ -1,6 +1,11 @@
+import math
+import random
+import struct
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import xxhash
+
 from loomstat.llm import sharding, url_filter
 
 from .helpers import docs, edge_rows, prose
@@ -59,3 +64,51 @@ def test_links_are_kept_together_and_sizes_equal(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8
     r = sharding.cut_links(placed).first()
     assert r["cut"] <= 0.02 * r["groups"] + 1  # only the hot group has to be cut, and what stands at a border
+
+
+def spark_hash(*values):
+    """xxhash64 of longs ("q") and ints ("i"), as (format, value)."""
+    seed = 42
+    for form, value in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<" + form, value), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_propagation(mass, n_shards, capacity):
+    """mass {(link, unit): {shard: bytes}} when no unit finds a shard with room any more."""
+    while True:
+        loads, hubs, asks = Counter(), defaultdict(Counter), defaultdict(list)
+        for (link, _), here in mass.items():
+            loads.update(here)
+            hubs[link].update(here)
+        for (link, unit), here in mass.items():
+            total = sum(here.values())
+            fits = [(near, capacity - loads[s], spark_hash(("q", unit), ("i", s)), s) for s, near in hubs[link].items() if total - here.get(s, 0) <= capacity - loads[s]]
+            if len(here) > 1 and fits:
+                near, _, _, s = max(fits)
+                rank = sharding.ORDER_CELLS - 1 - min(sharding.ORDER_CELLS // 4 - 1, math.floor(math.log2(near))) * 4 - spark_hash(("q", unit)) % 4
+                asks[s].append((rank, -near, unit, total - here.get(s, 0), link))
+        moves = {}
+        for s, queue in asks.items():
+            before = 0
+            for _, _, unit, more, link in sorted(queue):
+                if before + more <= capacity - loads[s]:
+                    moves[link, unit] = s
+                before += more
+        if not moves:
+            return mass
+        mass = {key: {moves[key]: sum(here.values())} if key in moves else here for key, here in mass.items()}
+
+
+def test_propagation_matches_plain_rounds(spark):
+    for seed, spare in ((1, 1.0), (2, 1.0), (3, 1.3)):
+        rng, mass = random.Random(seed), {}
+        for unit in range(160):
+            link = unit if unit < 120 else 1000 + unit % 3  # three groups of many units, and groups of one
+            mass[link, unit] = {s: rng.choice([1, 5, 5, 40, 300]) for s in rng.sample(range(6), rng.randrange(1, 5))}
+        capacity = spare * sum(sum(h.values()) for h in mass.values()) / 6
+        table = spark.createDataFrame([(k, u, s, b) for (k, u), here in mass.items() for s, b in here.items()], "link long, unit long, shard int, bytes long")
+        got = defaultdict(dict)
+        for r in sharding._propagate(table, 6, capacity).collect():
+            got[r.link, r.unit][r.shard] = r.bytes
+        assert got == plain_propagation(mass, 6, capacity)
