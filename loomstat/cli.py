@@ -37,7 +37,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def dictionary(features: DataFrame) -> DataFrame:
-    return encode.first_appearance(features.select("name", (F.col("row_id") * 4096 + F.least("pos", F.lit(4095))).alias("at")), "name", "at")
+    return encode.first_appearance(features.select("name", (F.col("row_id") * (1 << 24) + F.col("pos")).alias("at")), "name", "at")
 
 
 def report(name: str, scored: DataFrame) -> None:

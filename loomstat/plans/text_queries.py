@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.functions import scalar
 from loomstat.operators import embed, trees
 from loomstat.plans import fixtures as fx
 from loomstat.plans.registry import query
@@ -265,3 +266,32 @@ def rank_one_sided(spark, sf):
 @query(f"WITH {GIVEN_SQL}, ends AS (SELECT a AS row_id, u FROM ups UNION ALL SELECT b, -u FROM ups) SELECT row_id, round(coalesce(sum(u), 0), 9) AS g FROM sc LEFT JOIN ends USING (row_id) GROUP BY 1")
 def rank_two_sided(spark, sf):
     return trees.two_class_gradients(*_given(spark, sf), 0.5, both_ends=True).select("row_id", F.round("g", 9).alias("g"))
+
+
+@query("""SELECT event_id, event_type AS both_ends, event_type || chr(9) || ' ' AS left_end, '  ' || event_type AS right_end,
+  event_type AS second, 4 AS parts, value AS number, CAST(event_id AS DOUBLE) AS leading, 0.0::DOUBLE AS no_number, event_id AS whole FROM events""")
+def text_functions(spark, sf):
+    """Trimming, splitting with empty parts, and numbers that a text begins with."""
+    e = fx.table(spark, sf, "events")
+    word, parts = F.col("event_type"), scalar.split_keep_empty(F.concat(F.lit("x\t"), "event_type", F.lit("\t|")), "\t|")
+    return e.select(
+        "event_id", scalar.trim(F.concat(F.lit(" \r\n"), word, F.lit("\t "))).alias("both_ends"), scalar.trim(F.concat(F.lit("  "), word, F.lit("\t ")), right=False).alias("left_end"),
+        scalar.trim(F.concat(F.lit("  "), word, F.lit("\t ")), left=False).alias("right_end"), parts[1].alias("second"), F.size(parts).alias("parts"),
+        F.when(F.col("value").isNotNull(), scalar.to_double(F.col("value").cast("string"))).alias("number"), scalar.to_double(F.concat(F.col("event_id").cast("string"), F.lit(".0e0 units"))).alias("leading"),
+        scalar.to_double(F.concat(F.lit("n"), word)).alias("no_number"), scalar.to_long(F.concat(F.col("event_id").cast("string"), F.lit(".75"))).alias("whole"),
+    )
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings)
+  SELECT vec_id, CASE WHEN a < 0 AND b > 0 OR a > 0 AND b < 0 THEN 0 ELSE b END AS clipped, round(CASE WHEN abs(a) < 6 * abs(b) THEN pow(1 - pow(a / (6 * abs(b)), 2), 2) ELSE 0 END, 9) AS bisquare,
+  round(sqrt(pow(a - c, 2) + pow(b - d, 2)), 9) AS distance, round(pow(1 - pow(abs(a) / (abs(a) + abs(b)), 3), 3), 9) AS tricube, 0.0::DOUBLE AS penalty0, 1.0::DOUBLE AS penalty1, 2 * vec_id + 1 AS penalty2,
+  round(a * d - b * c, 9) AS det FROM e""")
+def scalar_functions(spark, sf):
+    """Clipping at 0, robust and distance weights, the distance of points, penalties of a further break, a determinant."""
+    a, b, c, d = (F.col("embedding")[i].cast("double") for i in range(4))
+    values = {
+        "clipped": scalar.clip_crossing(a, b), "bisquare": F.round(scalar.bisquare(a, F.abs(b)), 9), "distance": F.round(F.sqrt(scalar.squared_distance(F.array(a, b), F.array(c, d))), 9),
+        "tricube": F.round(scalar.tricube(a, F.abs(a) + F.abs(b)), 9), "penalty0": scalar.growth_penalty(F.col("vec_id"), 0), "penalty1": scalar.growth_penalty(F.col("vec_id"), 1),
+        "penalty2": scalar.growth_penalty(F.col("vec_id"), 2), "det": F.round(a * d - b * c, 9),
+    }
+    return fx.table(spark, sf, "embeddings").select("vec_id", *[v.alias(n) for n, v in values.items()])
