@@ -3,7 +3,7 @@
 Pieces are dealt into blocks. A block has several islands, each a row of its own with its packings, and an epoch of
 generations maps over these rows, so islands of a block evolve in different tasks. In a generation a child copies one
 parent, takes over some of the other's best-filled bins whole, drops its own bins that share a piece with them and
-best-fits the displaced pieces, longest first. Between epochs a shuffle brings each island's elite to the next one in
+best-fits the displaced pieces, longest first; or it mutates, breaking its emptiest bins and some others. Between epochs a shuffle brings each island's elite to the next one in
 the ring. Islands stop early only where nothing is left to gain: as few bins as the sizes allow, all but one full to
 the last token. The best packing of all islands counts. Its well-filled bins are final, the pieces of its other bins
 move on into fewer blocks, until one block holds what is left. A task has a block's sizes at a time.
@@ -12,6 +12,7 @@ move on into fewer blocks, until one block holds what is left. A task has a bloc
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from .tokens import END_ID, encoder, tokenizer_path
 
 CAPACITY = 4096
 BLOCK = 4096
-ISLANDS, PACKINGS, EPOCHS, GENERATIONS = 2, 3, 3, 2
+ISLANDS, PACKINGS, EPOCHS, GENERATIONS = 2, 8, 3, 2
+#: The share of its emptiest bins, and of any bins, that a mutation breaks.
+BROKEN = 0.02
 #: A bin with less than this share of its capacity free is final.
 WASTE = 1 / 256
 #: Where more than this share of the pieces would move on, the blocks' pieces do not fit together, and their bins are final.
@@ -40,8 +43,9 @@ class Bins:
         self.sizes, self.capacity = sizes, capacity
         self.items: list[list[int]] = []
         self.free: list[int] = []
-        self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.by_free: defaultdict[int, list[int]] = defaultdict(list)
         self.mask = 0
+        self.known: tuple[int, int] | None = None
 
     @classmethod
     def of(cls, sizes: list[int], capacity: int, packing: np.ndarray) -> Bins:
@@ -65,13 +69,14 @@ class Bins:
         return len(self.items) <= -(-sum(self.sizes) // self.capacity) and sum(f > 0 for f in self.free) <= 1
 
     def add_bin(self, items: list[int], free: int) -> None:
+        self.known = None
         self.by_free[free].append(len(self.items))
         self.mask |= 1 << free
         self.items.append(items)
         self.free.append(free)
 
     def best_fit(self, order: list[int]) -> None:
-        sizes, by_free, free_of = self.sizes, self.by_free, self.free
+        sizes, by_free, free_of, self.known = self.sizes, self.by_free, self.free, None
         for i in order:
             size = sizes[i]
             fits = self.mask >> size
@@ -90,7 +95,9 @@ class Bins:
 
     def fitness(self) -> tuple[int, int]:
         """Fewer bins first, then the sum of squares of the fill: uneven fill leaves space together."""
-        return -len(self.items), sum((self.capacity - f) ** 2 for f in self.free)
+        if self.known is None:
+            self.known = -len(self.items), sum((self.capacity - f) ** 2 for f in self.free)
+        return self.known
 
 
 def cross(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
@@ -112,6 +119,23 @@ def cross(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
     return child
 
 
+def mutate(a: Bins, rng: np.random.Generator) -> Bins:
+    """a with its emptiest bins and as many others broken, and their pieces best-fitted again in order of blurred sizes."""
+    count = max(2, int(len(a.items) * BROKEN))
+    broken = set(sorted(range(len(a.items)), key=a.free.__getitem__, reverse=True)[:count])
+    broken.update(rng.integers(0, len(a.items), count).tolist())
+    child = Bins(a.sizes, a.capacity)
+    loose = []
+    for j, (items, free) in enumerate(zip(a.items, a.free, strict=True)):
+        if j in broken:
+            loose += items
+        else:
+            child.add_bin(list(items), free)
+    blurred = {i: a.sizes[i] * x for i, x in zip(loose, rng.uniform(0.8, 1.2, len(loose)).tolist(), strict=True)}
+    child.best_fit(sorted(loose, key=blurred.__getitem__, reverse=True))
+    return child
+
+
 def settle(sizes: list[int], capacity: int, island: int, rng: np.random.Generator) -> list[Bins]:
     """An island's first packings: best fit of the falling sizes, which the first island has as they are, others blurred."""
     out = []
@@ -124,11 +148,19 @@ def settle(sizes: list[int], capacity: int, island: int, rng: np.random.Generato
 
 
 def generation(island: list[Bins], rng: np.random.Generator) -> None:
-    """One child of the best and another packing, in place of the worst if it is better."""
+    """One child, crossed or mutated by turns of a coin, in place of the worst packing if it is better and none is its equal.
+
+    A parent is the better of two packings drawn. Children as fit as a packing at hand are refused, or copies of one packing
+    would soon fill the island, and crossing them brings nothing new.
+    """
     island.sort(key=Bins.fitness, reverse=True)
-    other = int(rng.integers(1, len(island)))
-    child = cross(*((island[0], island[other]) if rng.random() < 0.5 else (island[other], island[0])), rng)
-    if child.fitness() > island[-1].fitness():
+    first = int(rng.integers(0, len(island), 2).min())
+    if rng.random() < 0.5:
+        child = mutate(island[first], rng)
+    else:
+        others = [x for j, x in enumerate(island) if j != first]
+        child = cross(island[first], others[int(rng.integers(0, len(others), 2).min())], rng)
+    if child.fitness() > island[-1].fitness() and all(child.fitness() != x.fitness() for x in island):
         island[-1] = child
 
 

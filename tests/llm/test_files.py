@@ -156,6 +156,23 @@ def test_islands_cross_migrate_and_beat_best_fit(spark):
     assert sum(r.bins for r in found.values()) < sum(map(plain_best_fit, blocks))
 
 
+def test_generations_keep_an_island_varied():
+    """A child is no copy in fitness of another packing, and later generations still save bins."""
+    sizes = sorted(np.random.default_rng(7).integers(700, 1700, 1000).tolist(), reverse=True)
+    rng = np.random.default_rng(1)
+    island = packing.settle(sizes, 4096, 0, rng)
+    bins = []
+    for at in range(101):
+        if at in (0, 12, 100):
+            bins.append(min(len(x.items) for x in island))
+        packing.generation(island, rng)
+    assert bins[0] > bins[1] > bins[2] and bins[2] <= 301
+    assert len(island) >= 8 and len({x.fitness() for x in island}) == len(island)
+    for x in island:
+        assert sorted(i for own in x.items for i in own) == list(range(1000))
+        assert x.free == [4096 - sum(sizes[i] for i in own) for own in x.items] and min(x.free) >= 0
+
+
 def test_islands_work_on_the_registered_table(spark):
     """Blocks of real lengths are not perfect after best fit: children are born and elites move."""
     lengths = common.read(spark, "/root/testdata/sf0.001", "documents").selectExpr("0L AS block", "CAST(least(4096, 1 + length(text) div 5) AS BIGINT) AS length")
