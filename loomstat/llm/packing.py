@@ -25,7 +25,7 @@ from .tokens import END_ID, encoder, tokenizer_path
 
 CAPACITY = 4096
 BLOCK = 4096
-ISLANDS, PACKINGS, EPOCHS, GENERATIONS = 2, 8, 3, 2
+ISLANDS, PACKINGS, EPOCHS, GENERATIONS = 2, 8, 4, 48
 #: The share of its emptiest bins, and of any bins, that a mutation breaks.
 BROKEN = 0.02
 #: A bin with less than this share of its capacity free is final.
@@ -213,7 +213,7 @@ def _evolved(batches: Iterator[pa.RecordBatch], capacity: int, epoch: int) -> It
                 moved += 1
             rng = np.random.default_rng([SEED, block, number, epoch])
             for _ in range(GENERATIONS):
-                if any(x.perfect() for x in island):
+                if max(island, key=Bins.fitness).perfect():
                     break
                 generation(island, rng)
                 crossed += 1

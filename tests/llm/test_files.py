@@ -173,6 +173,15 @@ def test_generations_keep_an_island_varied():
         assert x.free == [4096 - sum(sizes[i] for i in own) for own in x.items] and min(x.free) >= 0
 
 
+def test_generations_are_enough_to_save_bins(spark):
+    sizes = sorted(np.random.default_rng(7).integers(700, 1700, 1000).tolist(), reverse=True)
+    order = spark.createDataFrame([(0, i, x) for i, x in enumerate(sizes)], "block long, index int, length long")
+    r = packing.search(order, 1, 4096).first()
+    best = packing.Bins.of(sizes, 4096, np.frombuffer(r.elite, np.uint32))
+    assert r.crossed >= 300 and min(best.free) >= 0 and len(best.items) == r.bins
+    assert r.bins <= 300 < plain_best_fit(sizes)
+
+
 def test_islands_work_on_the_registered_table(spark):
     """Blocks of real lengths are not perfect after best fit: children are born and elites move."""
     lengths = common.read(spark, "/root/testdata/sf0.001", "documents").selectExpr("0L AS block", "CAST(least(4096, 1 + length(text) div 5) AS BIGINT) AS length")
