@@ -7,7 +7,7 @@ import os
 import re
 import sys
 from array import array
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 
@@ -19,13 +19,13 @@ LONG = 1 << 22
 #: How the word tokenizer's file splits and normalises. It drops white space, so words are independent.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-#: Full stops and commas between a letter and white space are a token run of their own.
-TAIL = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,]+(?=[\s]|$)")
+#: ASCII punctuation after a letter: a token run always ends before it.
+AFTER_LETTER = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 #: Words of Latin letters only: one token run each.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: a for ASCII letters, digits, white space and the bytes of Latin letters, . for other ASCII, X for what starts other characters.
 KIND = bytes(ord("a") if chr(i).isalnum() and i < 128 or i in b" \t\n\r\x0b\x0c" or 0x80 <= i < 0xC0 or i == 0xC3 else ord(".") if i < 128 else ord("X") for i in range(256))
-JOINED = 512
+JOINED = 128
 #: Texts that are split at a time.
 BATCH = 512
 
@@ -36,16 +36,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Numbers(dict):
+    """Words with their numbers; one that is not known gets the next number and is listed as new."""
+
+    def __init__(self, known: list[bytes] = ()):
+        super().__init__(zip(known, range(len(known))))
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """ids(text) as little-endian bytes, width bytes an id, without special tokens around it.
 
     Where the tokenizer splits at white space and drops it, a text's ids are its words' ids strung together. Each distinct
     word is then encoded once, which is what most of the time goes to otherwise; any other tokenizer gets whole texts.
+    Words of Latin letters need no more of the normalizer than lower case and are one run each: they go to the library's same
+    model and byte alphabet without its regular expression, and without its cache, since none comes twice.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -53,12 +68,35 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         norm = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.by_word = norm == NORMALIZERS and pre.get("pattern") == {"Regex": SPLIT} and pre.get("invert") and not spec.get("post_processor")
-        self.words: dict[bytes, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        pre, *after = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        level = len(after) == 1 and after[0]["type"] == "ByteLevel" and not after[0]["use_regex"] and not after[0]["add_prefix_space"]
+        model = spec["model"]
+        same = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.by_word = norm == NORMALIZERS and pre.get("pattern") == {"Regex": SPLIT} and pre.get("invert") and level and same and not spec.get("post_processor")
+        if not self.by_word:
+            return
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        self.letters = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
+        self._keep([])
+
+    def _keep(self, words: list[bytes]) -> None:
+        """Forget all but these of the known words. Word n has the count[n] ids of pool from first[n]."""
+        if words:
+            numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            self.pool, self.count = self._ids(numbers), self.count[numbers]
+            self.first = np.cumsum(self.count) - self.count
+        else:
+            self.pool, self.first, self.count = np.empty(0, f"<u{self.width}"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words = Numbers(words)
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these words strung together."""
+        count = self.count[numbers]
+        shift = self.first[numbers] - np.cumsum(count) + count
+        return self.pool[np.repeat(shift, count) + np.arange(count.sum())]
 
     def _pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -74,7 +112,7 @@ class Encoder:
         data = data.lower()
         kinds = data.translate(KIND)
         if b"X" in kinds or b".." in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data:
-            return TAIL.sub(rb" \g<0>", data).split()
+            return AFTER_LETTER.sub(rb" \g<0>", data).split()
         # no two characters in a row are neither letter, digit nor space: every full stop and comma is a run of its own
         return data.replace(b".", b" .").replace(b",", b" ,").split()
 
@@ -95,7 +133,7 @@ class Encoder:
         out = []
         for at in range(0, len(texts), BATCH):
             batch = [t or "" for t in texts[at : at + BATCH]]
-            if max(map(len, batch)) > LONG:
+            if sum(map(len, batch)) > LONG:
                 out += [b"".join(self._encode([p])[0] for p in self._parts(t)) for t in batch]
             else:
                 out += self._encode(batch)
@@ -103,22 +141,38 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        words = self.words
-        if len(words) > MOST_WORDS:  # short words are the frequent ones
-            short = {w: ids for w, ids in words.items() if len(w) <= SHORT}
-            words = self.words = short if len(short) < MOST_WORDS // 2 else {}
-        new = set().union(*split).difference(words)
-        plain = [w for w in new if LETTERS.fullmatch(w)]
-        rest = new.difference(plain)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            words[w] = self._pack(e.ids)
-        # many words of one run each in one call: the ids of a word end at the first id that ends a run
-        joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for part, e in zip(joined, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in joined], add_special_tokens=False), strict=True):
-            data, at = self._pack(e.ids), 0
-            for w, end in zip(part, ((np.flatnonzero(self.ends[e.ids]) + 1) * self.width).tolist(), strict=True):
-                words[w], at = data[at:end], end
-        return [b"".join(itemgetter(*s)(words)) if len(s) > 1 else words[s[0]] if s else b"" for s in split]
+        if len(self.words) > MOST_WORDS:  # short words are the frequent ones
+            short = [w for w in self.words if len(w) <= SHORT]
+            self._keep(short if len(short) < MOST_WORDS // 2 else [])
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new = []
+        data = self._ids(numbers).tobytes()
+        before = np.concatenate([[0], np.cumsum(self.count[numbers])])
+        ends = (before[np.cumsum(sizes)] * self.width).tolist()
+        return [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add the ids of the words with the next numbers."""
+        plain = [i for i, w in enumerate(new) if w.isalpha() or LETTERS.fullmatch(w)]
+        rest = sorted(set(range(len(new))).difference(plain))
+        # many words of one run each in one text: the ids of a word end at the first id that ends a run
+        joined = [b" ".join([new[i] for i in plain[at : at + JOINED]]).decode().lower() for at in range(0, len(plain), JOINED)]
+        ids = list(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(joined, add_special_tokens=False)))
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False)]
+        ends = np.flatnonzero(self.ends[ids]) + 1 if ids else np.empty(0, np.int64)
+        if len(ends) != len(plain):
+            raise ValueError("a word of letters is not one token run")
+        count = np.empty(len(new), np.int64)
+        count[plain] = np.diff(ends, prepend=0)
+        count[rest] = np.fromiter(map(len, own), np.int64, len(own))
+        order = np.array([*plain, *rest], np.int64)
+        first = np.empty(len(new), np.int64)
+        first[order] = len(self.pool) + np.cumsum(count[order]) - count[order]
+        self.pool = np.concatenate([self.pool, np.array([*ids, *chain.from_iterable(own)], self.pool.dtype)])
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
 
 
 _encoders: dict[str, Encoder] = {}

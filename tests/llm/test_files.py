@@ -37,6 +37,20 @@ def test_words_encode_like_whole_texts(tokenizer, monkeypatch):
     assert not other.by_word and np.frombuffer(other.encode(["Hello  world."])[0], "<u2").size > 0
 
 
+def test_punctuation_after_letters_makes_no_new_words(tokenizer, monkeypatch):
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    texts = ["Oneash oneash,!! oneash. oneash*** été&&& ÉTÉ!?", None, "", "été oneash"]
+    whole = lambda texts: [ids_of(tokenizer, t)[:-1].astype("<u2").tobytes() for t in texts]
+    assert encoder.encode(texts) == whole(texts)
+    assert {w for w in encoder.words if w[:1].isalpha() or w[0] > 127} == {"oneash".encode(), "été".encode(), "ÉtÉ".encode()}
+    odd = ["don't.x we'll''s a'S O'Re \"q\"", "a=\u0338b é\u0301. ÿ.. ß, Þ-ð ×, a÷. x/y", "a.\u0301 b.日 c,9 9,c A-1-b", "ΟΔΟΣ. Σ, a_b [c] {d}~", "e\u0301, E\u0301! ŉ. ﬁ. K, Å."]
+    assert encoder.encode(odd) == whole(odd)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 12)  # words are forgotten and learned again
+    many = [*odd, *[prose(i, 40) for i in range(30)], *texts]
+    small = tokens.Encoder(tokens.tokenizer_path())
+    assert [small.encode([t])[0] for t in many * 2] == whole(many * 2)
+
+
 @pytest.mark.parametrize("shard_bytes", [1 << 24, 20_000])
 def test_token_files_round_trip(spark, tokenizer, monkeypatch, shard_bytes):
     monkeypatch.setattr(token_files, "SHARD_BYTES", shard_bytes)
