@@ -12,8 +12,11 @@ move on into fewer blocks, until one block holds what is left. A task has a bloc
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, compress
+from operator import mul, not_
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, read, tidy
-from .tokens import END_ID, encoder, tokenizer_path
+from .tokens import END_ID, encoder, slices, tokenizer_path
 
 CAPACITY = 4096
 BLOCK = 4096
@@ -37,66 +40,67 @@ SEED = 5
 
 
 class Bins:
-    """Bins of items, with the bins by free space, and the free spaces as bits of one integer for best fit."""
+    """Bins of items and their free space. Packings share the lists of items in a bin, which are never changed in place."""
 
-    def __init__(self, sizes: list[int], capacity: int):
+    def __init__(self, sizes: list[int], capacity: int, items: list[list[int]] | None = None, free: list[int] | None = None):
         self.sizes, self.capacity = sizes, capacity
-        self.items: list[list[int]] = []
-        self.free: list[int] = []
-        self.by_free: defaultdict[int, list[int]] = defaultdict(list)
-        self.mask = 0
+        self.items, self.free = items or [], free or []
         self.known: tuple[int, int] | None = None
 
     @classmethod
     def of(cls, sizes: list[int], capacity: int, packing: np.ndarray) -> Bins:
         """From the bin of each item."""
-        out = cls(sizes, capacity)
-        items: list[list[int]] = [[] for _ in range(int(packing.max()) + 1 if len(packing) else 0)]
-        for i, b in enumerate(packing.tolist()):
-            items[b].append(i)
-        for own in items:
-            out.add_bin(own, capacity - sum(sizes[i] for i in own))
-        return out
+        packing = packing.astype(np.int64)
+        order = np.argsort(packing, kind="stable").tolist()
+        ends = np.cumsum(np.bincount(packing)).tolist()
+        filled = np.bincount(packing, sizes).astype(np.int64)  # whole numbers far below 2^53
+        return cls(sizes, capacity, [order[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], (capacity - filled).tolist())
 
     def packing(self) -> np.ndarray:
         out = np.empty(len(self.sizes), np.uint32)
-        for b, items in enumerate(self.items):
-            out[items] = b
+        out[np.fromiter(chain.from_iterable(self.items), np.int64, len(out))] = np.repeat(np.arange(len(self.items)), list(map(len, self.items)))
         return out
 
     def perfect(self) -> bool:
         """As few bins as the sizes allow, and all but one of them full."""
-        return len(self.items) <= -(-sum(self.sizes) // self.capacity) and sum(f > 0 for f in self.free) <= 1
-
-    def add_bin(self, items: list[int], free: int) -> None:
-        self.known = None
-        self.by_free[free].append(len(self.items))
-        self.mask |= 1 << free
-        self.items.append(items)
-        self.free.append(free)
+        return sum(self.free) < self.capacity and len(self.free) - self.free.count(0) <= 1
 
     def best_fit(self, order: list[int]) -> None:
-        sizes, by_free, free_of, self.known = self.sizes, self.by_free, self.free, None
+        """Each item to the bin with the least free space that holds it, of equal ones to the last to get that space."""
+        sizes, items, free_of, self.known = self.sizes, self.items, self.free, None
+        by_free: defaultdict[int, list[int]] = defaultdict(list)
+        for b, free in enumerate(free_of):
+            by_free[free].append(b)
+        spaces = sorted(by_free)
+        shared = len(items)
         for i in order:
             size = sizes[i]
-            fits = self.mask >> size
-            if fits:
-                free = size + (fits & -fits).bit_length() - 1
-                b = by_free[free].pop()
-                if not by_free[free]:
-                    self.mask &= ~(1 << free)
-                left = free - size
-                self.items[b].append(i)
-                free_of[b] = left
-                by_free[left].append(b)
-                self.mask |= 1 << left
+            at = bisect_left(spaces, size)
+            if at < len(spaces):
+                free = spaces[at]
+                same = by_free[free]
+                b = same.pop()
+                if not same:
+                    del spaces[at]
+                left = free_of[b] = free - size
+                if b < shared:
+                    items[b] = [*items[b], i]
+                else:
+                    items[b].append(i)
             else:
-                self.add_bin([i], self.capacity - size)
+                b, left = len(items), self.capacity - size
+                items.append([i])
+                free_of.append(left)
+            same = by_free[left]
+            if not same:
+                insort(spaces, left)
+            same.append(b)
 
     def fitness(self) -> tuple[int, int]:
         """Fewer bins first, then the sum of squares of the fill: uneven fill leaves space together."""
         if self.known is None:
-            self.known = -len(self.items), sum((self.capacity - f) ** 2 for f in self.free)
+            filled = [self.capacity - f for f in self.free]
+            self.known = -len(filled), sum(map(mul, filled, filled))
         return self.known
 
 
@@ -104,17 +108,11 @@ def cross(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
     """a with some of b's best-filled bins, and the pieces of the bins these break best-fitted again."""
     ranked = sorted(range(len(b.items)), key=b.free.__getitem__)
     take = ranked[: max(1, int(len(ranked) * rng.uniform(0.1, 0.6)))]
-    child = Bins(a.sizes, a.capacity)
-    new = set()
-    for j in take:
-        new.update(b.items[j])
-        child.add_bin(list(b.items[j]), b.free[j])
-    displaced = []
-    for items, free in zip(a.items, a.free, strict=True):
-        if new.isdisjoint(items):
-            child.add_bin(list(items), free)
-        else:
-            displaced += [i for i in items if i not in new]
+    items = [b.items[j] for j in take]
+    new = set(chain.from_iterable(items))
+    whole = list(map(new.isdisjoint, a.items))
+    displaced = [i for i in chain.from_iterable(compress(a.items, map(not_, whole))) if i not in new]
+    child = Bins(a.sizes, a.capacity, [*items, *compress(a.items, whole)], [*(b.free[j] for j in take), *compress(a.free, whole)])
     child.best_fit(sorted(displaced, key=a.sizes.__getitem__, reverse=True))
     return child
 
@@ -122,15 +120,11 @@ def cross(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
 def mutate(a: Bins, rng: np.random.Generator) -> Bins:
     """a with its emptiest bins and as many others broken, and their pieces best-fitted again in order of blurred sizes."""
     count = max(2, int(len(a.items) * BROKEN))
-    broken = set(sorted(range(len(a.items)), key=a.free.__getitem__, reverse=True)[:count])
-    broken.update(rng.integers(0, len(a.items), count).tolist())
-    child = Bins(a.sizes, a.capacity)
-    loose = []
-    for j, (items, free) in enumerate(zip(a.items, a.free, strict=True)):
-        if j in broken:
-            loose += items
-        else:
-            child.add_bin(list(items), free)
+    whole = [True] * len(a.items)
+    for j in (*sorted(range(len(a.items)), key=a.free.__getitem__, reverse=True)[:count], *rng.integers(0, len(a.items), count).tolist()):
+        whole[j] = False
+    loose = list(chain.from_iterable(compress(a.items, map(not_, whole))))
+    child = Bins(a.sizes, a.capacity, list(compress(a.items, whole)), list(compress(a.free, whole)))
     blurred = {i: a.sizes[i] * x for i, x in zip(loose, rng.uniform(0.8, 1.2, len(loose)).tolist(), strict=True)}
     child.best_fit(sorted(loose, key=blurred.__getitem__, reverse=True))
     return child
@@ -288,8 +282,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, path: str,
     enc = encoder(path)
     end = enc._pack([end_id])
     for batch in batches:
-        for lo in range(0, len(batch), 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch, 1):
             out: list[tuple] = []
             for doc_id, data in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(data + end, f"<u{enc.width}").astype("<u4")

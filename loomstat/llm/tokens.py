@@ -7,14 +7,17 @@ import os
 import re
 import sys
 from array import array
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
-#: Words whose ids a worker keeps; beyond that it starts anew.
+#: Words whose ids a worker keeps; beyond that only half as many stay, those met in the most batches.
 MOST_WORDS = 300_000
-SHORT = 7
+#: Characters that are split at a time; longer texts are cut.
 LONG = 1 << 22
 #: How the word tokenizer's file splits and normalises. It drops white space, so words are independent.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -26,8 +29,6 @@ LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: a for ASCII letters, digits, white space and the bytes of Latin letters, . for other ASCII, X for what starts other characters.
 KIND = bytes(ord("a") if chr(i).isalnum() and i < 128 or i in b" \t\n\r\x0b\x0c" or 0x80 <= i < 0xC0 or i == 0xC3 else ord(".") if i < 128 else ord("X") for i in range(256))
 JOINED = 128
-#: Texts that are split at a time.
-BATCH = 512
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,19 +37,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Numbers(dict):
-    """Words with their numbers; one that is not known gets the next number and is listed as new."""
-
-    def __init__(self, known: list[bytes] = ()):
-        super().__init__(zip(known, range(len(known))))
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 class Encoder:
     """ids(text) as little-endian bytes, width bytes an id, without special tokens around it.
 
@@ -80,17 +68,18 @@ class Encoder:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
-        self._keep([])
+        self._keep(np.empty(0, np.int64))
 
-    def _keep(self, words: list[bytes]) -> None:
-        """Forget all but these of the known words. Word n has the count[n] ids of pool from first[n]."""
-        if words:
-            numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            self.pool, self.count = self._ids(numbers), self.count[numbers]
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Forget all but these of the known words. Word n has the count[n] ids of pool from first[n] and was met in met[n] batches."""
+        if len(numbers):
+            words = list(self.words)  # in order of their numbers
+            self.pool, self.count, self.met = self._ids(numbers), self.count[numbers], self.met[numbers]
             self.first = np.cumsum(self.count) - self.count
+            self.words = {words[n]: i for i, n in enumerate(numbers.tolist())}
         else:
-            self.pool, self.first, self.count = np.empty(0, f"<u{self.width}"), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.words = Numbers(words)
+            self.pool, self.first, self.count, self.met = np.empty(0, f"<u{self.width}"), *(np.empty(0, np.int64) for _ in range(3))
+            self.words = {}
 
     def _ids(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of these words strung together."""
@@ -104,17 +93,17 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def _split(self, text: str) -> list[bytes]:
-        """A text in words whose ids, strung together, are the text's."""
+    def _spaced(self, text: str) -> bytes:
+        """A text with white space between words whose ids, strung together, are the text's, and none around them."""
         data = text.encode()
         if b"<|" in data:  # special tokens may be spelled out, and their case counts
-            return data.split()
+            return data.strip()
         data = data.lower()
         kinds = data.translate(KIND)
         if b"X" in kinds or b".." in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data:
-            return AFTER_LETTER.sub(rb" \g<0>", data).split()
+            return AFTER_LETTER.sub(rb" \g<0>", data).strip()
         # no two characters in a row are neither letter, digit nor space: every full stop and comma is a run of its own
-        return data.replace(b".", b" .").replace(b",", b" ,").split()
+        return data.replace(b".", b" .").replace(b",", b" ,").strip()
 
     def _parts(self, text: str) -> list[str]:
         """A long text in parts cut before white space."""
@@ -130,25 +119,42 @@ class Encoder:
         """Null texts are empty."""
         if not self.by_word:
             return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        out = []
-        for at in range(0, len(texts), BATCH):
-            batch = [t or "" for t in texts[at : at + BATCH]]
-            if sum(map(len, batch)) > LONG:
-                out += [b"".join(self._encode([p])[0] for p in self._parts(t)) for t in batch]
-            else:
-                out += self._encode(batch)
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, batch, chars = [], [], 0
+        for own, text in zip(out, texts, strict=True):
+            for part in self._parts(text or ""):
+                if batch and chars + len(part) > LONG:
+                    self._hand_out(owners, batch)
+                    owners, batch, chars = [], [], 0
+                owners.append(own)
+                batch.append(part)
+                chars += len(part)
+        if batch:
+            self._hand_out(owners, batch)
+        return [b"".join(x) for x in out]
+
+    def _hand_out(self, owners: list[list[bytes]], texts: list[str]) -> None:
+        for own, ids in zip(owners, self._encode(texts), strict=True):
+            own.append(ids)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        if len(self.words) > MOST_WORDS:  # short words are the frequent ones
-            short = [w for w in self.words if len(w) <= SHORT]
-            self._keep(short if len(short) < MOST_WORDS // 2 else [])
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        if self.words.new:
-            self._learn(self.words.new)
-            self.words.new = []
+        # a batch's words are told apart by Arrow; of those that repeat only one each is looked up; texts without words are null
+        split = pc.ascii_split_whitespace(pa.array([self._spaced(t) or None for t in texts], pa.large_binary()).view(pa.large_string()))
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        if len(self.words) > MOST_WORDS:
+            most = np.argsort(-self.met, kind="stable")[: MOST_WORDS // 2]
+            self._keep(most[self.met[most] > 1])
+            self.met //= 2  # words met long ago count less
+        known = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
+            known[unknown] = np.arange(len(self.words), len(self.words) + len(new))
+            self._learn(new)
+            self.words.update(zip(new, known[unknown].tolist(), strict=True))
+        self.met[known] += 1
+        numbers, sizes = known[coded.indices.to_numpy()], np.diff(split.offsets.to_numpy())
         data = self._ids(numbers).tobytes()
         before = np.concatenate([[0], np.cumsum(self.count[numbers])])
         ends = (before[np.cumsum(sizes)] * self.width).tolist()
@@ -173,6 +179,15 @@ class Encoder:
         first[order] = len(self.pool) + np.cumsum(count[order]) - count[order]
         self.pool = np.concatenate([self.pool, np.array([*ids, *chain.from_iterable(own)], self.pool.dtype)])
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about LONG bytes of the texts in column, and one text at least."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // LONG
+    cuts = (np.flatnonzero(np.diff(before)) + 1).tolist()
+    if len(batch):
+        yield from (batch.slice(lo, hi - lo) for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True))
 
 
 _encoders: dict[str, Encoder] = {}

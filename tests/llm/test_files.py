@@ -4,6 +4,7 @@ import tarfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -51,6 +52,58 @@ def test_punctuation_after_letters_makes_no_new_words(tokenizer, monkeypatch):
     assert [small.encode([t])[0] for t in many * 2] == whole(many * 2)
 
 
+def test_words_are_looked_up_once_a_batch(tokenizer):
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    texts = [prose(i, 200) for i in range(50)]
+    first, looked = encoder.encode(texts), []
+
+    class Counted(type(encoder.words)):
+        def get(self, word, default=None):
+            looked.append(word)
+            return super().get(word, default)
+
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    counted = Counted()
+    counted.update(encoder.words)
+    encoder.words = counted
+    assert encoder.encode(texts) == first == [ids_of(tokenizer, t)[:-1].astype("<u2").tobytes() for t in texts]
+    assert sorted(looked) == sorted({w for t in texts for w in t.encode().split()})
+
+
+def test_frequent_long_words_are_not_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 40)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    learned, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.extend(new), learn(new))[1])
+    for i in range(40):
+        text = f"extraordinarily {prose(i, 12, 2000)}"
+        assert encoder.encode([text])[0] == ids_of(tokenizer, text)[:-1].astype("<u2").tobytes()
+    assert len(encoder.words) < 60 < len(learned) and learned.count(b"extraordinarily") == 1
+
+
+@pytest.mark.parametrize("long_", [1 << 22, 1000])
+def test_batches_and_spaces_keep_texts_apart(tokenizer, monkeypatch, long_):
+    monkeypatch.setattr(tokens, "LONG", long_)
+    odd = [f"a{chr(i)}b" for i in range(128)] + ["", None, " \x0b\x0c\t", " a ", ".", " .", ". ", "\x1c", "\x85", "\xa0x\u2003y\u3000"]
+    texts = [x for i, t in enumerate(odd) for x in (t, prose(i, i * 7 % 50))]
+    want = [ids_of(tokenizer, t)[:-1].astype("<u2").tobytes() for t in texts]
+    assert tokens.Encoder(tokens.tokenizer_path()).encode(texts) == want
+    assert tokens.Encoder(tokens.tokenizer_path()).encode([None, ""]) == [b"", b""] and not tokens.Encoder(tokens.tokenizer_path()).encode([])
+
+
+def test_slices_hold_all_rows_and_bounded_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", 100)
+    texts = [None, "", "é" * 300, *["x" * (i % 40) for i in range(200)], None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["i", "t"])
+    got = list(tokens.slices(batch, 1))
+    assert [x for part in got for x in part.column(0).to_pylist()] == list(range(len(texts))) and len(got) > 20
+    assert all(sum(len((t or "").encode()) for t in part.column(1).to_pylist()[1:]) <= 100 for part in got)
+    assert not list(tokens.slices(batch.slice(0, 0), 1)) and len(list(tokens.slices(batch.slice(0, 2), 1))) == 1
+
+
 @pytest.mark.parametrize("shard_bytes", [1 << 24, 20_000])
 def test_token_files_round_trip(spark, tokenizer, monkeypatch, shard_bytes):
     monkeypatch.setattr(token_files, "SHARD_BYTES", shard_bytes)
@@ -187,6 +240,38 @@ def test_generations_keep_an_island_varied():
         assert x.free == [4096 - sum(sizes[i] for i in own) for own in x.items] and min(x.free) >= 0
 
 
+def test_children_share_whole_bins_and_leave_their_parents_alone():
+    sizes = np.random.default_rng(2).integers(1, 1500, 600).tolist()
+    rng = np.random.default_rng(4)
+    parents = packing.settle(sizes, 4096, 1, rng)[:2]
+    before = [([list(x) for x in p.items], list(p.free)) for p in parents]
+    for _ in range(20):
+        for child in (packing.mutate(parents[0], rng), packing.cross(*parents, rng)):
+            theirs = {id(x) for p in parents for x in p.items}
+            assert sum(id(x) in theirs for x in child.items) > len(child.items) // 10
+            assert sorted(i for x in child.items for i in x) == list(range(600))
+            assert child.free == [4096 - sum(sizes[i] for i in x) for x in child.items] and min(child.free) >= 0
+    assert before == [(p.items, p.free) for p in parents]
+
+
+@pytest.mark.parametrize("high", [3, 40, 1500, 4097])
+def test_best_fit_takes_the_tightest_bin(high):
+    sizes = np.random.default_rng(high).integers(1, high, 900).tolist()
+    free = []
+    for x in sizes:
+        fits = [j for j, f in enumerate(free) if f >= x]
+        if fits:
+            free[min(fits, key=free.__getitem__)] -= x
+        else:
+            free.append(4096 - x)
+    got = packing.Bins(sizes, 4096)
+    got.best_fit(list(range(900)))
+    assert sorted(got.free) == sorted(free) and sorted(i for x in got.items for i in x) == list(range(900))
+    again = packing.Bins.of(sizes, 4096, got.packing())
+    assert again.free == got.free and again.items == got.items and again.fitness() == got.fitness()
+    assert got.perfect() == (len(free) <= -(-sum(sizes) // 4096) and sum(f > 0 for f in free) <= 1)
+
+
 def test_generations_are_enough_to_save_bins(spark):
     sizes = sorted(np.random.default_rng(7).integers(700, 1700, 1000).tolist(), reverse=True)
     order = spark.createDataFrame([(0, i, x) for i, x in enumerate(sizes)], "block long, index int, length long")
