@@ -17,6 +17,9 @@ BROADCAST_ROWS = 100_000
 #: all code streams through them.
 MOST_PARTITIONS = 200_000
 
+#: Bits of a filter: so many a key, in slices of SLICE_BITS (Spark's bitmaps); 16 MB at most, so that beyond 8 million keys more other rows pass.
+KEY_BITS, SLICE_BITS, MOST_SLICES = 16, 1 << 15, 4096
+
 #: White space is byte 0x20 and bytes 0x09 to 0x0D; every other run of characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,6 +83,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def marked(df: DataFrame, key: str, keys: DataFrame, n: int, mark: str) -> DataFrame:
+    """Add mark, a boolean: true where the long key is among the n of keys, false for nearly all other rows.
+
+    A join with keys that follows has few rows to move and decides; without a match in the broadcast bits a row needs none.
+    """
+    slices = min(MOST_SLICES, max(1, -(-n * KEY_BITS // SLICE_BITS)))
+    part, bits = fresh(df, "part"), fresh(df, "bits")
+    place = F.pmod(F.xxhash64(key), F.lit(slices * SLICE_BITS))
+    at, inside = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit(SLICE_BITS - 1))
+    made = keys.select(at.alias(part), inside.alias("inside")).repartition(part).groupBy(part).agg(F.bitmap_construct_agg("inside").alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, inside.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return df.withColumn(part, at).join(F.broadcast(made), part, "left").withColumn(mark, hit).drop(part, bits)
+
+
 def running_total(df: DataFrame, key: list[str], bucket: str, order: list[Column], value: Column, out: str, cells: int) -> DataFrame:
     """Add the sum of value over the rows before each row, by key, in order of (bucket, order).
 

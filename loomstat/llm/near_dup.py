@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, fresh, materialize, partitions_for, read, tidy
+from .common import WORD, discard, fresh, marked, materialize, partitions_for, read, tidy
 from .graph import components
 from .shingles import mix64, shingle_set, word_hashes
 
@@ -342,12 +342,17 @@ def _more_links(family: DataFrame, labels: DataFrame, classes: DataFrame, sets:
 
 
 def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key, n, fp) of docs, and (fp, least, label): the class's least (no id, doc_id, key) and its component."""
+    """Rows (doc_id, key, n, fp) of docs, and (fp, least, label): the class's least (no id, doc_id, key) and its component.
+
+    Texts are only moved for the members of families; all others are told from them where they are read.
+    """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     wide = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
-    rows = materialize(source.mapInArrow(lambda it: tidy(_sketch_rows(it, wide, k)), "doc_id long, key long, n long, fp long, sketch binary"), "near-sketches")
+    sketched = materialize(source.mapInArrow(lambda it: tidy(_sketch_rows(it, wide, k)), "doc_id long, key long, n long, fp long, sketch binary"), "near-sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    classes = materialize(rows.where("n > 0").groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least", "n", "sketch"), "near-classes")
+    classes = materialize(sketched.where("n > 0").groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "least", "n", "sketch"), "near-classes")
+    rows = materialize(sketched.select("doc_id", "key", "n", "fp"), "near-rows")
+    discard(sketched)
 
     members = _members(classes)
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -358,18 +363,18 @@ def _connected(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
     family = _families(members, stars, classes, percent)
     discard(members)
 
-    wanted = family.select(F.col("node").alias("fp")).join(classes, "fp").select("fp", F.col("least.key").alias("key"))
-    texts = source.join(wanted, "key").select("fp", "text")
+    wanted = materialize(family.select(F.col("node").alias("fp")).join(classes, "fp").select("fp", F.col("least.key").alias("key")), "near-wanted")
+    texts = marked(source, "key", wanted, wanted.count(), "wanted").where("wanted").join(wanted, "key").dropDuplicates(["key", "fp"]).select("fp", "text")
     set_schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
-    sets = materialize(texts.mapInArrow(lambda it: tidy(_set_rows(it, set_schema, k)), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
+    sets = materialize(texts.mapInArrow(lambda it: tidy(_set_rows(it, set_schema, k)), "fp long, shingles binary"), "near-sets")
 
     labels = components(_verify(stars, sets, percent))
     more = _more_links(family, labels, classes, sets, percent)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    discard(stars, family, sets, more)
-
     named = classes.select("fp", "least").join(labels, F.col("fp") == F.col("node"), "left")
-    return rows, named.select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = materialize(named.select("fp", "least", F.coalesce("label", "fp").alias("label")), "near-named")
+    discard(stars, family, wanted, sets, more, labels, classes)
+    return rows, named
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -402,13 +407,17 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
 
     Texts without words are in no component and all stay. Of rows alike in doc_id and text one stays.
     """
-    _, named = _connected(docs, doc_id, text, k, percent)
-    mark = fresh(docs, "key")
-    chosen = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias(mark))
-    words = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    keyed = docs.where(words).withColumn(mark, row_key(F.col(doc_id), F.col(text)))
-    one = keyed.join(chosen, mark, "left_semi").dropDuplicates([mark]).drop(mark)
-    return one.unionByName(docs.where(~words))
+    rows, named = _connected(docs, doc_id, text, k, percent)
+    mark, moved = fresh(docs, "key"), fresh(docs, "moved")
+    chosen = materialize(named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias(mark)), "near-chosen")
+    seen = rows.where("n > 0").groupBy(F.col("key").alias(mark)).agg(F.count("*").alias("c"))
+    others = seen.join(chosen.withColumn("chosen", F.lit(True)), mark, "left").where("chosen IS NULL OR c > 1").select(mark)
+    others = materialize(others, "near-others")  # keys that don't stay, or occur more than once
+    discard(rows, named)
+    keyed = marked(docs.withColumn(mark, row_key(F.col(doc_id), F.col(text))), mark, others, others.count(), moved)
+    moves = F.coalesce(F.col(text).rlike(WORD), F.lit(False)) & F.col(moved)
+    one = keyed.where(moves).join(chosen, mark, "left_semi").dropDuplicates([mark])
+    return one.unionByName(keyed.where(~moves)).drop(mark, moved)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

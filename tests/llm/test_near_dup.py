@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomstat.llm import near_dup, shingles
+from loomstat.llm import common, near_dup, shingles
 
 from .helpers import docs, edge_rows, prose, words
 
@@ -84,6 +84,45 @@ def test_keep_one(spark):
     assert kept.count() == len(groups) + blank
 
 
+def shuffled(spark, work):
+    """Bytes that the stages of work write for shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    work()
+    return sum(n for at, n in stages().items() if at not in before)
+
+
+def test_texts_that_are_like_no_other_stay_where_they_are(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 60, 2500)), "s") for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " one more", "s") for i in range(6)] + rows[10:13] + [(2000, None, "s"), (2000, None, "s")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    table, size, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), sum(len(t or "") for _, t, _ in rows), []
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: kept.extend(near_dup.keep_one(table).collect())) < size / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r.doc_id for r in kept) == [*range(200), 2000, 2000]
+
+
+def test_marked_misses_no_key(spark, monkeypatch):
+    table = spark.range(20_000).selectExpr("id - 10000 AS key", "id % 2 AS part")
+    keys = table.where("key % 7 = 0").select("key")
+    for most in (common.MOST_SLICES, 1):
+        monkeypatch.setattr(common, "MOST_SLICES", most)
+        got = common.marked(table, "key", keys, keys.count(), "hit")
+        assert got.columns == ["key", "part", "hit"] and got.count() == 20_000
+        assert got.where("key % 7 = 0 AND NOT hit").isEmpty() and got.where("key % 7 <> 0 AND hit").count() < (1700 if most > 1 else 2000)
+    assert common.marked(table, "key", keys.limit(0), 0, "hit").where("hit").isEmpty()
+
+
 def test_word_hashes_of_pieces(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(3000))
     whole = list(shingles.word_hashes(pa.array([text, None, "", "w1 w2"])))
