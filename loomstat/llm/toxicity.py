@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, tidy
+from .common import batches_of, materialize, read, tidy
 
 #: Labelled rows that the lexicon and the scale are learned from, at most, by hash of doc_id.
 MOST_LABELLED = 20_000
@@ -38,6 +38,8 @@ MOST_SEEN = 200_000
 SEED_WEIGHT, TOP_WEIGHT = 2.5, 6.0
 #: Characters of a text that are in hand at a time.
 PART = 1 << 20
+#: Texts of an Arrow batch of the query.
+BATCH_ROWS = 500
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 LEXICON = {
@@ -309,6 +311,7 @@ def held_out(doc_id):
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = learn(docs, training_labels(read(spark, sf_dir, "labels")))
-    out = score(docs, model)
+    with batches_of(spark, BATCH_ROWS):
+        model = learn(docs, training_labels(read(spark, sf_dir, "labels")))
+        out = materialize(score(docs, model), "toxic-scores")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,23 @@ def test_long_texts_are_scored_whole(monkeypatch):
     assert whole == pytest.approx(s.total(text)) and whole > 0
 
 
+def test_query_scores_in_short_batches(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "s") for i in range(3000)]
+    docs(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def lengths(batches, model, schema):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(len(batch))] * len(batch))], schema=schema)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(toxicity, "_score_rows", lengths)
+    got = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and max(r.score for r in got) <= 500
+    assert spark.conf.get(name) == before
+
+
 def test_composition_multiplies():
     assert len(toxicity.GRAMMAR.step) == 1 * 2 * 3 * 4 * 2
     ((_, factor),) = toxicity.GRAMMAR.step[0][toxicity.INSULT]
