@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, discard, fresh, marked, materialize, partitions_for, read, tidy
@@ -297,6 +297,7 @@ def _members(classes: DataFrame) -> DataFrame:
     """(band, fp, center) of the classes in buckets of two and more; the center is the bucket's smallest.
 
     A bucket that a sample of the classes shows to be hot is dealt out over SALTS tasks; the sample decides nothing else.
+    The rows of all bands are the most that is moved here, so they are moved once: each gets its cell's center where it lands.
     """
     n = classes.count()
     some = classes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
@@ -304,11 +305,15 @@ def _members(classes: DataFrame) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
     bands = _bands(classes).join(F.broadcast(hot), "band", "left").select("band", salt.alias("salt"), "fp")  # hot: bounded, see HOT_SAMPLE
     bands = bands.repartition(partitions_for(n * B, 300_000), "band", "salt")
-    cells = bands.groupBy("band", "salt").agg(F.min("fp").alias("center"), F.count("*").alias("c"))
-    warm = cells.where("salt >= 0").groupBy("band").agg(F.min("center").alias("center"), F.sum("c").alias("c"))
-    warm = warm.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "center", "c")
-    buckets = cells.where("salt < 0").unionByName(warm).where("c > 1").select("band", "salt", "center")
-    return materialize(bands.join(buckets, ["band", "salt"]).select("band", "fp", "center"), "near-members")
+    cell = Window.partitionBy("band", "salt")
+    cells = bands.select("band", "salt", "fp", F.min("fp").over(cell).alias("center"), F.count("*").over(cell).alias("c"))
+    cells = materialize(cells.where("salt >= 0 OR c > 1").select("band", "salt", "fp", "center"), "near-cells")
+    warm = cells.where("salt >= 0")
+    centers = warm.groupBy("band").agg(F.min("center").alias("center"), F.count("*").alias("c")).where("c > 1").select("band", "center")
+    warm = warm.select("band", "fp").join(F.broadcast(centers), "band").select("band", "fp", "center")  # as many as hot
+    members = materialize(cells.where("salt < 0").select("band", "fp", "center").unionByName(warm), "near-members")
+    discard(hot, cells)
+    return members
 
 
 def _families(members: DataFrame, stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +325,9 @@ def _families(members: DataFrame, stars: DataFrame, classes: DataFrame, percent:
     for bands in (number < EARLY, number >= EARLY):
         rows = members.where(bands).join(found, members["fp"] == found["node"], "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
         rows = materialize(_across(rows, "band").join(sizes, "fp").select("band", "fp", "label", "n"), "near-open")
-        cells = _cells(rows, "band", OPEN_TILE).join(classes.select("fp", "sketch"), "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
+        wanted = rows.select("fp").distinct()
+        registers = marked(classes.select("fp", "sketch"), "fp", wanted, wanted.count(), "wanted").where("wanted").select("fp", "sketch")
+        cells = _cells(rows, "band", OPEN_TILE).join(registers, "fp").repartition("band", "cell").sortWithinPartitions("band", "cell", "fp")
         more = cells.select("band", "cell", "label", "n", "outer", "sketch").mapInArrow(lambda it: tidy(_open_trees(it, edge, percent)), "a long, b long")
         more = materialize(more.distinct(), "near-open-pairs")
         discard(rows)

@@ -112,6 +112,47 @@ def test_texts_that_are_like_no_other_stay_where_they_are(spark, tmp_path):
     assert sorted(r.doc_id for r in kept) == [*range(200), 2000, 2000]
 
 
+def registers_of(spark, n):
+    """n classes that are like no other, but for the first 300, which share a band, and pairs of others, which share another."""
+    rng = np.random.default_rng(13)
+    registers = rng.integers(0, 1 << 16, (n, near_dup.M), dtype=np.uint16)
+    registers[:300, :5] = 7
+    registers[301:900:2, 5:10] = registers[300:900:2, 5:10]
+    return [(int(f), 9, registers[i].tobytes()) for i, f in enumerate(rng.integers(-(1 << 63), 1 << 63, n))]
+
+
+def test_bands_are_moved_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT_LEAST", 100)
+    rows = registers_of(spark, 3000)
+    spark.createDataFrame(rows, "fp long, n long, sketch binary").write.parquet(str(tmp_path / "classes"))
+    classes, got = spark.read.parquet(str(tmp_path / "classes")), []
+    moved = shuffled(spark, lambda: got.extend(near_dup._members(classes).collect()))
+    buckets = defaultdict(set)
+    for r in got:
+        buckets[r.band, r.center].add(r.fp)
+    fps = [r[0] for r in rows]
+    assert sorted(map(sorted, buckets.values())) == sorted([sorted(fps[:300])] + [sorted(fps[i : i + 2]) for i in range(300, 900, 2)])
+    assert len(got) == 900 and all(center == min(b) for (_, center), b in buckets.items())
+    assert moved < 32 * near_dup.B * len(rows)  # a row has 24 bytes
+
+
+def test_registers_move_for_open_buckets_alone(spark, tmp_path):
+    rows = registers_of(spark, 3000)
+    rows[1] = (rows[1][0], 9, rows[0][2])
+    spark.createDataFrame(rows, "fp long, n long, sketch binary").write.parquet(str(tmp_path / "classes"))
+    classes, (a, b), got = spark.read.parquet(str(tmp_path / "classes")), sorted(r[0] for r in rows[:2]), []
+    members = spark.createDataFrame([(64, a, a), (64, b, a), (63, a, a), (63, b, a)], "band long, fp long, center long")
+    stars = spark.createDataFrame([], "a long, b long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = shuffled(spark, lambda: got.extend(near_dup._families(members, stars, classes, 75).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(tuple(r) for r in got) == [(a, a), (b, a)]
+    assert moved < 600 * len(rows) / 2
+
+
 def test_marked_misses_no_key(spark, monkeypatch):
     table = spark.range(20_000).selectExpr("id - 10000 AS key", "id % 2 AS part")
     keys = table.where("key % 7 = 0").select("key")
