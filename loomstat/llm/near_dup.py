@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, fresh, marked, materialize, partitions_for, read, tidy
+from .common import WORD, discard, fresh, marked, materialize, partitions_for, read, small, tidy
 from .graph import components
 from .shingles import mix64, shingle_set, word_hashes
 
@@ -45,8 +45,8 @@ SHIFT = 1 << 15
 EARLY, BAND_BITS = 8, 6
 #: Classes of a tile, when registers are compared and when sets are; a tile of sets holds so many shingles, too, or one set.
 OPEN_TILE, SET_TILE, SET_SHINGLES = 4096, 1024, 1 << 20
-#: A bucket with this share of about HOT_SAMPLE classes is dealt out over SALTS tasks: HOT_SAMPLE * B / HOT_LEAST buckets at most.
-HOT_SAMPLE, HOT_LEAST, SALTS = 8192, 128, 24
+#: A bucket of about HOT_EVERY * HOT_LEAST rows and more is hot.
+HOT_EVERY, HOT_LEAST = 256, 64
 SLACK = 6 * (0.75 * 0.25 / M) ** 0.5
 SKETCH_DOCS, SKETCH_SHINGLES, DRAWS = 2048, 1 << 18, 1 << 15
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -294,25 +294,23 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(band, fp, center) of the classes in buckets of two and more; the center is the bucket's smallest.
+    """(band, fp, center) of the classes in buckets of two and more; the center is one of the bucket's classes.
 
-    A bucket that a sample of the classes shows to be hot is dealt out over SALTS tasks; the sample decides nothing else.
-    The rows of all bands are the most that is moved here, so they are moved once: each gets its cell's center where it lands.
+    One class of HOT_EVERY is looked at first: of a bucket that holds HOT_LEAST of these, the smallest is the center of all its
+    rows, which are then dealt out one by one. All other buckets are together where their rows land and get their smallest.
+    The rows of all bands are the most that is moved here, so they are moved once.
     """
     n = classes.count()
-    some = classes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
-    hot = materialize(_bands(some).groupBy("band").count().where(F.col("count") >= HOT_LEAST).select("band", F.lit(True).alias("hot")), "near-hot")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    bands = _bands(classes).join(F.broadcast(hot), "band", "left").select("band", salt.alias("salt"), "fp")  # hot: bounded, see HOT_SAMPLE
-    bands = bands.repartition(partitions_for(n * B, 300_000), "band", "salt")
-    cell = Window.partitionBy("band", "salt")
-    cells = bands.select("band", "salt", "fp", F.min("fp").over(cell).alias("center"), F.count("*").over(cell).alias("c"))
-    cells = materialize(cells.where("salt >= 0 OR c > 1").select("band", "salt", "fp", "center"), "near-cells")
-    warm = cells.where("salt >= 0")
-    centers = warm.groupBy("band").agg(F.min("center").alias("center"), F.count("*").alias("c")).where("c > 1").select("band", "center")
-    warm = warm.select("band", "fp").join(F.broadcast(centers), "band").select("band", "fp", "center")  # as many as hot
-    members = materialize(cells.where("salt < 0").select("band", "fp", "center").unionByName(warm), "near-members")
-    discard(hot, cells)
+    some = classes.where(F.pmod(F.xxhash64("fp"), F.lit(HOT_EVERY)) == 0)
+    hot = _bands(some).groupBy("band").agg(F.count("*").alias("c"), F.min("fp").alias("hot")).where(F.col("c") >= HOT_LEAST)
+    hot = materialize(hot.select("band", "hot"), "near-hot")
+    bands = _bands(classes).join(small(hot, hot.count()), "band", "left")
+    bands = bands.select("band", F.when(F.col("hot").isNotNull(), F.xxhash64("fp")).alias("own"), "fp", "hot")
+    bands = bands.repartition(partitions_for(n * B, 300_000), "band", "own")
+    cell = Window.partitionBy("band", "own")
+    cells = bands.select("band", "fp", "hot", F.min("fp").over(cell).alias("least"), F.count("*").over(cell).alias("c"))
+    members = materialize(cells.where("c > 1 OR hot IS NOT NULL").select("band", "fp", F.coalesce("hot", "least").alias("center")), "near-members")
+    discard(hot)
     return members
 
 
