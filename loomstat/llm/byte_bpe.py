@@ -139,7 +139,7 @@ def _matches(text: str, pattern: regex.Pattern) -> Iterator[list[str]]:
             # what the pattern makes of the last matches may depend on what follows
             if len(found) > 3 or end == len(text):
                 break
-            end = min(len(text), end + LONG)
+            end = min(len(text), 2 * end - at)
         if end == len(text):
             break
         found = found[:-3]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat, collocations, media, mixing, near_dup, packing, sharding, token_files, toxicity, url_filter
+from . import ann, byte_bpe, chat, collocations, lexical, media, mixing, near_dup, packing, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_collocations": collocations.op11_collocations,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 
 ORACLES = {
     "op3_near_dup": near_dup.OP3_SQL,
     "op5_url_filters": url_filter.OP5_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op13_ranked_search": lexical.OP13_SQL,
 }
