@@ -1,11 +1,9 @@
-"""Byte-level BPE over the words of a corpus: every merge is replayed once over all distinct words.
-
-1. Texts are split by the pattern where they are read and written as chunks: numbers of words, and each chunk's distinct words.
-2. The distinct words of all chunks are told apart by a shuffle. In each partition of them an inverted index leads from a
-   pair's rank to the positions of words where it stands; the ranks are taken in ascending order, and a merge only looks at
-   the neighbours that it touches. Each distinct word of the corpus is encoded once.
-3. Words' ids go back to their chunks, and the numbers are read as ids. Texts aren't moved; numbers take two bytes a word.
-Decoding puts the bytes of the ids together again.
+"""Byte-level BPE over the words of many texts: every merge is replayed once over all distinct words.
+
+Texts gather in a chunk, as numbers of its distinct words. An inverted index leads from a pair's rank to the positions of words where
+it stands; the ranks are taken in ascending order, a merge goes to all its positions at once and only looks at the neighbours
+that it touches. The numbers are then read as ids, and decoding puts the bytes of the ids together again. A chunk is as
+much as a task can hold, so nothing is shuffled: rows of all chunks' words would come to more than the texts.
 """
 
 from __future__ import annotations
@@ -20,16 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, materialize, partitions_for, read, tidy
+from .common import read, tidy
 
-#: A chunk ends after so many characters, or before the text that may bring it over so many distinct words.
-CHUNK_CHARS, CHUNK_WORDS = 8 << 20, 1 << 16
-#: Distinct words of a partition whose merges are replayed together, and texts of an Arrow batch.
-WORDS, BATCH_ROWS = 200_000, 500
+#: A chunk ends with the text that brings it over so many characters or distinct words.
+CHUNK_CHARS, CHUNK_WORDS = 16 << 20, 1 << 19
 #: Characters of a long text that are matched at a time.
 LONG = 1 << 20
 
@@ -62,70 +57,108 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """The ranks of bytes and of pairs of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.spelled = {r: t for t, r in ranks.items()}
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs = np.array([*sorted(pairs), (np.iinfo(np.int64).max, -1)], np.int64)
+        self.pairs, self.merged = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of a and b together, -1 where they have none."""
+        pair = a << 32 | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.merged[at], -1)
+
+
+class _Index:
+    """Positions of pairs by rank, the least rank first."""
+
+    def __init__(self):
+        self.at: dict[int, list[np.ndarray]] = {}
+        self.waiting: list[int] = []
+
+    def note(self, places: np.ndarray, ranks: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                rank = int(ranks[lo])
+                if rank not in self.at:
+                    self.at[rank] = []
+                    heapq.heappush(self.waiting, rank)
+                self.at[rank].append(places[lo:hi])
+
+    def least(self) -> tuple[int, np.ndarray]:
+        rank = heapq.heappop(self.waiting)
+        places = self.at.pop(rank)
+        return rank, places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+
+
+def replay(words: list[bytes], merges: Merges) -> list[np.ndarray]:
     """The ids of distinct words, all merges applied in order of rank over all words.
 
     A word that is itself in the vocabulary is its own id. Where a merge makes a pair of lower rank than its own, the order of
     ranks would no longer be the word's own order; such a word is merged by itself.
     """
-    out: list[list[int] | None] = [[ranks[w]] if w in ranks else None for w in words]
-    todo = [i for i, ids in enumerate(out) if ids is None]
-    spelled = {r: t for t, r in ranks.items()}
-    single = [ranks.get(bytes([b]), -1) for b in range(256)]
-    ids, word, first = array("i"), array("i"), []
-    for i in todo:  # a word's positions, then one that stands for its end
-        first.append(len(ids))
-        ids.extend(single[b] for b in words[i])
-        ids.append(-1)
-        word.extend([i] * (len(words[i]) + 1))
-    after, before = array("i", range(1, len(ids) + 1)), array("i", range(-1, len(ids) - 1))
-    odd: set[int] = set()
-    merged: dict[int, int] = {}  # a pair of ids to the rank of both together, -1 if it has none
-    at: dict[int, list[int]] = {}  # the index: rank to positions of its pairs
-    waiting: list[int] = []
-
-    def rank_of(a: int, b: int) -> int:
-        pair = a << 32 | b
-        rank = merged.get(pair)
-        if rank is None:
-            rank = merged[pair] = ranks.get(spelled[a] + spelled[b], -1)
-        return rank
-
-    def note(place: int, rank: int) -> None:
-        if rank in at:
-            at[rank].append(place)
-        else:
-            at[rank] = [place]
-            heapq.heappush(waiting, rank)
-
-    for p in range(len(ids) - 1):
-        if ids[p] >= 0 and ids[p + 1] >= 0 and (rank := rank_of(ids[p], ids[p + 1])) >= 0:
-            note(p, rank)
-    while waiting:
-        rank = heapq.heappop(waiting)
-        for p in sorted(at.pop(rank)):
-            a, q = ids[p], after[p]
-            b = ids[q] if a >= 0 else -1
-            if b < 0 or rank_of(a, b) != rank or word[p] in odd:
-                continue  # another merge has taken one of the two
-            ids[p], ids[q] = rank, -2
-            after[p] = n = after[q]
-            before[n] = p
-            left = before[p]
-            for place, x, y in ((left, ids[left] if left >= 0 else -1, rank), (p, rank, ids[n])):
-                if x >= 0 and y >= 0 and (new := rank_of(x, y)) >= 0:
-                    if new < rank:
-                        odd.add(word[p])
-                    note(place, new)
-    for start, i in zip(first, todo, strict=True):
-        if i in odd:
-            out[i] = merge_word(words[i], ranks)
+    whole = [merges.ranks.get(w, -1) for w in words]
+    out = [np.array([r], np.int64) for r in whole]
+    todo = [i for i, r in enumerate(whole) if r < 0 and words[i]]
+    if not todo:
+        return out
+    size = np.array([len(words[i]) for i in todo])
+    marks = np.concatenate([[0], np.cumsum(size + 1)])  # a place that is no byte before, between and after the words
+    n = int(marks[-1]) + 1
+    ids, inside = np.full(n, -1, np.int64), np.ones(n, bool)
+    inside[marks] = False
+    ids[inside] = merges.single[np.frombuffer(b"".join([words[i] for i in todo]), np.uint8)]
+    word = np.repeat(np.arange(len(todo) + 1), np.concatenate([[1], size + 1])) - 1
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    index, odd, chosen = _Index(), set(), np.zeros(n, bool)
+    places = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    ranks = merges.of(ids[places], ids[places + 1])
+    index.note(places[ranks >= 0], ranks[ranks >= 0])
+    while index.waiting:
+        rank, p = index.least()
+        a, q = ids[p], after[p]
+        b = ids[q]
+        there = (a >= 0) & (b >= 0)  # else another merge has taken one of the two
+        there[there] = merges.of(a[there], b[there]) == rank
+        p, q = p[there], q[there]
+        if not len(p):
             continue
-        own, p = [], start
-        while ids[p] >= 0:
-            own.append(ids[p])
-            p = after[p]
-        out[i] = own
+        chosen[p] = True
+        overlap = chosen[q].any()
+        chosen[p] = False
+        if overlap:  # one letter again and again: pairs from the left
+            keep, taken = np.ones(len(p), bool), -1
+            for i, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                keep[i] = x != taken
+                taken = taken if x == taken else y
+            p, q = p[keep], q[keep]
+        right = after[q]
+        chosen[p] = True
+        near = chosen[right]  # another pair of this rank follows: its first id may go with what has just been merged
+        chosen[p] = False
+        if near.any():
+            new = merges.of(np.full(near.sum(), rank), ids[right[near]])
+            odd.update(word[p[near][(new >= 0) & (new < rank)]].tolist())
+        ids[p], ids[q], after[p], before[right] = rank, -2, right, p
+        left = before[p]
+        touched = np.concatenate([left[ids[left] >= 0], p[ids[right] >= 0]])
+        new = merges.of(ids[touched], ids[after[touched]])
+        touched, new = touched[new >= 0], new[new >= 0]
+        odd.update(word[touched[new < rank]].tolist())
+        index.note(touched, new)
+    live = ids >= 0
+    ends = np.cumsum(np.bincount(word[live], minlength=len(todo)))
+    for k, (i, own) in enumerate(zip(todo, np.split(ids[live], ends[:-1]), strict=True)):
+        out[i] = np.array(merge_word(words[i], merges.ranks), np.int64) if k in odd else own
     return out
 
 
@@ -148,11 +181,26 @@ def _matches(text: str, pattern: regex.Pattern) -> Iterator[list[str]]:
     yield pattern.findall(text, at)
 
 
+_merges: dict[str, Merges] = {}
+
+
+def load_merges(path: str) -> Merges:
+    """The merges of a rank file, worked out once a process."""
+    if path not in _merges:
+        _merges[path] = Merges(load_ranks(path))
+    return _merges[path]
+
+
+def decode(ids: np.ndarray, merges: Merges) -> bytes:
+    """The bytes of ids."""
+    return b"".join([merges.spelled[i] for i in ids.tolist()])
+
+
 class _Chunk:
     """Words numbered in order of first appearance, and documents as numbers."""
 
-    def __init__(self, name: int):
-        self.name, self.words, self.docs, self.chars = name, {}, [], 0
+    def __init__(self):
+        self.words, self.docs, self.chars = {}, [], 0
 
     def add(self, doc_id: int | None, text: str, pattern: regex.Pattern) -> None:
         words, numbers = self.words, array("I")
@@ -161,91 +209,45 @@ class _Chunk:
                 if w not in words:
                     words[w] = len(words)
             numbers.extend(map(words.__getitem__, found))
-        self.docs.append((doc_id, np.frombuffer(numbers, np.uint32)))
+        self.docs.append((doc_id, numbers))
         self.chars += len(text)
 
-    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        n, wide = len(self.words), len(self.words) > CHUNK_WORDS
-        if n:
-            spelled = pa.array([w.encode() for w in self.words], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.name)), pa.array(np.arange(n, dtype=np.int64)), spelled, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int8())], schema=schema)
+    def rows(self, merges: Merges, with_ids: bool) -> Iterator[list[tuple]]:
+        """The documents' rows, some at a time."""
+        ids = replay([w.encode() for w in self.words], merges)
+        said = [" ".join(map(str, x.tolist())).encode() for x in ids]
+        back = [decode(x, merges) for x in ids]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
         for lo in range(0, len(self.docs), 256):
-            part = self.docs[lo : lo + 256]
-            codes = [x.astype("<u4" if wide else "<u2").tobytes() for _, x in part]
-            m = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, self.name)), pa.array(np.arange(lo, lo + m)), pa.nulls(m, pa.binary()), pa.array([d for d, _ in part], pa.int64()), pa.array(codes, pa.binary()), pa.array(np.full(m, 4 if wide else 2, np.int8))], schema=schema)
-
+            out = []
+            for doc_id, numbers in self.docs[lo : lo + 256]:
+                numbers = numbers.tolist()
+                digests = [hashlib.sha256(sep.join([of[i] for i in numbers])).hexdigest() for sep, of in ((b" ", said), (b"", back))]
+                own = [np.concatenate([ids[i] for i in numbers]).tolist() if numbers else []] if with_ids else []
+                out.append((doc_id, int(count[numbers].sum()) if numbers else 0, *digests, *own))
+            yield out
 
-_CHUNKS = "chunk long, number long, word binary, doc_id long, codes binary, width byte"
-_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("number", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("width", pa.int8())])
 
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to the words and documents of chunks."""
-    compiled, task = regex.compile(pattern), TaskContext.get().partitionId()
-    made, chunk = 0, _Chunk(task << 32)
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            if chunk.docs and (chunk.chars + len(text) > CHUNK_CHARS or len(chunk.words) + min(len(text), CHUNK_WORDS // 2) > CHUNK_WORDS):
-                yield from chunk.batches(_CHUNK_SCHEMA)
-                made += 1
-                chunk = _Chunk(task << 32 | made)
-            chunk.add(doc_id, text, compiled)
-    yield from chunk.batches(_CHUNK_SCHEMA)
+_FIELDS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))]
+_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
-def _replay_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """word to (word, ids): all words of a partition together, WORDS of them at a time where there are more."""
-    ranks, held = load_ranks(path), []
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to the rows of encode()."""
+    compiled, merges, chunk = regex.compile(pattern), load_merges(path), _Chunk()
+    schema = pa.schema(_FIELDS if with_ids else _FIELDS[:-1])
 
-    def flush() -> pa.RecordBatch:
-        coded = [np.array(x, "<u4").tobytes() for x in replay(held, ranks)]
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(coded, pa.binary())], names=["word", "ids"])
+    def flush(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+        for rows in chunk.rows(merges, with_ids):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     for batch in batches:
-        held += batch.column(0).to_pylist()
-        if len(held) >= WORDS:
-            yield flush()
-            held = []
-    if held:
-        yield flush()
-
-
-def decode(ids: np.ndarray, spelled: list[bytes]) -> bytes:
-    """The bytes of ids; spelled has those of each id."""
-    return b"".join([spelled[i] for i in ids.tolist()])
-
-
-def _id_rows(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, number, ids, doc_id, codes, width), a chunk's words before its documents, to the documents' ids and digests."""
-    ranks = load_ranks(path)
-    spelled = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        spelled[rank] = token
-    chunk, numbers, words, said, back = None, [], [], [], []
-    for batch in batches:
-        out = []
-        for name, number, ids, doc_id, codes, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if name != chunk:
-                chunk, numbers, words, said, back = name, [], [], [], []
-            if codes is None:  # the next word of the chunk: its ids, their decimals and their bytes
-                if number != len(words):
-                    raise ValueError("a word of a chunk has no ids")
-                own = np.frombuffer(ids, "<u4")
-                words.append(own)
-                said.append(" ".join(map(str, own.tolist())).encode())
-                back.append(decode(own, spelled))
-                continue
-            numbers = np.frombuffer(codes, f"<u{width}").tolist()
-            row = [doc_id, sum(len(words[i]) for i in numbers), hashlib.sha256(b" ".join([said[i] for i in numbers])).hexdigest(), hashlib.sha256(b"".join([back[i] for i in numbers])).hexdigest()]
-            if with_ids:
-                row.append(np.concatenate([words[i] for i in numbers]).tolist() if numbers else [])
-            out.append(row)
-        if out:
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            chunk.add(doc_id, text.as_py() or "", compiled)
+            if chunk.chars >= CHUNK_CHARS or len(chunk.words) >= CHUNK_WORDS:
+                yield from flush(chunk)
+                chunk = _Chunk()
+    yield from flush(chunk)
 
 
 def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -257,23 +259,8 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
     """
     path, split = default_ranks()
     path, split = ranks or path, pattern or split
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    with batches_of(spark, BATCH_ROWS):
-        chunks = materialize(rows.mapInArrow(lambda it: tidy(_chunk_rows(it, split)), _CHUNKS), "bpe-chunks")
-    distinct = chunks.where("word IS NOT NULL").select("word").distinct()
-    coded = materialize(distinct.mapInArrow(lambda it: tidy(_replay_rows(it, path)), "word binary, ids binary"), "bpe-words")
-    words = chunks.where("word IS NOT NULL").select("chunk", "number", "word").join(coded, "word", "left")
-    words = words.select("chunk", "number", "ids", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("byte").alias("width"))
-    texts = chunks.where("codes IS NOT NULL").select("chunk", "number", F.lit(None).cast("binary").alias("ids"), "doc_id", "codes", "width")
-    n = chunks.select("chunk").distinct().count()
-    dealt = words.unionByName(texts).repartition(partitions_for(n, 2), "chunk")
-    dealt = dealt.sortWithinPartitions("chunk", F.col("codes").isNotNull(), "number")
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + with_ids * ", ids array<int>"
-    with batches_of(spark, 4 * BATCH_ROWS):
-        out = materialize(dealt.mapInArrow(lambda it: tidy(_id_rows(it, path, with_ids)), ddl), "bpe-ids")
-    discard(chunks, coded)
-    return out
+    return rows.mapInArrow(lambda it: tidy(_encoded(it, path, split, with_ids)), _DDL if with_ids else _DDL.rsplit(", ", 1)[0])
 
 
 def decode_rows(coded: DataFrame, *, ids: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -282,8 +269,7 @@ def decode_rows(coded: DataFrame, *, ids: str = "ids", ranks: str | None = None)
 
     @F.pandas_udf("binary")
     def joined(column):
-        spelled = {r: t for t, r in load_ranks(path).items()}
-        return column.map(lambda x: None if x is None else b"".join([spelled[i] for i in x]))
+        return column.map(lambda x: None if x is None else decode(np.asarray(x), load_merges(path)))
 
     return coded.withColumn("decoded", joined(F.col(ids)))
 

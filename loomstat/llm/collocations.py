@@ -26,7 +26,7 @@ from .spans import Words, kinds, words_of
 #: A phrase's length in words, its least frequency, the share in percent of it that a longer phrase may not reach, and rows a language.
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 #: Parts of a language in which the best phrases are found first.
 PARTS = 64
 KIND = kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")

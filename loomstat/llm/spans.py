@@ -10,7 +10,7 @@ import pyarrow as pa
 from .shingles import LOWER
 
 #: Bytes of text that are cut at a time; temporaries are about thirty times that.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Kinds of bytes: part of a word, between words, between words that no phrase spans.
 INSIDE, BETWEEN, BREAK = 0, 1, 2
 
@@ -39,7 +39,7 @@ class Words:
         last[inner - 1] = inside[inner - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(marks, starts, "right") - 1
-        self.piece = np.cumsum(kind == BREAK, dtype=np.int64)[starts] + self.row if len(starts) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(kind == BREAK, dtype=np.int32)[starts].astype(np.int64) + self.row if len(starts) else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(LOWER[data[inside]])).dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64)
