@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.operators import sparse_lda
 from loomstat.scratch import cut
 
 
@@ -107,60 +108,56 @@ def _sweep_docs(pdf: pd.DataFrame, c: TopicConfig, nw: dict, nt: np.ndarray, voc
     return topic + 1
 
 
-def _sweeper(c: TopicConfig, nt: np.ndarray, sweep: int, vocabulary: int):
-    """The function that sweeps over one document's tokens, which carry their words' counts."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        nw: dict = {}
-        for w, m in zip(pdf.word, pdf.nw, strict=True):
-            if w not in nw:
-                nw[w] = np.zeros(c.topics)
-                for t, n in dict(m).items():
-                    nw[w][t - 1] = n
-        rng = np.random.default_rng([c.seed, sweep, hash_text(pdf.doc.iloc[0])])
-        return pdf.assign(topic=_sweep_docs(pdf, c, nw, nt.copy(), vocabulary, rng))[["doc", "pos", "word", "topic"]]
-
-    return one
-
-
 TOKEN = "doc string, pos long, word string, topic int"
 
 
-def lda(tokens: DataFrame, config: TopicConfig, mode: str = "distributed") -> DataFrame:
+def lda(tokens: DataFrame, config: TopicConfig, mode: str = "distributed", sampler: str = "sparse") -> DataFrame:
     """doc, pos, word, topic (1 .. k) after the sweeps.
 
-    tokens: doc, pos, word and, if there, topic. In distributed mode a task looks up the counts of its own words only, which come with
-    the tokens by a join.
+    tokens: doc, pos, word and, if there, topic. In distributed mode documents are dealt into parts of about PART_TOKENS tokens; a part
+    gets the counts of its own words. The sparse sampler's draws cost the topics of a document and a word; the dense one (exact
+    mode only) works all k topics out for each token.
     """
     c = config
     base = tokens.select(F.col("doc").cast("string").alias("doc"), F.col("pos").cast("long").alias("pos"), F.col("word").cast("string").alias("word"), *(["topic"] if "topic" in tokens.columns else []))
     now = start_topics(base, c.topics, c.seed).select("doc", "pos", "word", "topic")
     vocabulary = base.agg(F.countDistinct("word")).first()[0]
-
-    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "pos"]).reset_index(drop=True)
-        rng = np.random.default_rng(c.seed)
-        nw = {w: np.bincount(g - 1, minlength=c.topics).astype(float) for w, g in pdf.groupby("word").topic}
-        nt = np.bincount(pdf.topic - 1, minlength=c.topics).astype(float)
-        for _ in range(c.sweeps):
-            pdf["topic"] = _sweep_docs(pdf, c, nw, nt, vocabulary, rng)
-        return pdf
-
     if mode == "exact":
-        return now.groupBy(F.lit("all")).applyInPandas(exact, TOKEN)
-    now = cut(now.repartition("doc"))
+        return now.groupBy(F.lit("all")).applyInPandas(_exact(c, vocabulary, sampler), TOKEN)
+    now = cut(now)
+    parts = max(1, -(-now.count() // sparse_lda.PART_TOKENS))
     for sweep in range(c.sweeps):
         nt = np.zeros(c.topics)
         for r in counts(now, "topic").collect():  # a row a topic
             nt[r["topic"] - 1] = r["n"]
-        by_word = counts(now, "word", "topic").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("nw"))
-
-        one = _sweeper(c, nt, sweep, vocabulary)
-        now = cut(now.join(by_word, "word").groupBy("doc").applyInPandas(one, TOKEN))
+        now = cut(sparse_lda.sweep(now, parts, c.alpha, c.beta, nt, vocabulary, [c.seed, sweep]))
     return now
 
 
+def _exact(c: TopicConfig, vocabulary: int, sampler: str):
+    """The function that sweeps over all tokens in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc", "pos"]).reset_index(drop=True)
+        rng = np.random.default_rng(c.seed)
+        nt = np.bincount(pdf.topic - 1, minlength=c.topics).astype(float)
+        by_word = {w: g.to_numpy() - 1 for w, g in pdf.groupby("word").topic}
+        if sampler == "dense":
+            nw = {w: np.bincount(t, minlength=c.topics).astype(float) for w, t in by_word.items()}
+            for _ in range(c.sweeps):
+                pdf["topic"] = _sweep_docs(pdf, c, nw, nt, vocabulary, rng)
+            return pdf
+        held = sparse_lda.SparseSampler(c.alpha, c.beta, nt, vocabulary, {w: dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for w, t in by_word.items()})
+        docs, words, topic = pdf.doc.to_numpy(), pdf.word.tolist(), (pdf.topic - 1).tolist()
+        edges = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]).tolist() if len(docs) else [0]
+        for _ in range(c.sweeps):
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                topic[lo:hi] = held.sweep(words[lo:hi], topic[lo:hi], rng.random(hi - lo))
+        return pdf.assign(topic=np.array(topic, int) + 1)
+
+    return run
+
+
 def hash_text(text: str) -> int:
     """A number from text that is the same in every process."""
     h = 1469598103934665603

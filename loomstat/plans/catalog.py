@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import order, scalar
-from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, series, topics, trees
+from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, series, sparse_lda, topics, trees
 from loomstat.plans import fixtures as fx
 from loomstat.plans import text_queries  # noqa: F401  (registers its queries)
 from loomstat.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -356,6 +356,19 @@ def lda_buckets(spark, sf):
     return b.select(r("e", 12).alias("e"), r("f", 10).alias("f"), r("g", 8).alias("g"))
 
 
+@query(f"""WITH {T_SQL}, v AS (SELECT count(DISTINCT word) AS v FROM tp), k AS (SELECT unnest(range(1, 21)) AS topic),
+  nt AS (SELECT topic, count(*) AS nt FROM tp GROUP BY 1), s AS (SELECT topic, v * 0.01::DOUBLE + coalesce(nt, 0) AS s FROM k LEFT JOIN nt USING (topic), v),
+  e AS (SELECT sum(0.05::DOUBLE * 0.01::DOUBLE / s) AS e FROM s),
+  nd AS (SELECT doc, topic, count(*) AS nd FROM tp GROUP BY 1, 2), nw AS (SELECT word, topic, count(*) AS nw FROM tp GROUP BY 1, 2),
+  f AS (SELECT doc, sum(0.01::DOUBLE * nd / s) AS f FROM nd JOIN s USING (topic) GROUP BY 1),
+  p AS (SELECT DISTINCT doc, word FROM tp),
+  g AS (SELECT p.doc, p.word, sum((0.05::DOUBLE + coalesce(nd, 0)) * nw / s) AS g FROM p JOIN nw USING (word) JOIN s USING (topic) LEFT JOIN nd ON nd.doc = p.doc AND nd.topic = nw.topic GROUP BY 1, 2)
+  SELECT doc, word, round(e, 10) AS e, round(f, 9) AS f, round(g, 7) AS g FROM g JOIN f USING (doc), e""")
+def lda_token_masses(spark, sf):
+    m = sparse_lda.token_masses(_topic_tokens(spark, sf), 0.05, 0.01, 20)
+    return m.select("doc", "word", r("e", 10).alias("e"), r("f", 9).alias("f"), r("g", 7).alias("g"))
+
+
 def _event_tokens(spark, sf):
     h = F.hour("ts").cast("double")
     e = fx.table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), F.col("event_type").alias("word"), F.concat(F.lit("h"), (F.hour("ts") / 6).cast("int").cast("string")).alias("local"), h.alias("px"), F.col("value").alias("py"))
