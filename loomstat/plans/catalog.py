@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import order, scalar
-from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, series, sparse_lda, topics, trees
+from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, path_softmax, series, sparse_lda, topics, trees
 from loomstat.plans import fixtures as fx
 from loomstat.plans import text_queries  # noqa: F401  (registers its queries)
 from loomstat.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -678,6 +678,42 @@ def w2v_fit(spark, sf):
     return embed.word_vectors(fx.sequences(spark, sf), embed.VectorConfig(epochs=2, size=8))[0]
 
 
+def _coded(spark, sf):
+    """Event sequences with ids, and the paths of a tree whose every inner node has one leaf."""
+    t = fx.sequences(spark, sf)
+    vocab = embed.vocabulary(t)
+    last = vocab.agg(F.max("id").alias("last"))
+    nodes = F.sequence(F.lit(0), F.least(F.col("id"), F.col("last") - 1))
+    codes = vocab.join(F.broadcast(last)).select("id", F.transform(nodes, lambda m: F.struct(m.cast("long").alias("node"), F.when(m == F.col("id"), -1.0).otherwise(1.0).alias("sign"))).alias("steps"))
+    return t.join(vocab.select("token", "id"), "token").select("doc_id", "pos", "id"), codes
+
+
+@query(f"""WITH {fx.SEQUENCES_SQL}, voc AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM seq GROUP BY token), last AS (SELECT max(id) AS last FROM voc),
+  t AS (SELECT doc_id, pos, id, count(*) OVER (PARTITION BY doc_id) AS n FROM seq JOIN voc USING (token)), j AS (SELECT unnest(range(0, 4)) AS j),
+  vec AS (SELECT id, j, ((id * 7 + j * 3) % 11 - 5) / 50.0::DOUBLE AS x FROM voc, j), inn AS (SELECT id AS node, j, ((id * 5 + j * 2) % 13 - 6) / 50.0::DOUBLE AS w FROM voc, j, last WHERE id < last),
+  st AS (SELECT *, greatest(0, least(pos - 2, n - 5)) AS st FROM t),
+  near AS (SELECT a.doc_id, a.pos, a.id, b.id AS near FROM st a JOIN t b ON b.doc_id = a.doc_id AND b.pos >= a.st AND b.pos < a.st + 5 AND b.pos <> a.pos),
+  h AS MATERIALIZED (SELECT doc_id, pos, near.id AS id, j, avg(x) AS h FROM near JOIN vec ON vec.id = near.near GROUP BY ALL),
+  z AS (SELECT doc_id, pos, node, CASE WHEN node = id THEN -1 ELSE 1 END AS sign, sum(h * w) AS z FROM h JOIN inn USING (j) WHERE node <= id GROUP BY ALL),
+  g AS MATERIALIZED (SELECT doc_id, pos, node, sign * (1 - 1 / (1 + exp(-sign * z))) AS g, -ln(1 / (1 + exp(-sign * z))) AS loss FROM z),
+  gi AS (SELECT node, j, sum(g * h) AS grad FROM g JOIN h USING (doc_id, pos) GROUP BY ALL),
+  e AS (SELECT doc_id, pos, j, sum(g * w) AS e FROM g JOIN inn USING (node) GROUP BY ALL),
+  gw AS (SELECT near AS id, j, sum(e) AS grad FROM near JOIN e USING (doc_id, pos) GROUP BY ALL),
+  si AS (SELECT node, sqrt(sum(grad * grad) / 4 + 1e-12) AS s FROM gi GROUP BY 1), sw AS (SELECT id, sqrt(sum(grad * grad) / 4 + 1e-12) AS s FROM gw GROUP BY 1)
+  SELECT 'word' AS part, CAST(id AS BIGINT) AS id, CAST(j AS INTEGER) AS at, round(x + 0.1::DOUBLE * grad / s, 7) AS x FROM vec JOIN gw USING (id, j) JOIN sw USING (id)
+  UNION ALL SELECT 'inner', node, j, round(w + 0.1::DOUBLE * grad / s, 7) FROM inn JOIN gi USING (node, j) JOIN si USING (node)
+  UNION ALL SELECT 'loss', 0, 0, round(sum(loss) / count(DISTINCT (doc_id, pos)), 7) FROM g""")
+def softmax_path_step(spark, sf):
+    tokens, codes = _coded(spark, sf)
+    made = lambda t, key, a, b, c, d: t.select(key, F.array(*[(F.pmod(F.col(key) * a + j * b, F.lit(c)) - d) / 50.0 for j in range(4)]).alias("vec"), F.lit(0.0).alias("acc"))
+    vectors = made(codes, "id", 7, 3, 11, 5)
+    inner = made(path_softmax.start_inner(codes, 4).select("node"), "node", 5, 2, 13, 6)
+    loss, vectors, inner = path_softmax.step(tokens, codes, vectors, inner, window=5, rate=0.1, size=4)
+    spread = lambda t, key, part: t.select(F.lit(part).alias("part"), F.col(key).cast("long").alias("id"), F.posexplode("vec").alias("at", "x"))
+    out = spread(vectors, "id", "word").unionByName(spread(inner, "node", "inner")).withColumn("x", r("x", 7))
+    return out.unionByName(loss.select(F.lit("loss").alias("part"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("at"), r(F.col("loss") / F.col("n"), 7).alias("x")))
+
+
 @query()
 def d2v_fit(spark, sf):
     return embed.train_documents(fx.sequences(spark, sf), embed.VectorConfig(epochs=2, size=8))[0]
