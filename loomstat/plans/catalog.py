@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import order, scalar
-from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, path_softmax, series, sparse_lda, topics, trees
+from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, path_softmax, series, sparse_lda, topics, trees, vector_free
 from loomstat.plans import fixtures as fx
 from loomstat.plans import text_queries  # noqa: F401  (registers its queries)
 from loomstat.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -599,6 +599,22 @@ def lr_sgd(spark, sf):
     return linear.fit_sgd(*_scaled(spark, sf), linear.LogisticConfig(rate=0.05, epochs=3, norm=2, lam=1e-4))
 
 
+@query(f"""WITH {fx.ROWS_SQL}, {fx.BINARY_SQL},
+  b AS (SELECT name, sum(label) / 1000 AS q, count(*) / 5000.0::DOUBLE AS s1, sum(label) / 900 + 0.1::DOUBLE AS s2, count(*) / 4000.0::DOUBLE + sum(label) / 3000 AS y1, sum(label) / 700 + 0.3::DOUBLE AS y2 FROM bin JOIN rws USING (row_id) GROUP BY name),
+  c2 AS (SELECT sum(s2 * -q) / sum(s2 * y2) AS a2, sum(s2 * y2) / sum(y2 * y2) AS h FROM b),
+  q1 AS (SELECT name, s1, s2, y1, y2, -q - a2 * y2 AS q, a2, h FROM b, c2),
+  c1 AS (SELECT sum(s1 * q) / sum(s1 * y1) AS a1 FROM q1),
+  r0 AS (SELECT name, s1, s2, y1, y2, (q - a1 * y1) * h AS r, a1, a2 FROM q1, c1),
+  b1 AS (SELECT sum(y1 * r) / sum(s1 * y1) AS b1 FROM r0),
+  r1 AS (SELECT name, s1, s2, y1, y2, r + (a1 - b1) * s1 AS r, a2 FROM r0, b1),
+  b2 AS (SELECT sum(y2 * r) / sum(s2 * y2) AS b2 FROM r1)
+  SELECT name, round(r + (a2 - b2) * s2, 7) AS d FROM r1, b2""")
+def lbfgs_direction(spark, sf):
+    label, n = F.sum("label"), F.count("*")
+    t = fx.binary_features(spark, sf).join(fx.rows(spark, sf), "row_id").groupBy("name").agg((label / 1000).alias("sub"), F.array(n / 5000, label / 900 + 0.1).alias("s"), F.array(n / 4000 + label / 3000, label / 700 + 0.3).alias("y"))
+    return vector_free.direction(t, 2).select("name", r("d", 7).alias("d"))
+
+
 @query()
 def lr_lbfgs(spark, sf):
     return linear.fit_batch(*_scaled(spark, sf), lam=1.0, norm=2)
