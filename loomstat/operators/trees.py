@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstat.functions import scalar
+from loomstat.functions import order, scalar
 from loomstat.operators import metrics
 from loomstat.scratch import cut
 
@@ -77,24 +78,50 @@ def node_stats(gh: DataFrame, wr: float, nr: float) -> DataFrame:
     return t.withColumn("wei", leaf_weight(F.col("sum_g"), F.col("sum_h"), wr)).withColumn("loss", leaf_loss(F.col("sum_g"), F.col("sum_h"), wr, nr))
 
 
-def split_candidates(gh: DataFrame, features: DataFrame, *, wr: float, nr: float, min_rows: int, binary: bool = False) -> DataFrame:
-    """node, name, aval, n_left, gain for every admissible split of the nodes in gh (row_id, node, g, h).
+def value_sums(gh: DataFrame, features: DataFrame) -> DataFrame:
+    """node, name, value, g, h, c: sums over the rows of gh (row_id, node, g, h) by distinct value of each feature."""
+    return features.join(gh, "row_id").groupBy("node", "name", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("c"))
+
+
+def sibling_sums(parent: DataFrame, child: DataFrame, node: int) -> DataFrame:
+    """value_sums of a node's other child, from the node's own and one child's: no row is read."""
+    own = child.select("name", "value", *[F.col(x).alias(f"{x}_") for x in "ghc"])
+    left = parent.join(own, ["name", "value"], "left").withColumn("c", F.col("c") - F.coalesce("c_", F.lit(0))).where("c > 0")
+    return left.select(F.lit(node).alias("node"), "name", "value", *[(F.col(x) - F.coalesce(f"{x}_", F.lit(0.0))).alias(x) for x in "gh"], "c")
 
-    Rows at or above aval go left, all others and rows without the feature right. Values are summed up before they are
-    ordered, so a window sees one row for each distinct value of a feature in a node. aval is halfway to the next smaller
-    value; the last candidate parts present from missing, at the smallest value (1/2 for binary features).
+
+def candidates(sums: DataFrame, stats: DataFrame, *, wr: float, nr: float, min_rows: int, binary: bool = False, buckets: int = 1) -> DataFrame:
+    """node, name, aval, n_left, gain for every admissible split, from value_sums and node_stats.
+
+    Rows at or above aval go left, all others and rows without the feature right. aval is halfway to the next smaller value; the last
+    candidate parts present from missing, at the smallest value (1/2 for binary features). With several buckets the distinct
+    values of a feature lie in as many ranges, so that no task holds them all: totals of ranges first, then values inside.
     """
-    by_value = features.join(gh, "row_id").groupBy("node", "name", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("c"))
-    w = Window.partitionBy("node", "name").orderBy(F.desc("value"))
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by_value.select("node", "name", "value", F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"), F.sum("c").over(upto).alias("n_left"), F.lead("value").over(w).alias("below"))
-    stats = node_stats(gh, wr, nr)
+    key = ["node", "name"]
+    if buckets > 1:
+        marked = order.with_bucket(sums.withColumn("less", -F.col("value")), "less", "bucket", buckets)
+        inside = Window.partitionBy(*key, "bucket").orderBy(F.desc("value"))
+        first = marked.groupBy(*key, "bucket").agg(F.max("value").alias("first"))
+        first = first.select(*key, "bucket", F.lead("first").over(Window.partitionBy(*key).orderBy("bucket")).alias("next"))  # a row a range
+        marked = marked.withColumn("below", F.lead("value").over(inside)).join(first, [*key, "bucket"]).withColumn("below", F.coalesce("below", "next"))
+        run = order.running(marked, "bucket", [F.desc("value")], {"gl": F.col("g"), "hl": F.col("h"), "n_left": F.col("c")}, by=key, after=True)
+        run = run.select(*key, "value", "gl", "hl", "n_left", "below")
+    else:
+        w = Window.partitionBy(*key).orderBy(F.desc("value"))
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = sums.select(*key, "value", F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"), F.sum("c").over(upto).alias("n_left"), F.lead("value").over(w).alias("below"))
     c = run.join(stats, "node").where((F.col("n_left") >= min_rows) & (F.col("n") - F.col("n_left") >= min_rows))
     gain = F.col("loss") - leaf_loss(F.col("gl"), F.col("hl"), wr, nr) - leaf_loss(F.col("sum_g") - F.col("gl"), F.col("sum_h") - F.col("hl"), wr, nr)
     last = F.lit(0.5) if binary else F.col("value")
     return c.select("node", "name", F.coalesce((F.col("value") + F.col("below")) / 2, last).alias("aval"), "n_left", gain.alias("gain"))
 
 
+def split_candidates(gh: DataFrame, features: DataFrame, *, wr: float, nr: float, min_rows: int, binary: bool = False) -> DataFrame:
+    """candidates() for the nodes of gh (row_id, node, g, h)."""
+    sums = cut(value_sums(gh, features))
+    return candidates(sums, node_stats(gh, wr, nr), wr=wr, nr=nr, min_rows=min_rows, binary=binary, buckets=max(1, -(-sums.count() // order.BUCKET_ROWS)))
+
+
 def best_splits(candidates: DataFrame) -> DataFrame:
     """The split of the largest positive gain for each node; ties go to the smaller name, then the larger aval."""
     best = F.min_by(F.struct("name", "aval", "n_left", "gain"), F.struct(-F.col("gain"), "name", -F.col("aval")))
@@ -112,33 +139,51 @@ def route(gh: DataFrame, features: DataFrame, splits: list[tuple[int, str, float
 
 
 def grow(gh: DataFrame, features: DataFrame, *, leaves: int, depth: int, wr: float, nr: float, min_rows: int, binary: bool = False) -> Tree | None:
-    """Leaf-wise best-first growth of one tree on (row_id, g, h); None where the root can't split. One job scores both new leaves."""
-    gh = gh.withColumn("node", F.lit(0)).select("row_id", "node", "g", "h")
-    root = node_stats(gh, wr, nr).first()
+    """Leaf-wise best-first growth of one tree on (row_id, g, h); None where the root can't split.
+
+    A split moves the rows of its node alone. Sums by value are worked out from the rows of the smaller child; the other child's are the
+    node's less those. One job scores both new leaves.
+    """
+    gh = gh.select("row_id", "g", "h")
+    spark = gh.sparkSession
+    root = node_stats(gh.withColumn("node", F.lit(0)), wr, nr).first()
     if root is None or leaves < 2:
         return None
-    tree = Tree([Node(0, root["n"], root["wei"], root["loss"])])
-    heap: list[tuple] = []
+    tree, stats = Tree([Node(0, root["n"], root["wei"], root["loss"])]), {0: (0, root["n"], root["sum_g"], root["sum_h"], root["loss"])}
+    rows, sums, heap = {0: gh}, {0: cut(value_sums(gh.withColumn("node", F.lit(0)), features))}, []
+    buckets = max(1, -(-sums[0].count() // order.BUCKET_ROWS))
+
+    def can(node: Node) -> bool:
+        return node.depth < depth and node.rows >= 2 * min_rows
 
     def push(nodes: list[int]) -> None:
-        open_ = [i for i in nodes if tree.nodes[i].depth < depth and tree.nodes[i].rows >= 2 * min_rows]
-        if open_:
-            at = gh.where(F.col("node").isin(open_))
-            for r in best_splits(split_candidates(at, features, wr=wr, nr=nr, min_rows=min_rows, binary=binary)).collect():
+        if nodes:
+            found = reduce(DataFrame.unionByName, [sums[i] for i in nodes])
+            own = F.broadcast(spark.createDataFrame([stats[i] for i in nodes], "node int, n long, sum_g double, sum_h double, loss double"))  # two rows at most
+            for r in best_splits(candidates(found, own, wr=wr, nr=nr, min_rows=min_rows, binary=binary, buckets=buckets)).collect():
                 heapq.heappush(heap, (-r["gain"], r["node"], r["name"], r["aval"]))
 
-    push([0])
+    push([0] if can(tree.nodes[0]) else [])
     count = 1
     while heap and count < leaves:
         _, i, name, aval = heapq.heappop(heap)
         left, right = len(tree.nodes), len(tree.nodes) + 1
-        gh = cut(route(gh, features, [(i, name, aval, left, right)]))
-        tree.nodes[i].attr, tree.nodes[i].aval, tree.nodes[i].left, tree.nodes[i].right = name, aval, left, right
-        got = {r["node"]: r for r in node_stats(gh.where(F.col("node").isin(left, right)), wr, nr).collect()}
-        tree.nodes += [Node(j, got[j]["n"], got[j]["wei"], got[j]["loss"], tree.nodes[i].depth + 1) for j in (left, right)]
+        hit = features.where((F.col("name") == name) & (F.col("value") >= aval)).select("row_id").distinct().withColumn("up", F.lit(True))
+        both = cut(rows.pop(i).join(hit, "row_id", "left").select("row_id", F.when(F.col("up"), left).otherwise(right).alias("node"), "g", "h"))
+        got = {r["node"]: r for r in node_stats(both, wr, nr).collect()}
+        node = tree.nodes[i]
+        node.attr, node.aval, node.left, node.right = name, aval, left, right
+        tree.nodes += [Node(j, got[j]["n"], got[j]["wei"], got[j]["loss"], node.depth + 1) for j in (left, right)]
+        rows |= {j: both.where(F.col("node") == j).select("row_id", "g", "h") for j in (left, right)}
+        stats |= {j: (j, *(got[j][x] for x in ("n", "sum_g", "sum_h", "loss"))) for j in (left, right)}
         count += 1
-        if count < leaves:
-            push([left, right])
+        open_ = [j for j in (left, right) if can(tree.nodes[j])]
+        if count < leaves and open_:
+            less, more = sorted((left, right), key=lambda j: tree.nodes[j].rows)
+            sums[less] = cut(value_sums(both.where(F.col("node") == less), features))
+            sums[more] = cut(sibling_sums(sums[i], sums[less], more)) if more in open_ else None
+            push(open_)
+        del sums[i]
     return tree if count > 1 else None
 
 

@@ -214,6 +214,16 @@ def split_gain_binary(spark, sf):
     return c.select("node", "name", r("aval", 9).alias("aval"), "n_left", r("gain", 5).alias("gain"))
 
 
+@query(f"WITH {fx.ROWS_SQL}, {fx.FEATURES_SQL}, {_split_sql('fea', 'value', 'value')} SELECT node, name, round(aval, 9) AS aval, n_left, round(gain, 5) AS gain FROM cand WHERE node = 0")
+def split_gain_sibling(spark, sf):
+    """The gains in node 0 from the sums of both nodes less those of node 1, its values in several ranges."""
+    gh, f = _gh(spark, sf), fx.features(spark, sf)
+    whole = trees.value_sums(gh.withColumn("node", F.lit(9)), f)
+    sums = trees.sibling_sums(whole, trees.value_sums(gh.where("node = 1"), f), 0)
+    c = trees.candidates(sums, trees.node_stats(gh, OPTIONS["wr"], OPTIONS["nr"]), buckets=5, **OPTIONS)
+    return c.select("node", "name", r("aval", 9).alias("aval"), "n_left", r("gain", 5).alias("gain"))
+
+
 @query(f"WITH {fx.ROWS_SQL}, {fx.BINARY_SQL}, {_split_sql('bin', '1.0::DOUBLE', '0.5::DOUBLE')} SELECT node, name, round(aval, 9) AS aval, n_left, round(gain, 5) AS gain FROM cand WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, name, aval DESC) = 1")
 def best_split(spark, sf):
     c = trees.best_splits(trees.split_candidates(_gh(spark, sf), fx.binary_features(spark, sf), binary=True, **OPTIONS))

@@ -440,3 +440,17 @@ def test_reports_after_each_tree_and_start_scores(spark):
     seen.clear()
     trees.boost_binary(two, feats, config, test=(two, feats), report=lambda n, name, s: seen.append((n, name, s.columns)))
     assert seen[0] == (1, "train", ["row_id", "label", "f"]) and seen[1][1] == "test"
+
+
+def test_sibling_sums_and_ranges_of_values_give_the_same_splits(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(i % 3 == 0), float(rng.normal()), 1.0) for i in range(240)]
+    feats = [(i, n, float(rng.integers(0, 40)) / 4) for i in range(240) for n in ("a", "b", "c") if rng.random() < 0.8]
+    gh, f = spark.createDataFrame(rows, "row_id long, node int, g double, h double"), spark.createDataFrame(feats, "row_id long, name string, value double")
+    options = {"wr": 0.5, "nr": 0.0, "min_rows": 5}
+    plain = sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in trees.split_candidates(gh, f, **options).collect())
+    whole, one = trees.value_sums(gh.withColumn("node", F.lit(9)), f), trees.value_sums(gh.where("node = 1"), f)
+    sums = trees.sibling_sums(whole, one, 0).unionByName(one)
+    for buckets in (1, 4):
+        got = trees.candidates(sums, trees.node_stats(gh, 0.5, 0.0), buckets=buckets, **options).collect()
+        assert sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in got) == plain
