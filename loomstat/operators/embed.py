@@ -74,12 +74,85 @@ def huffman(counts: list[int]) -> tuple[list[list[int]], list[list[int]]]:
     return paths, codes
 
 
+def huffman_runs(runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of huffman() from runs (count, how many tokens) in falling order of count: leaf and inner segments.
+
+    A segment (first, base, width, bit) tells where the items from place first on go: with width 2 in pairs to the inner nodes from base on,
+    the first of a pair with 0, with width 1 a single item to node base with this bit. Leaves have their places in the order in which they are
+    picked (the last token first), inner nodes in order of making. There are about as many segments as different counts.
+    """
+    leaves, inner = [[c, n] for c, n in reversed(runs)], []
+    at, made, segments = {"leaf": 0, "inner": 0}, 0, {"leaf": [], "inner": []}
+    first = {"leaf": 0, "inner": 0}  # of the queues' runs
+    queues = {"leaf": leaves, "inner": inner}
+    left = sum(n for _, n in runs)
+
+    def front() -> str:
+        leaf = leaves[first["leaf"]][0] if first["leaf"] < len(leaves) else None
+        own = inner[first["inner"]][0] if first["inner"] < len(inner) else None
+        return "leaf" if own is None or leaf is not None and leaf <= own else "inner"
+
+    def take(kind: str, n: int, width: int, bit: int) -> int:
+        run = queues[kind][first[kind]]
+        segments[kind].append((at[kind], made, width, bit))
+        at[kind] += n
+        run[1] -= n
+        if not run[1]:
+            first[kind] += 1
+        return run[0]
+
+    while left > 1:
+        kind = front()
+        pairs = queues[kind][first[kind]][1] // 2
+        if pairs:
+            inner.append([2 * take(kind, 2 * pairs, 2, 0), pairs])
+        else:
+            pairs, weight = 1, take(kind, 1, 1, 0)
+            inner.append([weight + take(front(), 1, 1, 1), 1])
+        made += pairs
+        left -= pairs
+    return np.array(segments["leaf"], np.int64).reshape(-1, 4), np.array(segments["inner"], np.int64).reshape(-1, 4)
+
+
+def _up(place: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inner nodes above places, and the bits that lead down from them."""
+    first, base, width, bit = segments[np.searchsorted(segments[:, 0], place, "right") - 1].T
+    return base + (place - first) // width, np.where(width == 2, (place - first) % 2, bit)
+
+
+def huffman_paths(ids: np.ndarray, tokens: int, leaf: np.ndarray, inner: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+    """Paths and codes of the tokens of these ids among so many tokens, from huffman_runs()."""
+    if tokens == 1:
+        return [[0] for _ in ids], [[0] for _ in ids]
+    node, bit = _up(tokens - 1 - ids, leaf)
+    steps = [(np.arange(len(ids)), node, bit)]
+    while len(steps[-1][0]):
+        rows, node, _ = steps[-1]
+        on = node < tokens - 2  # not the root
+        node, bit = _up(node[on], inner) if on.any() else (node[on], node[on])
+        steps.append((rows[on], node, bit))
+    paths, codes = [[] for _ in ids], [[] for _ in ids]
+    for rows, nodes, bits in reversed(steps):
+        for row, n, b in zip(rows.tolist(), nodes.tolist(), bits.tolist(), strict=True):
+            paths[row].append(n)
+            codes[row].append(b)
+    return paths, codes
+
+
 def huffman_codes(vocab: DataFrame) -> DataFrame:
-    """token, cnt, id, path, code."""
-    rows = vocab.orderBy("id").collect()
-    paths, codes = huffman([r["cnt"] for r in rows])
-    table = [(r["token"], r["cnt"], r["id"], p, c) for r, p, c in zip(rows, paths, codes, strict=True)]
-    return vocab.sparkSession.createDataFrame(table, "token string, cnt long, id int, path array<int>, code array<int>")
+    """token, cnt, id, path, code, for a vocabulary whose ids from 0 fall with the count.
+
+    Only the different counts and how many tokens have each come to the driver; paths are worked out where the tokens lie.
+    """
+    runs = [(r["cnt"], r["n"]) for r in vocab.groupBy("cnt").agg(F.count("*").alias("n")).orderBy(F.desc("cnt")).collect()]
+    tokens, (leaf, inner) = sum(n for _, n in runs), huffman_runs(runs)
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths, codes = huffman_paths(pdf.id.to_numpy(), tokens, leaf, inner)
+            yield pdf.assign(path=paths, code=codes)
+
+    return vocab.select("token", F.col("cnt").cast("long").alias("cnt"), F.col("id").cast("int").alias("id")).mapInPandas(coded, "token string, cnt long, id int, path array<int>, code array<int>")
 
 
 def context_pairs(tokens: DataFrame, window: int) -> DataFrame:
