@@ -141,7 +141,8 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
     double precision on the original vectors; ties go to the smaller vec_id. Vectors that are null, zero, not of the most
     frequent length, or hold null, NaN or infinite components take no part, and neither do null ids. Fewer candidates than
     k are all returned. Equal vectors get equal codes, and all ties with the last kept are reranked, so copies are found
-    in order of vec_id. Rows repeated with one vec_id appear as often. An empty table gives no rows; other columns are
+    in order of vec_id. Rows repeated with one vec_id appear as often;
+    of query rows with one vec_id and several vectors the least, as bytes, asks. An empty table gives no rows; other columns are
     not read.
 
     Candidates lie in blocks of about CANDIDATE_BLOCK rows and queries in blocks of about QUERY_BLOCK; each pair of blocks is
@@ -171,7 +172,7 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
     c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     c_block, q_block = F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks))
     everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = asked.dropDuplicates(["vec_id"]).withColumn("c", everywhere(c_blocks)).select((F.col("c") * q_blocks + q_block).alias("cell"), F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("binary").alias("code"), "vector")
+    left = asked.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("c", everywhere(c_blocks)).select((F.col("c") * q_blocks + q_block).alias("cell"), F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("binary").alias("code"), "vector")
     right = codes.withColumn("q", everywhere(q_blocks)).select((c_block * q_blocks + F.col("q")).alias("cell"), F.lit(0).alias("kind"), "vec_id", "code", "vector")
     cells = left.unionByName(right).repartition(partitions_for(c_blocks * q_blocks, 1), "cell").sortWithinPartitions("cell", "kind", "vec_id")
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

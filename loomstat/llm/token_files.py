@@ -30,9 +30,9 @@ HEAD, TAIL = struct.Struct("<6sBQI"), struct.Struct("<QQQQ6s")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("start", "<u8"), ("ids", "<u8")])
 SHARD_BYTES = 24 << 20
 LEVEL = 2
-#: The dictionary is trained on so many documents at most, whole ones in order of their hash while they come to no more than
-#: SAMPLE_BYTES; all documents are written.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 16 << 20, 1 << 16
+#: The dictionary is trained on so many documents at most, the first in order of their hash, and on so many characters of each at
+#: most; all documents are written whole.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 1 << 14, 1 << 16
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -82,8 +82,7 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     chosen = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "text")  # SAMPLE_DOCS ids at most
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
-    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = chosen.select("n", F.when(F.sum("n").over(so_far) <= SAMPLE_BYTES, F.col("text")).alias("text")).toPandas()
+    sample = chosen.select("n", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toPandas()
     dictionary = train_dictionary([x for x in encoder(tokenizer).encode(sample["text"].dropna().tolist()) if x])
     size = rows.count() * float(sample["n"].mean() if len(sample) else 0)  # about the bytes of all texts, for the number of shards alone
     shards = partitions_for(size, SHARD_BYTES)

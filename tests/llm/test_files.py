@@ -293,3 +293,12 @@ def test_pieces_that_do_not_fit_together_come_to_an_end(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 16)
     placed = packing.place(spark.range(100).selectExpr("id AS at", "2100L AS length"), 4096).collect()
     assert len({r.sequence_id for r in placed}) == 100 and all(r.offset == 0 for r in placed)
+
+
+def test_one_long_text_does_not_switch_the_dictionary_off(spark, tmp_path):
+    long_ = prose(5, 40_000)  # more than is trained on, in any order of hashes
+    rows = [(i, long_ if i % 2 else prose(i, 300), "s") for i in range(40)]
+    token_files.write_token_files(docs(spark, rows), f"file://{tmp_path}/ids")
+    files = [p for p in (tmp_path / "ids").iterdir() if p.name.startswith("part-")]
+    assert files and all(token_files.HEAD.unpack(p.read_bytes()[: token_files.HEAD.size])[3] > 1000 for p in files)
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/ids", with_ids=False).count() == 40

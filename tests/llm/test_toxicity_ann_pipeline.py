@@ -221,3 +221,11 @@ def test_pipeline_of_nulls_repeats_and_long_texts(spark, tmp_path):
     for got in places.values():
         got.sort()
         assert [o for o, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))] and sum(n for _, n in got) <= 4096
+
+
+def test_query_rows_of_one_id_answer_alike_over_any_partitions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(200)] + [(20, [float(x) for x in rng.normal(size=16)]) for _ in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    answers = [sorted(tuple(r) for r in ann.search(table.repartition(n), F.col("vec_id") % 20 == 0, k=3).collect()) for n in (1, 3, 7)]
+    assert answers[0] == answers[1] == answers[2]
