@@ -123,9 +123,9 @@ def sampled(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.program == "lda":
         models.save_topics(topics.lda(tokens, topics.TopicConfig(**common), a.mode).persist(), a.k, a.out)
     elif a.program == "local-lda":
-        models.save_local_topics(topics.local_lda(tokens, topics.LocalConfig(**common)).persist(), a.k, a.out)
+        models.save_local_topics(topics.local_lda(tokens, topics.LocalConfig(**common), a.mode).persist(), a.k, a.out)
     else:
-        models.save_region_topics(topics.region_lda(tokens, topics.RegionConfig(**common, regions=a.regions)).persist(), a.k, a.regions, a.out)
+        models.save_region_topics(topics.region_lda(tokens, topics.RegionConfig(**common, regions=a.regions), a.mode).persist(), a.k, a.regions, a.out)
 
 
 def vectors(spark: SparkSession, a: argparse.Namespace) -> None:

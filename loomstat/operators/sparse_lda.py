@@ -7,6 +7,7 @@ takes; g is summed over the word's own topics; a draw goes through the topics of
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +50,11 @@ class SparseSampler:
 
     def enter(self, topics: list[int]) -> None:
         """The tokens that follow are of a document with these topics."""
-        self.doc: dict[int, int] = {}
-        for t in topics:
-            self.doc[t] = self.doc.get(t, 0) + 1
+        self.hold(dict(Counter(topics)))
+
+    def hold(self, topics: dict[int, int]) -> None:
+        """The tokens that follow are of a document with these counts of topics."""
+        self.doc = topics
         for t, n in self.doc.items():
             self.share[t] = (self.alpha + n) * self.inv[t]
         self.stale += self.doc

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.operators import sparse_lda
+from loomstat.operators import parts_lda, sparse_lda
 from loomstat.scratch import cut
 
 
@@ -34,6 +34,8 @@ class LocalConfig(TopicConfig):
 
 @dataclass
 class RegionConfig(TopicConfig):
+    gamma0: float = 0.5
+    gamma1: float = 0.5
     regions: int = 30
     weight: float = 1.0
     every: int = 10
@@ -171,8 +173,11 @@ def _draw(p: np.ndarray, u: float) -> int:
     return min(int(np.searchsorted(p, u * p[-1], "right")), len(p) - 1)
 
 
-def local_lda(tokens: DataFrame, config: LocalConfig) -> DataFrame:
-    """doc, pos, local, word, x, topic: each token is global (x = 0, with a topic 1 .. k) or its local's own (x = 1, topic -1). One task, documents in order."""
+def local_lda(tokens: DataFrame, config: LocalConfig, mode: str = "distributed") -> DataFrame:
+    """doc, pos, local, word, x, topic: each token is global (x = 0, with a topic 1 .. k) or its local's own (x = 1, topic -1).
+
+    exact: one task, documents in order. distributed: parts of documents, those of a local together as long as they fit (parts_lda).
+    """
     c = config
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,6 +215,10 @@ def local_lda(tokens: DataFrame, config: LocalConfig) -> DataFrame:
 
     t = start_topics(tokens, c.topics, c.seed).withColumn("x", F.coalesce(F.col("x"), F.lit(0)).cast("int") if "x" in tokens.columns else F.lit(0))
     t = t.select(*[F.col(n).cast("string") for n in ("doc",)], F.col("pos").cast("long"), F.col("local").cast("string"), F.col("word").cast("string"), "x", "topic")
+    if mode == "distributed":
+        done = parts_lda.switch_sweeps(t.withColumn("z", F.when(F.col("x") == 1, parts_lda.OWN).otherwise(F.col("topic") - 1).cast("int")), c)
+        own = F.col("z") == parts_lda.OWN
+        return done.select("doc", "pos", "local", "word", own.cast("int").alias("x"), F.when(own, -1).otherwise(F.col("z") + 1).cast("int").alias("topic"))
     return t.groupBy(F.lit("all")).applyInPandas(run, "doc string, pos long, local string, word string, x int, topic int")
 
 
@@ -219,11 +228,11 @@ def region_stats(tokens: DataFrame, by: str) -> DataFrame:
     return t.withColumn("det", F.col("vx") * F.col("vy") - F.col("cov") * F.col("cov"))
 
 
-def region_lda(tokens: DataFrame, config: RegionConfig) -> DataFrame:
+def region_lda(tokens: DataFrame, config: RegionConfig, mode: str = "distributed") -> DataFrame:
     """doc, pos, word, px, py, x, t: each token belongs to a global topic (x = 0, t in 0 .. k-1) or a region (x = 1, t in 0 .. l-1).
 
     Topics share one Gaussian fitted at the start; regions are refitted every so many sweeps, and regions with few tokens keep theirs as
-    they are. One task, documents in order.
+    they are. exact: one task, documents in order. distributed: parts of documents, which regions are too small is decided once a sweep (parts_lda).
     """
     c = config
 
@@ -250,7 +259,7 @@ def region_lda(tokens: DataFrame, config: RegionConfig) -> DataFrame:
         t = pdf.t.fillna(pd.Series(np.where(x == 0, rng.integers(0, c.topics, len(pdf)), rng.integers(0, c.regions, len(pdf))))).to_numpy().astype(int)
         both = c.topics + c.regions
         z = np.where(x == 0, t, c.topics + t)
-        nd, nw, nz = np.zeros((len(ds), c.topics)), np.zeros((v, both)), np.zeros(both)
+        nd, nw, nz, size = np.zeros((len(ds), c.topics)), np.zeros((v, both)), np.zeros(both), np.bincount(d)
         shared = moments(px[x == 0], py[x == 0])
         own = [None] * c.regions
 
@@ -270,9 +279,10 @@ def region_lda(tokens: DataFrame, config: RegionConfig) -> DataFrame:
                     continue
                 put(i, -1)
                 words = (c.beta + nw[w[i]]) / (v * c.beta + nz)
-                first = (c.alpha + nd[d[i]]) / (c.topics * c.alpha + nd[d[i]].sum()) * density(shared, px[i], py[i])
+                n0 = nd[d[i]].sum()
+                first = (c.gamma0 + n0) * (c.alpha + nd[d[i]]) / (c.topics * c.alpha + n0) * density(shared, px[i], py[i])
                 n = nz[c.topics :]
-                second = (c.weight + n) / (c.weight * c.regions + n.sum()) * np.array([density(g, px[i], py[i]) for g in own])
+                second = (c.gamma1 + size[d[i]] - 1 - n0) * (c.weight + n) / (c.weight * c.regions + n.sum()) * np.array([density(g, px[i], py[i]) for g in own])
                 p = np.append(first, second) * words
                 z[i] = _draw(p, rng.random()) if p.sum() > 0 else z[i]
                 put(i, 1)
@@ -280,4 +290,11 @@ def region_lda(tokens: DataFrame, config: RegionConfig) -> DataFrame:
 
     have = lambda n: F.col(n).cast("int") if n in tokens.columns else F.lit(None).cast("int")
     t = tokens.select(F.col("doc").cast("string"), F.col("pos").cast("long"), F.col("word").cast("string"), F.col("px").cast("double"), F.col("py").cast("double"), have("x").alias("x"), have("t").alias("t"))
+    if mode == "distributed":
+        pick = lambda n, what: F.pmod(F.xxhash64("doc", "pos", "word", F.lit(what), F.lit(c.seed)), F.lit(n))
+        t = t.withColumn("x", F.coalesce("x", pick(2, "x")))
+        z = F.when(F.col("x") == 0, F.coalesce("t", pick(c.topics, "t"))).otherwise(c.topics + F.coalesce("t", pick(c.regions, "t")))
+        done = parts_lda.region_sweeps(t.withColumn("z", z.cast("int")), c, region_stats)
+        x = F.col("z") >= c.topics
+        return done.select("doc", "pos", "word", "px", "py", x.cast("int").alias("x"), F.when(x, F.col("z") - c.topics).otherwise(F.col("z")).cast("int").alias("t"))
     return t.groupBy(F.lit("all")).applyInPandas(run, "doc string, pos long, word string, px double, py double, x int, t int")
