@@ -35,6 +35,16 @@ def tied_ranks(spark, sf):
     return metrics.tied_ranks(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "rank")
 
 
+@query("""WITH RECURSIVE d AS (SELECT doc_id, floor(n_chars / 200) AS b, floor(n_chars / 200) + (doc_id % 7) * 4e-10::DOUBLE AS s FROM documents),
+  a AS (SELECT b, min(s) AS s FROM d GROUP BY 1 UNION ALL SELECT d.b, min(d.s) FROM a JOIN d ON d.b = a.b AND d.s - 1e-9::DOUBLE > a.s GROUP BY 1),
+  g AS (SELECT doc_id, d.s, max(a.s) AS anchor FROM d JOIN a ON a.b = d.b AND a.s <= d.s GROUP BY 1, 2)
+  SELECT doc_id, avg(rn) OVER (PARTITION BY anchor) AS rank FROM (SELECT doc_id, anchor, row_number() OVER (ORDER BY s) AS rn FROM g)""")
+def near_tied_ranks(spark, sf):
+    """Scores with near-ties 4e-10 apart, so that a group has up to three of them, over eight buckets."""
+    s = F.floor(F.col("n_chars") / 200).cast("double") + F.col("doc_id") % 7 * F.lit(4e-10)
+    return metrics.tied_ranks(fx.table(spark, sf, "documents").select("doc_id", s.alias("s")), "s", buckets=8).select("doc_id", "rank")
+
+
 def _placed(spark, sf):
     return fx.tokens(spark, sf).select("token", (F.col("doc_id") * (1 << 24) + F.col("pos")).alias("at"))
 
