@@ -150,6 +150,37 @@ def test_patterns_do_not_overlap(spark):
             assert all(abs(a - b) >= 10 for a in mine for b in others)
 
 
+def in_turn(members: list[tuple], length: int) -> dict:
+    """Kept windows by bucket: buckets one after another in order of first appearance."""
+    groups: dict = {}
+    for bucket, key, at in sorted(members, key=lambda m: m[1:]):
+        groups.setdefault(bucket, []).append((key, at))
+    taken, kept = [], {}
+    for bucket, own in groups.items():
+        free = [(k, a) for k, a in own if all(k != o or abs(a - p) >= length for o, p in taken)]
+        if len(free) >= 2:
+            kept[bucket] = free
+            taken += free
+    return kept
+
+
+def test_overlaps_are_decided_in_rounds_as_in_turn(spark):
+    rng, members = np.random.default_rng(8), []
+    for key in range(5):
+        last: dict = {}
+        for at in range(60):
+            bucket = int(rng.integers(18))
+            if rng.random() < 0.6 and at - last.get(bucket, -9) >= 5:
+                last[bucket] = at
+                members.append((bucket, key, at))
+    df = spark.createDataFrame(members, "bucket int, row int, at int")
+    got: dict = {}
+    for r in series.without_overlaps(df.repartition(3), "row", 5).collect():
+        got.setdefault(r["bucket"], []).append((r["row"], r["at"]))
+    assert {b: sorted(w) for b, w in got.items()} == in_turn(members, 5)
+    assert series.without_overlaps(df.limit(0), "row", 5).isEmpty()
+
+
 # --- models ------------------------------------------------------------------------------------------------------------
 
 
