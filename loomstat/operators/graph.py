@@ -86,35 +86,53 @@ def _sweeps_exact(pdf: pd.DataFrame, resolution: float) -> pd.DataFrame:
     return pd.DataFrame({"node": list(comm), "comm": list(comm.values())})
 
 
-def _sweeps_joined(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """Local moves by joins: in each round a hash half of the nodes moves at once to the best community."""
-    comm = cut(edges.select(F.col("src").alias("node")).distinct().withColumn("comm", F.col("node")))
-    for i in range(rounds):
-        t = delta_q(edges, comm, resolution)
-        best = t.groupBy("node", "own").agg(F.max_by("comm", F.struct("dq", "comm")).alias("to"), F.max("dq").alias("dq"), F.max(F.when(F.col("comm") == F.col("own"), F.col("dq"))).alias("here"))
-        best = best.where((F.col("to") != F.col("own")) & (F.col("dq") > F.greatest(F.lit(0.0), F.coalesce("here", F.lit(0.0))) + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0))
-        new = cut(comm.join(best.select("node", "to"), "node", "left"))
-        if new.where("to IS NOT NULL").isEmpty() and i % 2:
+def _wishes(edges: DataFrame, comm: DataFrame, resolution: float) -> DataFrame:
+    """node, to for the nodes that gain by another community than their own."""
+    t = delta_q(edges, comm, resolution)
+    best = t.groupBy("node", "own").agg(F.max_by("comm", F.struct("dq", "comm")).alias("to"), F.max("dq").alias("dq"), F.max(F.when(F.col("comm") == F.col("own"), F.col("dq"))).alias("here"))
+    return best.where((F.col("to") != F.col("own")) & (F.col("dq") > F.greatest(F.lit(0.0), F.coalesce("here", F.lit(0.0))) + 1e-12)).select("node", "to")
+
+
+def _sweeps_joined(edges: DataFrame, resolution: float, rounds: int | None = None) -> DataFrame:
+    """Local moves by joins, until no node gains: in each of the first ten rounds a hash half of the nodes moves at once to the best community.
+
+    Such moves can undo each other. So from then on a community takes part in one move a round, that of the node with the least hash, and
+    the modularity rises with each.
+    """
+    comm, i = cut(edges.select(F.col("src").alias("node")).distinct().withColumn("comm", F.col("node"))), 0
+    while rounds is None or i < rounds:
+        new = cut(comm.join(_wishes(edges, comm, resolution), "node", "left"))
+        if new.where("to IS NOT NULL").isEmpty():
             break
-        comm = new.select("node", F.coalesce("to", "comm").alias("comm"))
+        comm, i = _moved(new, i), i + 1
     return comm
 
 
-def louvain(edges: DataFrame, *, mode: str = "distributed", resolution: float = RESOLUTION, rounds: int = 10, levels: int = 10) -> DataFrame:
+def _moved(new: DataFrame, i: int) -> DataFrame:
+    """node, comm after the moves of round i; new: node, comm and, for nodes that gain, to."""
+    rank = F.struct(F.xxhash64("node", F.lit(i)), "node")
+    if i < 10:
+        return new.select("node", F.coalesce(F.when(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0, F.col("to")), "comm").alias("comm"))
+    first = new.where("to IS NOT NULL").select("node", rank.alias("rank"), F.explode(F.array("comm", "to")).alias("of")).groupBy("of").agg(F.min_by("node", "rank").alias("node"))
+    goes = first.groupBy("node").count().where("count = 2").select("node", F.lit(True).alias("goes"))
+    return new.join(goes, "node", "left").select("node", F.when(F.col("goes"), F.col("to")).otherwise(F.col("comm")).alias("comm"))
+
+
+def louvain(edges: DataFrame, *, mode: str = "distributed", resolution: float = RESOLUTION, rounds: int | None = None) -> DataFrame:
     """node, comm: local moves and contraction in turn while nodes move.
 
     exact moves one node at a time in order of id, in one task (for graphs that fit an executor); distributed moves by joins, and its
-    results differ. comm is the smallest node of a community in both.
+    results differ. comm is the smallest node of a community in both. rounds, if given, ends the local moves of a level early.
     """
     current, label = edges, edges.select(F.col("src").alias("node")).distinct().withColumn("comm", F.col("node"))
     kind = dict(edges.dtypes)["src"]
-    for _ in range(levels):
+    while True:
         if mode == "exact":
             step = current.groupBy(F.lit("all")).applyInPandas(lambda pdf: _sweeps_exact(pdf, resolution), f"node {kind}, comm {kind}")
         else:
             step = _sweeps_joined(current, resolution, rounds)
         step = cut(step)
-        if step.where("node <> comm").isEmpty():
+        if step.select("comm").distinct().count() == step.count():  # no two nodes came together
             break
         label = cut(label.join(step.select(F.col("node").alias("comm"), F.col("comm").alias("next")), "comm", "left").select("node", F.coalesce("next", "comm").alias("comm")))
         current = cut(contract(current, step))

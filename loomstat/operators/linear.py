@@ -110,7 +110,8 @@ def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: Logi
 
     exact: one task takes the rows in order of row_id, an epoch after the other, and stops when the loss falls by no more than
     the tolerance. distributed: each partition runs an epoch on its share from common weights, which are then averaged by the
-    partitions' rows; the weights (one number a feature) pass through the driver, and report(epoch from 1, weights) is called
+    partitions' rows. It sums up the loss of the weights that it starts from, too, and where that fell by no more than the
+    tolerance, the weights stay as they were before that epoch. The weights (one number a feature) pass through the driver, and report(epoch from 1, weights) is called
     after each epoch. Without partitions there is one for each PASS_ROWS rows.
     """
     data, d = packed(rows, features, names), names.count()
@@ -131,18 +132,23 @@ def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: Logi
         return data.groupBy(F.lit("all")).applyInPandas(exact, "id long, w double").join(names, "id").select("name", "w")
     named = lambda w: rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double").join(names, "id").select("name", "w")
     data = data.repartition(partitions or max(8, -(-rows.count() // PASS_ROWS)), "row_id").sortWithinPartitions("row_id").persist()
-    w = np.zeros(d)
+    w, last = np.zeros(d), np.inf
     for e in range(c.epochs):
 
         def epoch(batches: Iterator[pd.DataFrame], w=w, e=e) -> Iterator[pd.DataFrame]:
-            own, n = w.copy(), 0
+            own, n, loss = w.copy(), 0, 0.0
             for pdf in batches:
+                loss += _loss(w, pdf.label, pdf.ids, pdf.vals)
                 own, n = _sgd_pass(own, pdf.label, pdf.ids, pdf.vals, c, c.rate / (1 + c.decay * e)), n + len(pdf)
-            yield pd.DataFrame({"id": np.arange(d), "s": own * n, "n": n})
+            yield pd.DataFrame({"id": np.r_[-1, np.arange(d)], "s": np.r_[loss, own * n], "n": n})
 
-        got = data.mapInPandas(epoch, "id long, s double, n long").groupBy("id").agg((F.sum("s") / F.sum("n")).alias("w")).collect()
-        for r in got:
-            w[r["id"]] = r["w"]
+        got = {r["id"]: r for r in data.mapInPandas(epoch, "id long, s double, n long").groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+        now = got.pop(-1)["s"]
+        if e and last - now <= c.tolerance:
+            break
+        last = now if e else np.inf  # the zero weights before the first epoch don't count
+        for i, r in got.items():
+            w[i] = r["s"] / r["n"] if r["n"] else w[i]
         if report:
             report(e + 1, named(w))
     data.unpersist()

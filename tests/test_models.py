@@ -1,5 +1,7 @@
 """Operators without SQL against plain versions, invariants and pyspark.ml."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -150,6 +152,28 @@ def test_patterns_do_not_overlap(spark):
             assert all(abs(a - b) >= 10 for a in mine for b in others)
 
 
+def test_moves_go_on_until_no_node_gains(spark):
+    rng = np.random.default_rng(2)
+    pairs = {tuple(sorted(rng.choice(16, 2, replace=False).tolist())) for _ in range(30)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src int, dst int, w double")
+    comm = graph._sweeps_joined(edges, graph.RESOLUTION)
+    assert graph._wishes(edges, comm, graph.RESOLUTION).isEmpty()
+
+
+def test_distributed_descent_stops_by_the_tolerance(spark, sparse):
+    rows, feats, names, _, _ = sparse
+    base = linear.LogisticConfig(rate=0.1, epochs=12, norm=2, lam=0.0, tolerance=0.0)
+    seen: dict = {}
+    linear.fit_sgd(rows, feats, names, base, partitions=2, report=lambda e, w: seen.__setitem__(e, {r["name"]: r["w"] for r in w.collect()}))
+    scored = {e: linear.linear_scores(rows, feats, spark.createDataFrame([*w.items()], "name string, w double")) for e, w in seen.items()}
+    loss = {e: s.agg(metrics.logistic_loss(F.col("z"), F.col("label")).alias("l")).first()["l"] for e, s in scored.items()}
+    falls = {e: loss[e - 1] - loss[e] for e in loss if e > 1}
+    tolerance = (falls[3] + falls[4]) / 2
+    stop = next(e for e in sorted(falls) if falls[e] <= tolerance)
+    got = {r["name"]: r["w"] for r in linear.fit_sgd(rows, feats, names, replace(base, tolerance=tolerance), partitions=2).collect()}
+    assert stop < 12 and got == pytest.approx(seen[stop])
+
+
 def in_turn(members: list[tuple], length: int) -> dict:
     """Kept windows by bucket: buckets one after another in order of first appearance."""
     groups: dict = {}
