@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.operators import cluster, embed, encode, graph, linear, metrics, topics, trees
+from loomstat.operators import cluster, embed, encode, graph, latent_tables, linear, metrics, topics, trees
 from loomstat.session import local_session
 from loomstat.sources import models, text
 
@@ -23,7 +23,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--out", required=True)
     p.add_argument("--binary", action="store_true", help="features without values")
     p.add_argument("--mode", choices=["exact", "distributed"], default="distributed")
-    for name, kind, value in (("rate", float, None), ("lam", float, 0.0), ("norm", int, 1), ("iterations", int, 10), ("k", int, 2), ("leaves", int, 2), ("depth", int, 1), ("width", int, 0), ("window", int, 5), ("margin", float, 1.0), ("seed", int, 0), ("alpha", float, 0.05), ("beta", float, 0.01), ("regions", int, 30), ("min-potential", float, 1000.0), ("leaf-cost", float, 0.0), ("weight-cost", float, 0.0), ("min-rows", int, 0)):
+    for name, kind, value in (("rate", float, None), ("lam", float, 0.0), ("norm", int, 1), ("iterations", int, None), ("k", int, None), ("leaves", int, 2), ("depth", int, 1), ("width", int, 0), ("window", int, None), ("margin", float, 1.0), ("seed", int, 0), ("alpha", float, 0.05), ("beta", float, 0.01), ("regions", int, 30), ("min-potential", float, 1000.0), ("leaf-cost", float, 0.0), ("weight-cost", float, 0.0), ("min-rows", int, 0)):
         p.add_argument(f"--{name}", type=kind, default=value)
     p.add_argument("--init", help="start scores (boosting; one a class in each line for gbm), trees (score), or the folder of a model to continue (w2v, d2v, rnn)")
     p.add_argument("--fixed", choices=["inner", "documents"], help="vectors that keep their values (d2v; w2v: inner)")
@@ -31,6 +31,11 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--save-every", type=int, default=0, help="save the coefficients after each so many epochs or steps, too")
     p.add_argument("--decay", type=float, default=0.0, help="lr: the rate falls by 1 / (1 + decay * epoch)")
     a = p.parse_args(argv)
+    net = embed.NetworkConfig()
+    usual = {"rate": net.rate, "k": net.size, "window": net.window, "iterations": net.epochs} if a.program == "rnn" else {"k": 2, "window": 5, "iterations": 10}
+    for name, value in usual.items():
+        if getattr(a, name) is None:
+            setattr(a, name, value)
     if a.rate is None and a.program in ("lr", "latent", "gbm", "gblr", "gbrank", "score"):
         p.error("--rate is needed: nothing is learned at rate 0")
     return a
@@ -55,11 +60,10 @@ def regression(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, feats = text.read_sparse(spark, a.train, binary=a.binary)
     names = dictionary(feats)
     config = linear.LogisticConfig(rate=a.rate or 0.0, decay=a.decay, lam=a.lam, norm=a.norm, epochs=a.iterations, hidden=a.k, seed=a.seed)
+    sets = {name: text.read_sparse(spark, path, binary=a.binary) for name, path in (("train", a.train), ("test", a.test)) if path}
     if a.program == "latent":
-        model = linear.fit_latent(rows, feats, names, config)
-        models.save_vectors(model.withColumn("name", F.coalesce("name", F.lit("output weights"))), f"{a.out}/coe", "name", "v", 10)
+        latent(spark, a, sets, names, config)
         return
-    sets = {name: text.read_sparse(spark, path, binary=a.binary) for name, path in (("train", a.train), ("test", a.test)) if path}
 
     def step(number: int, weights: DataFrame) -> None:
         for name, data in sets.items():
@@ -77,6 +81,29 @@ def regression(spark: SparkSession, a: argparse.Namespace) -> None:
         report(name, linear.linear_scores(*data, weights))
 
 
+def latent(spark: SparkSession, a: argparse.Namespace, sets: dict[str, tuple[DataFrame, DataFrame]], names: DataFrame, config: linear.LogisticConfig) -> None:
+    """A report and, if wanted, a model after each epoch, and the last one; rows in order (exact) or in steps over tables."""
+
+    def save(layer: latent_tables.Layer, path: str) -> None:
+        outer = spark.createDataFrame([("output weights", layer.outer.tolist())], "name string, v array<double>")
+        models.save_vectors(layer.inner.select("name", F.col("vec").alias("v")).unionByName(outer), path, "name", "v", 10)
+
+    def step(number: int, layer: latent_tables.Layer) -> None:
+        for name, data in sets.items():
+            report(f"{number} {name}", latent_tables.forward(*data, layer))
+        if a.save_every and number % a.save_every == 0:
+            save(layer, f"{a.out}/coe_{number}")
+
+    if a.mode == "exact":
+        for number, part in linear.latent_epochs(*sets["train"], names, config):
+            outer = np.array(part.where("name IS NULL").first()["v"])
+            layer = latent_tables.Layer(part.where("name IS NOT NULL").select("name", F.col("v").alias("vec")), outer)
+            step(number, layer)
+    else:
+        layer = latent_tables.train(*sets["train"], names, config, report=step)[0]
+    save(layer, f"{a.out}/coe")
+
+
 def boosting(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, feats = text.read_sparse(spark, a.train, binary=a.binary)
     config = trees.BoostConfig(rate=a.rate, trees=a.iterations, leaves=a.leaves, depth=a.depth, leaf_cost=a.leaf_cost, weight_cost=a.weight_cost, min_rows=a.min_rows, binary=a.binary, margin=a.margin, seed=a.seed)
@@ -130,13 +157,14 @@ def sampled(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def vectors(spark: SparkSession, a: argparse.Namespace) -> None:
     tokens = text.read_tokens(spark, a.train)
-    config = embed.VectorConfig(rate=a.rate or 0.025, size=a.k, window=a.window, epochs=a.iterations, seed=a.seed)
+    kind = embed.NetworkConfig if a.program == "rnn" else embed.VectorConfig
+    config = kind(rate=a.rate or 0.025, size=a.k, window=a.window, epochs=a.iterations, seed=a.seed)
     codes = models.load_huffman(spark, f"{a.init}/huffman") if a.init else embed.huffman_codes(embed.vocabulary(tokens))
     models.save_huffman(codes, f"{a.out}/huffman")
     vocab = codes.select("token", "cnt", "id")
     if a.program == "rnn":
         start = models.load_network(spark, f"{a.init}/network") if a.init else None
-        embed.rnn(tokens, config, vocab=vocab, start=start).write.parquet(f"{a.out}/network")
+        embed.rnn(tokens, config, a.window, vocab=vocab, start=start).write.parquet(f"{a.out}/network")
         return
     inner = models.load_matrix(spark, f"{a.init}/inner") if a.init else None
     if a.program == "w2v":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions import order
+from loomstat.scratch import cut
 
 
 def first_appearance(tokens: DataFrame, name: str, position: str) -> DataFrame:
@@ -24,6 +25,30 @@ def forget(dictionary: DataFrame, names: DataFrame, name: str) -> DataFrame:
     return dictionary.join(names, name, "left_anti")
 
 
+def free(dictionary: DataFrame, names: DataFrame, name: str, position: str) -> tuple[DataFrame, DataFrame]:
+    """The dictionary without some names, and freed(id, at): their ids by the first position of each name. Unknown names free nothing."""
+    gone = names.groupBy(name).agg(F.min(position).alias("at")).join(dictionary.select(name, "id"), name)
+    return forget(dictionary, names, name), gone.select("id", "at")
+
+
+def grow(dictionary: DataFrame, tokens: DataFrame, name: str, position: str, freed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The dictionary(name, id, n) with the tokens' names, and what is left of freed(id, at).
+
+    Known names keep their id and add up n. New ones come in order of first appearance (ties by name) and get the freed ids, the last
+    freed first, then ids after all that were ever given out. Null names are left out. Without a dictionary's rows ids begin at 0.
+    """
+    seen = tokens.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(position).alias("__first"), F.count("*").alias("__n"))
+    freed = dictionary.select("id", F.lit(0).alias("at")).limit(0) if freed is None else freed
+    slots = cut(order.numbered(freed.select("id", "at", (-F.col("at")).alias("__less")), "__less", [F.desc("id")], "__k"))
+    added = cut(order.numbered(seen.join(dictionary, name, "left_anti"), "__first", [F.col(name)], "__k"))
+    ids = dictionary.select("id").unionByName(slots.select("id")).agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    free_ids, new = slots.count(), added.count()
+    fresh = F.lit(ids) + F.col("__k") - free_ids
+    known = dictionary.join(seen, name, "left").select(name, F.col("id").cast("long").alias("id"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n"))
+    born = added.join(slots.select("__k", "id"), "__k", "left").select(name, F.coalesce("id", fresh).cast("long").alias("id"), F.col("__n").alias("n"))
+    return known.unionByName(born), slots.where(F.col("__k") >= new).select("id", "at")
+
+
 def known_rows(rows: DataFrame, features: DataFrame, row: str) -> DataFrame:
     """Rows that have a known feature left."""
     return rows.join(features, row, "left_semi")

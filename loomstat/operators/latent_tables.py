@@ -49,7 +49,7 @@ def forward(rows: DataFrame, features: DataFrame, layer: Layer) -> DataFrame:
 
 def step(rows: DataFrame, features: DataFrame, layer: Layer, *, rate: float, lam: float = 0.0) -> tuple[float, int, Layer]:
     """The loss before the step, the number of rows, and the layer after it. lam shrinks a weight once for each of its rows' uses."""
-    k, outer = len(layer.outer), layer.outer
+    k, outer = len(layer.outer), np.asarray(layer.outer, float)
     placed = forward(rows, features, layer).withColumn("r", F.col("label") - scalar.sigmoid(F.col("z")))
     back = F.zip_with("s", F.array(*[F.lit(float(x)) for x in outer]), lambda s, w: F.col("r") * w * s * (1 - s))
     placed = cut(placed.select("row_id", "label", "z", "r", "s", back.alias("back")))

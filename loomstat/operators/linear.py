@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import scalar
 from loomstat.operators import metrics
+from loomstat.scratch import cut
 
 
 @dataclass
@@ -128,9 +129,10 @@ def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: Logi
             last = now
         return pd.DataFrame({"id": np.arange(d), "w": w})
 
-    if mode == "exact":
+    if mode == "exact" and report is None:
         return data.groupBy(F.lit("all")).applyInPandas(exact, "id long, w double").join(names, "id").select("name", "w")
     named = lambda w: rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double").join(names, "id").select("name", "w")
+    partitions = 1 if mode == "exact" else partitions  # the same epochs, a job each, so that there are reports in between
     data = data.repartition(partitions or max(8, -(-rows.count() // PASS_ROWS)), "row_id").sortWithinPartitions("row_id").persist()
     w, last = np.zeros(d), np.inf
     for e in range(c.epochs):
@@ -156,27 +158,54 @@ def fit_sgd(rows: DataFrame, features: DataFrame, names: DataFrame, config: Logi
 
 
 def fit_latent(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig) -> DataFrame:
-    """name, v (a number a hidden unit), and one row with name null for the output weights. Rows in order, in one task."""
+    """name, v (a number a hidden unit), and one row with name null for the output weights. Rows in order, in one task.
+
+    Training ends where an epoch lowers the loss by no more than the tolerance. latent_tables spreads the work out.
+    """
+    return _latent(rows, features, names, config, every=False).select("name", "v")
+
+
+def latent_epochs(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig) -> Iterator[tuple[int, DataFrame]]:
+    """(epoch from 1, model as of fit_latent) for each epoch, all from one run."""
+    found = cut(_latent(rows, features, names, config, every=True))
+    last = found.agg(F.max("epoch")).first()[0]
+    for epoch in range(1, (last or 0) + 1):
+        yield epoch, found.where(F.col("epoch") == epoch).select("name", "v")
+
+
+def _latent(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig, every: bool) -> DataFrame:
+    """epoch, name, v after the last epoch or after every one."""
     data, d, c, k = packed(rows, features, names), names.count(), config, max(1, config.hidden)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
+        given = [(y, np.asarray(i, int), np.asarray(v, float)) for y, i, v in zip(pdf.label, pdf.ids, pdf.vals, strict=True)]
         rng = np.random.default_rng(c.seed)
         inner, outer = ((rng.random(shape) - 0.5) / np.sqrt(k) for shape in ((d, k), k))
+
+        def units(i: np.ndarray, v: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-np.clip(v @ inner[i], -30, 30)))
+
+        last, out = np.inf, []
         for e in range(c.epochs):
             rate = c.rate / (1 + c.decay * e)
-            for y, i, v in zip(pdf.label, pdf.ids, pdf.vals, strict=True):
-                if not len(i):
-                    continue
-                i, v = np.asarray(i), np.asarray(v)
-                s = 1 / (1 + np.exp(-np.clip(v @ inner[i], -30, 30)))
+            for y, i, v in given:  # a row without features moves the output weights
+                s = units(i, v)
                 r = _sigmoid(float(s @ outer)) - y
                 inner[i] -= rate * (np.outer(v, r * outer * s * (1 - s)) + c.lam * inner[i])
                 outer -= rate * (r * s + c.lam * outer)
-        return pd.DataFrame({"id": np.arange(-1, d), "v": [outer.tolist(), *inner.tolist()]})
+            if every or e == 0:
+                out.append(None)
+            out[-1] = pd.DataFrame({"epoch": e + 1, "id": np.arange(-1, d), "v": [outer.tolist(), *inner.tolist()]})
+            z = np.array([units(i, v) @ outer for _, i, v in given])
+            now = float(np.sum(np.where(z > 30, z, np.where(z < -30, 0.0, np.log1p(np.exp(np.clip(z, -30, 30))))) - np.where(pdf.label > 0, z, 0.0)))
+            if last - now <= c.tolerance:
+                break
+            last = now
+        return pd.concat(out) if out else pd.DataFrame({"epoch": 0, "id": np.arange(-1, d), "v": [outer.tolist(), *inner.tolist()]})
 
-    out = data.groupBy(F.lit("all")).applyInPandas(run, "id long, v array<double>")
-    return out.join(names, "id", "left").select("name", "v")
+    out = data.groupBy(F.lit("all")).applyInPandas(run, "epoch int, id long, v array<double>")
+    return out.join(names, "id", "left").select("epoch", "name", "v")
 
 
 def _batch(data: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:

@@ -261,6 +261,8 @@ def rank_pairs(rows: DataFrame, sample: int, seed: int) -> DataFrame:
 
 
 Report = Callable[[int, str, DataFrame], None]
+#: Different labels that ranking takes.
+RANK_LABELS = 1000
 
 
 def _start(rows: DataFrame, init: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -318,7 +320,13 @@ def boost_binary(rows, features, config, init=None, **more):
 
 
 def boost_rank(rows, features, config, init=None, **more):
-    """Pairwise ranking on ordered labels, with a new sample of pairs each round; more goes to boost()."""
+    """Pairwise ranking on ordered labels, with a new sample of pairs each round; more goes to boost().
+
+    Labels are 0 .. k-1 without gaps, 1,000 at most; others are refused. A label of fewer rows than the sample gives all of them.
+    """
+    labels = [r["label"] for r in rows.select("label").distinct().limit(RANK_LABELS + 1).collect()]
+    if len(labels) > RANK_LABELS or None in labels or sorted(labels) != list(range(len(labels))):
+        raise ValueError(f"rank labels are 0 .. k-1 without gaps, {RANK_LABELS} at most: {labels[:20]}")
     round_ = iter(range(10**9))
     return boost(rows, features, config, lambda s: rank_gradients(s, rank_pairs(rows, config.sample, config.seed + next(round_)), config.margin), init, **more)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import order, scalar
-from loomstat.operators import cluster, distance, embed, encode, graph, linear, metrics, path_softmax, series, sparse_lda, topics, trees, vector_free
+from loomstat.operators import cluster, distance, embed, encode, graph, latent_tables, linear, metrics, path_softmax, series, sparse_lda, topics, trees, vector_free
 from loomstat.plans import fixtures as fx
 from loomstat.plans import text_queries  # noqa: F401  (registers its queries)
 from loomstat.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -75,6 +75,22 @@ def _train_test(spark, sf):
     return t.join(marks, "doc_id", "left_semi"), t.join(marks, "doc_id", "left_anti")
 
 
+@query(f"""WITH {fx.TOKENS_SQL}, plc AS (SELECT token, doc_id * 16777216 + pos AS p, doc_id IN (SELECT doc_id FROM labels) AS train FROM tok),
+  d AS (SELECT token, row_number() OVER (ORDER BY min(p)) - 1 AS id, count(*) AS n FROM plc WHERE train GROUP BY 1),
+  slots AS (SELECT id, row_number() OVER (ORDER BY id DESC) - 1 AS k FROM d WHERE length(token) % 3 = 0),
+  seen AS (SELECT token, min(p) AS first, count(*) AS n FROM plc WHERE NOT train GROUP BY 1),
+  new AS (SELECT token, n, row_number() OVER (ORDER BY first) - 1 AS k FROM seen WHERE token NOT IN (SELECT token FROM d WHERE length(token) % 3 <> 0))
+  SELECT token, id, d.n + coalesce(seen.n, 0) AS n FROM d LEFT JOIN seen USING (token) WHERE length(token) % 3 <> 0
+  UNION ALL SELECT token, coalesce(id, (SELECT max(id) + 1 FROM d) + k - (SELECT count(*) FROM slots)), n FROM new LEFT JOIN slots USING (k)""")
+def dict_grow(spark, sf):
+    """The labelled documents' dictionary frees the names of a length divisible by 3, in order of id, and takes in all other documents."""
+    t, marks = _placed(spark, sf), fx.table(spark, sf, "labels").select((F.col("doc_id")).alias("doc"))
+    t = t.withColumn("doc", F.shiftright("at", 24))
+    start = encode.first_appearance(t.join(marks, "doc", "left_semi"), "token", "at")
+    kept, freed = encode.free(start, start.where(F.length("token") % 3 == 0).select("token", "id"), "token", "id")
+    return encode.grow(kept, t.join(marks, "doc", "left_anti"), "token", "at", freed)[0]
+
+
 @query(f"WITH {fx.TOKENS_SQL}, d AS (SELECT DISTINCT token FROM tok WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, count(*) AS known FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND token IN (SELECT token FROM d) GROUP BY 1")
 def known_feature_filter(spark, sf):
     train, test = _train_test(spark, sf)
@@ -569,7 +585,14 @@ def loess_robust(spark, sf):
     return series.loess(fx.daily_orders(spark, sf), "series_id", 31, robust=2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SERIES_SQL}, u AS (SELECT user_id, list(y ORDER BY idx) AS ys, count(*) AS n FROM ser GROUP BY 1),
+  f AS (SELECT user_id, ys, n, CAST(19 AS BIGINT) AS s, list_transform(range(0, 20), lambda x: 0.0::DOUBLE) AS best, list_transform(range(0, 20), lambda x: CAST(0 AS BIGINT)) AS prev FROM u
+    UNION ALL SELECT user_id, ys, n, s, list_append(best, greatest(top, 0.0::DOUBLE)), list_append(prev, CASE WHEN top > 0 THEN list_position(score, top) + 9 ELSE 0 END)
+      FROM (SELECT *, list_max(score) AS top FROM (SELECT user_id, ys, n, s + 1 AS s, best, prev, list_transform(range(10, s - 8), lambda t: best[t + 1]
+        + CAST((t - prev[t + 1]) * (s + 1 - t) AS DOUBLE) / CAST((s + 1 - prev[t + 1]) * (s + 1 - prev[t + 1]) AS DOUBLE)
+        * (list_sort(ys[prev[t + 1] + 1 : t])[(t - prev[t + 1] - 1) // 2 + 1] - list_sort(ys[t + 1 : s + 1])[(s - t) // 2 + 1]) ** 2 - 1) AS score FROM f WHERE s < n))),
+  b AS (SELECT user_id, prev, prev[n + 1] AS place FROM f WHERE s = n UNION ALL SELECT user_id, prev, prev[place + 1] FROM b WHERE place > 0)
+  SELECT user_id, CAST(place AS INTEGER) AS at FROM b WHERE place > 0""")
 def edm_breaks(spark, sf):
     return series.breaks(fx.user_series(spark, sf), "user_id", "edm", min_size=10, beta=1.0)
 
@@ -645,6 +668,26 @@ def lr_owlqn(spark, sf):
     return linear.fit_batch(*_scaled(spark, sf), lam=10.0, norm=1)
 
 
+@query(f"""WITH {fx.ROWS_SQL}, f AS (SELECT row_id, name, value, ord FROM (SELECT row_id, unnest([0, 1, 2, 3]) AS ord, unnest(['qty', 'disc', 'tax', 'price']) AS name, unnest([qty / 50.0::DOUBLE, disc / 0.1::DOUBLE, tax / 0.1::DOUBLE, price / 100.0::DOUBLE]) AS value FROM rws)),
+  v AS (SELECT ord, j, ((ord * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE AS v FROM (SELECT unnest(range(0, 4)) AS ord), (SELECT unnest(range(0, 3)) AS j)),
+  o AS (SELECT unnest(range(0, 3)) AS j, unnest([0.6::DOUBLE, -0.4::DOUBLE, 0.2::DOUBLE]) AS w),
+  s AS MATERIALIZED (SELECT row_id, j, 1 / (1 + exp(-sum(value * v))) AS s FROM f JOIN v USING (ord) GROUP BY ALL),
+  z AS MATERIALIZED (SELECT row_id, sum(s * w) AS z FROM s JOIN o USING (j) GROUP BY 1),
+  d AS MATERIALIZED (SELECT row_id, j, label - 1 / (1 + exp(-z)) AS r, s, w FROM s JOIN z USING (row_id) JOIN o USING (j) JOIN rws USING (row_id)),
+  gv AS (SELECT ord, j, sum(value * r * w * s * (1 - s)) - 0.001::DOUBLE * count(*) * any_value(v) AS g FROM d JOIN f USING (row_id) JOIN v USING (ord, j) GROUP BY ALL),
+  gw AS (SELECT j, sum(r * s) - 0.001::DOUBLE * count(*) * any_value(w) AS g FROM d GROUP BY 1)
+  SELECT n.name, CAST(j AS INTEGER) AS at, round(v + 0.1::DOUBLE * g / sqrt((SELECT sum(x.g * x.g) FROM gv x WHERE x.ord = gv.ord) / 3 + 1e-12), 7) AS x FROM gv JOIN v USING (ord, j) JOIN (SELECT DISTINCT ord, name FROM f) n USING (ord)
+  UNION ALL SELECT 'output', CAST(j AS INTEGER), round(w + 0.1::DOUBLE * g / sqrt((SELECT sum(g * g) FROM gw) / 3 + 1e-12), 7) FROM gw JOIN o USING (j)
+  UNION ALL SELECT 'loss', 0, round((SELECT sum(ln(1 + exp(z)) - CASE WHEN label > 0 THEN z ELSE 0 END) FROM z JOIN rws USING (row_id)), 5)""")
+def latent_step(spark, sf):
+    """One step of the hidden layer on tables over all rows."""
+    rows, feats, names = _scaled(spark, sf)
+    inner = names.select("name", F.array(*[(F.pmod(F.col("id") * 7 + j * 3, F.lit(11)) - 5) / 10.0 for j in range(3)]).alias("vec"), F.lit(0.0).alias("acc"))
+    loss, _, layer = latent_tables.step(rows, feats, latent_tables.Layer(inner, [0.6, -0.4, 0.2]), rate=0.1, lam=0.001)
+    rest = spark.createDataFrame([*[("output", j, round(float(w), 7)) for j, w in enumerate(layer.outer)], ("loss", 0, round(loss, 5))], "name string, at int, x double")
+    return layer.inner.select("name", F.posexplode("vec").alias("at", "x")).withColumn("x", r("x", 7)).unionByName(rest)
+
+
 @query()
 def latent_lr(spark, sf):
     return linear.fit_latent(*_scaled(spark, sf), linear.LogisticConfig(rate=0.05, epochs=2, hidden=3, norm=2))

@@ -44,11 +44,11 @@ def test_step_matches_the_plain_gradient(spark):
 
 def test_loss_within_two_percent_of_one_task(spark):
     rows, features, names, x, y = data(spark)
-    exact = {r["name"]: r["v"] for r in linear.fit_latent(rows, features, names, linear.LogisticConfig(rate=0.1, epochs=10, hidden=2, norm=2)).collect()}
+    exact = {r["name"]: r["v"] for r in linear.fit_latent(rows, features, names, linear.LogisticConfig(rate=0.1, epochs=4, hidden=2, norm=2)).collect()}
     inner = spark.createDataFrame([(k, v) for k, v in exact.items() if k], "name string, v array<double>")
     of = lambda t: t.agg(metrics.logistic_loss(F.col("z"), F.col("label"))).first()[0]
     told = []
-    layer, losses = latent_tables.train(rows, features, names, linear.LogisticConfig(rate=1.0, epochs=10, hidden=2), steps=2, report=lambda n, at: told.append((n, at.outer.tolist())))
+    layer, losses = latent_tables.train(rows, features, names, linear.LogisticConfig(rate=1.0, epochs=5, hidden=2), steps=1, report=lambda n, at: told.append((n, at.outer.tolist())))
     now = of(latent_tables.forward(rows, features, layer))
     assert now <= 1.02 * of(linear.latent_forward(rows, features, inner, exact[None]))
     assert losses[-1] < losses[0] and [n for n, _ in told] == list(range(1, len(losses) + 1)) and told[-1][1] == layer.outer.tolist()
@@ -56,6 +56,30 @@ def test_loss_within_two_percent_of_one_task(spark):
     assert later[0] < losses[0] and more.acc > layer.acc
 
 
+def test_epochs_in_one_task(spark):
+    rows, features, names, x, y = data(spark, 60)
+    c = linear.LogisticConfig(rate=0.1, epochs=3, hidden=2, tolerance=-1e9)
+    rng = np.random.default_rng(c.seed)
+    v, w = ((rng.random(shape) - 0.5) / np.sqrt(2) for shape in ((4, 2), 2))
+    plain = []
+    order = [*range(60), 60]
+    for _ in range(3):
+        for i in order:
+            at = [0, 1, 2, 0] if i == 0 else [0, 1, 2] if i < 60 else []
+            value = np.array([x[0, 0] - 0.5, x[0, 1], x[0, 2], 0.5] if i == 0 else x[i] if i < 60 else [])
+            s = 1 / (1 + np.exp(-value @ v[at]))
+            r = 1 / (1 + np.exp(-s @ w)) - y[i]
+            v[at] -= 0.1 * np.outer(value, r * w * s * (1 - s))
+            w -= 0.1 * r * s
+        plain.append((v.copy(), w.copy()))
+    for (n, part), (v, w) in zip(linear.latent_epochs(rows, features, names, c), plain, strict=True):
+        got = {r["name"]: r["v"] for r in part.collect()}
+        assert np.allclose(got[None], w) and np.allclose([got[f"f{j}"] for j in range(4)], v)
+    assert n == 3
+    last = {r["name"]: r["v"] for r in linear.fit_latent(rows, features, names, c).collect()}
+    assert last == got
+
+
 def test_stops_by_the_tolerance_and_takes_empty_tables(spark):
     rows, features, names, *_ = data(spark)
     c = linear.LogisticConfig(rate=0.5, epochs=5, hidden=2, tolerance=1e9)
