@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.operators import cluster, embed, encode, graph, latent_tables, linear, metrics, topics, trees
+from loomstat.operators import cluster, embed, encode, graph, latent_tables, linear, metrics, network_parts, path_softmax, topics, trees
 from loomstat.session import local_session
 from loomstat.sources import models, text
 
@@ -162,6 +162,13 @@ def vectors(spark: SparkSession, a: argparse.Namespace) -> None:
     codes = models.load_huffman(spark, f"{a.init}/huffman") if a.init else embed.huffman_codes(embed.vocabulary(tokens))
     models.save_huffman(codes, f"{a.out}/huffman")
     vocab = codes.select("token", "cnt", "id")
+    if a.program == "rnn" and a.mode == "distributed":
+        known = tokens.join(vocab, "token").select("doc_id", "pos", "id")
+        network = network_parts.loaded(spark.read.parquet(f"{a.init}/network")) if a.init else None
+        network, losses = network_parts.train(known, path_softmax.paths(codes), config, a.window, network=network)
+        told = spark.createDataFrame([("loss", i, [x]) for i, x in enumerate(losses)], "part string, id int, vec array<double>")
+        network.table().unionByName(told).write.parquet(f"{a.out}/network")
+        return
     if a.program == "rnn":
         start = models.load_network(spark, f"{a.init}/network") if a.init else None
         embed.rnn(tokens, config, a.window, vocab=vocab, start=start).write.parquet(f"{a.out}/network")

@@ -184,6 +184,13 @@ class Softmax:
         self.paths, self.signs = [np.array(p) for p in paths], [1 - 2 * np.array(c, float) for c in codes]
         self.inner = np.zeros((max(1, len(counts) - 1), size))
 
+    @classmethod
+    def of(cls, paths: list[np.ndarray], signs: list[np.ndarray], inner: np.ndarray) -> Softmax:
+        """A part of a tree, its tokens and nodes numbered by place."""
+        self = cls.__new__(cls)
+        self.paths, self.signs, self.inner = paths, signs, inner
+        return self
+
     def step(self, h: np.ndarray, token: int, rate: float, learn: bool = True) -> tuple[float, np.ndarray]:
         """Loss of token given h, and its gradient on h; inner nodes move along."""
         rows, sign = self.inner[self.paths[token]], self.signs[token]
@@ -320,6 +327,25 @@ def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray, fixed: s
     return learn
 
 
+def rnn_document(doc: np.ndarray, u: np.ndarray, w: np.ndarray, soft: Softmax, rate: float, steps: int, learn: bool = True) -> list[float]:
+    """The loss of each token after the first. The document moves u, w and the inner nodes, w once at its end."""
+    states, gw, losses = [np.zeros(len(w))], np.zeros(w.shape), []
+    for t in range(len(doc) - 1):
+        states.append(1 / (1 + np.exp(-np.clip(u[doc[t]] + w @ states[-1], -30, 30))))
+        loss, g = soft.step(states[-1], int(doc[t + 1]), rate, learn)
+        losses.append(loss)
+        if not learn:
+            continue
+        for back in range(min(steps, t + 1)):
+            s = states[t + 1 - back]
+            g = g * s * (1 - s)
+            gw += np.outer(g, states[t - back])
+            u[doc[t - back]] += rate * g
+            g = w.T @ g
+    w += rate * gw
+    return losses
+
+
 def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: int = 3, start: dict[str, np.ndarray] | None = None) -> tuple[list[float], dict[str, np.ndarray]]:
     """Mean next-token loss of each epoch of an Elman network with truncated back-propagation, and its matrices; start continues from such."""
     rng = np.random.default_rng(c.seed)
@@ -333,18 +359,8 @@ def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: in
         for doc in ids:
             if len(doc) < 2:
                 continue
-            states, gw = [np.zeros(k)], np.zeros((k, k))
-            for t in range(len(doc) - 1):
-                states.append(1 / (1 + np.exp(-np.clip(u[doc[t]] + w @ states[-1], -30, 30))))
-                loss, g = soft.step(states[-1], int(doc[t + 1]), c.rate)
-                total, n = total + loss, n + 1
-                for back in range(min(steps, t + 1)):
-                    s = states[t + 1 - back]
-                    g = g * s * (1 - s)
-                    gw += np.outer(g, states[t - back])
-                    u[doc[t - back]] += c.rate * g
-                    g = w.T @ g
-            w += c.rate * gw
+            found = rnn_document(doc, u, w, soft, c.rate, steps)
+            total, n = total + sum(found), n + len(found)
         losses.append(total / max(1, n))
     return losses, {"u": u, "w": w, "inner": soft.inner}
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions import order, scalar
-from loomstat.operators import cluster, distance, embed, encode, graph, latent_tables, linear, metrics, path_softmax, series, sparse_lda, topics, trees, vector_free
+from loomstat.operators import cluster, distance, embed, encode, graph, latent_tables, linear, metrics, network_parts, path_softmax, series, sparse_lda, topics, trees, vector_free
 from loomstat.plans import fixtures as fx
 from loomstat.plans import text_queries  # noqa: F401  (registers its queries)
 from loomstat.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -801,3 +802,27 @@ def d2v_fit(spark, sf):
 @query()
 def rnn_fit(spark, sf):
     return embed.rnn(fx.sequences(spark, sf), embed.VectorConfig(epochs=1, size=8, rate=0.05))
+
+
+@query(f"""WITH RECURSIVE {fx.SEQUENCES_SQL}, voc AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM seq GROUP BY token), last AS (SELECT max(id) AS last FROM voc),
+  t AS MATERIALIZED (SELECT doc_id, pos, id, ((id * 7) % 11 - 5) / 10.0::DOUBLE AS u0, ((id * 7 + 3) % 11 - 5) / 10.0::DOUBLE AS u1 FROM seq JOIN voc USING (token)),
+  st AS (SELECT doc_id, pos, 1 / (1 + exp(-u0)) AS s0, 1 / (1 + exp(-u1)) AS s1 FROM t WHERE pos = 0
+    UNION ALL SELECT doc_id, t.pos, 1 / (1 + exp(-(u0 + 0.4::DOUBLE * s0 - 0.3::DOUBLE * s1))), 1 / (1 + exp(-(u1 + 0.2::DOUBLE * s0 + 0.5::DOUBLE * s1))) FROM st JOIN t USING (doc_id) WHERE t.pos = st.pos + 1),
+  inn AS (SELECT id AS node, ((id * 5) % 13 - 6) / 10.0::DOUBLE AS w0, ((id * 5 + 2) % 13 - 6) / 10.0::DOUBLE AS w1 FROM voc, last WHERE id < last)
+  SELECT t.doc_id, count(DISTINCT t.pos) AS n, round(sum(ln(1 + exp(-CASE WHEN node = id THEN -1 ELSE 1 END * (s0 * w0 + s1 * w1)))), 6) AS loss
+  FROM t JOIN st ON st.doc_id = t.doc_id AND st.pos = t.pos - 1 JOIN inn ON node <= id GROUP BY 1""")
+def network_forward(spark, sf):
+    """The recurrent network's losses over users' events, for given matrices."""
+    tokens, codes = _coded(spark, sf)
+    made = lambda t, part, key, a, b, c, d: t.select(F.lit(part).alias("part"), F.col(key).cast("long").alias("id"), F.array(*[(F.pmod(F.col(key) * a + j * b, F.lit(c)) - d) / 10.0 for j in range(2)]).alias("vec"))
+    weights = made(codes, "u", "id", 7, 3, 11, 5).unionByName(made(path_softmax.start_inner(codes, 2).select("node"), "inner", "node", 5, 2, 13, 6))
+    network = network_parts.Network(weights, np.array([[0.4, -0.3], [0.2, 0.5]]))
+    losses = network_parts.forward(tokens, codes, network, part_tokens=20_000)
+    return losses.groupBy("doc_id").agg(F.count("*").alias("n"), r(F.sum("loss"), 6).alias("loss"))
+
+
+@query()
+def rnn_parts_fit(spark, sf):
+    tokens, codes = _coded(spark, sf)
+    network, _ = network_parts.train(tokens, codes, embed.VectorConfig(epochs=1, size=8, rate=0.05), part_tokens=20_000)
+    return network.table()
