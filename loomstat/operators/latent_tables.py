@@ -20,6 +20,9 @@ from loomstat.operators.linear import LogisticConfig
 from loomstat.operators.path_softmax import moved, summed
 from loomstat.scratch import cut, folder
 
+#: Steps of an epoch, and the rows that each has at least if there are several.
+STEPS, STEP_ROWS = 4, 1000
+
 
 @dataclass
 class Layer:
@@ -65,17 +68,18 @@ def step(rows: DataFrame, features: DataFrame, layer: Layer, *, rate: float, lam
     return total["loss"], total["n"], Layer(cut(moved(layer.inner, grads, "name", rate)), outer + rate * g / np.sqrt(acc + 1e-12), acc)
 
 
-def train(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig, *, steps: int = 4, layer: Layer | None = None, report: Callable[[int, Layer], None] | None = None) -> tuple[Layer, list[float]]:
+def train(rows: DataFrame, features: DataFrame, names: DataFrame, config: LogisticConfig, *, steps: int | None = None, layer: Layer | None = None, report: Callable[[int, Layer], None] | None = None) -> tuple[Layer, list[float]]:
     """The layer, and the loss of each epoch, added up over its steps, each before its move.
 
     rows: (row_id, label), features: (row_id, name, value), names: (name). Rows are dealt into the steps of an epoch by a hash, and
-    lie in the scratch folder by step, so that a step reads its own alone. layer continues from another; report(epoch from 1, layer)
+    lie in the scratch folder by step, so that a step reads its own alone; without steps there are STEPS, fewer where one would have less than STEP_ROWS rows. layer continues from another; report(epoch from 1, layer)
     is called after each epoch. Training ends where an epoch's loss is no more than the tolerance below that of the one before.
     Features without names and repeated names of a row are as in forward(): left out, and added up. Without rows the start is given back.
     """
-    if steps < 1:
+    if steps is not None and steps < 1:
         raise ValueError("steps is 1 at least")
     c, spark = config, rows.sparkSession
+    steps = steps or max(1, min(STEPS, rows.count() // STEP_ROWS))
     layer = layer or start(names, c)
     layer.inner = cut(layer.inner)
     part = F.pmod(F.xxhash64("row_id", F.lit(c.seed)), F.lit(steps)).alias("part")
