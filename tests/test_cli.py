@@ -11,7 +11,7 @@ WORDS = "A\tB\tC\nA\tB\tC\nA\tB\tD\nF\tG\tH\nF\tG\tI\n"
 @pytest.mark.parametrize(
     ("program", "content", "options", "made"),
     [
-        ("lr", TWO, "--rate 0.1 --mode exact", "coe"), ("batch", TWO, "--lam 0.5 --norm 2", "coe"), ("latent", TWO, "--rate 0.1 --norm 2", "coe"),
+        ("lr", TWO, "--rate 0.1 --mode exact --iterations 2", "coe"), ("batch", TWO, "--lam 0.5 --norm 2", "coe"), ("latent", TWO, "--rate 0.1 --norm 2 --iterations 2", "coe"),
         ("gbm", THREE, "--rate 0.5 --iterations 1 --leaves 3 --depth 2 --binary", "class_0"), ("gblr", TWO, "--rate 0.5 --iterations 2", "trees"), ("gbrank", TWO, "--rate 0.5 --iterations 1", "trees"),
         ("kmeans", "1 0\n0.9 0.1\n0 1\n0.1 0.9\n", "--k 2 --width 2 --min-potential 0.1", "cents"), ("gauss2d", "1\t2\n2\t1\n1\t1\n9\t9\n8\t9\n9\t8\n", "--k 2", "centers"),
         ("louvain", "a\tb\t1\nb\tc\t1\na\tc\t1\nx\ty\t2\n", "--mode exact", "communities"), ("lda", "d\tw\nd\tv\ne\tw\n", "--k 2 --iterations 2", "doc_topic"),
