@@ -96,11 +96,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Products of z-normed windows up to this are 0 but for rounding.
+ZERO = 1e-9
+
+
 def sign_hash(window: Column, base: Column) -> Column:
-    """A bit for each row of base, the first row's highest: set where window's product with it is positive."""
+    """A bit for each row of base, the first row's highest: set where window's product with it is positive, which what rounding leaves of a 0 isn't."""
 
     def bits(w: Column) -> Column:
-        bit = lambda acc, row: F.shiftleft(acc, 1).bitwiseOR(F.when(dot(w, row) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        bit = lambda acc, row: F.shiftleft(acc, 1).bitwiseOR(F.when(dot(w, row) > ZERO, F.lit(1)).otherwise(F.lit(0)).cast("long"))
         return F.aggregate(base, F.lit(0).cast("long"), bit)
 
     return let(window, bits)
