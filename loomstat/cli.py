@@ -95,7 +95,7 @@ def latent(spark: SparkSession, a: argparse.Namespace, sets: dict[str, tuple[Dat
             save(layer, f"{a.out}/coe_{number}")
 
     if a.mode == "exact":
-        for number, part in linear.latent_epochs(*sets["train"], names, config):
+        for number, part in linear.latent_epochs(*sets["train"], names, config, partitions=1):
             outer = np.array(part.where("name IS NULL").first()["v"])
             layer = latent_tables.Layer(part.where("name IS NOT NULL").select("name", F.col("v").alias("vec")), outer)
             step(number, layer)
