@@ -1,5 +1,6 @@
 import re
 
+from loomstat.operators import linear
 from loomstat.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +14,14 @@ def test_rows_and_features_read_and_move_the_same_columns(spark):
     """So that Spark moves the lines once for all their views."""
     seen = {re.search(r"ReadSchema: (\S+)", plan(t)).group(1) for t in (fx.rows(spark, SF), fx.rows(spark, SF, 3), fx.features(spark, SF))}
     assert len(seen) == 1
+
+
+def test_hidden_units_are_summed_in_one_move(spark):
+    rows = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 0.0)], "row_id long, label double")
+    feats = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "b", -1.0)], "row_id long, name string, value double")
+    inner = spark.createDataFrame([("a", [0.5, 0.0]), ("b", [1.0])], "name string, v array<double>")
+    z = linear.latent_forward(rows, feats, inner, [2.0, -1.0])
+    assert len(re.findall(r"Exchange hashpartitioning\(row_id", plan(z))) == 2  # features and rows
+    s = lambda x: 1 / (1 + 2.718281828459045**-x)
+    got = {r.row_id: r.z for r in z.collect()}
+    assert abs(got[1] - (2 * s(2.0) - s(0.0))) < 1e-9 and abs(got[2] - 2 * s(-1.0)) < 1e-9 and got[3] == 0.5  # b alone has no second unit
