@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +15,24 @@ from loomstat.functions import order
 from loomstat.scratch import cut
 
 
+#: Tokens of a partition, where a configuration names no number of partitions.
+PART_TOKENS = 250_000
+
+
 @dataclass
 class VectorConfig:
+    """Without partitions there are as many as it takes at PART_TOKENS tokens each."""
+
     rate: float = 0.025
     size: int = 20
     window: int = 5
     epochs: int = 5
-    partitions: int = 1
+    partitions: int | None = None
     seed: int = 0
 
+    def shares(self, tokens: int) -> int:
+        return self.partitions or max(1, -(-tokens // PART_TOKENS))
+
     def __post_init__(self) -> None:
         if self.window < 2:
             raise ValueError("window is 2 at least")
@@ -193,13 +203,25 @@ class Softmax:
 
     def step(self, h: np.ndarray, token: int, rate: float, learn: bool = True) -> tuple[float, np.ndarray]:
         """Loss of token given h, and its gradient on h; inner nodes move along."""
-        rows, sign = self.inner[self.paths[token]], self.signs[token]
-        p = 1 / (1 + np.exp(-np.clip(sign * (rows @ h), -30, 30)))
+        p, out = self.pull(h, token, rate, learn)
+        return float(-np.log(np.maximum(p, 1e-12)).sum()), out
+
+    def pull(self, h: np.ndarray, token: int, rate: float, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """step() without the loss: the chances of the turns of token's path, and the gradient on h."""
+        path, sign = self.paths[token], self.signs[token]
+        rows = self.inner[path]
+        p = 1 / (1 + np.exp(-np.maximum(np.minimum(sign * (rows @ h), 30), -30)))
         g = (1 - p) * sign
-        out = g @ rows
         if learn:
-            self.inner[self.paths[token]] += rate * np.outer(g, h)
-        return float(-np.log(np.maximum(p, 1e-12)).sum()), out
+            self.inner[path] = rows + (rate * g)[:, None] * h
+        return p, g @ rows
+
+
+def averaged(parts: DataFrame, *keys: str) -> list:
+    """keys and vec of rows (keys, share, vec, n): the mean of the shares' vectors weighed by n, always added up in order of share."""
+    one = F.transform(F.sort_array(F.collect_list(F.struct("share", F.transform("vec", lambda x: x * F.col("n")).alias("vec")))), lambda s: s["vec"])  # as many as partitions
+    total = F.aggregate("all", F.transform(F.get("all", F.lit(0)), lambda x: F.lit(0.0)), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    return parts.where("n > 0").groupBy(*keys).agg(one.alias("all"), F.sum("n").alias("n")).select(*keys, F.transform(total, lambda x: x / F.col("n")).alias("vec")).collect()  # a row a vector
 
 
 def documents(tokens: DataFrame, vocab: DataFrame, least: int = 1) -> DataFrame:
@@ -212,7 +234,7 @@ def documents(tokens: DataFrame, vocab: DataFrame, least: int = 1) -> DataFrame:
 def word_vectors(tokens: DataFrame, config: VectorConfig, *, vocab: DataFrame | None = None, start: np.ndarray | None = None, inner: np.ndarray | None = None, fixed: bool = False) -> tuple[DataFrame, np.ndarray]:
     """(token, cnt, id, vec) and the inner vectors: context means predict each token.
 
-    Documents are dealt over config.partitions; each epoch the partitions learn from common vectors, which are then averaged. vocab,
+    Documents are dealt over config.shares() partitions; each epoch the partitions learn from common vectors, which are then averaged. vocab,
     start (vectors in id order) and inner continue from a model; fixed keeps the inner vectors as they are.
     """
     c = config
@@ -223,7 +245,8 @@ def word_vectors(tokens: DataFrame, config: VectorConfig, *, vocab: DataFrame |
     rng = np.random.default_rng(c.seed)
     vec = start if start is not None else (rng.random((v, c.size)) - 0.5) / max(1, v)
     inner = inner if inner is not None else np.zeros((max(1, v - 1), c.size))
-    docs = documents(tokens, vocab, 2).repartition(c.partitions, "doc_id").sortWithinPartitions("doc_id").persist()
+    shares = c.shares(sum(cnt))
+    docs = documents(tokens, vocab, 2).repartition(shares, "doc_id").sortWithinPartitions("doc_id").persist()
     total = sum(cnt) * c.epochs
     for epoch in range(c.epochs):
 
@@ -232,23 +255,24 @@ def word_vectors(tokens: DataFrame, config: VectorConfig, *, vocab: DataFrame |
             soft.inner[:] = inner
             for pdf in batches:
                 for ids in pdf.ids:
-                    ids = np.asarray(ids)
+                    ids = [int(x) for x in ids]
                     rate = c.rate * max(1e-4, 1 - seen / (total + 1))
-                    for i in range(len(ids)):
+                    for i, token in enumerate(ids):
                         lo = max(0, min(i - c.window // 2, len(ids) - c.window))
-                        near = np.delete(ids[lo : lo + c.window], i - lo)
-                        _, g = soft.step(own[near].mean(0), int(ids[i]), rate, not fixed)
-                        np.add.at(own, near, rate * g)
-                    seen, n = seen + len(ids) * c.partitions, n + len(ids)
-            yield pd.DataFrame({"kind": [0] * v + [1] * len(soft.inner), "id": [*range(v), *range(len(soft.inner))], "vec": [*(own * n).tolist(), *(soft.inner * n).tolist()], "n": n})
-
-        parts = docs.mapInPandas(learn, "kind int, id int, vec array<double>, n long").where("n > 0").toPandas()
-        if not len(parts):
+                        near = ids[lo:i] + ids[i + 1 : lo + c.window]
+                        _, g = soft.pull(np.add.reduce(own[near], 0) / len(near), token, rate, not fixed)
+                        g = rate * g
+                        for x in near:  # a token may be there twice
+                            own[x] += g
+                    seen, n = seen + len(ids) * shares, n + len(ids)
+            yield pd.DataFrame({"kind": [0] * v + [1] * len(soft.inner), "id": [*range(v), *range(len(soft.inner))], "share": TaskContext.get().partitionId(), "vec": [*own.tolist(), *soft.inner.tolist()], "n": n})
+
+        parts = averaged(docs.mapInPandas(learn, "kind int, id int, share int, vec array<double>, n long"), "kind", "id")
+        if not parts:
             break
-        weight = parts.groupby(["kind", "id"]).n.sum()
         vec, inner = vec.copy(), inner.copy()
-        for (kind, i), g in parts.groupby(["kind", "id"]):
-            (vec if kind == 0 else inner)[i] = np.sum(g.vec.tolist(), axis=0) / weight[kind, i]
+        for r in parts:
+            (vec if r["kind"] == 0 else inner)[r["id"]] = r["vec"]
     docs.unpersist()
     out = tokens.sparkSession.createDataFrame([(r["token"], r["cnt"], r["id"], vec[r["id"]].tolist()) for r in words], "token string, cnt long, id int, vec array<double>")
     return out, inner
@@ -268,7 +292,7 @@ def document_vectors(tokens: DataFrame, vocab: DataFrame, inner: np.ndarray, con
                 vec = (np.random.default_rng([c.seed, len(ids)]).random(inner.shape[1]) - 0.5) / inner.shape[1]
                 for _ in range(c.epochs):
                     for t in ids:
-                        _, g = soft.step(vec, int(t), c.rate, False)
+                        _, g = soft.pull(vec, int(t), c.rate, False)
                         vec = vec + c.rate * g
                 out.append(vec.tolist())
             yield pd.DataFrame({"doc_id": pdf.doc_id, "vec": out})
@@ -293,18 +317,17 @@ def train_documents(tokens: DataFrame, config: VectorConfig, *, vocab: DataFrame
     kind = dict(tokens.dtypes)["doc_id"]
     docs, fresh = documents(tokens, vocab), F.array().cast("array<double>")
     docs = docs.withColumn("vec", fresh) if start is None else docs.join(start.select("doc_id", "vec"), "doc_id", "left").withColumn("vec", F.coalesce("vec", fresh))
-    docs = cut(docs.repartition(c.partitions, "doc_id").sortWithinPartitions("doc_id"))
+    docs = cut(docs.repartition(c.shares(sum(cnt)), "doc_id").sortWithinPartitions("doc_id"))
     for _ in range(c.epochs):
-        out = cut(docs.mapInPandas(_document_epoch(c, cnt, inner, fixed), f"doc_id {kind}, ids array<int>, vec array<double>, inner int, n long"))
-        parts = out.where("inner IS NOT NULL AND n > 0").select("inner", "vec", "n").toPandas()
-        for i, g in parts.groupby("inner"):
-            inner[int(i)] = np.sum(g.vec.tolist(), axis=0) / g.n.sum()
+        out = cut(docs.mapInPandas(_document_epoch(c, cnt, inner, fixed), f"doc_id {kind}, ids array<int>, vec array<double>, inner int, share int, n long"))
+        for r in averaged(out.where("inner IS NOT NULL").select("inner", "share", "vec", "n"), "inner"):
+            inner[r["inner"]] = r["vec"]
         docs = out.where("inner IS NULL").select("doc_id", "ids", "vec")
     return docs.select("doc_id", "vec"), inner
 
 
 def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray, fixed: str | None = None):
-    """One epoch over a partition: its documents with their new vectors, then its inner vectors times its tokens, if they move."""
+    """One epoch over a partition: its documents with their new vectors, then its inner vectors with its number of tokens, if they move."""
     inner = inner.copy()
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,14 +338,14 @@ def _document_epoch(c: VectorConfig, cnt: list[int], inner: np.ndarray, fixed: s
             for ids, vec in zip(pdf.ids, pdf.vec, strict=True):
                 vec = np.array(vec) if len(vec) else (np.random.default_rng([c.seed, len(ids)]).random(c.size) - 0.5) / c.size
                 for t in ids:
-                    _, g = soft.step(vec, int(t), c.rate, fixed != "inner")
+                    _, g = soft.pull(vec, int(t), c.rate, fixed != "inner")
                     if fixed != "documents":
                         vec = vec + c.rate * g
                 n += len(ids)
                 out.append(vec.tolist())
-            yield pdf.assign(vec=out, inner=None, n=0)
+            yield pdf.assign(vec=out, inner=None, share=None, n=0)
         if fixed != "inner":
-            yield pd.DataFrame({"doc_id": None, "ids": None, "vec": (soft.inner * n).tolist(), "inner": range(len(soft.inner)), "n": n})
+            yield pd.DataFrame({"doc_id": None, "ids": None, "vec": soft.inner.tolist(), "inner": range(len(soft.inner)), "share": TaskContext.get().partitionId(), "n": n})
 
     return learn
 
@@ -346,13 +369,16 @@ def rnn_document(doc: np.ndarray, u: np.ndarray, w: np.ndarray, soft: Softmax, r
     return losses
 
 
+def rnn_start(v: int, c: VectorConfig) -> dict[str, np.ndarray]:
+    """The matrices of a network that has not learned yet."""
+    rng, k = np.random.default_rng(c.seed), c.size
+    return {"u": (rng.random((v, k)) - 0.5) / np.sqrt(k), "w": (rng.random((k, k)) - 0.5) / np.sqrt(k), "inner": np.zeros((max(1, v - 1), k))}
+
+
 def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: int = 3, start: dict[str, np.ndarray] | None = None) -> tuple[list[float], dict[str, np.ndarray]]:
     """Mean next-token loss of each epoch of an Elman network with truncated back-propagation, and its matrices; start continues from such."""
-    rng = np.random.default_rng(c.seed)
-    k, v = c.size, len(cnt)
-    u, w, soft = (rng.random((v, k)) - 0.5) / np.sqrt(k), (rng.random((k, k)) - 0.5) / np.sqrt(k), Softmax(cnt, k)
-    if start is not None:
-        u, w, soft.inner = (np.array(start[name], float) for name in ("u", "w", "inner"))
+    soft, begin = Softmax(cnt, c.size), rnn_start(len(cnt), c) if start is None else start
+    u, w, soft.inner = (np.array(begin[name], float) for name in ("u", "w", "inner"))
     losses = []
     for _ in range(c.epochs):
         total, n = 0.0, 0
@@ -366,17 +392,47 @@ def rnn_losses(ids: list[np.ndarray], cnt: list[int], c: VectorConfig, steps: in
 
 
 def rnn(tokens: DataFrame, config: VectorConfig, steps: int = 3, *, vocab: DataFrame | None = None, start: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """part (u, w, inner), id, vec, and the loss of each epoch (part loss): one task takes the documents in order.
+    """part (u, w, inner), id, vec, and the loss of each epoch (part loss).
 
-    vocab and start continue from a model.
+    With one partition (config.shares) a task takes the documents in order. With several, each epoch every partition learns from
+    common matrices, which are then averaged by tokens. vocab and start continue from a model.
     """
     vocab = vocabulary(tokens) if vocab is None else vocab
     cnt = [r["cnt"] for r in vocab.orderBy("id").collect()]
 
+    c, shares = config, config.shares(sum(cnt))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         losses, parts = rnn_losses([np.asarray(x) for x in pdf.ids], cnt, config, steps, start)
         rows = [(name, i, x.tolist()) for name, m in parts.items() for i, x in enumerate(m)]
         return pd.DataFrame(rows + [("loss", i, [x]) for i, x in enumerate(losses)], columns=["part", "id", "vec"])
 
-    return documents(tokens, vocab, 2).groupBy(F.lit("all")).applyInPandas(run, "part string, id int, vec array<double>")
+    kind = "part string, id int, vec array<double>"
+    if shares == 1:
+        return documents(tokens, vocab, 2).groupBy(F.lit("all")).applyInPandas(run, kind)
+    docs = cut(documents(tokens, vocab, 2).repartition(shares, "doc_id").sortWithinPartitions("doc_id"))
+    now = {name: np.array(m, float) for name, m in (rnn_start(len(cnt), c) if start is None else start).items() if name in ("u", "w", "inner")}
+    losses = []
+    for _ in range(c.epochs):
+
+        def learn(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            soft, u, w, total, n = Softmax(cnt, c.size), now["u"].copy(), now["w"].copy(), 0.0, 0
+            soft.inner = now["inner"].copy()
+            for pdf in batches:
+                for doc in pdf.ids:
+                    found = rnn_document(np.asarray(doc), u, w, soft, c.rate, steps)
+                    total, n = total + sum(found), n + len(found)
+            rows = [(name, i, x.tolist()) for name, m in (("u", u), ("w", w), ("inner", soft.inner), ("loss", [np.array([total / max(1, n)])])) for i, x in enumerate(m)]
+            yield pd.DataFrame(rows, columns=["part", "id", "vec"]).assign(share=TaskContext.get().partitionId(), n=n)
+
+        now = {name: m.copy() for name, m in now.items()}
+        mean = 0.0
+        for r in averaged(docs.mapInPandas(learn, f"{kind}, share int, n long"), "part", "id"):
+            if r["part"] == "loss":
+                mean = r["vec"][0]
+            else:
+                now[r["part"]][r["id"]] = r["vec"]
+        losses.append(mean)
+    rows = [(name, i, x.tolist()) for name, m in now.items() for i, x in enumerate(m)]
+    return tokens.sparkSession.createDataFrame(rows + [("loss", i, [float(x)]) for i, x in enumerate(losses)], kind)
