@@ -23,6 +23,14 @@ def test_word_vectors_spread_out_by_tokens(spark, tokens, monkeypatch):
     assert seen == [4] and words.count() == 6
 
 
+def test_document_vectors_spread_out_by_tokens(spark, tokens, monkeypatch):
+    monkeypatch.setattr(embed, "PART_TOKENS", 100)
+    seen = []
+    monkeypatch.setattr(embed, "averaged", lambda parts, *keys, f=embed.averaged: seen.append(parts.where("n > 0").select("share").distinct().count()) or f(parts, *keys))
+    vecs, _ = embed.train_documents(tokens, embed.VectorConfig(epochs=1, size=4))
+    assert seen == [4] and vecs.count() == 40
+
+
 def test_averages_weigh_shares_by_tokens(spark):
     t = spark.createDataFrame([(0, 1, [1.0, 2.0], 1), (0, 0, [4.0, 8.0], 2), (0, 2, [9.0, 9.0], 0)], "id int, share int, vec array<double>, n long")
     assert [list(r) for r in embed.averaged(t, "id")] == [[0, [3.0, 6.0]]]
