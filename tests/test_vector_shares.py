@@ -31,6 +31,14 @@ def test_document_vectors_spread_out_by_tokens(spark, tokens, monkeypatch):
     assert seen == [4] and vecs.count() == 40
 
 
+def test_network_spreads_out_by_tokens(spark, tokens, monkeypatch):
+    monkeypatch.setattr(embed, "PART_TOKENS", 100)
+    got = embed.rnn(tokens, embed.VectorConfig(epochs=5, size=4, rate=0.2)).collect()
+    losses = [r.vec[0] for r in sorted((r for r in got if r.part == "loss"), key=lambda r: r.id)]
+    assert len(losses) == 5 and losses[-1] < losses[0]
+    assert sorted(p for p in {r.part for r in got}) == ["inner", "loss", "u", "w"] and sum(r.part == "u" for r in got) == 6
+
+
 def test_averages_weigh_shares_by_tokens(spark):
     t = spark.createDataFrame([(0, 1, [1.0, 2.0], 1), (0, 0, [4.0, 8.0], 2), (0, 2, [9.0, 9.0], 0)], "id int, share int, vec array<double>, n long")
     assert [list(r) for r in embed.averaged(t, "id")] == [[0, [3.0, 6.0]]]
