@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.operators.sparse_lda import PART_TOKENS, SparseSampler
+from loomstat.operators.sparse_lda import PART_TOKENS, SparseSampler, lanes
 from loomstat.scratch import cut
 
 #: kinds of rows that a task gets: counts of its words, of its words in locals, of its locals, of split documents; and its tokens
@@ -200,42 +200,44 @@ def density(g: np.ndarray, x: float, y: float) -> np.ndarray:
 
 def region_task(c, nz: np.ndarray, shared: np.ndarray, own: np.ndarray, vocabulary: int, seed: list[int]):
     """The function that draws a part's tokens: a topic 0 .. k - 1, or region r as k + r. Tokens of regions that held fewer than
-    least tokens when the sweep began keep their region, in all tasks alike."""
+    least tokens when the sweep began keep their region, in all tasks alike. Tokens are drawn in steps, one of each document (sparse_lda.lanes)."""
     k = c.topics
     frozen = nz[k:] < c.least
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, held = _rng(seed, pdf), nz.copy()
-        kinds, t, edges = _parted(pdf)
-        rows, whole = _rows(kinds[WORD]), _doc_slots(kinds)
-        docs, words, slots, split = t.doc.tolist(), t.word.tolist(), t.z.tolist(), t.split.tolist()
-        px, py, u = t.px.tolist(), t.py.tolist(), rng.random(len(t))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            nd = np.zeros(len(nz))
-            for z, n in (whole[docs[lo]] if split[lo] else Counter(slots[lo:hi])).items():
-                nd[z] = n
-            for i in range(lo, hi):
-                z = slots[i]
-                if z >= k and frozen[z - k]:
-                    continue
-                row = rows[words[i]]
-                nd[z] -= 1
-                held[z] -= 1
-                row[z] -= 1
-                inv = 1 / (vocabulary * c.beta + held)
-                p = c.beta * inv
-                at = list(row)
-                p[at] += np.array(list(row.values())) * inv[at]
-                n0, n = nd[:k].sum(), held[k:]
-                n1 = nd[k:].sum()
-                p[:k] *= (c.gamma0 + n0) * (c.alpha + nd[:k]) / (k * c.alpha + n0) * density(shared, px[i], py[i])
-                p[k:] *= (c.gamma1 + n1) * (c.weight + n) / (c.weight * c.regions + n.sum()) * density(own, px[i], py[i])
-                p = np.cumsum(p)
-                if p[-1] > 0:
-                    z = slots[i] = min(int(np.searchsorted(p, u[i] * p[-1], "right")), len(p) - 1)
-                nd[z] += 1
-                held[z] += 1
-                row[z] = row.get(z, 0) + 1
+        rng, held = _rng(seed, pdf), nz.astype(float)
+        kinds, t, _ = _parted(pdf)
+        if not len(t):
+            return t.assign(z0=t.z)[_names()]
+        d, names = pd.factorize(t.doc, use_na_sentinel=False)
+        w, words = pd.factorize(pd.concat([kinds[WORD].word, t.word]), use_na_sentinel=False)
+        heads, slots = len(kinds[WORD]), t.z.to_numpy().astype(np.int64)
+        both, w, own_words = len(nz), w[heads:], w[:heads]
+        nw, nd = np.zeros((len(words), both)), np.bincount(d * both + slots, minlength=len(names) * both).reshape(-1, both).astype(float)
+        nw[own_words, kinds[WORD].z.to_numpy()] = kinds[WORD].n.to_numpy()
+        at = dict(zip(names, range(len(names)), strict=True))
+        for doc, counts in _doc_slots(kinds).items():  # of documents that lie in several parts
+            if doc in at:
+                nd[at[doc]] = [counts.get(z, 0) for z in range(both)]
+        px, py, u = t.px.to_numpy()[:, None], t.py.to_numpy()[:, None], rng.random(len(t))
+        fixed = np.append(np.zeros(k, bool), frozen)
+        for at in lanes(d):
+            at = at[~fixed[slots[at]]]
+            z, row = slots[at], np.arange(len(at))
+            mine, rows, less = nd[d[at]], nw[w[at]], np.repeat(held[None], len(at), 0)
+            for counts in (mine, rows, less):
+                counts[row, z] -= 1
+            p = (c.beta + rows) / (vocabulary * c.beta + less)
+            n0, n1, n = mine[:, :k].sum(1, keepdims=True), mine[:, k:].sum(1, keepdims=True), less[:, k:]
+            p[:, :k] *= (c.gamma0 + n0) * (c.alpha + mine[:, :k]) / (k * c.alpha + n0) * density(shared, px[at], py[at])
+            p[:, k:] *= (c.gamma1 + n1) * (c.weight + n) / (c.weight * c.regions + n.sum(1, keepdims=True)) * density(own, px[at], py[at])
+            p.cumsum(1, out=p)
+            new = np.where(p[:, -1] > 0, np.minimum((p <= (u[at] * p[:, -1])[:, None]).sum(1), both - 1), z)
+            for counts, base in ((nd, d[at] * both), (nw, w[at] * both)):
+                np.add.at(counts.reshape(-1), base + z, -1.0)
+                np.add.at(counts.reshape(-1), base + new, 1.0)
+            held += np.bincount(new, minlength=both) - np.bincount(z, minlength=both)
+            slots[at] = new
         return t.assign(z0=t.z, z=slots)[_names()]
 
     return run
