@@ -17,6 +17,8 @@ def trim(text: Column, left: bool = True, right: bool = True) -> Column:
 
 def split_keep_empty(text: Column, delimiters: str) -> Column:
     """Parts between any of the delimiters; empty parts count."""
+    if len(delimiters) == 1 and delimiters not in r"\.[{()*+?^$|":
+        return F.split(text, delimiters, -1)  # a plain character is found without a regular expression
     quoted = "".join("\\" + c if c in r"\]^-[&" else c for c in delimiters)
     return F.split(text, f"[{quoted}]", -1)
 

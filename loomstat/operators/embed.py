@@ -48,9 +48,11 @@ class NetworkConfig(VectorConfig):
     epochs: int = 1
 
 
-def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, cnt, id by falling count, ties by token."""
+def vocabulary(tokens: DataFrame, most: int | None = None) -> DataFrame:
+    """token, cnt, id by falling count, ties by token; of all tokens, or of so many of the most frequent ones."""
     counted = tokens.groupBy("token").agg(F.count("*").alias("cnt")).withColumn("__less", -F.col("cnt"))
+    if most is not None:
+        counted = counted.orderBy("__less", "token").limit(most)
     return order.numbered(counted, "__less", [F.col("token")], "id").drop("__less")
 
 

@@ -55,9 +55,8 @@ def scan_sparse_binary(spark, sf):
 
 
 def _token_file(spark, sf):
-    words = F.filter(F.split("text", fx.SPACES), lambda x: x != "")
-    docs = fx.table(spark, sf, "documents").select("doc_id", words.alias("words")).where("size(words) > 0")
-    return _file(docs, ["doc_id"], F.array_join("words", "\t"), "tokens")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _file(docs, ["doc_id"], F.btrim(F.regexp_replace("text", fx.SPACES, "\t"), F.lit("\t")), "tokens")
 
 
 DENSE_SQL = f"{fx.TOKENS_SQL}, ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM (SELECT DISTINCT doc_id FROM tok))"
@@ -73,7 +72,7 @@ def scan_known_tokens(spark, sf):
     """Tokens against a vocabulary that was saved and loaded: the hundred most frequent ones; documents without any go."""
     tokens = text.read_tokens(spark, _token_file(spark, sf))
     path = folder(spark, "vocabulary")
-    models.save_huffman(embed.huffman_codes(embed.vocabulary(tokens).where("id < 100")), path)
+    models.save_huffman(embed.huffman_codes(embed.vocabulary(tokens, most=100)), path)
     return embed.documents(tokens, models.load_huffman(spark, path)).select("doc_id", F.size("ids").cast("long").alias("known"))
 
 

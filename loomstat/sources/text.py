@@ -13,7 +13,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """row_id, value: the trimmed lines that aren't empty, numbered from 0 without gaps.
 
     Files count in order of their paths and lines in order of their place, however Spark splits and deals them: each split's
-    lines are counted first, a row a split, and the splits before a line are added to its place in its own.
+    lines are counted first, a row a split, and the splits before a line are added to its place in its own. The counts go to
+    all tasks, so lines stay where they are read.
     """
     lines = spark.read.text(path).select(scalar.trim(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = lines.where("value <> ''").withColumn("at", F.monotonically_increasing_id())
@@ -22,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.select("file", "start", "first", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     place = F.col("at") - F.col("first")
     changed = F.raise_error(F.lit("a file or the size of splits has changed since the lines were counted")).cast("long")
-    return lines.join(splits, ["file", "start"], "left").select(F.when((place >= 0) & (place < F.col("n")), F.col("before") + place).otherwise(changed).alias("row_id"), "value")
+    return lines.join(F.broadcast(splits), ["file", "start"], "left").select(F.when((place >= 0) & (place < F.col("n")), F.col("before") + place).otherwise(changed).alias("row_id"), "value")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
